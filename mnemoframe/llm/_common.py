@@ -67,3 +67,9 @@ def look_up(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str, total
     done = with_hot.filter("_hot").drop("_hot")
     rest = with_hot.filter("_hot IS NULL").drop("_hot", *new)
     return done.unionByName(rest.join(cold, keys, "left"))
+
+
+def without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """docs whose (doc_id, xxhash64(text)) isn't in keys (doc_id, key)."""
+    k = keys.select(F.col("doc_id").alias("_k_doc"), F.col("key").alias("_k_key"))
+    return docs.join(k, docs["doc_id"].eqNullSafe(F.col("_k_doc")) & (F.xxhash64(docs["text"]) == F.col("_k_key")), how)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, stored
+from ._common import LOWER, UPPER, stored, without
 
 #: All ASCII characters outside words; upper case is mapped to lower case and the rest to blanks.
 OUTSIDE = "".join(chr(i) for i in range(1, 128) if not chr(i).isalnum())
@@ -120,6 +120,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """docs without those that hold a window of the benchmark; same columns."""
+    _, lead, _ = _plan(docs, benchmark, size)
+    index = postings(docs, lead.select("term").distinct(), size - 1)
+    return without(docs, stored(phrases(index, lead).select("doc_id", "key").distinct(), "contaminated"))
+
+
 SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),

@@ -100,6 +100,27 @@ def find_cuts(groups: DataFrame, shards: int, entries: int = ENTRIES) -> tuple[l
         width = finer
 
 
+def _number(cuts: list[str], digest):
+    number = F.lit(0)
+    for c in cuts:
+        number = number + (digest > F.lit(c)).cast("int")
+    return number
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """Stored doc_id, size, text_crc32, digest of each row of docs."""
+    text = F.coalesce("text", F.lit(""))
+    return stored(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.sha2(text, 256).alias("digest")), "shard-rows")
+
+
+def assign(docs: DataFrame, shards: int = 16, entries: int = ENTRIES) -> DataFrame:
+    """docs plus ``size`` and ``shard`` (columns of these names are replaced); no text is shuffled."""
+    text = F.coalesce("text", F.lit(""))
+    sizes = stored(docs.select((F.octet_length(text) + 1).cast("long").alias("size"), F.sha2(text, 256).alias("digest")), "shard-rows")
+    cuts, _ = find_cuts(sizes.groupBy("digest").agg(F.sum("size").alias("bytes")), shards, entries)
+    return docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "shard": _number(cuts, F.sha2(text, 256))})
+
+
 def shard(docs: DataFrame, shards: int = 16, salts: int = 256, entries: int = ENTRIES) -> DataFrame:
     """Per row of docs: doc_id, size (UTF-8 bytes of text + 1), text_crc32, digest, shard, slot.
 
@@ -108,14 +129,9 @@ def shard(docs: DataFrame, shards: int = 16, salts: int = 256, entries: int = EN
     by many tasks; the parts' counts, at most shards * salts, give the offsets. Repeated rows get slots of their own.
     Other columns are ignored; an empty table gives an empty result.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.sha2(text, 256).alias("digest"))
-    rows = stored(rows, "shard-rows")
+    rows = measured(docs)
     cuts, _ = find_cuts(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), shards, entries)
-    number = F.lit(0)
-    for c in cuts:
-        number = number + (F.col("digest") > F.lit(c)).cast("int")
-    rows = rows.withColumn("shard", number).withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("shard", _number(cuts, F.col("digest"))).withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(salts)).cast("int"))
     counts = rows.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     offsets = counts.select("shard", "salt", (F.sum("n").over(Window.partitionBy("shard").orderBy("salt")) - F.col("n")).alias("offset"))
     nth = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "digest")) - 1
