@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, langid, mixing, sharding, simhash
+from . import decontaminate, exact, langid, mixing, sharding, simhash, tokenids
 from ._common import table
 
 
@@ -37,6 +37,12 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenids.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_minimax_shards": op7_minimax_shards,
+    "op8_token_codes": op8_token_codes,
     "op10_decontaminate": op10_decontaminate,
 }
 
