@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, langid, mixing, sharding, simhash, tokenids
+from . import decontaminate, exact, langid, lattice, mixing, sharding, simhash, tokenids
 from ._common import table
 
 
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"), 1, 5)
+    model, tail = lattice.learn(docs.filter(~held_out), lattice.vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    return lattice.score(docs, model, tail).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -55,6 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
+    "op1_subword_lattice": op1_subword_lattice,
     "op2_mix_sources": op2_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
