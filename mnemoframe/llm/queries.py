@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, hostpaths, langid, lattice, mixing, sharding, simhash, tokenids
+from . import decontaminate, exact, hostpaths, langid, lattice, mixing, sharding, simhash, suffixes, tokenids
 from ._common import table
 
 
@@ -58,6 +58,10 @@ def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_minimax_shards": op7_minimax_shards,
     "op8_token_codes": op8_token_codes,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
