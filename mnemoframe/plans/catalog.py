@@ -1,10 +1,616 @@
-"""Queries over the driver's tables, with the SQL that checks them."""
+"""Queries over the driver's tables, with the SQL that checks them.
+
+Documents play the cards of a memory (a persona for each source); see sources.cards.of_documents. Fixed questions, times and
+replies are literals here and in the SQL alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mnemoframe.functions import parsing, text
+from mnemoframe.operators import activation, expand, fts, graph, maintain, region, store, vector
+from mnemoframe.sources import cards as C
+from mnemoframe.sources.logs import error_rate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+NOW = "2024-06-01 00:00:00"
+QUESTIONS = [(1, "src0", "de la"), (2, "src1", "the and"), (3, "src2", "of on"), (4, "src3", "in that"), (5, "src4", "thing er in")]
+STOP = ", ".join(f"'{w}'" for w in text.ENGLISH_STOP_WORDS)
+
+CARDS = """cards AS (SELECT source AS persona_id, d.doc_id AS seq, 'c_' || lpad(CAST(d.doc_id AS VARCHAR), 8, '0') AS id, coalesce(text, '') AS content, lang AS topic,
+  's_' || CAST(d.doc_id // 10 AS VARCHAR) AS session_id, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(d.doc_id AS BIGINT)) AS created_at,
+  CAST(CASE WHEN quality = 1 THEN 60 WHEN quality = 0 THEN 1 ELSE 8 END AS DOUBLE) AS retention, coalesce(toxic, 0) = 1 AS legacy FROM documents d LEFT JOIN labels l USING (doc_id)),
+questions AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{p}', '{t}')" for i, p, t in QUESTIONS) + """) q(query_id, persona_id, text)),
+tokens AS (SELECT persona_id, id AS card_id, seq, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM cards)"""
+INDEX = CARDS + """,
+dls AS (SELECT persona_id, card_id, count(*) AS dl FROM tokens GROUP BY ALL),
+postings AS (SELECT persona_id, card_id, seq, term, count(*) AS tf, any_value(dl) AS dl FROM tokens JOIN dls USING (persona_id, card_id) GROUP BY ALL),
+corpus AS (SELECT c.persona_id, count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM cards c LEFT JOIN dls ON dls.persona_id = c.persona_id AND dls.card_id = c.id GROUP BY ALL),
+qterms AS (SELECT DISTINCT query_id, persona_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM questions),
+wanted AS (SELECT query_id, count(*) AS wanted FROM qterms GROUP BY ALL),
+dfs AS (SELECT persona_id, term, count(*) AS df FROM postings GROUP BY ALL),
+bm AS (SELECT query_id, persona_id, card_id, seq, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS have
+  FROM postings JOIN qterms USING (persona_id, term) JOIN dfs USING (persona_id, term) JOIN corpus USING (persona_id) GROUP BY ALL)"""
+GRAPH = CARDS + f""",
+tf AS (SELECT persona_id, card_id, seq, term, count(*) AS tf FROM tokens WHERE length(term) >= 2 AND term NOT IN ({STOP}) AND NOT regexp_full_match(term, '[0-9]+') GROUP BY ALL),
+tdf AS (SELECT persona_id, term, count(*) AS df FROM tf GROUP BY ALL),
+cn AS (SELECT persona_id, count(*) AS n FROM cards GROUP BY ALL),
+terms AS (SELECT persona_id, card_id, seq, term, row_number() OVER (PARTITION BY persona_id, card_id ORDER BY round(tf * ln((n + 1) / (df + 1)), 6) DESC, term) AS pos FROM tf JOIN tdf USING (persona_id, term) JOIN cn USING (persona_id)),
+ledger AS (SELECT persona_id, card_id, seq, pos, term AS node FROM terms WHERE pos <= 12),
+nodes AS (SELECT persona_id, node AS name, count(DISTINCT card_id) AS df FROM ledger GROUP BY ALL),
+edges AS (SELECT a.persona_id, a.node AS a, b.node AS b, count(*) AS weight FROM ledger a JOIN ledger b ON a.persona_id = b.persona_id AND a.card_id = b.card_id AND a.node < b.node GROUP BY ALL),
+adj AS (SELECT persona_id, a AS src, b AS dst, weight AS w FROM edges UNION ALL SELECT persona_id, b, a, weight FROM edges),
+size AS (SELECT persona_id, count(DISTINCT card_id) AS n FROM ledger GROUP BY ALL),
+freq AS (SELECT term AS word, count(*) AS gf FROM tokens GROUP BY ALL),
+top AS (SELECT persona_id, name, df, row_number() OVER (PARTITION BY persona_id ORDER BY df DESC, name) AS rank FROM nodes),
+src AS (SELECT persona_id, name AS src FROM top WHERE rank <= 3),
+near AS (SELECT persona_id, src, dst, w, row_number() OVER (PARTITION BY persona_id, src ORDER BY w DESC, dst) AS rank FROM adj JOIN src USING (persona_id, src)),
+summaries AS (SELECT persona_id, name AS node_name, CASE WHEN length(name) % 2 = 0 THEN 'about ' || name ELSE '' END AS content, df % 7 AS new_since_write FROM nodes WHERE df >= 3),
+gated AS (SELECT n.persona_id, n.name, n.df, coalesce(gf, 0) AS gf, NOT (regexp_matches(n.name, '[:：]') OR n.name IN ({STOP}) OR regexp_full_match(n.name, '[0-9.]+')) AND coalesce(gf, 0) < 500 AS passes FROM nodes n LEFT JOIN freq ON word = name),
+qtok AS (SELECT query_id, persona_id, token, min(nth) AS nth FROM (SELECT query_id, persona_id, unnest(w) AS token, unnest(range(len(w))) AS nth FROM (SELECT query_id, persona_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN ({STOP}) AND NOT regexp_full_match(x, '[0-9]+')) AS w FROM probes)) GROUP BY ALL)"""
+#: Questions about what the personas' memories hold: the names of their second and fourth most linked nodes.
+GRAPH = GRAPH.replace("qtok AS", "probes AS (SELECT row_number() OVER (ORDER BY a.persona_id) AS query_id, a.persona_id, 'what of ' || a.name || ' and ' || b.name AS text FROM top a JOIN top b ON a.persona_id = b.persona_id AND a.rank = 2 AND b.rank = 4),\nqtok AS")
+OVERLAP = CARDS + """,
+ctok AS (SELECT persona_id, id AS card_id, seq, list_distinct(list_filter(list_transform(regexp_extract_all(content, '[a-zA-Z0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS t FROM cards WHERE NOT legacy),
+qset AS (SELECT query_id, persona_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS q FROM questions),
+overlap AS (SELECT query_id, c.persona_id, card_id, seq, len(list_intersect(q, t)) / sqrt(len(q)) AS score FROM ctok c JOIN qset USING (persona_id) WHERE len(list_intersect(q, t)) > 0),
+over AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS rank FROM overlap)"""
+
+
+def query(name: str, sql: str | None = None, base: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = f"WITH {base}\n{sql}" if base else sql
+        return f
+
+    return put
+
+
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    return C.of_documents(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+def _questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUESTIONS, "query_id int, persona_id string, text string")
+
+
+class _Graph:
+    """Graph of the cards, its ledger computed once per query by Spark's exchange reuse or a cache."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.cards = _cards(spark, d)
+        self.ledger = graph.ledger(self.cards).persist()
+        self.nodes, self.edges, self.size = graph.nodes(self.ledger).persist(), graph.edges(self.ledger).persist(), graph.corpus_size(self.ledger)
+        self.adj = graph.adjacency(self.edges)
+        self.top = graph.top_nodes(self.nodes, 4)
+        self.src = self.top.filter("rank <= 3").select("persona_id", F.col("name").alias("src"))
+        self.freq = self.cards.select(F.explode(text.words(F.col("content"))).alias("word")).groupBy("word").agg(F.count("*").alias("gf"))
+        self.summaries = self.nodes.filter("df >= 3").select("persona_id", F.col("name").alias("node_name"), F.when(F.length("name") % 2 == 0, F.concat(F.lit("about "), "name")).otherwise("").alias("content"), (F.col("df") % 7).alias("new_since_write"))
+        a, b = self.top.filter("rank = 2").select("persona_id", F.col("name").alias("x")), self.top.filter("rank = 4").select("persona_id", F.col("name").alias("y"))
+        both = a.join(b, "persona_id").withColumn("query_id", F.row_number().over(Window.orderBy("persona_id")))
+        self.probes = both.select("query_id", "persona_id", F.concat(F.lit("what of "), "x", F.lit(" and "), "y").alias("text"))
+
+
+r6 = lambda c: F.round(c, 6)
+
+
+@query("cards_current_active", "SELECT persona_id, seq, id, topic, session_id, retention, CAST(epoch(created_at) AS BIGINT) AS created FROM cards WHERE NOT legacy", CARDS)
+def cards_current_active(spark, d):
+    return C.active(_cards(spark, d)).select("persona_id", "seq", "id", "topic", "session_id", "retention", F.unix_seconds("created_at").alias("created"))
+
+
+@query("cards_searchable", "SELECT persona_id, id, CAST(legacy AS INT) AS ord FROM cards WHERE NOT legacy OR length(content) > 50", CARDS)
+def cards_searchable(spark, d):
+    return C.searchable(_cards(spark, d)).select("persona_id", "id", "ord")
+
+
+@query("token_estimate_cap", "SELECT doc_id, CAST(CASE WHEN coalesce(strlen(text), 0) = 0 THEN 0 ELSE greatest(1, strlen(text) // 3) END AS BIGINT) AS est_tokens, coalesce(strlen(text), 0) < 1503 AS fits FROM documents")
+def token_estimate_cap(spark, d):
+    est = text.estimate_tokens(F.col("text"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", est.alias("est_tokens"), (est <= 500).alias("fits"))
+
+
+@query("content_clamp", """WITH t AS (SELECT doc_id, text, (SELECT max(k) FROM range(0, 1487) r(k) WHERE strlen(substr(text, 1, CAST(k AS BIGINT))) <= 1486) AS keep FROM documents WHERE strlen(text) > 1502)
+SELECT doc_id, md5(regexp_replace(substr(text, 1, CAST(keep AS BIGINT)), '\\s+$', '') || '……[截断]') AS content_md5 FROM t""")
+def content_clamp(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").filter(text.estimate_tokens(F.col("text")) > 500)
+    return rows.select("doc_id", F.md5(text.clamp(F.col("text"), 500)).alias("content_md5"))
+
+
+@query("dedup_exact_text", "SELECT persona_id, seq FROM (SELECT persona_id, seq, max(seq) OVER (PARTITION BY persona_id, content) AS last FROM cards WHERE NOT legacy) WHERE seq < last", CARDS)
+def dedup_exact_text(spark, d):
+    rows = C.active(_cards(spark, d)).select("persona_id", "seq", F.sha2("content", 256).alias("h"))
+    last = rows.groupBy("persona_id", "h").agg(F.max("seq").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(last, ["persona_id", "h"]).filter("seq < last").select("persona_id", "seq")
+
+
+@query("fts_postings", "SELECT persona_id, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT card_id) AS cards, count(DISTINCT term) AS terms FROM postings GROUP BY ALL", INDEX)
+def fts_postings(spark, d):
+    return fts.postings(_cards(spark, d)).groupBy("persona_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("card_id").alias("cards"), F.count_distinct("term").alias("terms"))
+
+
+@query("fts_bm25_top", "SELECT query_id, card_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, card_id) AS rank FROM bm JOIN wanted USING (query_id) WHERE have = wanted) WHERE rank <= 10", INDEX)
+def fts_bm25_top(spark, d):
+    cards = _cards(spark, d)
+    asked = _questions(spark).select("query_id", "persona_id", text.words(F.col("text")).alias("terms"))
+    return fts.ranked(fts.bm25(fts.postings(cards), fts.sizes(cards), asked), 10).select("query_id", "card_id", r6("score").alias("score"), "rank")
+
+
+@query("fts_orphans", "SELECT p.persona_id, p.card_id, count(*) AS n FROM postings p JOIN cards c ON c.id = p.card_id WHERE legacy GROUP BY ALL", INDEX)
+def fts_orphans(spark, d):
+    cards = _cards(spark, d)
+    return fts.orphans(fts.postings(cards), C.active(cards)).groupBy("persona_id", "card_id").agg(F.count("*").alias("n"))
+
+
+@query("keyword_overlap_top", "SELECT query_id, card_id, round(score, 6) AS score, rank FROM over WHERE rank <= 10", OVERLAP)
+def keyword_overlap_top(spark, d):
+    return activation.keyword_fallback(_cards(spark, d), _questions(spark), 10).select("query_id", "card_id", r6("score").alias("score"), "rank")
+
+
+@query("text_fuzzy_ratio", """WITH t AS (SELECT doc_id, lower(substr(text, 1, 40)) AS a, lower(substr(text, 2, 40)) AS b FROM documents WHERE length(text) >= 3),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(a), 2)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, greatest(length(b), 2)), lambda i: substr(b, i, 2))) AS y FROM t)
+SELECT doc_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS ratio FROM s""")
+def text_fuzzy_ratio(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").filter("length(text) >= 3")
+    return rows.select("doc_id", r6(text.fuzzy_ratio(F.substring("text", 1, 40), F.substring("text", 2, 40))).alias("ratio"))
+
+
+@query("graph_nodes", "SELECT * FROM nodes", GRAPH)
+def graph_nodes(spark, d):
+    return _Graph(spark, d).nodes
+
+
+@query("graph_edges", "SELECT * FROM edges", GRAPH)
+def graph_edges(spark, d):
+    return _Graph(spark, d).edges
+
+
+@query("graph_top_nodes", "SELECT * FROM top WHERE rank <= 5", GRAPH)
+def graph_top_nodes(spark, d):
+    return graph.top_nodes(_Graph(spark, d).nodes, 5)
+
+
+@query("graph_top_edges", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY weight DESC, a, b) AS rank FROM edges) WHERE rank <= 5", GRAPH)
+def graph_top_edges(spark, d):
+    return graph.top_edges(_Graph(spark, d).edges, 5)
+
+
+@query("graph_neighbors", "SELECT * FROM near WHERE rank <= 10", GRAPH)
+def graph_neighbors(spark, d):
+    g = _Graph(spark, d)
+    return graph.neighbors(g.adj, g.src, 10)
+
+
+@query("graph_node_dfs", "SELECT persona_id, name, df FROM nodes JOIN (SELECT persona_id, src AS name FROM src) USING (persona_id, name)", GRAPH)
+def graph_node_dfs(spark, d):
+    g = _Graph(spark, d)
+    return graph.node_dfs(g.nodes, g.src.withColumnRenamed("src", "name"))
+
+
+@query("graph_stats", "SELECT persona_id, n AS nodes, e AS edges, p AS postings, c AS cards FROM (SELECT persona_id, count(*) AS n FROM nodes GROUP BY ALL) JOIN (SELECT persona_id, count(*) AS e FROM edges GROUP BY ALL) USING (persona_id) JOIN (SELECT persona_id, count(*) AS p, count(DISTINCT card_id) AS c FROM ledger GROUP BY ALL) USING (persona_id)", GRAPH)
+def graph_stats(spark, d):
+    g = _Graph(spark, d)
+    return graph.stats(g.nodes, g.edges, g.ledger)
+
+
+@query("cards_for_nodes", "SELECT 1 AS query_id, persona_id, card_id, round(sum(1.0::DOUBLE / rank), 6) AS score FROM ledger JOIN (SELECT persona_id, name AS node, rank FROM top WHERE rank <= 3) USING (persona_id, node) GROUP BY persona_id, card_id", GRAPH)
+def cards_for_nodes(spark, d):
+    g = _Graph(spark, d)
+    lit = g.top.filter("rank <= 3").select(F.lit(1).alias("query_id"), "persona_id", F.col("name").alias("node"), (1 / F.col("rank")).alias("weight"))
+    return graph.cards_for_nodes(g.ledger, lit).withColumn("score", r6("score"))
+
+
+@query("nodes_for_cards", "SELECT persona_id, card_id, string_agg(node, ',' ORDER BY pos) AS nodes FROM ledger WHERE seq % 5 = 0 GROUP BY ALL", GRAPH)
+def nodes_for_cards(spark, d):
+    g = _Graph(spark, d)
+    wanted = g.cards.filter("seq % 5 = 0").select("persona_id", F.col("id").alias("card_id"))
+    return graph.nodes_for_cards(g.ledger, wanted).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query("latest_cards_for_node", "SELECT persona_id, node, card_id, rank FROM (SELECT l.persona_id, node, card_id, row_number() OVER (PARTITION BY l.persona_id, node ORDER BY seq DESC, card_id) AS rank FROM ledger l JOIN src s ON s.persona_id = l.persona_id AND s.src = l.node) WHERE rank <= 5", GRAPH)
+def latest_cards_for_node(spark, d):
+    g = _Graph(spark, d)
+    return graph.cards_for_node(g.ledger, g.src.withColumnRenamed("src", "node"), 5).select("persona_id", "node", "card_id", "rank")
+
+
+_PMI = "ln(w * n / (a.df * b.df))"
+
+
+@query("pmi_sharpness", "SELECT persona_id, src, round(avg(ln(w * n / (a.df * coalesce(b.df, 1)))), 6) AS sharpness FROM near JOIN nodes a USING (persona_id) LEFT JOIN nodes b ON b.persona_id = near.persona_id AND b.name = dst JOIN size USING (persona_id) WHERE rank <= 10 AND a.name = src GROUP BY ALL", GRAPH)
+def pmi_sharpness(spark, d):
+    g = _Graph(spark, d)
+    return graph.topic_sharpness(g.adj, g.nodes, g.size, g.src, 10).withColumn("sharpness", r6("sharpness"))
+
+
+PARTNERS = GRAPH + """,
+partner AS (SELECT persona_id, src, dst, w, ln(w * n / (a.df * b.df)) AS pmi FROM (SELECT persona_id, src, dst, w, row_number() OVER (PARTITION BY persona_id, src ORDER BY w DESC, dst) AS rank FROM adj WHERE (persona_id, src) IN (SELECT persona_id, src FROM src UNION SELECT persona_id, token FROM qtok)) x
+  JOIN nodes a USING (persona_id) JOIN nodes b USING (persona_id) JOIN size USING (persona_id) WHERE rank <= 15 AND a.name = src AND b.name = dst AND b.df <= 0.5 * n)"""
+
+
+@query("strong_partners", "SELECT persona_id, src, dst, w, round(pmi, 6) AS pmi, rank FROM (SELECT *, row_number() OVER (PARTITION BY persona_id, src ORDER BY round(pmi, 9) DESC, w DESC, dst) AS rank FROM partner WHERE pmi >= 0 AND (persona_id, src) IN (SELECT persona_id, src FROM src)) WHERE rank <= 5", PARTNERS)
+def strong_partners(spark, d):
+    g = _Graph(spark, d)
+    return graph.strong_partners(g.adj, g.nodes, g.size, g.src).withColumn("pmi", r6("pmi"))
+
+
+@query("extract_keywords", "SELECT query_id, persona_id, token AS word, row_number() OVER (PARTITION BY query_id ORDER BY df IS NULL, coalesce(df, 0), nth) AS pos FROM qtok q LEFT JOIN (SELECT persona_id, name AS token, df FROM nodes) USING (persona_id, token)", GRAPH)
+def extract_keywords(spark, d):
+    g = _Graph(spark, d)
+    return expand.extract_keywords(g.probes, g.nodes)
+
+
+@query("expand_keywords", """SELECT query_id, persona_id, word, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, word) AS rank FROM (
+  SELECT query_id, x.persona_id, dst AS word, max(ln(w * n / (dfa * b.df)) * ln(w)) AS score FROM (
+    SELECT q.query_id, q.persona_id, q.token AS src, a.df AS dfa, n, dst, w, row_number() OVER (PARTITION BY q.query_id, q.token ORDER BY w DESC, dst) AS r
+    FROM qtok q JOIN nodes a ON a.persona_id = q.persona_id AND a.name = q.token JOIN size s ON s.persona_id = q.persona_id JOIN adj ON adj.persona_id = q.persona_id AND adj.src = q.token WHERE a.df <= greatest(8, floor(n * 0.9))) x
+  JOIN nodes b ON b.persona_id = x.persona_id AND b.name = dst WHERE r <= 80 AND w >= 2 AND b.df >= 2 AND length(dst) >= 2 AND NOT EXISTS (SELECT 1 FROM qtok z WHERE z.query_id = x.query_id AND z.token = dst) AND ln(w * n / (dfa * b.df)) > 0 GROUP BY ALL)) WHERE rank <= 5""", GRAPH)
+def expand_keywords(spark, d):
+    g = _Graph(spark, d)
+    words = expand.extract_keywords(g.probes, g.nodes)
+    return expand.expand_keywords(words, g.adj, g.nodes, g.size, min_weight=2, min_df=2, most_fraction=0.9).withColumn("score", r6("score"))
+
+
+@query("summary_gate", "SELECT persona_id, name, gf, passes FROM gated", GRAPH)
+def summary_gate(spark, d):
+    g = _Graph(spark, d)
+    return graph.summary_gate(g.nodes, g.freq).select("persona_id", "name", "gf", "passes")
+
+
+@query("summary_candidates", "SELECT g.persona_id, g.name, g.df, coalesce(s.new_since_write, g.df) AS new, CASE WHEN passes THEN 'write' WHEN coalesce(content, '') <> '' THEN 'reset' ELSE 'shell' END AS action FROM gated g LEFT JOIN summaries s ON s.persona_id = g.persona_id AND s.node_name = g.name WHERE g.df >= 5 AND coalesce(s.new_since_write, g.df) >= 3", GRAPH)
+def summary_candidates(spark, d):
+    g = _Graph(spark, d)
+    return graph.summary_candidates(g.nodes, g.summaries, g.freq)
+
+
+@query("summary_orphans", "SELECT persona_id, node_name FROM summaries s WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.persona_id = s.persona_id AND n.name = s.node_name AND n.df >= 4) OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.persona_id = s.persona_id AND n.df >= 4)", GRAPH)
+def summary_orphans(spark, d):
+    g = _Graph(spark, d)
+    return graph.prune_summaries(g.summaries, g.nodes.filter("df >= 4")).select("persona_id", "node_name")
+
+
+@query("summary_migrate", "SELECT persona_id, node_name, content, passes FROM summaries s JOIN (SELECT DISTINCT persona_id, name AS node_name, passes FROM gated) USING (persona_id, node_name) WHERE content <> ''", GRAPH)
+def summary_migrate(spark, d):
+    g = _Graph(spark, d)
+    return graph.migrate_summaries(g.summaries, g.freq)
+
+
+@query("summary_inputs", "SELECT l.persona_id, node, count(*) AS n_cards, md5(string_agg('[] ' || content, chr(10) || '---' || chr(10) ORDER BY rank)) AS text_md5 FROM (SELECT l.persona_id, node, card_id, row_number() OVER (PARTITION BY l.persona_id, node ORDER BY seq DESC, card_id) AS rank FROM ledger l JOIN src s ON s.persona_id = l.persona_id AND s.src = l.node) l JOIN cards c ON c.persona_id = l.persona_id AND c.id = l.card_id WHERE rank <= 50 AND NOT legacy GROUP BY ALL", GRAPH)
+def summary_inputs(spark, d):
+    g = _Graph(spark, d)
+    return graph.summary_inputs(g.ledger, g.cards, g.src.withColumnRenamed("src", "node")).select("persona_id", "node", "n_cards", F.md5("cards_text").alias("text_md5"))
+
+
+def _vectors(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.lit("p").alias("persona_id"), F.col("vec_id").alias("seq"), F.col("vec_id").cast("string").alias("card_id"), "embedding", "label")
+
+
+@query("vector_topk", "SELECT query_id, card_id, sim, rank FROM (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS card_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, CAST(v.vec_id AS VARCHAR)) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 5) WHERE rank <= 10")
+def vector_topk(spark, d):
+    v = _vectors(spark, d)
+    q = v.filter("seq < 5").select(F.col("seq").alias("query_id"), "persona_id", "embedding")
+    return vector.top_k(v.repartition(8), q, 10).select("query_id", "card_id", r6("sim").alias("sim"), "rank")
+
+
+_PAIRS = "pairs AS (SELECT a.vec_id AS seq_a, b.vec_id AS seq_b, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+
+
+@query("vector_threshold", "SELECT seq_a, seq_b, round(sim, 6) AS sim FROM pairs WHERE round(sim, 9) >= 0.35", _PAIRS)
+def vector_threshold(spark, d):
+    return vector.pairs_over(_vectors(spark, d), 0.35).select("seq_a", "seq_b", r6("sim").alias("sim"))
+
+
+@query("vector_dedup", "SELECT DISTINCT seq_a AS seq FROM pairs WHERE round(sim, 9) >= 0.35", _PAIRS)
+def vector_dedup(spark, d):
+    v = _vectors(spark, d)
+    cards = v.select("persona_id", "seq", F.timestamp_seconds("seq").alias("created_at"))
+    return vector.superseded(cards, vector.pairs_over(v, 0.35)).select("seq")
+
+
+SPREAD = OVERLAP + """,
+names AS (SELECT * FROM (VALUES ('src0', 'eau'), ('src1', 'thing'), ('src2', 'tion'), ('src3', 'ing'), ('src4', 'ent')) e(persona_id, name)),
+pool AS (SELECT query_id, o.persona_id, card_id, o.seq, score AS sim, content, session_id, score * (0.7 + 0.3 * exp(-0.01 * (epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(created_at)) / 86400)) AS e0, retention = 0 AS dormant
+  FROM over o JOIN (SELECT * REPLACE (CASE WHEN seq % 11 = 0 THEN 0 ELSE retention END AS retention) FROM cards) c ON c.persona_id = o.persona_id AND c.id = o.card_id WHERE rank <= 15 AND (retention <> 0 OR score >= 0.6)),
+keys AS (SELECT query_id, card_id, 's:' || session_id AS k, 0.3 AS w FROM pool WHERE NOT dormant UNION ALL SELECT query_id, card_id, 'e:' || name, 0.5 FROM pool JOIN names USING (persona_id) WHERE NOT dormant AND contains(content, name)),
+links AS (SELECT query_id, a.card_id, b.card_id AS dst, CAST(max(a.w) AS DOUBLE) AS w FROM keys a JOIN keys b USING (query_id, k) WHERE a.card_id <> b.card_id GROUP BY ALL),
+norm AS (SELECT *, w / sum(w) OVER (PARTITION BY query_id, card_id) AS p FROM links),
+e1 AS (SELECT query_id, card_id, e0 + 0.5 * coalesce((SELECT sum(p * x.e0) FROM norm n JOIN pool x USING (query_id, card_id) WHERE n.query_id = pool.query_id AND n.dst = pool.card_id), 0) AS e FROM pool),
+e2 AS (SELECT query_id, card_id, seq, count(*) OVER (PARTITION BY query_id) AS size, e0, e0 + 0.5 * coalesce((SELECT sum(p * x.e) FROM norm n JOIN e1 x USING (query_id, card_id) WHERE n.query_id = pool.query_id AND n.dst = pool.card_id), 0) AS e FROM pool),
+kept AS (SELECT query_id, card_id, seq, CASE WHEN size <= 1 THEN e0 ELSE e END AS energy FROM e2 WHERE size <= 1 OR e >= 0.05),
+steps AS (SELECT *, row_number() OVER o AS rank, lag(energy) OVER o AS before, count(*) OVER (PARTITION BY query_id) AS left_ FROM kept WINDOW o AS (PARTITION BY query_id ORDER BY round(energy, 9) DESC, seq)),
+cut AS (SELECT *, max(CASE WHEN left_ > 2 AND before > 0 AND energy / before < 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS gone FROM steps)"""
+_ENTITIES = [("src0", "eau"), ("src1", "thing"), ("src2", "tion"), ("src3", "ing"), ("src4", "ent")]
+
+
+@query("spread_activation", "SELECT query_id, card_id, round(energy, 6) AS energy, rank FROM cut WHERE gone = 0", SPREAD)
+def spread_activation(spark, d):
+    cards = _cards(spark, d)
+    seeds = activation.keyword_fallback(cards, _questions(spark), 15).select("query_id", "persona_id", "card_id", F.col("score").alias("sim"))
+    sleepy = cards.withColumn("retention", F.when(F.col("seq") % 11 == 0, 0.0).otherwise(F.col("retention")))
+    pool = activation.energies(seeds, sleepy, F.lit(NOW).cast("timestamp"))
+    return activation.spread(pool, spark.createDataFrame(_ENTITIES, "persona_id string, name string")).select("query_id", "card_id", r6("energy").alias("energy"), "rank")
+
+
+@query("hybrid_gate", "SELECT query_id, card_id, round(max(score), 6) AS score FROM (SELECT query_id, persona_id, card_id, score FROM over WHERE rank <= 15 UNION ALL SELECT query_id, bm.persona_id, card_id, 0.6 FROM bm JOIN wanted USING (query_id) WHERE have = wanted) h JOIN cards c ON c.id = h.card_id GROUP BY query_id, card_id HAVING max(score) >= CASE WHEN bool_or(legacy) THEN 0.55 ELSE 0.35 END", INDEX + ",\n" + OVERLAP[len(CARDS) + 2 :])
+def hybrid_gate(spark, d):
+    cards = _cards(spark, d)
+    asked = _questions(spark).select("query_id", "persona_id", text.words(F.col("text")).alias("terms"))
+    literal = fts.bm25(fts.postings(cards), fts.sizes(cards), asked).withColumn("score", F.lit(0.6))
+    hits = activation.merge_channels(activation.keyword_fallback(cards, _questions(spark), 15), literal)
+    return activation.gate(hits, cards).select("query_id", "card_id", r6("score").alias("score"))
+
+
+@query("hub_retrieve", """, sims AS (SELECT query_id, p.persona_id, l.card_id, CAST(1.0 / pos AS DOUBLE) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY pos, l.card_id) AS rank FROM probes p JOIN top t ON t.persona_id = p.persona_id AND t.rank = 1 JOIN ledger l ON l.persona_id = p.persona_id AND l.node = t.name),
+layer AS (SELECT query_id, persona_id, node, max(e) AS e FROM (SELECT q.query_id, q.persona_id, q.token AS node, 1.0::DOUBLE AS e FROM qtok q JOIN nodes n ON n.persona_id = q.persona_id AND n.name = q.token UNION ALL SELECT query_id, s.persona_id, node, sim FROM sims s JOIN ledger l ON l.persona_id = s.persona_id AND l.card_id = s.card_id WHERE rank <= 8) GROUP BY ALL),
+t12 AS (SELECT *, w / sum(w) OVER (PARTITION BY persona_id, src) AS share FROM (SELECT persona_id, src, dst, w, row_number() OVER (PARTITION BY persona_id, src ORDER BY w DESC, dst) AS r FROM adj) WHERE r <= 12),
+lit AS (SELECT query_id, persona_id, node, sum(e) AS e FROM (SELECT * FROM layer UNION ALL SELECT query_id, l.persona_id, dst, e * 0.5 * share FROM layer l JOIN t12 t ON t.persona_id = l.persona_id AND t.src = l.node) GROUP BY ALL),
+hub AS (SELECT query_id, lit.persona_id, card_id, sum(e * (ln((n + 1) / (coalesce(df, 1) + 1)) + 1)) AS score FROM lit LEFT JOIN nodes ON nodes.persona_id = lit.persona_id AND nodes.name = lit.node JOIN size ON size.persona_id = lit.persona_id JOIN ledger ON ledger.persona_id = lit.persona_id AND ledger.node = lit.node GROUP BY ALL),
+both_ AS (SELECT query_id, card_id, score, sim FROM hub FULL JOIN sims USING (query_id, persona_id, card_id)),
+blend AS (SELECT *, 0.6 * coalesce(score, 0) / max(score) OVER (PARTITION BY query_id) + 0.4 * coalesce(sim, 0) / max(sim) OVER (PARTITION BY query_id) AS energy FROM both_)
+SELECT query_id, card_id, round(energy, 6) AS energy, CASE WHEN score IS NULL THEN 'backstop' ELSE 'hub' END AS source, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(energy, 9) DESC, card_id) AS rank FROM blend) WHERE rank <= 5""", GRAPH)
+def hub_retrieve(spark, d):
+    g = _Graph(spark, d)
+    first = g.top.filter("rank = 1").select("persona_id", F.col("name").alias("node"))
+    sims = g.probes.join(first, "persona_id").join(g.ledger, ["persona_id", "node"]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "card_id")))
+    sims = sims.select("query_id", "persona_id", "card_id", (1 / F.col("pos")).alias("sim"), "rank")
+    return expand.hub_retrieve(g.probes, sims, g.ledger, g.adj, g.nodes, g.size, 5).select("query_id", "card_id", r6("energy").alias("energy"), "source", "rank")
+
+
+MATCH = PARTNERS + f""",
+some AS (SELECT persona_id, node_name AS name, content AS text FROM summaries WHERE content <> ''),
+m0 AS (SELECT q.query_id, q.persona_id, name, 0 AS phase, nth FROM qtok q JOIN some s ON s.persona_id = q.persona_id AND s.name = q.token
+  UNION ALL SELECT p.query_id, p.persona_id, s.name, 1, 0 FROM probes p JOIN some s USING (persona_id) JOIN gated g ON g.persona_id = s.persona_id AND g.name = s.name WHERE g.gf < 100 AND length(s.name) >= 2
+    AND CASE WHEN regexp_full_match(s.name, '[\\x00-\\x7F]+') THEN regexp_matches(lower(p.text), '(^|[^a-z0-9])' || s.name || '($|[^a-z0-9])') ELSE contains(lower(p.text), s.name) END
+  UNION ALL SELECT q.query_id, q.persona_id, name, 2, nth FROM qtok q JOIN some s ON s.persona_id = q.persona_id AND ends_with(s.name, q.token) AND s.name <> q.token),
+matched AS (SELECT query_id, persona_id, name, f.phase AS phase, row_number() OVER (PARTITION BY query_id ORDER BY f.phase, f.nth, name) AS pos FROM (SELECT query_id, persona_id, name, min({{'phase': phase, 'nth': nth}}) AS f FROM m0 GROUP BY ALL))"""
+
+
+@query("region_match", "SELECT query_id, persona_id, name, phase, pos FROM matched", MATCH)
+def region_match(spark, d):
+    g = _Graph(spark, d)
+    names = g.summaries.filter("content <> ''").select("persona_id", F.col("node_name").alias("name"))
+    return region.match_names(g.probes, names, g.freq).select("query_id", "persona_id", "name", "phase", "pos")
+
+
+@query("region_assoc", """SELECT query_id, persona_id, name, round(pmi, 6) AS pmi, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(pmi, 9) DESC, f, name) AS pos FROM (
+  SELECT q.query_id, q.persona_id, dst AS name, max(pmi) AS pmi, min({'nth': nth, 'rank': rank}) AS f FROM qtok q JOIN (SELECT *, row_number() OVER (PARTITION BY persona_id, src ORDER BY round(pmi, 9) DESC, w DESC, dst) AS rank FROM partner WHERE pmi >= 1) p ON p.persona_id = q.persona_id AND p.src = q.token
+  WHERE rank <= 5 AND EXISTS (SELECT 1 FROM some s WHERE s.persona_id = q.persona_id AND s.name = dst) AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.query_id = q.query_id AND m.name = dst) GROUP BY ALL)) WHERE pos <= 2""", MATCH)
+def region_assoc(spark, d):
+    g = _Graph(spark, d)
+    names = g.summaries.filter("content <> ''").select("persona_id", F.col("node_name").alias("name"))
+    return region.associate(g.probes, region.match_names(g.probes, names, g.freq), names, g.adj, g.nodes, g.size).withColumn("pmi", r6("pmi"))
+
+
+@query("region_cards")
+def region_cards(spark, d):
+    g = _Graph(spark, d)
+    return region.region(g.probes, g.cards, g.summaries, g.adj, g.nodes, g.size, g.freq).select("query_id", "persona_id", "rank", "card_id", "source")
+
+
+@query("region_prompt")
+def region_prompt(spark, d):
+    g = _Graph(spark, d)
+    chosen = region.region(g.probes, g.cards, g.summaries, g.adj, g.nodes, g.size, g.freq)
+    return region.prompt(chosen, g.cards, F.lit(NOW).cast("timestamp")).select("query_id", F.length("prompt_text").alias("chars"), F.array_join("card_ids", ",").alias("card_ids"))
+
+
+REPLIES = [
+    (1, "<think>hm</think>\n===回忆 1===\n话题: tea\n留存度: lasting\n内容: She likes green tea\nand oolong\n===回忆 2===\n内容：Moved to Lyon\n===纠正 1===\n原信息: lives in Paris\n她的说法: lives in Lyon\n性质: update"),
+    (2, "无回忆"),
+    (3, "===回忆 1===\n话题: work\n留存度: core\n===回忆 2===\n主体: Ann\n留存度: 12.5\n内容: Ann got a job\n===事实 1===\n内容: stray"),
+    (4, "===回忆 1===\n重要性: 0.9\n内容: old style\n===回忆 2===\n重要性: 0.1\n内容: small thing\n===纠正 1===\nU 的说法: it was May\n===纠正 2===\n性质: nothing"),
+]
+_VALUES = "replies AS (SELECT id, trim(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), chr(10) || ' ') AS raw FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in REPLIES) + ") r(id, raw))"
+_FIELD = "nullif(trim(regexp_extract(chr(10) || b, '(?s)\\n(?:{names})[:：](.*?)(?:\\n(?:内容|主体|话题|留存度|情绪强度|重要性|原信息|U 的说法|U的说法|她的说法|性质|涉及楼层)[:：]|$)', 1), chr(10) || ' '), '')"
+
+
+def _f(*names: str) -> str:
+    return _FIELD.replace("{names}", "|".join(names))
+
+
+@query("harvest_parse", f"""{_VALUES}, blocks AS (SELECT id, unnest(list_filter(list_transform(string_split_regex(string_split_regex(string_split_regex(raw, '===\\s*纠正\\s*[0-9]+\\s*===')[1], '===\\s*事实\\s*[0-9]+\\s*===')[1], '===\\s*回忆\\s*[0-9]+\\s*==='), lambda x: trim(x, chr(10) || ' ')), lambda x: x <> '')) AS b FROM replies WHERE NOT (contains(raw, '无回忆') AND NOT contains(raw, '===')))
+SELECT id, {_f('内容')} AS record, {_f('主体')} AS subject, {_f('话题')} AS topic, CAST(CASE WHEN {_f('留存度', '情绪强度')} IS NOT NULL THEN CASE WHEN contains({_f('留存度', '情绪强度')}, 'core') THEN -1 WHEN contains({_f('留存度', '情绪强度')}, 'lasting') THEN 60 ELSE coalesce(TRY_CAST({_f('留存度', '情绪强度')} AS DOUBLE), 8) END
+  WHEN {_f('重要性')} IS NULL THEN 8 WHEN CAST({_f('重要性')} AS DOUBLE) >= 0.8 THEN 60 WHEN CAST({_f('重要性')} AS DOUBLE) >= 0.4 THEN 8 ELSE 1 END AS DOUBLE) AS retention FROM blocks WHERE {_f('内容')} IS NOT NULL""".replace("replies AS", "WITH replies AS", 1))
+def harvest_parse(spark, d):
+    return parsing.memories(spark.createDataFrame(REPLIES, "id int, raw string")).drop("pos")
+
+
+@query("corrections_parse", f"""{_VALUES}, blocks AS (SELECT id, unnest(list_filter(list_transform(string_split_regex(string_split_regex(raw, '===\\s*事实\\s*[0-9]+\\s*===')[1], '===\\s*纠正\\s*[0-9]+\\s*==='), lambda x: trim(x, chr(10) || ' ')), lambda x: x <> '')) AS b FROM replies WHERE NOT (contains(raw, '无回忆') AND NOT contains(raw, '===')))
+SELECT id, {_f('原信息')} AS original, {_f('U 的说法', 'U的说法', '她的说法')} AS user_said, {_f('性质')} AS nature FROM blocks WHERE {_f('原信息')} IS NOT NULL OR {_f('U 的说法', 'U的说法', '她的说法')} IS NOT NULL""".replace("replies AS", "WITH replies AS", 1))
+def corrections_parse(spark, d):
+    return parsing.corrections(spark.createDataFrame(REPLIES, "id int, raw string")).drop("pos", "seq_ref")
+
+
+LABELS = [(1, "core"), (2, " Lasting memory"), (3, "passing"), (4, "fleeting"), (5, "12.5"), (6, "whatever"), (7, "")]
+
+
+@query("retention_parse", "SELECT id, CAST(CASE WHEN contains(v, 'core') THEN -1 WHEN contains(v, 'lasting') THEN 60 WHEN contains(v, 'passing') THEN 8 WHEN contains(v, 'fleeting') THEN 1 ELSE coalesce(TRY_CAST(v AS DOUBLE), 8) END AS DOUBLE) AS months FROM (SELECT id, lower(trim(v)) AS v FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in LABELS) + ") t(id, v))")
+def retention_parse(spark, d):
+    return spark.createDataFrame(LABELS, "id int, v string").select("id", text.retention_months(F.col("v")).alias("months"))
+
+
+SPLITS = [(1, "===persona===\nkind\n===user===\n无\n===relationship===\nclose friends"), (2, "===user===\nlikes tea\nand dogs"), (3, "nothing")]
+
+
+@query("portrait_split_parse", "SELECT id, " + ", ".join(f"nullif(nullif(trim(regexp_extract(raw, '(?s)==={p}===\\s*\\n(.*?)(?:\\n===|$)', 1), chr(10) || ' '), ''), '无') AS {p}" for p in ("persona", "user", "relationship")) + " FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in SPLITS) + ") t(id, raw)")
+def portrait_split_parse(spark, d):
+    return spark.createDataFrame(SPLITS, "id int, raw string").select("id", parsing.portrait_split(F.col("raw")).alias("s")).select("id", "s.*")
+
+
+JUDGED = [(1, "===暂存池判断===\n需要吸收: 是\n理由: much new"), (2, "需要吸收: 否"), (3, "===长期画像审查===\n需要更新: yes\n新画像: a calm person\n理由: steady"), (4, "===长期画像审查===\n需要更新: yes\n新画像: 无")]
+
+
+@query("review_parse", "SELECT * FROM (VALUES (1, true, 'much new', false, ''), (2, false, '', false, ''), (3, false, 'steady', true, 'a calm person'), (4, false, '', true, '')) t(id, absorb, reasoning, should_update, new_stable)")
+def review_parse(spark, d):
+    df = spark.createDataFrame(JUDGED, "id int, raw string")
+    return df.select("id", parsing.staging_judge(F.col("raw")).alias("a"), parsing.stable_review(F.col("raw")).alias("b")).select("id", F.col("a.should_rewrite").alias("absorb"), "a.reasoning", "b.should_update", "b.new_stable")
+
+
+KEEPS = [(1, "[保留] c_1, c_3"), (2, "[保留] 无"), (3, "[搜索] tea places\nmore"), (4, "c_2 fits, xc_1 not"), (5, "没有"), (6, "who knows")]
+
+
+@query("filter_reply_parse", "SELECT * FROM (VALUES (1, 'keep', 'c_1,c_3', NULL), (2, 'keep', '', NULL), (3, 'search', '', 'tea places'), (4, 'keep', 'c_2', NULL), (5, 'keep', '', NULL), (6, 'unknown', '', NULL)) t(id, type, ids, keywords)")
+def filter_reply_parse(spark, d):
+    df = spark.createDataFrame(KEEPS, "id int, raw string").withColumn("c", F.array(*[F.lit(f"c_{i}") for i in (1, 2, 3)]))
+    return df.select("id", parsing.filter_reply(F.col("raw"), F.col("c")).alias("a")).select("id", "a.type", F.array_join("a.ids", ",").alias("ids"), "a.keywords")
+
+
+FIXES = "fixes AS (SELECT persona_id, min(seq) AS first, substr(arg_min(content, seq), 1, 12) AS original FROM cards WHERE NOT legacy AND length(content) >= 12 AND NOT contains(substr(content, 1, 12), chr(10)) GROUP BY ALL)"
+
+
+def _fixes(cards: DataFrame) -> DataFrame:
+    rows = cards.filter("NOT legacy AND length(content) >= 12 AND NOT contains(substr(content, 1, 12), '\n')")
+    return rows.groupBy("persona_id").agg(F.substring(F.min_by("content", "seq"), 1, 12).alias("original")).select("persona_id", F.lit(0).alias("pos"), "original", F.lit("REPLACED").alias("user_said"), F.lit("fix").alias("nature"))
+
+
+@query("apply_corrections", "SELECT c.persona_id, c.id, md5(replace(c.content, trim(original), 'REPLACED')) AS content_md5 FROM fixes f JOIN cards c ON c.persona_id = f.persona_id WHERE c.seq = (SELECT min(seq) FROM cards x WHERE x.persona_id = f.persona_id AND NOT legacy AND contains(x.content, trim(original)))", CARDS + ",\n" + FIXES)
+def apply_corrections(spark, d):
+    cards = _cards(spark, d)
+    out = maintain.apply_corrections(cards, _fixes(cards), "2024-06-01T00:00:00")
+    return out.filter(F.size("edit_history") > 0).select("persona_id", "id", F.md5("content").alias("content_md5"))
+
+
+@query("retention_decay", "SELECT id, CASE WHEN due THEN greatest(0, round(retention - days / 30, 4)) ELSE retention END AS retention, due AS decayed, due AND greatest(0, round(retention - days / 30, 4)) = 0 AS zeroed FROM (SELECT *, (epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(created_at)) / 86400 AS days, NOT legacy AND retention > 0 AND created_at < TIMESTAMP '2024-06-01 00:00:00' AS due FROM cards)", CARDS)
+def retention_decay(spark, d):
+    return maintain.decay(_cards(spark, d), F.lit(NOW).cast("timestamp")).select("id", "retention", "decayed", "zeroed")
+
+
+@query("time_prefix", """, t AS (SELECT id, created_at, floor((epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(created_at)) / 86400) AS days, (epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(created_at)) / 3600 AS hours, list_sum(list_transform(string_split(id, ''), lambda c: ascii(c))) AS s FROM cards)
+SELECT id, CASE WHEN days = 0 THEN CASE WHEN hours < 2 THEN ['刚才，', '刚刚，'][CAST(s % 2 + 1 AS INT)] ELSE '今天，' END WHEN days = 1 THEN '昨天，' WHEN days = 2 THEN ['前天，', '前两天，'][CAST(s % 2 + 1 AS INT)] WHEN days <= 4 THEN ['前几天，', '好几天前，'][CAST(s % 2 + 1 AS INT)]
+ WHEN days <= 7 THEN ['上' || ['周一', '周二', '周三', '周四', '周五', '周六', '周日'][CAST(isodow(created_at) AS INT)] || '，', '好几天前，', '前几天，'][CAST(s % 3 + 1 AS INT)] WHEN days <= 14 THEN ['上周，', '一两周前，'][CAST(s % 2 + 1 AS INT)] WHEN days <= 30 THEN ['几周前，', '大半个月前，', '半个多月前，'][CAST(s % 3 + 1 AS INT)]
+ WHEN days <= 60 THEN ['上个月，', '一个多月前，'][CAST(s % 2 + 1 AS INT)] WHEN days <= 120 THEN ['几个月前，', '两三个月前，'][CAST(s % 2 + 1 AS INT)] ELSE ['好几个月前，', '很久以前，', '很早之前，'][CAST(s % 3 + 1 AS INT)] END AS prefix FROM t""", CARDS)
+def time_prefix(spark, d):
+    return _cards(spark, d).select("id", text.time_prefix(F.col("created_at"), F.col("source_time"), F.col("id"), F.lit(NOW).cast("timestamp")).alias("prefix"))
+
+
+def _messages(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
+
+
+@query("messages_filtered", "SELECT conv_id AS session_id, turn, role FROM conversations WHERE NOT starts_with(coalesce(text, ''), '[BFF_ERROR]')")
+def messages_filtered(spark, d):
+    return maintain.real_messages(_messages(spark, d)).select("session_id", "turn", "role")
+
+
+@query("session_prompt_text", "SELECT conv_id AS session_id, substr(string_agg(substr(text, 1, 200), chr(10) ORDER BY turn, substr(text, 1, 200)), 1, 1000) AS text FROM conversations WHERE role = 'user' AND NOT starts_with(coalesce(text, ''), '[BFF_ERROR]') AND text IS NOT NULL GROUP BY conv_id")
+def session_prompt_text(spark, d):
+    return maintain.session_prompt(_messages(spark, d).filter("content IS NOT NULL"))
+
+
+@query("session_summary", """, e AS (SELECT session_id, seq AS pos, '[' || topic || '] ' || trim(substr(content, 1, 700)) AS item FROM cards WHERE regexp_full_match(substr(content, 1, 700), '(?s)[^=]*') AND trim(substr(content, 1, 700), ' ' || chr(10)) <> ''),
+k AS (SELECT *, sum(length(item) + 5) OVER (PARTITION BY session_id ORDER BY pos DESC) - 5 AS upto FROM e)
+SELECT session_id, count(*) AS kept FROM k WHERE upto <= 2000 GROUP BY ALL""", CARDS)
+def session_summary(spark, d):
+    e = _cards(spark, d).select("session_id", F.col("seq").alias("pos"), "topic", F.trim(F.substring("content", 1, 700)).alias("record")).filter("NOT contains(record, '=')")
+    return maintain.session_summary(e).filter("summary <> ''").select("session_id", F.size(F.split("summary", "\n---\n")).cast("long").alias("kept"))
+
+
+@query("portrait_buffers", """WITH s AS (SELECT 'u' || CAST(user_id % 10 AS VARCHAR) AS persona_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY day DESC) AS k FROM s)
+SELECT persona_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY day) FILTER (k <= 5) AS recent, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY day) FILTER (k > 5 AND k <= 35), '') AS pool FROM r GROUP BY ALL""")
+def portrait_buffers(spark, d):
+    days = spark.read.parquet(f"{d}/events.parquet").groupBy(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("persona_id"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    every = days.groupBy("persona_id").agg(F.sort_array(F.collect_list(F.struct(F.col("day").cast("string").alias("date"), F.col("n").cast("string").alias("summary")))).alias("all"))
+    last = F.element_at("all", -1)
+    before = F.slice("all", F.lit(1), F.size("all") - 1)
+    # the state the day before: buffers as they were rolled one by one
+    recent = F.slice(before, F.greatest(F.lit(1), F.size(before) - 4), F.lit(5))
+    pool = F.slice(before, F.lit(1), F.greatest(F.size(before) - 5, F.lit(0)))
+    state = every.select("persona_id", F.lit("user").alias("portrait_type"), recent.alias("recent_buffer"), F.slice(pool, F.greatest(F.lit(1), F.size(pool) - 29), F.lit(30)).alias("staging_pool"))
+    today = every.select("persona_id", F.lit("user").alias("portrait_type"), last["date"].alias("date"), last["summary"].alias("summary"))
+    out = maintain.roll_buffers(state, today)
+    shown = lambda c: F.array_join(F.transform(c, lambda e: e["summary"]), ",")
+    return out.select("persona_id", shown("recent_buffer").alias("recent"), shown("staging_pool").alias("pool"))
+
+
+def _linked(cards: DataFrame) -> DataFrame:
+    """Each card links to the next two of its persona, with weights 1/2 and 1/3."""
+    w = Window.partitionBy("persona_id").orderBy("seq")
+    link = lambda k: F.struct(F.lead("id", k).over(w).alias("target_id"), F.lit("next").alias("relation"), F.lit(1.0 / (k + 1)).alias("weight"))
+    return cards.withColumn("links", F.filter(F.array(link(1), link(2)), lambda x: x["target_id"].isNotNull()))
+
+
+LINKS = CARDS + """,
+nexts AS (SELECT persona_id, id, seq, legacy, lead(id, 1) OVER w AS n1, lead(id, 2) OVER w AS n2 FROM cards WINDOW w AS (PARTITION BY persona_id ORDER BY seq)),
+links AS (SELECT persona_id, id AS from_id, n1 AS target_id, 0.5 AS weight, seq, legacy FROM nexts WHERE n1 IS NOT NULL UNION ALL SELECT persona_id, id, n2, 1.0 / 3, seq, legacy FROM nexts WHERE n2 IS NOT NULL)"""
+
+
+@query("links_traverse", "SELECT 'out' AS way, from_id, target_id FROM links JOIN cards c ON c.id = target_id WHERE weight >= 0.4 AND links.seq % 7 = 0 AND NOT c.legacy UNION ALL SELECT 'in', from_id, target_id FROM links JOIN cards c ON c.id = target_id WHERE c.seq % 7 = 0 AND NOT links.legacy", LINKS)
+def links_traverse(spark, d):
+    cards = _linked(_cards(spark, d))
+    ids = cards.filter("seq % 7 = 0").select("persona_id", "id")
+    out = store.linked(cards, ids, 0.4).select(F.lit("out").alias("way"), "from_id", "target_id")
+    return out.unionByName(store.linked_from(cards, ids).select(F.lit("in").alias("way"), "from_id", "target_id"))
+
+
+@query("supersede_cards", "SELECT persona_id, count(DISTINCT id) AS cards, count(target_id) AS links FROM (SELECT c.persona_id, c.id, l.target_id FROM cards c LEFT JOIN (SELECT l.* FROM links l JOIN cards t ON t.id = target_id WHERE t.seq % 10 <> 0) l ON l.from_id = c.id WHERE c.seq % 10 <> 0) GROUP BY ALL", LINKS)
+def supersede_cards(spark, d):
+    cards = _linked(_cards(spark, d))
+    left, _ = store.supersede(cards, cards.filter("seq % 10 = 0").select("persona_id", "id"))
+    return left.groupBy("persona_id").agg(F.count("*").alias("cards"), F.sum(F.size("links")).cast("long").alias("links"))
+
+
+@query("card_links_pruned", "SELECT persona_id, CAST(sum(CASE WHEN t.seq % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS links FROM (SELECT l.persona_id, l.target_id FROM links l WHERE l.seq % 3 <> 0) l JOIN (SELECT id AS target_id, seq FROM cards) t USING (target_id) GROUP BY ALL", LINKS)
+def card_links_pruned(spark, d):
+    return C.prune_links(_linked(_cards(spark, d)).filter("seq % 3 <> 0")).groupBy("persona_id").agg(F.sum(F.size("links")).cast("long").alias("links"))
+
+
+@query("store_log_current", "SELECT id, seq % 4 AS kept_version FROM cards WHERE seq % 4 <> 3", CARDS)
+def store_log_current(spark, d):
+    cards = _cards(spark, d)
+    log = cards.withColumn("version", F.explode(F.sequence(F.lit(0), (F.col("seq") % 4).cast("int"))))
+    log = log.withColumn("gone", (F.col("version") == 3)).withColumn("level", F.col("version"))
+    return store.current(log).select("id", F.col("level").cast("long").alias("kept_version"))
+
+
+@query("reference_update", "SELECT id, CAST(CASE WHEN seq % 2 = 0 AND NOT legacy THEN 1 ELSE 0 END AS BIGINT) AS reference_count FROM cards", CARDS)
+def reference_update(spark, d):
+    cards = _cards(spark, d)
+    return store.reference(cards, cards.filter("seq % 2 = 0").select("persona_id", "id"), F.lit(NOW).cast("timestamp")).select("id", "reference_count")
+
+
+@query("batch_update", "SELECT id, CASE WHEN seq % 3 = 0 THEN 'patched' ELSE topic END AS topic, seq % 3 = 0 AS touched FROM cards", CARDS)
+def batch_update(spark, d):
+    cards = _cards(spark, d)
+    patch = cards.filter("seq % 3 = 0").select("persona_id", "id", F.lit("patched").alias("topic"))
+    return store.update(cards, patch, F.lit(NOW).cast("timestamp")).select("id", "topic", F.col("last_updated").isNotNull().alias("touched"))
+
+
+@query("store_stats", "SELECT persona_id, count(*) AS total, CAST(sum(CASE WHEN legacy THEN 0 ELSE 1 END) AS BIGINT) AS active, CAST(0 AS BIGINT) AS total_links, false AS has_portrait FROM cards GROUP BY ALL", CARDS)
+def store_stats(spark, d):
+    return store.stats(_cards(spark, d))
+
+
+@query("level_counts", "SELECT persona_id, CAST(seq % 3 AS INT) AS level, count(*) AS n FROM cards WHERE NOT legacy GROUP BY ALL", CARDS)
+def level_counts(spark, d):
+    return store.level_counts(_cards(spark, d).withColumn("level", (F.col("seq") % 3).cast("int")))
+
+
+@query("portrait_tokens", "SELECT persona_id, portrait_type, id AS card_id, tokens FROM (SELECT persona_id, ['persona', 'user', 'relationship'][CAST(seq % 3 + 1 AS INT)] AS portrait_type, id, length(content) // 2 AS tokens, row_number() OVER (PARTITION BY persona_id, seq % 3 ORDER BY seq) AS n FROM cards WHERE NOT legacy) WHERE n = 1", CARDS)
+def portrait_tokens(spark, d):
+    kinds = F.array(*[F.lit(p) for p in region.PORTRAIT_ORDER])
+    cards = _cards(spark, d).withColumn("is_portrait", F.lit(True)).withColumn("portrait_type", F.element_at(kinds, (F.col("seq") % 3 + 1).cast("int")))
+    return region.portraits(cards).select("persona_id", "portrait_type", "card_id", "tokens")
+
+
+@query("eval_metrics", "SELECT count(*) AS queries, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN rank BETWEEN 1 AND 3 THEN 1.0 ELSE 0 END), 6) AS hit_3, round(avg(CASE WHEN rank BETWEEN 1 AND 5 THEN 1.0 ELSE 0 END), 6) AS hit_5, round(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END), 6) AS mrr FROM (SELECT doc_id % 8 AS rank FROM documents)")
+def eval_metrics(spark, d):
+    m = maintain.retrieval_metrics(spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 8).alias("rank")))
+    return m.select("queries", *[r6(c).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr")])
+
+
+@query("level_normalize", "SELECT * FROM (VALUES ('3', 3), ('m2', 2), ('1.7', 1), ('-4', 0), ('x', 0)) t(raw, level)")
+def level_normalize(spark, d):
+    df = spark.createDataFrame([("3",), ("m2",), ("1.7",), ("-4",), ("x",)], "raw string")
+    return df.select("raw", text.normalize_level(F.col("raw")).alias("level"))
+
+
+@query("error_windows", "SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS window_start, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL")
+def error_windows(spark, d):
+    errors = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'")
+    return error_rate(errors).select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "errors")
