@@ -362,11 +362,11 @@ def hub_retrieve(spark, d):
 
 
 MATCH = PARTNERS + f""",
-some AS (SELECT persona_id, node_name AS name, content AS text FROM summaries WHERE content <> ''),
-m0 AS (SELECT q.query_id, q.persona_id, name, 0 AS phase, nth FROM qtok q JOIN some s ON s.persona_id = q.persona_id AND s.name = q.token
-  UNION ALL SELECT p.query_id, p.persona_id, s.name, 1, 0 FROM probes p JOIN some s USING (persona_id) JOIN gated g ON g.persona_id = s.persona_id AND g.name = s.name WHERE g.gf < 100 AND length(s.name) >= 2
+written AS (SELECT persona_id, node_name AS name, content AS text FROM summaries WHERE content <> ''),
+m0 AS (SELECT q.query_id, q.persona_id, name, 0 AS phase, nth FROM qtok q JOIN written s ON s.persona_id = q.persona_id AND s.name = q.token
+  UNION ALL SELECT p.query_id, p.persona_id, s.name, 1, 0 FROM probes p JOIN written s USING (persona_id) JOIN gated g ON g.persona_id = s.persona_id AND g.name = s.name WHERE g.gf < 100 AND length(s.name) >= 2
     AND CASE WHEN regexp_full_match(s.name, '[\\x00-\\x7F]+') THEN regexp_matches(lower(p.text), '(^|[^a-z0-9])' || s.name || '($|[^a-z0-9])') ELSE contains(lower(p.text), s.name) END
-  UNION ALL SELECT q.query_id, q.persona_id, name, 2, nth FROM qtok q JOIN some s ON s.persona_id = q.persona_id AND ends_with(s.name, q.token) AND s.name <> q.token),
+  UNION ALL SELECT q.query_id, q.persona_id, name, 2, nth FROM qtok q JOIN written s ON s.persona_id = q.persona_id AND ends_with(s.name, q.token) AND s.name <> q.token),
 matched AS (SELECT query_id, persona_id, name, f.phase AS phase, row_number() OVER (PARTITION BY query_id ORDER BY f.phase, f.nth, name) AS pos FROM (SELECT query_id, persona_id, name, min({{'phase': phase, 'nth': nth}}) AS f FROM m0 GROUP BY ALL))"""
 
 
@@ -379,7 +379,7 @@ def region_match(spark, d):
 
 @query("region_assoc", """SELECT query_id, persona_id, name, round(pmi, 6) AS pmi, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(pmi, 9) DESC, f, name) AS pos FROM (
   SELECT q.query_id, q.persona_id, dst AS name, max(pmi) AS pmi, min({'nth': nth, 'rank': rank}) AS f FROM qtok q JOIN (SELECT *, row_number() OVER (PARTITION BY persona_id, src ORDER BY round(pmi, 9) DESC, w DESC, dst) AS rank FROM partner WHERE pmi >= 1) p ON p.persona_id = q.persona_id AND p.src = q.token
-  WHERE rank <= 5 AND EXISTS (SELECT 1 FROM some s WHERE s.persona_id = q.persona_id AND s.name = dst) AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.query_id = q.query_id AND m.name = dst) GROUP BY ALL)) WHERE pos <= 2""", MATCH)
+  WHERE rank <= 5 AND EXISTS (SELECT 1 FROM written s WHERE s.persona_id = q.persona_id AND s.name = dst) AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.query_id = q.query_id AND m.name = dst) GROUP BY ALL)) WHERE pos <= 2""", MATCH)
 def region_assoc(spark, d):
     g = _Graph(spark, d)
     names = g.summaries.filter("content <> ''").select("persona_id", F.col("node_name").alias("name"))
