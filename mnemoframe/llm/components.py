@@ -20,7 +20,7 @@ def _with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(u, v) of any comparable type -> stored (v, root): the least vertex of each vertex's component, for vertices with edges.
+    """(u, v) of any comparable type -> stored (v, root): for each vertex but the least of its component, that least one.
 
     Loops and repeated edges are allowed; an empty edge list gives an empty result. Hot vertices (stars with many
     leaves) are joined by look_up().

@@ -72,7 +72,7 @@ def phrases(index: DataFrame, lead: DataFrame) -> DataFrame:
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, size: int = 10, reach: int = 20) -> DataFrame:
-    """Looser matches: doc_id, item_id, pos where all terms of a window lie within ``reach`` words of its rarest term."""
+    """Looser matches: doc_id, item_id (as text), pos where all terms of a window lie within ``reach`` words of its rarest term."""
     wins, lead, _ = _plan(docs, benchmark, size)
     index = postings(docs, lead.select("term").distinct(), reach)
     hit = index.join(small(lead), "term").filter(F.size(F.array_except("terms", "near")) == 0)

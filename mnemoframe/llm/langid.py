@@ -62,10 +62,15 @@ class Automaton:
                 self.table[s, c] = t
 
     def steps(self) -> np.ndarray:
-        """Flat table for parsing: the next state times width; where a phrase ends, the state after starting anew, plus FAIL."""
+        """Flat table for parsing: the next state times width, plus FAIL where a phrase starts: at the root, and where none goes on.
+
+        A symbol that the text lacks is a phrase of its own and leads back to the root.
+        """
         width = self.table.shape[1]
         anew = np.where(self.table[0] < 0, 0, self.table[0]) * width + FAIL
-        return np.where(self.table < 0, anew[None, :], self.table * width).astype(np.int32).ravel()
+        out = np.where(self.table < 0, anew[None, :], self.table * width)
+        out[0] = anew
+        return out.astype(np.int32).ravel()
 
 
 def letters() -> np.ndarray:
@@ -160,8 +165,7 @@ def parse(steps: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
         v = steps[state[:n] + flat[start[:n] + t]]
         phrases[:n] += v >> 30
         state[:n] = v & (FAIL - 1)
-    # symbols that no phrase has start a phrase each; the last phrase of a stretch is open
-    return np.bincount(owner[order], weights=phrases + 1, minlength=len(texts))
+    return np.bincount(owner[order], weights=phrases, minlength=len(texts))
 
 
 def fit(rows: DataFrame) -> Model:
