@@ -82,14 +82,23 @@ def session_prompt(messages: DataFrame, each: int = 200, most: int = 1000) -> Da
     return rows.select("session_id", F.substring(F.array_join(F.transform("r", lambda x: x["t"]), "\n"), 1, most).alias("text"))
 
 
-def session_summary(events: DataFrame, most: int = SESSION_CHARS) -> DataFrame:
-    """(session_id, summary): "[topic] record" of a session's events (pos, topic, record), the oldest dropped until the whole fits."""
+def session_summary(events: DataFrame, most: int = SESSION_CHARS, previous: DataFrame | None = None) -> DataFrame:
+    """(session_id, summary): "[topic] record" of a session's events (pos, topic, record), the oldest dropped until the whole fits.
+
+    previous: (session_id, summary) of earlier rounds, whose parts come before the events.
+    """
     record = strip(F.regexp_replace(strip(F.coalesce("record", F.lit(""))), r"(?s)===.*", ""))
     items = events.withColumn("record", record).filter("record <> ''").withColumn("item", F.when(F.coalesce("topic", F.lit("")) != "", F.concat(F.lit("["), "topic", F.lit("] "), "record")).otherwise(F.col("record")))
+    items = items.select("session_id", F.col("pos").cast("long").alias("pos"), "item")
+    sessions = events.select("session_id")
+    if previous is not None:
+        old = previous.select("session_id", F.posexplode(F.split("summary", SEPARATOR)).alias("at", "item")).withColumn("item", strip(F.col("item"))).filter("item <> ''")
+        items = items.unionByName(old.select("session_id", (F.col("at") - 1_000_000).cast("long").alias("pos"), "item"))
+        sessions = sessions.unionByName(previous.select("session_id"))
     order = Window.partitionBy("session_id").orderBy(F.desc("pos"))
     kept = items.withColumn("upto", F.sum(F.length("item") + len(SEPARATOR)).over(order) - len(SEPARATOR)).filter(F.col("upto") <= most)
     rows = kept.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("r"))
-    every = events.select("session_id").distinct().join(rows, "session_id", "left")
+    every = sessions.distinct().join(rows, "session_id", "left")
     return every.select("session_id", F.coalesce(F.array_join(F.transform("r", lambda x: x["item"]), SEPARATOR), F.lit("")).alias("summary"))
 
 

@@ -197,8 +197,10 @@ def test_portrait_buffers(spark):
 
 
 def test_session_summary_drops_the_oldest(spark):
-    e = spark.createDataFrame([("s", 0, "t", "a" * 1500), ("s", 1, None, "b" * 600 + "=== tail"), ("s", 2, "u", " "), ("l", 0, None, "c" * 2500)], "session_id string, pos int, topic string, record string")
+    e = spark.createDataFrame([("s", 1, None, "b" * 600 + "=== tail"), ("s", 2, "u", " "), ("l", 0, None, "c" * 2500)], "session_id string, pos int, topic string, record string")
     assert {r["session_id"]: r["summary"] for r in maintain.session_summary(e).collect()} == {"s": "b" * 600, "l": ""}
+    before = spark.createDataFrame([("s", "old one\n---\n" + "o" * 1390), ("z", "kept")], "session_id string, summary string")
+    assert {r["session_id"]: r["summary"] for r in maintain.session_summary(e, previous=before).collect()} == {"s": "o" * 1390 + "\n---\n" + "b" * 600, "l": "", "z": "kept"}
 
 
 #: Sixteen memories and ten questions in other words, with near misses.
