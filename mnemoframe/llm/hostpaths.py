@@ -35,7 +35,9 @@ ASIDE_WORDS = frozenset(
     "form search searchbox login signup signin newsletter subscribe subscription "
     "comment comments commentlist disqus respond reply replies discussion share sharing social".split()
 )
-ARTICLE_WORDS = frozenset("article content entry post story main body text prose".split())
+ARTICLE_WORDS = frozenset("article content entry post story".split())
+#: Words that say what a layout has ("with-sidebar"), not what an element is.
+LAYOUT_WORDS = frozenset("has with no without layout".split())
 CLOSES_P = PLAIN - {"br", "hr"} | frozenset("div section article main header footer nav aside form fieldset details".split())
 #: Share of a page's running text that its container must hold; paths of a host that are tried.
 SHARE, PATHS = 0.75, 5
@@ -147,7 +149,7 @@ def parse(html: str) -> list[Node]:
         aside = above.aside or tag in ASIDE or bool(HIDDEN.search(m[3]))
         if not aside and tag not in ("html", "body", "article", "main"):
             # "post-header" inside an article names a part of it; "header" by itself, or outside, doesn't
-            aside = bool(words & ASIDE_WORDS) and not (words & {"header"} == words & ASIDE_WORDS and words & ARTICLE_WORDS)
+            aside = bool(words & ASIDE_WORDS) and not words & LAYOUT_WORDS and not (words & ASIDE_WORDS == {"header"} and words & ARTICLE_WORDS)
         if tag == "header" and not any(n.tag in ("article", "main") for n in stack):
             aside = True
         node = Node(tag, f"{above.path}/{tag}" + (f".{classes}" if classes else ""), above, aside)
