@@ -51,6 +51,12 @@ def unstore(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that stored() made in the shared folder; for the end of a job, when its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mnemoframe")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def look_up(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str, total: int, most: int = 2000) -> DataFrame:
     """rows LEFT JOIN dim on keys, safe against hot keys.
 
@@ -73,3 +79,10 @@ def without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFra
     """docs whose (doc_id, xxhash64(text)) isn't in keys (doc_id, key)."""
     k = keys.select(F.col("doc_id").alias("_k_doc"), F.col("key").alias("_k_key"))
     return docs.join(k, docs["doc_id"].eqNullSafe(F.col("_k_doc")) & (F.xxhash64(docs["text"]) == F.col("_k_key")), how)
+
+
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows: they are whole texts, held twice while they pass to a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import bound_batches
+
 #: Bounds of the training sample: documents a language (in expectation), characters taken from one, characters a language.
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS = 400, 2_000, 60_000
 #: Symbols told apart (letters by frequency in the sample); symbol 0 is a break, 1 any other letter.
@@ -205,8 +207,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                names, scores = shared.value.predict(part["text"].to_pylist())
+                names, scores = shared.value.predict(part["row"].field("text").to_pylist())
                 yield pa.record_batch([part["row"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text"))
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
