@@ -81,6 +81,22 @@ def test_near_duplicates(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.deduplicate(nothing).count() == 0
 
 
+def test_copies_that_differ_more(spark):
+    rng = random.Random(11)
+    rows, near = [], {}
+    for i in range(60):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(80, 300))]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(rng.randint(0, 1)):
+            words[rng.randrange(10, 70)] = "changed"
+            rows.append((2 * i + 1, " ".join(words)))
+            near[2 * i + 1] = 2 * i
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    assert kept >= {2 * i for i in range(60)} and len(kept & set(near)) <= 1
+    apart = [(0, "a b c d e f g h i j"), (1, "a b c d e f g h i k"), (2, None), (3, "")]
+    assert {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(apart, "doc_id long, text string"), similarity=0.8).collect()} == {0, 1, 2}
+
+
 def phrases(sample, text):
     n, at = 0, 0
     while at < len(text):
