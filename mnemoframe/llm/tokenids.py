@@ -8,7 +8,9 @@ over the bitmap leads there, so any token is read without decoding those before
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import bound_batches, stored
 
 MAGIC = b"DAC1"
 #: Ids an image holds, but for a document that alone has more; documents a range holds, and ranges at most.
-IMAGE_IDS, RANGE_DOCS, RANGES = 1 << 20, 4000, 10_000
-#: Words whose ids a worker remembers.
-WORDS = 400_000
+IMAGE_IDS, RANGE_DOCS, RANGES = 1 << 18, 4000, 10_000
+#: Words and pre-tokens whose ids a worker remembers; of words, those of the generation before are kept as well.
+WORDS, PARTS = 150_000, 100_000
 RANK_BITS = 512
 
 
@@ -124,20 +126,35 @@ class Encoder(dict):
         for c in [*range(0x80, 0x800), *range(0x800, 0x10000, 0x40), *range(0x10000, 0x110000, 0x1000)]:
             if not 0xD800 <= c < 0xE000:
                 shown.update(zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0]))
-        self.shown = {b: s for b, s in shown.items()}
-
-    def part(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.shown))] if text else []
+        self.shown, self.parts, self.before = shown, {}, {}
+
+    def part(self, text: str) -> bytes:
+        """Ids of one pre-token; printable ASCII looks the same to the model."""
+        if (got := self.parts.get(text)) is None:
+            low = text.lower()
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(self.shown)
+            got = array("I", [t.id for t in self.model.tokenize(low)]).tobytes() if low else b""
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            self.parts[text] = got
+        return got
 
     def __missing__(self, word: bytes) -> bytes:
+        if (out := self.before.get(word)) is not None:
+            self[word] = out
+            return out
         text = word.decode("utf-8", "replace")
         if m := self.SIMPLE.fullmatch(text):
-            ids = self.part(m[1]) + self.part(m[2])
+            out = self.part(m[1]) + self.part(m[2])
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if sys.byteorder == "big":
+            out = np.frombuffer(out, ">u4").astype("<u4").tobytes()
         if len(self) >= WORDS:
+            self.before = dict(self)
             self.clear()
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        self[word] = out
         return out
 
     def text(self, text: bytes | None) -> bytes:
@@ -182,6 +199,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = 1, image_ids: int = IMAGE_
         if ids:
             yield image()
 
+    bound_batches(docs.sparkSession)
     ranges = max(1, min(RANGES, -(-docs.count() // RANGE_DOCS)))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("key"))
     rows = rows.repartitionByRange(ranges, "doc_id", "key").sortWithinPartitions("doc_id", "key")
