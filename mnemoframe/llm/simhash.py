@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from ._common import bound_batches, look_up, stored, without
 from .components import connected
 
@@ -27,8 +28,6 @@ PIVOTS = 24
 PART = 2000
 #: Words hashed at once.
 STRETCH = 1 << 16
-#: For copies that differ more: bits by which they may differ, and the bit samples of which one must agree.
-WIDE, SAMPLES, SAMPLE_BITS = 12, 64, 16
 
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
@@ -111,21 +110,15 @@ def block_masks(most: int) -> list[int]:
     return [sum(masks[i] for i in blocks) for blocks in combinations(range(len(BLOCKS)), len(BLOCKS) - most)]
 
 
-def sample_masks(samples: int = SAMPLES, bits: int = SAMPLE_BITS) -> list[int]:
-    """Fixed pseudo-random choices of bits. Fingerprints d bits apart agree on one of them with probability 1 - (1 - (1 - d / 64) ** bits) ** samples, nearly."""
-    rng = np.random.default_rng(SEED)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(samples)]
-
-
-def neighbours(nodes: DataFrame, most: int = 3, part: int = PART, masks: list[int] | None = None) -> DataFrame:
+def neighbours(nodes: DataFrame, most: int = 3, part: int = PART) -> DataFrame:
     """(fp) distinct -> edges (u, v) that connect just what links of at most ``most`` differing bits connect.
 
-    Pairs are looked for among fingerprints that agree on all bits of a mask; the default masks miss none. Buckets of over
+    Pairs are looked for among fingerprints that agree on all bits of a mask; block_masks() miss none. Buckets of over
     ``part`` fingerprints are split in parts, and every two parts meet in a tile of their own, so a hot bucket is spread over
     many tasks and no task holds more than two parts of a bucket.
     """
     keys = []
-    for k, mask in enumerate(masks or block_masks(most)):
+    for k, mask in enumerate(block_masks(most)):
         keys.append(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(int(np.uint64(mask).view(np.int64)))).alias("bits")))
     dealt = nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.choice", "k.bits")
     sizes = dealt.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1")
@@ -169,55 +162,24 @@ def neighbours(nodes: DataFrame, most: int = 3, part: int = PART, masks: list[in
     return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
 
 
-def similar(docs: DataFrame, nodes: DataFrame, edges: DataFrame, size: int, least: float) -> DataFrame:
-    """Edges (u, v) whose first documents share at least ``least`` of the different ``size``-word shingles of both (Jaccard)."""
-    ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    asked = nodes.join(ends, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"))
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                words = (t.as_py() or b"").lower().split()
-                n = min(size, len(words))
-                h = {xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)} if words else set()
-                out.append(np.sort(np.fromiter(h, np.uint64, len(h))).tobytes())
-            yield pa.record_batch([b["fp"], pa.array(out, pa.binary())], names=["fp", "h"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["a"], b["b"]):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= least * (len(p) + len(q) - both))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
-    found = rows.join(asked, rows["doc_id"].eqNullSafe(asked["d"]) & (rows["key"] == asked["k"])).dropDuplicates(["fp"]).select("fp", "text")
-    sets = stored(found.mapInArrow(shingles, "fp long, h binary"), "shingles")
-    a, b = sets.select(F.col("fp").alias("u"), F.col("h").alias("a")), sets.select(F.col("fp").alias("v"), F.col("h").alias("b"))
-    return edges.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(judge, "u long, v long")
-
-
 def components(docs: DataFrame, size: int = 3, most: int = 3, similarity: float | None = None, words: int = 5) -> DataFrame:
     """Per row of docs: doc_id, key, fp and best, the (none, doc_id, key) of the first row of its component; null ids come last.
 
-    With ``similarity``, fingerprints up to WIDE bits apart are looked for by bit samples, and a link counts if the texts share
-    that much of their ``words``-word shingles; ``most`` has no say then.
+    With ``similarity``, fp stands for the set of the text's ``words``-word shingles and links are what jaccard.alike() finds,
+    all of them; ``size`` and ``most`` have no say then.
     """
     bound_batches(docs.sparkSession)
-    rows = fingerprints(docs, size)
+    rows = fingerprints(docs, size) if similarity is None else jaccard.sets(docs, words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    nodes = stored(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), "nodes")
     if similarity is None:
-        edges = neighbours(nodes.select("fp"), most)
+        nodes = stored(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), "nodes")
+        roots = connected(neighbours(nodes.select("fp"), most))
     else:
-        wide = stored(neighbours(nodes.select("fp"), WIDE, masks=sample_masks()).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "wide")
-        edges = similar(docs, nodes, wide, words, similarity)
-    roots = connected(edges).withColumnRenamed("v", "fp")
+        held, rows = rows, rows.filter("chunk IS NULL")
+        nodes = stored(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n"), F.first("bits").alias("bits")), "nodes")
+        roots, rows = jaccard.alike(docs, held, nodes, similarity, words), rows.select("doc_id", "key", "fp")
+        nodes = nodes.drop("bits")
+    roots = roots.withColumnRenamed("v", "fp")
     named = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     firsts = stored(named.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("parts")), "firsts")
     n_nodes, n_rows = (x or 0 for x in named.agg(F.count("*"), F.sum("n")).first())
