@@ -33,3 +33,12 @@ def test_links_of_large_families_are_verified_before_they_are_joined(spark):
     rng = random.Random(3)
     texts = family(rng, 150, 120, (1, 5)) + family(rng, 60, 40, (0, 2))
     assert survivors(spark, texts) == brute(texts)
+
+
+def test_short_copies_are_found_whatever_their_fingerprints(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(100):
+        words = [f"w{rng.randrange(3000)}" for _ in range(14)]
+        texts += [" ".join(words[:12]), " ".join(words)]
+    assert survivors(spark, texts) == brute(texts) == {2 * i for i in range(100)}
