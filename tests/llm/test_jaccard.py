@@ -42,3 +42,11 @@ def test_short_copies_are_found_whatever_their_fingerprints(spark):
         words = [f"w{rng.randrange(3000)}" for _ in range(14)]
         texts += [" ".join(words[:12]), " ".join(words)]
     assert survivors(spark, texts) == brute(texts) == {2 * i for i in range(100)}
+
+
+def test_texts_of_one_fingerprint_are_told_apart(spark):
+    rng = random.Random(6)
+    texts = ["ha " * 60 + " ".join(f"w{rng.randrange(3000)}" for _ in range(18)) for _ in range(8)]
+    texts += [texts[5] + " more", texts[5].upper()]
+    assert len({simhash.fingerprint(t.encode()) for t in texts}) == 1
+    assert survivors(spark, texts) == brute(texts) == set(range(8))
