@@ -25,6 +25,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS = 400, 2_000, 60_000
 SYMBOLS = 60
 #: Stretches of text parsed side by side; phrases end where a stretch ends.
 STRETCH = 1024
+#: A language with less held-back text than this has no rate of its own.
+HELD_SYMBOLS = 100
 UNDETERMINED = "und"
 FAIL = 1 << 30
 
@@ -97,11 +99,24 @@ def plain(text: str) -> np.ndarray:
     return codes[(codes > 0) | np.concatenate(([True], codes[:-1] > 0))] if len(codes) else codes
 
 
+def distinct(texts: list[np.ndarray]) -> list[np.ndarray]:
+    return list({t.tobytes(): t for t in texts}.values())
+
+
+def divided(texts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Different texts to learn, and others (of under five texts, the last fifth of each) to hold back."""
+    if len(texts) >= 5:
+        return [t for i, t in enumerate(texts) if i % 5], texts[::5]
+    if sum(len(t) // 5 for t in texts) < HELD_SYMBOLS:
+        return texts, []
+    return [t[: len(t) - len(t) // 5] for t in texts], [t[len(t) - len(t) // 5 :] for t in texts]
+
+
 class Model:
     """Per language: steps of its automaton and the phrases a symbol that its own held-back text needs."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        texts = {k: [plain(t) for t in v] for k, v in samples.items()}
+        texts = {k: distinct([plain(t) for t in v]) for k, v in samples.items()}
         count = Counter()
         for v in texts.values():
             for t in v:
@@ -110,11 +125,13 @@ class Model:
         self.languages = sorted(texts)
         self.steps, self.own = [], []
         for k in self.languages:
-            held = [self.encode(t) for t in texts[k][::5]]
-            learn = [self.encode(t) for i, t in enumerate(texts[k]) if i % 5 or len(texts[k]) < 5]
+            learn, held = ([self.encode(t) for t in part] for part in divided(texts[k]))
             self.steps.append(Automaton(np.concatenate([np.append(t, 0) for t in learn] or [np.zeros(0, np.uint8)])[:LANGUAGE_CHARS], SYMBOLS).steps())
             n = sum(len(t) for t in held)
-            self.own.append(max(parse(self.steps[-1], held).sum() / n if n else 1.0, 1e-3))
+            self.own.append(max(parse(self.steps[-1], held).sum() / n, 1e-3) if n >= HELD_SYMBOLS else None)
+        # too little text to tell: as dear as the dearest of the others
+        dearest = max((x for x in self.own if x is not None), default=1.0)
+        self.own = [dearest if x is None else x for x in self.own]
 
     def encode(self, codes: np.ndarray) -> np.ndarray:
         table = getattr(self, "_table", None)
@@ -173,16 +190,17 @@ def parse(steps: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
 def fit(rows: DataFrame) -> Model:
     """Model from (doc_id, text, lang) rows with labels; see the bounds above.
 
-    Documents are sampled by a hash of doc_id and text, at a rate of its own for each language so that rare languages have as
-    much text as common ones. Only the sample reaches the driver.
+    Texts are sampled by a hash of what is taken of them, so copies count once, at a rate of its own for each language so that
+    rare languages have as much text as common ones. Only the sample reaches the driver.
     """
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\\\p{L}'")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("t")).withColumn("key", F.xxhash64("t"))
+    counts = {r[0]: r[1] for r in rows.select("lang", "key").distinct().groupBy("lang").count().collect()}
     if not counts:
         return Model({})
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    share = F.pmod("key", F.lit(1 << 40)) / float(1 << 40)
     rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / n)))])
-    found = rows.filter(share < rate[F.col("lang")]).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("t"), share.alias("s")).collect()
+    found = rows.filter(share < rate[F.col("lang")]).groupBy("lang", "key").agg(F.min("t").alias("t")).select("lang", "t", share.alias("s")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["s"], r["t"])):
         if sum(map(len, samples.setdefault(r["lang"], []))) < LANGUAGE_CHARS * 5 // 4:
