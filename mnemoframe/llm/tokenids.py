@@ -7,6 +7,7 @@ over the bitmap leads there, so any token is read without decoding those before
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -24,7 +25,7 @@ from ._common import bound_batches, stored
 MAGIC = b"DAC1"
 #: Ids an image holds, but for a document that alone has more; documents a range holds, and ranges at most.
 IMAGE_IDS, RANGE_DOCS, RANGES = 1 << 18, 4000, 10_000
-#: Words and pre-tokens whose ids a worker remembers; of words, those of the generation before are kept as well.
+#: Words and pre-tokens whose ids a worker remembers (some 100 MB); of words, those of the generation before are kept as well.
 WORDS, PARTS = 150_000, 100_000
 RANK_BITS = 512
 
@@ -103,10 +104,30 @@ class Codes:
         return out
 
 
+# The normalizer and the pre-tokenizer of files whose words can be encoded one by one.
+BY_WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BY_WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BY_WORD_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": BY_WORD_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder(dict):
     """Word (bytes between ASCII white space) -> its ids as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids in order.
+    Where the file's normalizer and pre-tokenizer are the ones above, the tokenizer lower-cases, drops white space and never joins what
+    it separates, so a text's ids are its words' ids in order. With any other file, texts go through the library whole.
     """
 
     #: Letters of one code point in either case, then ASCII punctuation but for the apostrophe: at most two pre-tokens, whose
@@ -118,8 +139,14 @@ class Encoder(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        added = spec.get("added_tokens") or []
+        self.added = [t["content"].lower().encode() for t in added]
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or self.SIMPLE.fullmatch(t["content"]) or t["content"].split() != [t["content"]] for t in added)
+        self.by_word = plain and spec["normalizer"] == BY_WORD_NORMALIZER and spec["pre_tokenizer"] == BY_WORD_PRE_TOKENIZER
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         shown = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
         # what UTF-8 bytes from 128 on look like to the model
@@ -129,12 +156,12 @@ class Encoder(dict):
         self.shown, self.parts, self.before = shown, {}, {}
 
     def part(self, text: str) -> bytes:
-        """Ids of one pre-token; printable ASCII looks the same to the model."""
+        """Ids of one lower-case pre-token; printable ASCII looks the same to the model."""
         if (got := self.parts.get(text)) is None:
-            low = text.lower()
+            low = text
             if not low.isascii():
                 low = low.encode().decode("latin-1").translate(self.shown)
-            got = array("I", [t.id for t in self.model.tokenize(low)]).tobytes() if low else b""
+            got = little([t.id for t in self.model.tokenize(low)]) if low else b""
             if len(self.parts) >= PARTS:
                 self.parts.clear()
             self.parts[text] = got
@@ -146,19 +173,25 @@ class Encoder(dict):
             return out
         text = word.decode("utf-8", "replace")
         if m := self.SIMPLE.fullmatch(text):
-            out = self.part(m[1]) + self.part(m[2])
+            out = self.part(m[1].lower()) + self.part(m[2])
         else:
-            out = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if sys.byteorder == "big":
-            out = np.frombuffer(out, ">u4").astype("<u4").tobytes()
+            out = self.whole(text)
         if len(self) >= WORDS:
             self.before = dict(self)
             self.clear()
         self[word] = out
         return out
 
+    def whole(self, text: str) -> bytes:
+        return little(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def text(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        if not self.by_word:
+            return self.whole((text or b"").decode("utf-8", "replace"))
+        words = (text or b"").lower()
+        if any(t in words for t in self.added):  # these are told apart by case
+            words = text
+        return b"".join(map(self.__getitem__, words.split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}

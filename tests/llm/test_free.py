@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from mnemoframe.llm import components, hostpaths, langid, lattice, simhash, suffixes, tokenids
 
-VOCABULARY = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def roots(ids, linked):
@@ -223,6 +224,15 @@ def test_encoder_agrees_with_the_library():
         assert np.frombuffer(e.text(w.encode()), "<u4").tolist() == e.tokenizer.encode(w, add_special_tokens=False).ids, w
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_agrees_with_the_library_on_whole_texts(file):
+    e = tokenids.Encoder(public_tokenizers.path(file))
+    texts = ["", " ", "Hello,  World's\n\n two\tlines \r\n", "<|EndOfText|> x <|endoftext|> Y<|STARTOFTEXT|>", "A\x1cb\u2028C\xa0d", "don't  DON'T " * 50, "日本語 テキスト 한국어 " * 20, "Ab 12*** " * 120_000]
+    for t in texts:
+        assert np.frombuffer(e.text(t.encode()), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t[:40]
+    assert e.by_word == (file == "word_bpe_49k.json")
+
+
 def test_token_ids(docs, nothing):
     e = tokenids.Encoder(VOCABULARY)
     ids = lambda t: [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
