@@ -26,7 +26,7 @@ MAGIC = b"DAC1"
 #: Ids an image holds, but for a document that alone has more; documents a range holds, and ranges at most.
 IMAGE_IDS, RANGE_DOCS, RANGES = 1 << 18, 4000, 10_000
 #: Words and pre-tokens whose ids a worker remembers (some 100 MB); of words, those of the generation before are kept as well.
-WORDS, PARTS = 150_000, 100_000
+WORDS, PARTS = 500_000, 400_000
 RANK_BITS = 512
 
 
