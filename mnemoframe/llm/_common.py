@@ -81,8 +81,7 @@ def without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFra
     return docs.join(k, docs["doc_id"].eqNullSafe(F.col("_k_doc")) & (F.xxhash64(docs["text"]) == F.col("_k_key")), how)
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches of this session hold at most ``rows`` rows: they are whole texts, held twice while they pass to a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Let Arrow batches of this session end after ``rows`` rows or ``size`` bytes: they are whole texts, held twice while they pass to a worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        spark.conf.set(key, str(most))

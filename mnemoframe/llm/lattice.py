@@ -1,10 +1,15 @@
 """Subword lattice likelihood.
 
-An existing vocabulary's pieces span a lattice over the bytes of each word; piece scores weight every segmentation, and a
-log-space forward recursion sums them to the marginal probability of the word. A word that training text holds has one more
-arc, over the whole word, from its discounted count; the discounted mass goes to the lattice. Each label of the training text
-(its language) has scores and counts of its own, and a document's probability is the mixture over labels. All of it is a
-proper distribution over sequences of words that finish with an end.
+An existing vocabulary's pieces span a lattice over the bytes of each word. Piece scores weight every segmentation, and a
+log-space forward recursion sums them to the marginal probability of the word. The vocabulary's own scores are the prior;
+expected piece counts over all segmentations of all training words, gathered in Spark, update them for each label of the training
+text (its language). A word that training text holds has one more arc, over the whole word, from its discounted count; the
+discounted mass goes to the lattice.
+
+A document's probability is a mixture over labels and two ways to draw its words: independently, or from an urn that returns each
+word with one more of its kind (CONCENTRATION words of the model are in it at first), as words recur within a document. Both
+don't depend on the words' order, so sums over a document's different words give the marginal. All of it is a proper
+distribution over sequences of words that finish with an end.
 """
 
 from __future__ import annotations
@@ -17,19 +22,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import bound_batches, stored
 
-#: Words whose counts every worker holds; the rest are looked up by shuffle. Words of the sample that piece scores are fitted on
-#: (and their longest). Labels with counts of their own; the others share one.
-HEAD_WORDS, FIT_WORDS, FIT_BYTES, LABELS = 100_000, 20_000, 48, 12
-#: Taken from each whole-word count; weight of the vocabulary's own scores against fitted counts; rounds of fitting.
-DISCOUNT, PRIOR, ROUNDS = 0.7, 300.0, 4
+#: Words whose scores every worker holds (the most frequent of the documents to score); the rest are looked up by shuffle.
+HEAD_WORDS = 100_000
+#: Labels with scores and counts of their own; rarer ones share theirs.
+LABELS = 30
+#: Taken from each whole-word count; weight of the vocabulary's own scores against expected counts; rounds of updating.
+DISCOUNT, PRIOR, ROUNDS = 0.7, 300.0, 2
+CONCENTRATION = 100.0
 #: Different words a task counts before it passes them on.
 HELD_WORDS = 300_000
-LONGEST_PIECE = 12
+#: Words longer than this are parsed one by one.
+LONG = 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FINAL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -53,7 +61,7 @@ def vocabulary(path: str) -> list[tuple[bytes, bool, float]]:
     for piece, rank in ids.items():
         final = piece.endswith("</w>")
         text = piece.removesuffix("</w>")
-        if text and all(c in symbols for c in text) and len(text) <= LONGEST_PIECE:
+        if text and all(c in symbols for c in text):
             found.setdefault((bytes(symbols[c] for c in text), final), rank)
     for b in range(256):
         for final in (False, True):
@@ -71,7 +79,7 @@ def _hashes(words: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Piece scores for K labels; forward recursion over many words of one length at once."""
+    """Piece scores for K labels; forward and backward recursions over many words of one length at once."""
 
     def __init__(self, pieces: list[tuple[bytes, bool, float]], labels: int):
         keys = []
@@ -85,53 +93,115 @@ class Lattice:
         self.longest = max(len(p) for p, _, _ in pieces)
         self.power = np.array([pow(int(BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
 
-    def _arcs(self, h: np.ndarray, j: int, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(i, rows, pieces) of the arcs that reach position j."""
-        for i in range(max(0, j - self.longest), j):
-            key = h[:, j] - h[:, i] * self.power[j - i]
-            if j == n:
-                key = key ^ FINAL
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rows = np.flatnonzero(self.keys[at] == key)
-            if len(rows):
-                yield i, rows, at[rows]
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and which pieces these are."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == key)
+        return hit, at[hit]
+
+    def arcs(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each position j from 1 on, (i, rows, pieces) of the arcs from i to j."""
+        n, h, out = words.shape[1], _hashes(words), []
+        for j in range(1, n + 1):
+            here = []
+            for i in range(max(0, j - self.longest), j):
+                key = h[:, j] - h[:, i] * self.power[j - i]
+                rows, at = self._find(key ^ FINAL if j == n else key)
+                if len(rows):
+                    here.append((i, rows, at))
+            out.append(here)
+        return out
 
     def forward(self, words: np.ndarray) -> tuple[np.ndarray, list]:
         """Log probabilities (n + 1, rows, labels) of the prefixes, and the arcs; words: a byte matrix."""
         m, n = words.shape
-        h, alpha, arcs = _hashes(words), np.full((n + 1, m, self.scores.shape[1]), -np.inf), []
+        arcs, alpha = self.arcs(words), np.full((n + 1, m, self.scores.shape[1]), -np.inf)
         alpha[0] = 0
-        for j in range(1, n + 1):
-            here = list(self._arcs(h, j, n))
+        for j, here in enumerate(arcs, 1):
             for i, rows, at in here:
                 alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.scores[at])
-            arcs.append(here)
         return alpha, arcs
 
+    def long_arcs(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(j, i, piece) of all arcs of one word, by j."""
+        n, x = len(word), np.frombuffer(word, np.uint8)
+        h = [0]
+        for c in x.tolist():
+            h.append((h[-1] * int(BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF)
+        h, js, is_, at = np.array(h, np.uint64), [], [], []
+        for d in range(1, min(self.longest, n) + 1):
+            key = h[d:] - h[:-d] * self.power[d]
+            key[-1] ^= FINAL
+            hit, piece = self._find(key)
+            js.append(hit + d)
+            is_.append(hit)
+            at.append(piece)
+        js, is_, at = np.concatenate(js), np.concatenate(is_), np.concatenate(at)
+        order = np.argsort(js, kind="stable")
+        return js[order], is_[order], at[order]
+
+    def long_forward(self, word: bytes) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Log probabilities (n + 1, labels) of one word's prefixes, its arcs, and where the arcs of each position begin."""
+        js, is_, at = arcs = self.long_arcs(word)
+        cut = np.searchsorted(js, np.arange(1, len(word) + 2))
+        alpha = np.full((len(word) + 1, self.scores.shape[1]), -np.inf)
+        alpha[0] = 0
+        for j in range(1, len(word) + 1):
+            a, z = cut[j - 1], cut[j]
+            x = alpha[is_[a:z]] + self.scores[at[a:z]]
+            top = x.max(axis=0)
+            alpha[j] = top + np.log(np.exp(x - top).sum(axis=0))
+        return alpha, arcs, cut
+
     def marginal(self, words: list[bytes]) -> np.ndarray:
         """Natural log probabilities (words, labels) over all segmentations."""
         out = np.empty((len(words), self.scores.shape[1]))
         for rows, matrix in by_length(words):
-            out[rows] = self.forward(matrix)[0][-1]
+            if matrix.shape[1] > LONG:
+                for r in rows:
+                    out[r] = self.long_forward(words[r])[0][-1]
+            else:
+                out[rows] = self.forward(matrix)[0][-1]
         return out
 
-    def fit(self, words: list[bytes], weights: np.ndarray, rounds: int = ROUNDS) -> None:
-        """Scores from expected counts over all segmentations (EM); weights: (words, labels). The vocabulary's scores are the prior."""
-        for _ in range(rounds):
-            counts = np.exp(self.prior)[:, None] * np.full(self.scores.shape[1], PRIOR)
-            for rows, matrix in by_length(words):
-                alpha, arcs = self.forward(matrix)
-                beta = np.full_like(alpha, -np.inf)
-                beta[-1] = 0
-                w = weights[rows]
-                for j in range(matrix.shape[1], 0, -1):
-                    for i, r, at in arcs[j - 1]:
-                        through = self.scores[at] + beta[j, r]
-                        beta[i, r] = np.logaddexp(beta[i, r], through)
-                        share = np.exp(alpha[i, r] + through - alpha[-1, r]) * w[r]
-                        for k in range(share.shape[1]):
-                            counts[:, k] += np.bincount(at, share[:, k], len(counts))
-            self.scores = np.log(counts / counts.sum(axis=0))
+    def expected(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
+        """Expected counts (pieces, labels) over all segmentations of words; weights: (words, labels). Scores may be for one label, which stands for all."""
+        counts = np.zeros((len(self.keys), weights.shape[1]))
+
+        def add(at: np.ndarray, share: np.ndarray) -> None:
+            for k in range(share.shape[1]):
+                counts[:, k] += np.bincount(at, share[:, k], len(counts))
+
+        for rows, matrix in by_length(words):
+            if matrix.shape[1] > LONG:
+                for r in rows:
+                    alpha, (js, is_, at), cut = self.long_forward(words[r])
+                    beta = np.full_like(alpha, -np.inf)
+                    beta[-1] = 0
+                    through = np.empty((len(js), alpha.shape[1]))
+                    for j in range(len(words[r]), 0, -1):
+                        part = slice(cut[j - 1], cut[j])
+                        through[part] = self.scores[at[part]] + beta[j]
+                        beta[is_[part]] = np.logaddexp(beta[is_[part]], through[part])
+                    add(at, np.exp(alpha[is_] + through - alpha[-1]) * weights[r])
+                continue
+            alpha, arcs = self.forward(matrix)
+            beta = np.full_like(alpha, -np.inf)
+            beta[-1] = 0
+            ats, shares = [], []
+            for j in range(matrix.shape[1], 0, -1):
+                for i, r, at in arcs[j - 1]:
+                    through = self.scores[at] + beta[j, r]
+                    beta[i, r] = np.logaddexp(beta[i, r], through)
+                    ats.append(at)
+                    shares.append(np.exp(alpha[i, r] + through - alpha[-1, r]) * weights[rows[r]])
+            add(np.concatenate(ats), np.concatenate(shares))
+        return counts
+
+    def update(self, counts: np.ndarray) -> None:
+        """Scores from expected counts, with the vocabulary's own as the prior."""
+        counts = counts + np.exp(self.prior)[:, None] * PRIOR
+        self.scores = np.log(counts / counts.sum(axis=0))
 
 
 def by_length(words: list[bytes], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -148,44 +218,55 @@ def by_length(words: list[bytes], most: int = 20_000) -> Iterator[tuple[np.ndarr
 
 
 class Model:
-    """What every worker holds: the lattice, totals, and the counts of the most frequent words."""
+    """Lattice and totals: tokens (ends included), ends and different words by label; n and v of all training tokens."""
 
-    def __init__(self, lattice: Lattice, tokens: list[int], ends: list[int], types: list[int], head: list[tuple[bytes, list[int]]], distinct: int):
+    def __init__(self, lattice: Lattice, tokens: list[int], ends: list[int], types: list[int], distinct: int):
         self.lattice, self.tokens, self.ends, self.types = lattice, np.array(tokens, float), np.array(ends, float), np.array(types, float)
-        self.n, self.v = int(sum(tokens)), distinct
-        self.head_words, self.head_counts = [w for w, _ in head], np.array([c for _, c in head], float).reshape(len(head), len(tokens))
-        self.docs = self.ends.sum()
+        self.n, self.v, self.docs = int(sum(tokens)), distinct, int(sum(ends))
 
     def base(self, c):
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
     def words(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """log10 probabilities (words, labels)."""
+        """Natural log probabilities (words, labels)."""
         rest = np.log(DISCOUNT * self.types + 0.5) + self.lattice.marginal(words)
         with np.errstate(divide="ignore"):
             whole = np.log(np.maximum(counts - DISCOUNT, 0))
-        return (np.logaddexp(whole, rest) - np.log(self.tokens + 1)) / math.log(10)
+        return np.logaddexp(whole, rest) - np.log(self.tokens + 1)
 
     def end(self) -> np.ndarray:
-        return np.log10((self.ends + 0.5) / (self.tokens + 1))
+        return np.log((self.ends + 0.5) / (self.tokens + 1))
 
     def prior(self) -> np.ndarray:
-        return np.log10((self.ends + 1) / (self.docs + len(self.ends)))
+        """Natural log weights of the labels."""
+        return np.log((self.ends + 1) / (self.docs + len(self.ends)))
+
+
+def urn(n: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """ln of q (q + 1) ... (q + n - 1) for q = CONCENTRATION * exp(logs): n draws of one word from the urn, the urn's size aside."""
+    out = logs + math.log(CONCENTRATION)
+    many = np.flatnonzero(n > 1)
+    if len(many):
+        q = CONCENTRATION * np.exp(logs[many])
+        add = [[math.lgamma(k + x) - math.lgamma(1 + x) for x in row] for k, row in zip(n[many].tolist(), q.tolist())]
+        out[many] += np.array(add)
+    return out
 
-    def head(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the frequent words, and their log10 probabilities, base scores and whether training text has them."""
-        if not hasattr(self, "_head"):
-            total = self.head_counts.sum(axis=1)
-            self._head = {w: i for i, w in enumerate(self.head_words)}, self.words(self.head_words, self.head_counts), self.base(total), total > 0
-        return self._head
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_head"}
+def _log_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x >= 1, by Stirling's series seven places on."""
+    z, down = x + 7, x
+    for k in range(1, 7):
+        down = down * (x + k)
+    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.ln(down)
 
 
-def word_counts(docs: DataFrame, labels: list[str | None]) -> DataFrame:
-    """(word, c0, c1, ...): occurrences in docs by label, the last for labels that aren't listed. Counted by task, then summed by word."""
-    index = {x: i for i, x in enumerate(labels)}
+def word_counts(docs: DataFrame, labels: list[str | None], more: bool, trains: Column | None) -> DataFrame:
+    """(word, c0, c1, ..., total, n): occurrences in training text by label (with ``more``, the last is for labels that aren't listed), and in all.
+
+    Counted by task, then summed by word.
+    """
+    index, size = {x: i for i, x in enumerate(labels)}, len(labels) + more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter] = {}
@@ -199,62 +280,112 @@ def word_counts(docs: DataFrame, labels: list[str | None]) -> DataFrame:
             held.clear()
 
         for b in batches:
-            for t, lang in zip(b["text"], b["lang"].to_pylist()):
-                held.setdefault(index.get(lang, len(labels)), Counter()).update((t.as_py() or b"").lower().split())
+            for t, lang, trained in zip(b["text"], b["lang"].to_pylist(), b["trains"].to_pylist()):
+                held.setdefault(index.get(lang, size - 1) if trained else size, Counter()).update((t.as_py() or b"").lower().split())
                 if sum(map(len, held.values())) >= HELD_WORDS:
                     yield from out()
         yield from out()
 
-    rows = docs.select(F.col("text").cast("binary").alias("text"), "lang").mapInArrow(run, "word binary, k int, n long")
-    return rows.groupBy("word").agg(*[F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(len(labels) + 1)])
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col("text").cast("binary").alias("text"), "lang", (F.lit(True) if trains is None else trains).alias("trains")).mapInArrow(run, "word binary, k int, n long")
+    cols = [F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(size)]
+    total = F.sum(F.when(F.col("k") < size, F.col("n")).otherwise(0)).alias("total")
+    return rows.groupBy("word").agg(*cols, total, F.sum("n").alias("n"))
+
 
+def _expected(counts: DataFrame, lattice: Lattice, labels: int) -> np.ndarray:
+    """Expected piece counts over all segmentations of all training words; each counts once for each label that has it."""
+    shared = counts.sparkSession.sparkContext.broadcast(lattice)
+    cols = [f"c{i}" for i in range(labels)]
 
-def learn(docs: DataFrame, pieces: list[tuple[bytes, bool, float]]) -> tuple[Model, DataFrame]:
-    """Model and the stored word counts, from (text, lang) rows."""
-    ranked = docs.groupBy("lang").count().orderBy(F.desc("count"), F.col("lang").asc_nulls_last()).collect()
-    labels = [r[0] for r in ranked[:LABELS]]
-    ends = [r[1] for r in ranked[:LABELS]] + [sum(r[1] for r in ranked[LABELS:])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(shared.value.keys), labels))
+        for b in batches:
+            weights = np.stack([b[c].to_numpy() > 0 for c in cols], axis=1).astype(float)
+            total += shared.value.expected(b["word"].to_pylist(), weights)
+        rows = np.flatnonzero(total.any(axis=1))
+        yield pa.record_batch([pa.array(rows), *[pa.array(total[rows, i]) for i in range(labels)]], names=["piece", *cols])
+
+    bound_batches(counts.sparkSession, 10_000)
+    found = counts.filter("total > 0").select("word", *cols).mapInArrow(run, "piece long, " + ", ".join(f"{c} double" for c in cols))
+    found = found.groupBy("piece").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()  # a row for each piece of the vocabulary at most
+    out = np.zeros((len(lattice.keys), labels))
+    out[found["piece"].to_numpy()] = found[cols].to_numpy()
+    return out
+
+
+def learn(docs: DataFrame, pieces: list[tuple[bytes, bool, float]], trains: Column | None = None) -> tuple[Model, DataFrame]:
+    """Model and the stored word counts, from (text, lang) rows.
+
+    Where ``trains`` is false a row teaches nothing; its words are listed (with the counts that training rows have), which spares
+    score() a pass.
+    """
+    taught = docs if trains is None else docs.filter(trains)
+    ranked = taught.groupBy("lang").count().orderBy(F.desc("count"), F.col("lang").asc_nulls_last())
+    labels, more = ranked.limit(LABELS).collect(), taught.count()
+    ends = [r[1] for r in labels]
+    if more := more - sum(ends):
+        ends.append(more)
+    ends = ends or [0]
     cols = [f"c{i}" for i in range(len(ends))]
-    counts = stored(word_counts(docs, labels).withColumn("total", sum((F.col(c) for c in cols), F.lit(0)).cast("long")), "word-counts")
-    sums = counts.agg(F.count("*"), *[F.sum(c) for c in cols], *[F.sum((F.col(c) > 0).cast("long")) for c in cols]).first()
-    types, tokens = list(sums[1 + len(cols) :]), [n or 0 for n in sums[1 : 1 + len(cols)]]
-    tokens, types = [n + e for n, e in zip(tokens, ends)], [t or 0 for t in types]
-    # the count from which words are frequent: at most HEAD_WORDS have it
-    least, seen = 1 << 62, 0
-    for total, n in counts.groupBy("total").agg(F.count("*").alias("n")).orderBy(F.desc("total")).limit(HEAD_WORDS).collect():
-        if seen + n > HEAD_WORDS:
-            break
-        least, seen = total, seen + n
-    head = [(bytes(r["word"]), [r[c] for c in cols]) for r in counts.filter(F.col("total") >= least).collect()]
-    part = min(1.0, FIT_WORDS / max(1, sums[0]))
-    sample = counts.filter((F.octet_length("word") <= FIT_BYTES) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(part * (1 << 30)))).orderBy("word").collect()
-    lattice = Lattice(pieces, len(ends))
-    if sample:
-        lattice.fit([bytes(r["word"]) for r in sample], np.array([[float(r[c] > 0) for c in cols] for r in sample]))
-    distinct = sums[0] + (1 if sum(ends) else 0)
-    return Model(lattice, tokens, ends, types, sorted(head), distinct), counts.filter(F.col("total") < least)
-
-
-def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
+    counts = stored(word_counts(docs, [r[0] for r in labels], bool(more) or not labels, trains), "word-counts")
+    sums = counts.agg(F.sum((F.col("total") > 0).cast("long")), *[F.sum(c) for c in cols], *[F.sum((F.col(c) > 0).cast("long")) for c in cols]).first()
+    types, tokens = [t or 0 for t in sums[1 + len(cols) :]], [n or 0 for n in sums[1 : 1 + len(cols)]]
+    tokens = [n + e for n, e in zip(tokens, ends)]
+    lattice = Lattice(pieces, 1)  # at first all labels have the vocabulary's scores
+    for _ in range(ROUNDS):
+        lattice.update(_expected(counts, lattice, len(ends)))
+    return Model(lattice, tokens, ends, types, (sums[0] or 0) + (1 if sum(ends) else 0)), counts
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, listed: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of each row of docs (null text: empty; repeated rows agree).
 
-    Frequent words are summed up where the text lies. Of the others a row for each word and document is joined with the
-    word's counts; unseen words have none. An empty table gives an empty result; other columns are ignored.
+    Each different word is scored once. Frequent words are summed up where the text lies; of the others a row for each word and
+    document is joined with the word's scores, so no key of that join is hot. ``listed``: counts hold all words of docs. An empty
+    table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, labels = docs.sparkSession, len(model.ends)
+    cols, logs = [f"c{i}" for i in range(labels)], [f"l{i}" for i in range(labels)]
+    if not listed:
+        own = word_counts(docs.withColumn("lang", F.lit(None).cast("string")), [], True, F.lit(False)).select("word", "n")
+        counts = own.join(counts.drop("n"), "word", "left").fillna(0)
     shared = spark.sparkContext.broadcast(model)
-    labels = len(model.ends)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = np.stack([b[x].to_numpy() for x in cols], axis=1).astype(float)
+            total = b["total"].to_numpy()
+            per = shared.value.words(b["word"].to_pylist(), c)
+            yield pa.record_batch([b["word"], b["n"], pa.array(total > 0), pa.array(shared.value.base(total)), *[pa.array(per[:, i]) for i in range(labels)]], names=["word", "n", "known", "base", *logs])
+
+    bound_batches(spark, 10_000)
+    scored = counts.select("word", "n", "total", *cols).mapInArrow(weigh, "word binary, n long, known boolean, base double, " + ", ".join(f"{x} double" for x in logs))
+    scored = stored(scored, "word-scores")
+    # the count from which words are frequent: at most HEAD_WORDS have it
+    least, seen = 1 << 62, 0
+    for n, words in scored.groupBy("n").agg(F.count("*").alias("w")).orderBy(F.desc("n")).limit(HEAD_WORDS).collect():
+        if seen + words > HEAD_WORDS:
+            break
+        least, seen = n, seen + words
+    top = scored.filter(F.col("n") >= least).toArrow()
+    frequent = spark.sparkContext.broadcast(
+        (top["word"].to_pylist(), np.stack([top[x].to_numpy() for x in logs], axis=1), top["base"].to_numpy(), top["known"].to_numpy().astype(float))
+    )
     kind = docs.schema["doc_id"].dataType.simpleString()
+    width = 3 + 2 * labels
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, logs, base, known = shared.value.head()
-        end, end_base, end_known = shared.value.end(), float(shared.value.base(shared.value.docs)), int(shared.value.docs > 0)
+        words_of, logs_of, base, known = frequent.value
+        index = _index(words_of)
+        m = shared.value
+        end, end_base, end_known = m.end(), float(m.base(m.docs)), int(m.docs > 0)
         row = TaskContext.get().partitionId() << 36
         words, rids, of, ns, sums = [], [], [], [], []
 
         def out() -> pa.RecordBatch:
-            cols = [pa.array(words, pa.binary()), pa.array(rids, pa.int64()), pa.array(of, doc_type), pa.array(ns, pa.int64()), pa.array(sums, pa.list_(pa.float64()))]
-            b = pa.record_batch(cols, names=["word", "rid", "doc_id", "n", "sums"])
+            arrays = [pa.array(words, pa.binary()), pa.array(rids, pa.int64()), pa.array(of, doc_type), pa.array(ns, pa.int64()), pa.array(sums, pa.list_(pa.float64()))]
+            b = pa.record_batch(arrays, names=["word", "rid", "doc_id", "times", "sums"])
             for x in (words, rids, of, ns, sums):
                 x.clear()
             return b
@@ -263,10 +394,9 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
             doc_type = b.schema.field("doc_id").type
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"]):
                 row += 1
-                count = Counter((text.as_py() or b"").lower().split())
-                at, times, total = [], [], 0
-                for w, n in count.items():
-                    total += n
+                tokens = (text.as_py() or b"").lower().split()
+                at, times = [], []
+                for w, n in Counter(tokens).items():
                     i = index.get(w)
                     if i is None:
                         words.append(w)
@@ -277,50 +407,47 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
                     else:
                         at.append(i)
                         times.append(n)
-                t = np.array(times, float)
-                own = t @ logs[at] + end if at else end
-                # a row of the document itself; blanks are in no word, so it meets no counts
+                t, size = np.array(times, float), len(tokens) + 1
+                free = t @ logs_of[at] + end
+                drawn = urn(t, logs_of[at]).sum(axis=0) + end + math.log(CONCENTRATION) - math.lgamma(size + CONCENTRATION) + math.lgamma(CONCENTRATION)
+                # a row of the document itself; blanks are in no word, so it meets no scores
                 words.append(b" %d" % row)
                 rids.append(row)
                 of.append(doc_id)
                 ns.append(0)
-                sums.append([float(total + 1), float(t @ known[at] if at else 0) + end_known, float(t @ base[at] if at else 0) + end_base, *own.tolist()])
+                sums.append([float(size), float(t @ known[at]) + end_known, float(t @ base[at]) + end_base, *free.tolist(), *drawn.tolist()])
                 if len(words) >= 20_000:
                     yield out()
         if words:
             yield out()
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            whole = b["sums"].is_valid().to_numpy(zero_copy_only=False)
-            res = np.zeros((b.num_rows, 3 + labels))
-            if whole.any():
-                res[whole] = b["sums"].flatten().to_numpy().reshape(-1, 3 + labels)
-            rows = np.flatnonzero(~whole)
-            if len(rows):
-                enc = b["word"].take(pa.array(rows)).dictionary_encode()
-                code = enc.indices.to_numpy()
-                first = np.unique(code, return_index=True)[1]
-                c = np.stack([np.nan_to_num(b[f"c{i}"].to_numpy(zero_copy_only=False).astype(float)) for i in range(labels)], axis=1)[rows]
-                per = m.words(enc.dictionary.to_pylist(), c[first])
-                total = c.sum(axis=1)
-                n = b["n"].to_numpy()[rows].astype(float)
-                res[rows, 1] = n * (total > 0)
-                res[rows, 2] = n * m.base(total)
-                res[rows, 3:] = n[:, None] * per[code]
-            yield pa.record_batch([b["rid"], b["doc_id"], *[pa.array(res[:, i]) for i in range(3 + labels)]], names=["rid", "doc_id", *[f"s{i}" for i in range(3 + labels)]])
-
-    cols = [f"c{i}" for i in range(labels)]
+    bound_batches(spark)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    spread_rows = rows.mapInArrow(spread, f"word binary, rid long, doc_id {kind}, n long, sums array<double>")
-    joined = spread_rows.join(tail.select("word", *cols), "word", "left")
-    parts = joined.mapInArrow(weigh, f"rid long, doc_id {kind}, " + ", ".join(f"s{i} double" for i in range(3 + labels)))
-    sums = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(3 + labels)])
-    prior = model.prior().tolist()
+    dealt = rows.mapInArrow(spread, f"word binary, rid long, doc_id {kind}, times long, sums array<double>")
+    joined = dealt.join(scored.filter(F.col("n") < least).drop("n").hint("shuffle_hash"), "word", "left")
+    times = F.col("times").cast("double")
+
+    def drawn(x: Column) -> Column:
+        q = F.exp(x) * CONCENTRATION
+        return x + math.log(CONCENTRATION) + F.when(F.col("times") > 1, _log_gamma(times + q) - _log_gamma(1 + q)).otherwise(0.0)
+
+    own = [F.lit(0.0), times * F.col("known").cast("double"), times * F.col("base"), *[times * F.col(x) for x in logs], *[drawn(F.col(x)) for x in logs]]
+    parts = joined.select("rid", "doc_id", *[F.coalesce(F.when(F.col("sums").isNull(), x).otherwise(F.col("sums")[i]), F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(own)])
+    sums = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
+    prior = (model.prior() - math.log(2)).tolist() * 2
     each = F.array(*[F.col(f"s{3 + i}") + F.lit(p) for i, p in enumerate(prior)])
     best = F.array_max(each)
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - best))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + F.exp(x - best))
     return sums.select(
-        "doc_id", F.round("s0").cast("long").alias("n_tokens"), F.round("s1").cast("long").alias("n_known"), F.col("s2").alias("base_score"), (best + F.log10(total)).alias("score")
+        "doc_id", F.round("s0").cast("long").alias("n_tokens"), F.round("s1").cast("long").alias("n_known"), F.col("s2").alias("base_score"), ((best + F.ln(total)) / math.log(10)).alias("score")
     )
+
+
+_INDEX: list[tuple[list[bytes], dict[bytes, int]]] = []
+
+
+def _index(words: list[bytes]) -> dict[bytes, int]:
+    """Places of the frequent words; a worker holds one such index."""
+    if not _INDEX or _INDEX[0][0] is not words:
+        _INDEX[:] = [(words, {w: i for i, w in enumerate(words)})]
+    return _INDEX[0][1]

@@ -16,8 +16,8 @@ def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     held_out = langid.held_out(F.col("doc_id"), 1, 5)
-    model, tail = lattice.learn(docs.filter(~held_out), lattice.vocabulary(public_tokenizers.path("word_bpe_49k.json")))
-    return lattice.score(docs, model, tail).select(
+    model, counts = lattice.learn(docs, lattice.vocabulary(public_tokenizers.path("word_bpe_49k.json")), ~held_out)
+    return lattice.score(docs, model, counts, listed=True).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
     )
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import components, hostpaths, langid, lattice, simhash, suffixes, tokenids
+from mnemoframe.llm import components, hostpaths, langid, lattice, queries, simhash, suffixes, tokenids
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -152,36 +153,82 @@ def test_lattice_sums_all_segmentations_and_is_a_distribution():
     fitted = lattice.Lattice(full, 2)
     sample = [b"thething", b"thing", b"then"] * 5
     before = fitted.marginal(sample).sum()
-    fitted.fit(sample, np.ones((15, 2)))
+    fitted.update(fitted.expected(sample, np.ones((15, 2))))
     assert fitted.marginal(sample).sum() > before and np.allclose(np.exp(fitted.scores).sum(axis=0), 1)
+    assert max(len(p) for p, *_ in full) > 12  # no piece is left out
+
+
+def test_expected_counts_and_long_words(monkeypatch):
+    rng = random.Random(2)
+    l = lattice.Lattice(lattice.vocabulary(VOCABULARY), 2)
+    l.scores = l.scores + np.random.default_rng(1).normal(0, 0.5, l.scores.shape)
+    words = ["".join(rng.choice(["the", "ing", "a", "é", "tion", "x"]) for _ in range(rng.randint(1, 9))).encode() for _ in range(40)]
+    weights = np.random.default_rng(2).random((40, 2))
+    one, counts = l.marginal(words), l.expected(words, weights)
+    lengths = np.array([len(w) for w in words])
+    monkeypatch.setattr(lattice, "LONG", 0)
+    assert np.allclose(l.marginal(words), one) and np.allclose(l.expected(words, weights), counts)
+    sizes = {k: len(p) for k, (p, f) in ((int(lattice._hashes(np.frombuffer(p, np.uint8)[None, :])[0, -1]) ^ (int(lattice.FINAL) if f else 0), (p, f)) for p, f, _ in lattice.vocabulary(VOCABULARY))}
+    bytes_ = np.array([sizes[int(k)] for k in l.keys])
+    assert np.allclose((bytes_[:, None] * counts).sum(axis=0), (lengths[:, None] * weights).sum(axis=0))  # every byte is in one piece of each segmentation
+    start = time.time()
+    assert l.marginal([b"internationally" * 20_000])[0, 0] < -10_000 and time.time() - start < 60
+
+
+def plain_score(model, counts, text):
+    """log10 probability of a text, token by token: each is drawn by the model, or from an urn that returns it with one more."""
+    words = (text or "").encode().lower().split()
+    k = len(model.ends)
+    logs = model.words([*words, b"x"], np.array([counts.get(w, [0] * k) for w in [*words, b"x"]], float))[:-1]
+    found = []
+    for i in range(k):
+        p = [*np.exp(logs[:, i]), math.exp(model.end()[i])]
+        found.append(model.prior()[i] - math.log(2) + sum(map(math.log, p)))
+        drawn, seen = 0.0, Counter()
+        for at, (w, q) in enumerate(zip([*words, None], p)):
+            drawn += math.log((seen[w] + lattice.CONCENTRATION * q) / (at + lattice.CONCENTRATION))
+            seen[w] += 1
+        found.append(model.prior()[i] - math.log(2) + drawn)
+    return (max(found) + math.log(sum(math.exp(x - max(found)) for x in found))) / math.log(10)
 
 
 def test_scores(docs, nothing):
     pieces = lattice.vocabulary(VOCABULARY)
-    train = docs.filter("doc_id % 3 <> 1 OR doc_id IS NULL")
-    model, tail = lattice.learn(train, pieces)
+    trains = F.expr("doc_id % 3 <> 1 OR doc_id IS NULL")
+    train = docs.filter(trains)
+    model, counts = lattice.learn(train, pieces)
     count = Counter()
     for r in train.collect():
         count.update((r["text"] or "").encode().lower().split())
         count[b" "] += 1
     n, v = sum(count.values()), len(count)
     assert (model.n, model.v) == (n, v)
-    rows = [(str(r["doc_id"]), [*(r["text"] or "").encode().lower().split(), b" "]) for r in docs.collect()]
+    rows = [(str(r["doc_id"]), [*(r["text"] or "").encode().lower().split(), b" "], r["text"]) for r in docs.collect()]
     base = lambda t: math.log10((count[t] + 0.5) / (n + 0.5 * (v + 1)))
-    want = sorted((d, len(t), sum(count[x] > 0 for x in t), round(sum(map(base, t)), 6)) for d, t in rows)
-    old = lattice.HEAD_WORDS
+    by_label = {bytes(r["word"]): [r[f"c{i}"] for i in range(len(model.ends))] for r in counts.collect()}
+    want = sorted((d, len(t), sum(count[x] > 0 for x in t), round(sum(map(base, t)), 6), round(plain_score(model, by_label, x), 5)) for d, t, x in rows)
+    old, results = lattice.HEAD_WORDS, []
     try:
-        results = []
-        for head in (old, 3):  # nearly all words by shuffle
-            lattice.HEAD_WORDS = head
-            model, tail = lattice.learn(train, pieces)
-            results.append(sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in lattice.score(docs, model, tail).collect()))
-        assert results[0] == results[1] and [r[:4] for r in results[0]] == want and all(r[4] < 0 for r in results[0])
+        for lattice.HEAD_WORDS, listed in ((old, False), (3, False), (old, True), (3, True)):  # 3: nearly all words by shuffle
+            m, c = lattice.learn(docs, pieces, trains) if listed else (model, counts)
+            got = lattice.score(docs.withColumns({"word": F.lit(1), "n": F.lit("x"), "rid": F.lit(2)}), m, c, listed)
+            results.append(sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 5)) for r in got.collect()))
     finally:
         lattice.HEAD_WORDS = old
-    assert lattice.score(nothing, model, tail).count() == 0
-    none, tail = lattice.learn(nothing, pieces)
-    assert all(r["n_known"] == 0 and r["base_score"] == 0 and r["score"] < 0 for r in lattice.score(docs, none, tail).collect())
+    for r in results:
+        assert [x[:4] for x in r] == [x[:4] for x in want] and np.allclose([x[4] for x in r], [x[4] for x in want], atol=1e-4)
+    assert lattice.score(nothing, model, counts).count() == 0
+    none, counts = lattice.learn(nothing, pieces)
+    assert all(r["n_known"] == 0 and r["base_score"] == 0 and r["score"] < 0 for r in lattice.score(docs, none, counts).collect())
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the given tables")
+def test_held_out_text_is_likelier_than_by_the_base(spark):
+    got = queries.QUERIES["op1_subword_lattice"](spark, SF).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert got[1] > got[0]
 
 
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><header><a href=x>Home</a></header><nav><ul><li><a>m</a></ul></nav>
