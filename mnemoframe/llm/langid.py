@@ -2,7 +2,8 @@
 
 For each language a suffix automaton of labelled text is built on the driver from a bounded sample. A text is parsed
 greedily into the longest substrings of a language's sample; the language that needs the fewest phrases, relative to
-what held-back text of its own needs, wins. Many stretches of text are parsed in lockstep with numpy.
+what held-back text of its own needs, wins. Many stretches of text are parsed in lockstep with numpy; where one was begun in
+the wrong state it is parsed anew until both agree, so the phrases are those of whole texts.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import types as T
 
 from ._common import bound_batches
 
-#: Bounds of the training sample: documents a language (in expectation), characters taken from one, characters a language.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS = 400, 2_000, 60_000
-#: Symbols told apart (letters by frequency in the sample); symbol 0 is a break, 1 any other letter.
-SYMBOLS = 60
-#: Stretches of text parsed side by side; phrases end where a stretch ends.
+#: Bounds of the training sample: documents a language (in expectation), characters of a passage taken from one (its place is
+#: drawn by a hash), characters a language, characters in all.
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS, ALL_CHARS = 400, 2_000, 60_000, 1_000_000
+#: Symbols: 0 is a break, the next 32 are digits, the others the most frequent letters of the sample. Any other letter is its code
+#: point in DIGITS digits, so all letters of all scripts are told apart.
+SYMBOLS, DIGITS = 80, 4
+#: Stretches of text parsed side by side.
 STRETCH = 1024
 #: A language with less held-back text than this has no rate of its own.
 HELD_SYMBOLS = 100
@@ -121,12 +124,13 @@ class Model:
         for v in texts.values():
             for t in v:
                 count.update(t[t > 0].tolist())
-        self.symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2])}
+        self.symbols = {c: i + 33 for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 33])}
+        most = min(LANGUAGE_CHARS, ALL_CHARS // max(1, len(texts)))
         self.languages = sorted(texts)
         self.steps, self.own = [], []
         for k in self.languages:
             learn, held = ([self.encode(t) for t in part] for part in divided(texts[k]))
-            self.steps.append(Automaton(np.concatenate([np.append(t, 0) for t in learn] or [np.zeros(0, np.uint8)])[:LANGUAGE_CHARS], SYMBOLS).steps())
+            self.steps.append(Automaton(np.concatenate([np.append(t, 0) for t in learn] or [np.zeros(0, np.uint8)])[:most], SYMBOLS).steps())
             n = sum(len(t) for t in held)
             self.own.append(max(parse(self.steps[-1], held).sum() / n, 1e-3) if n >= HELD_SYMBOLS else None)
         # too little text to tell: as dear as the dearest of the others
@@ -136,12 +140,21 @@ class Model:
     def encode(self, codes: np.ndarray) -> np.ndarray:
         table = getattr(self, "_table", None)
         if table is None:
-            table = np.ones(0x110000, np.uint8)
+            table = np.full(0x110000, 255, np.uint8)
             table[0] = 0
             for c, i in self.symbols.items():
                 table[c] = i
             self._table = table
-        return table[codes]
+        out = table[codes]
+        rare = out == 255
+        if not rare.any():
+            return out
+        size = np.where(rare, DIGITS, 1)
+        first = np.cumsum(size) - size
+        long = np.repeat(out, size)
+        for k in range(DIGITS):
+            long[first[rare] + k] = 1 + (codes[rare] >> np.uint32(5 * (DIGITS - 1 - k)) & np.uint32(31))
+        return long
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_table"}
@@ -164,7 +177,11 @@ class Model:
 
 
 def parse(steps: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
-    """Phrases that each coded text needs. All stretches of all texts advance together, one symbol a step."""
+    """Phrases that each coded text needs.
+
+    All stretches of all texts advance together, one symbol a step, each as if its text began there. Then those that a text enters
+    in another state go on from that, until they are in the state they were in before; from there on all is as it was.
+    """
     lengths = np.array([len(t) for t in texts], np.int64)
     if not lengths.sum():
         return np.zeros(len(texts))
@@ -174,17 +191,37 @@ def parse(steps: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     begins = np.cumsum(lengths) - lengths
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     start = begins[owner] + nth * STRETCH
-    size = np.minimum(lengths[owner] - nth * STRETCH, STRETCH)
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    state, phrases = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
-    live = len(order) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))
-    for t in range(int(size[0])):
+    stop = start + np.minimum(lengths[owner] - nth * STRETCH, STRETCH)
+    after, begun = np.empty(len(flat), np.int32), np.empty(len(flat), np.uint8)  # state after each symbol; whether a phrase starts with it
+    order = np.argsort(start - stop, kind="stable")
+    at, left = start[order], (stop - start)[order]
+    state = np.zeros(len(order), np.int32)
+    live = len(order) - np.searchsorted(left[::-1], np.arange(1, left[0] + 1))
+    for t in range(int(left[0])):
         n = live[t]
-        v = steps[state[:n] + flat[start[:n] + t]]
-        phrases[:n] += v >> 30
-        state[:n] = v & (FAIL - 1)
-    return np.bincount(owner[order], weights=phrases, minlength=len(texts))
+        v = steps[state[:n] + flat[at[:n] + t]]
+        begun[at[:n] + t] = v >> 30
+        after[at[:n] + t] = state[:n] = v & (FAIL - 1)
+    todo = np.flatnonzero(nth > 0)
+    todo = todo[after[start[todo] - 1] != 0]
+    while len(todo):
+        which, at, state = todo, start[todo], after[start[todo] - 1]
+        changed = []
+        while len(which):
+            v = steps[state + flat[at]]
+            state = v & (FAIL - 1)
+            begun[at] = v >> 30
+            go = state != after[at]
+            after[at] = state
+            which, at, state = which[go], at[go] + 1, state[go]
+            done = at == stop[which]
+            changed.append(which[done] + 1)
+            which, at, state = which[~done], at[~done], state[~done]
+        todo = np.concatenate(changed)
+        todo = todo[todo < len(nth)]
+        todo = todo[nth[todo] > 0]
+    ends = np.concatenate(([0], np.cumsum(begun, dtype=np.int64)))
+    return (ends[begins + lengths] - ends[begins]).astype(float)
 
 
 def fit(rows: DataFrame) -> Model:
@@ -194,7 +231,8 @@ def fit(rows: DataFrame) -> Model:
     rare languages have as much text as common ones. Only the sample reaches the driver.
     """
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\\\p{L}'")
-    rows = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("t")).withColumn("key", F.xxhash64("t"))
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select("lang", F.substring("text", place, SAMPLE_CHARS).alias("t")).withColumn("key", F.xxhash64("t"))
     counts = {r[0]: r[1] for r in rows.select("lang", "key").distinct().groupBy("lang").count().collect()}
     if not counts:
         return Model({})
@@ -203,7 +241,7 @@ def fit(rows: DataFrame) -> Model:
     found = rows.filter(share < rate[F.col("lang")]).groupBy("lang", "key").agg(F.min("t").alias("t")).select("lang", "t", share.alias("s")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["s"], r["t"])):
-        if sum(map(len, samples.setdefault(r["lang"], []))) < LANGUAGE_CHARS * 5 // 4:
+        if sum(map(len, samples.setdefault(r["lang"], []))) < min(LANGUAGE_CHARS, ALL_CHARS // len(counts)) * 5 // 4:
             samples[r["lang"]].append(r["t"])
     return Model({k: v for k, v in samples.items() if v})
 

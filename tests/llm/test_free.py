@@ -118,6 +118,30 @@ def test_cross_parsing_needs_the_phrases_of_greedy_longest_matches():
     assert langid.parse(steps, [code(text), code(""), code("abc")]).tolist() == [phrases(sample, text), 0, phrases(sample, "abc")]
 
 
+@pytest.mark.parametrize("stretch", [3, 16, 1024])
+def test_phrases_of_long_texts_go_on_across_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    rng = np.random.default_rng(0)
+    learn = rng.integers(0, 6, 4000).astype(np.uint8)
+    steps = langid.Automaton(learn, 8).steps()
+    texts = [rng.integers(0, 7, n).astype(np.uint8) for n in (0, 1, 5, 100, 3000)] + [learn[:1500], learn[200:3900]]
+    want = [phrases(learn.tobytes(), t.tobytes()) for t in texts]
+    assert langid.parse(steps, texts).tolist() == want
+    assert langid.parse(steps, [np.tile(learn, 250)]).sum() > 200  # a megabyte
+
+
+def test_letters_of_all_scripts_are_told_apart():
+    rng = random.Random(9)
+    letters = {"han-a": range(0x4E00, 0x5200), "han-b": range(0x5200, 0x5600), "kana": range(0x3041, 0x3096), "arabic": range(0x620, 0x64B), "hangul": range(0xAC00, 0xAE00), "gothic": range(0x10330, 0x1034A)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randint(1, 3))) for _ in range(120)] for k, v in letters.items()}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    model = langid.Model({k: [say(k, 100) for _ in range(30)] for k in words})
+    want = [k for k in words for _ in range(10)]
+    assert model.predict([say(k, 40) for k in want])[0] == want
+    codes = langid.plain("aé 漢\U00010330")
+    assert len(model.encode(codes)) == 1 + sum(1 if c in model.symbols else langid.DIGITS for c in codes.tolist() if c)
+
+
 def test_language_id(spark, docs, nothing):
     rng = random.Random(6)
     say = {"aa": "kalo mina sore", "bb": "thrix wumpf grint", "cc": "éeau ouï ça"}
