@@ -115,8 +115,8 @@ def safe_filename(c: Column, default: str = "default") -> Column:
 
 
 def stable_id(prefix: str, *cols: Column) -> Column:
-    """Reproducible id: prefix and eight hex digits of what identifies the row."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256), 1, 8))
+    """Reproducible id: prefix and 32 hex digits (128 bits) of what identifies the row."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256), 1, 32))
 
 
 def time_period(c: Column) -> Column:

@@ -19,6 +19,11 @@ def merge_channels(*channels: DataFrame) -> DataFrame:
     return out.groupBy("query_id", "persona_id", "card_id").agg(F.max("score").alias("score"))
 
 
+def live_hits(hits: DataFrame, cards: DataFrame) -> DataFrame:
+    """Full-text hits without legacy cards, which only vectors may bring up."""
+    return hits.join(cards.filter("NOT coalesce(legacy, false)").select("persona_id", F.col("id").alias("card_id")), ["persona_id", "card_id"], "left_semi")
+
+
 def gate(hits: DataFrame, cards: DataFrame, excluded: DataFrame | None = None, least: float = 0.35, legacy_least: float = 0.55) -> DataFrame:
     """hits whose card is there and whose score passes its threshold, without (query_id, card_id) excluded."""
     info = cards.select("persona_id", F.col("id").alias("card_id"), F.coalesce("legacy", F.lit(False)).alias("legacy"))

@@ -27,8 +27,8 @@ def sizes(cards: DataFrame, tokens: Column | None = None) -> DataFrame:
 def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, every: bool = True) -> DataFrame:
     """(query_id, persona_id, card_id, seq, score): higher is better.
 
-    queries: (query_id, persona_id, terms). Cards that hold all terms (``every``) or any. The index is filtered by the
-    queries' terms before anything is counted, so only their postings are shuffled.
+    queries: (query_id, persona_id, terms). Cards that hold all terms (``every``) or any. Of a stored index only the postings of the
+    queries' terms are read on; postings() made on the fly are of all terms.
     """
     terms = queries.select("query_id", "persona_id", F.size(F.array_distinct("terms")).alias("wanted"), F.explode(F.array_distinct("terms")).alias("term"))
     hits = index.join(terms, ["persona_id", "term"])

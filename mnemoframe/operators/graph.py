@@ -140,6 +140,27 @@ def summary_candidates(n: DataFrame, summaries: DataFrame, frequency: DataFrame,
     return gated.select("persona_id", "name", "df", "new", action.alias("action"))
 
 
+def add_news(summaries: DataFrame, led: DataFrame) -> DataFrame:
+    """summaries whose counters are raised by the cards of new cards' ledger rows; nodes without a summary are counted by their df."""
+    news = led.groupBy("persona_id", F.col("node").alias("node_name")).agg(F.count_distinct("card_id").alias("_news"))
+    out = summaries.join(news, ["persona_id", "node_name"], "left")
+    return out.withColumn("new_since_write", (F.coalesce("new_since_write", F.lit(0)) + F.coalesce("_news", F.lit(0))).cast("long")).select(*summaries.columns)
+
+
+def settle(summaries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """summaries after the candidates that the gate rejects: counters restart, and an empty one is put down where there is none."""
+    done = candidates.filter("action <> 'write'").select("persona_id", F.col("name").alias("node_name"), F.lit(True).alias("_done"))
+    both = summaries.join(done, ["persona_id", "node_name"], "full")
+    fresh = F.when(F.col("_done"), 0).otherwise(F.col("new_since_write")).cast("long")
+    return both.withColumn("new_since_write", fresh).withColumn("content", F.coalesce("content", F.lit(""))).withColumn("card_count", F.coalesce("card_count", F.lit(0).cast("long"))).select(*summaries.columns)
+
+
+def summary_contents(summaries: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(persona_id, node_name, content) of the summaries with text; names: only of these (persona_id, node_name)."""
+    some = summaries.filter("coalesce(content, '') <> ''").select("persona_id", "node_name", "content")
+    return some if names is None else some.join(names.select("persona_id", "node_name").distinct(), ["persona_id", "node_name"], "left_semi")
+
+
 def save_summaries(summaries: DataFrame, written: DataFrame, now: str) -> DataFrame:
     """summaries with (persona_id, node_name, content, card_count) written: old texts go to the history, counters restart."""
     new = written.select("persona_id", "node_name", F.col("content").alias("_c"), F.col("card_count").alias("_n"), F.lit(True).alias("_w"))

@@ -52,17 +52,17 @@ def associate(queries: DataFrame, matched: DataFrame, names: DataFrame, adj: Dat
 
 
 def region(
-    queries: DataFrame, cards: DataFrame, summaries: DataFrame, adj: DataFrame, n: DataFrame, size: DataFrame, frequency: DataFrame, budget: int = 5, excluded: DataFrame | None = None, portraits: bool = False
+    queries: DataFrame, cards: DataFrame, summaries: DataFrame, adj: DataFrame, n: DataFrame, size: DataFrame, frequency: DataFrame, budget: int = 5, excluded: DataFrame | None = None, portraits: bool = False,
+    index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, persona_id, rank, card_id, source, content): node summaries first, then cards term by term, within the budget.
 
     A term gives up to three live cards that no earlier term gave, of its 20 best by BM25. excluded: (query_id, card_id) not to show again,
-    "summary_<name>" for summaries. Portraits take part only if asked for.
+    "summary_<name>" for summaries. Portraits take part only if asked for. index: stored postings and sizes of the cards.
     """
     some = summaries.filter("coalesce(content, '') <> ''").select("persona_id", F.col("node_name").alias("name"), F.col("content").alias("text"))
-    # a few rows per question, used several times below
-    matched = match_names(queries, some, frequency).persist()
-    assoc = associate(queries, matched, some, adj, n, size).persist()
+    matched = match_names(queries, some, frequency)
+    assoc = associate(queries, matched, some, adj, n, size)
     named = matched.select("query_id", "persona_id", "name", F.lit(0).alias("g"), "pos").unionByName(assoc.select("query_id", "persona_id", "name", F.lit(1).alias("g"), "pos"))
     pages = named.join(some, ["persona_id", "name"]).select("query_id", "persona_id", F.concat(F.lit("summary_"), "name").alias("card_id"), F.concat(F.lit("["), "name", F.lit("] "), "text").alias("content"), "g", "pos")
     if excluded is not None:
@@ -72,7 +72,8 @@ def region(
     terms = matched.select("query_id", "persona_id", F.col("name").alias("term"), F.lit(0).alias("g"), F.col("pos").cast("long").alias("at")).unionByName(tokens.select("query_id", "persona_id", F.col("token").alias("term"), F.lit(1).alias("g"), F.col("at").cast("long")))
     terms = terms.withColumn("t", F.row_number().over(Window.partitionBy("query_id").orderBy("g", "at", "term")))
     asked = terms.select(F.struct("query_id", "t").alias("query_id"), "persona_id", topic_words(F.col("term"), stop=[""]).alias("terms")).filter(F.size("terms") > 0)
-    shown = fts.ranked(fts.bm25(fts.postings(cards), fts.sizes(cards), asked), SCAN)
+    postings, sizes = index or (fts.postings(cards), fts.sizes(cards))
+    shown = fts.ranked(fts.bm25(postings, sizes, asked), SCAN)
     live = cards.filter("NOT coalesce(legacy, false) AND trim(coalesce(content, '')) <> ''")
     live = (live if portraits else live.filter("NOT coalesce(is_portrait, false)")).select("persona_id", F.col("id").alias("card_id"), "content")
     hits = shown.join(live, ["persona_id", "card_id"]).select("query_id.query_id", "persona_id", "card_id", "content", "query_id.t", "rank")

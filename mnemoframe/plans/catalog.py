@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import parsing, text
 from mnemoframe.operators import activation, expand, fts, graph, maintain, region, store, vector
+from mnemoframe.operators.index import Index, shared_dir
 from mnemoframe.sources import cards as C
 from mnemoframe.sources.logs import error_rate
 
@@ -80,17 +81,28 @@ def _questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "query_id int, persona_id string, text string")
 
 
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> Index:
+    """Stored index of the cards of the tables in d, made once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = Index(spark, f"{shared_dir(spark)}/mnemoframe-index/{key[0]}-{len(_INDEXES)}", lambda: _cards(spark, d))
+    return _INDEXES[key]
+
+
 class _Graph:
-    """Graph of the cards, its ledger computed once per query by Spark's exchange reuse or a cache."""
+    """Graph of the cards, from the stored index."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.cards = _cards(spark, d)
-        self.ledger = graph.ledger(self.cards).persist()
-        self.nodes, self.edges, self.size = graph.nodes(self.ledger).persist(), graph.edges(self.ledger).persist(), graph.corpus_size(self.ledger)
+        x = _index(spark, d)
+        self.cards, self.index = _cards(spark, d), (x.postings, x.sizes)
+        self.ledger, self.nodes, self.edges, self.size = x.ledger, x.nodes, x.edges, x.size
         self.adj = graph.adjacency(self.edges)
         self.top = graph.top_nodes(self.nodes, 4)
         self.src = self.top.filter("rank <= 3").select("persona_id", F.col("name").alias("src"))
-        self.freq = self.cards.select(F.explode(text.words(F.col("content"))).alias("word")).groupBy("word").agg(F.count("*").alias("gf"))
+        self.freq = x.frequency
         self.summaries = self.nodes.filter("df >= 3").select("persona_id", F.col("name").alias("node_name"), F.when(F.length("name") % 2 == 0, F.concat(F.lit("about "), "name")).otherwise("").alias("content"), (F.col("df") % 7).alias("new_since_write"))
         a, b = self.top.filter("rank = 2").select("persona_id", F.col("name").alias("x")), self.top.filter("rank = 4").select("persona_id", F.col("name").alias("y"))
         both = a.join(b, "persona_id").withColumn("query_id", F.row_number().over(Window.orderBy("persona_id")))
@@ -132,20 +144,21 @@ def dedup_exact_text(spark, d):
 
 @query("fts_postings", "SELECT persona_id, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT card_id) AS cards, count(DISTINCT term) AS terms FROM postings GROUP BY ALL", INDEX)
 def fts_postings(spark, d):
-    return fts.postings(_cards(spark, d)).groupBy("persona_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("card_id").alias("cards"), F.count_distinct("term").alias("terms"))
+    return _index(spark, d).postings.groupBy("persona_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("card_id").alias("cards"), F.count_distinct("term").alias("terms"))
 
 
 @query("fts_bm25_top", "SELECT query_id, card_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, card_id) AS rank FROM bm JOIN wanted USING (query_id) WHERE have = wanted) WHERE rank <= 10", INDEX)
 def fts_bm25_top(spark, d):
     cards = _cards(spark, d)
     asked = _questions(spark).select("query_id", "persona_id", text.words(F.col("text")).alias("terms"))
-    return fts.ranked(fts.bm25(fts.postings(cards), fts.sizes(cards), asked), 10).select("query_id", "card_id", r6("score").alias("score"), "rank")
+    x = _index(spark, d)
+    return fts.ranked(fts.bm25(x.postings, x.sizes, asked), 10).select("query_id", "card_id", r6("score").alias("score"), "rank")
 
 
 @query("fts_orphans", "SELECT p.persona_id, p.card_id, count(*) AS n FROM postings p JOIN cards c ON c.id = p.card_id WHERE legacy GROUP BY ALL", INDEX)
 def fts_orphans(spark, d):
     cards = _cards(spark, d)
-    return fts.orphans(fts.postings(cards), C.active(cards)).groupBy("persona_id", "card_id").agg(F.count("*").alias("n"))
+    return fts.orphans(_index(spark, d).postings, C.active(cards)).groupBy("persona_id", "card_id").agg(F.count("*").alias("n"))
 
 
 @query("keyword_overlap_top", "SELECT query_id, card_id, round(score, 6) AS score, rank FROM over WHERE rank <= 10", OVERLAP)
@@ -153,12 +166,12 @@ def keyword_overlap_top(spark, d):
     return activation.keyword_fallback(_cards(spark, d), _questions(spark), 10).select("query_id", "card_id", r6("score").alias("score"), "rank")
 
 
-@query("text_fuzzy_ratio", """WITH t AS (SELECT doc_id, lower(substr(text, 1, 40)) AS a, lower(substr(text, 2, 40)) AS b FROM documents WHERE length(text) >= 3),
+@query("text_fuzzy_ratio", """WITH t AS (SELECT doc_id, lower(text) AS a, lower(substr(text, 1 + length(text) // 2)) AS b FROM documents WHERE length(text) >= 3),
 s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(a), 2)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, greatest(length(b), 2)), lambda i: substr(b, i, 2))) AS y FROM t)
 SELECT doc_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS ratio FROM s""")
 def text_fuzzy_ratio(spark, d):
     rows = spark.read.parquet(f"{d}/documents.parquet").filter("length(text) >= 3")
-    return rows.select("doc_id", r6(text.fuzzy_ratio(F.substring("text", 1, 40), F.substring("text", 2, 40))).alias("ratio"))
+    return rows.select("doc_id", r6(text.fuzzy_ratio(F.col("text"), F.expr("substring(text, 1 + length(text) div 2)"))).alias("ratio"))
 
 
 @query("graph_nodes", "SELECT * FROM nodes", GRAPH)
@@ -206,11 +219,10 @@ def cards_for_nodes(spark, d):
     return graph.cards_for_nodes(g.ledger, lit).withColumn("score", r6("score"))
 
 
-@query("nodes_for_cards", "SELECT persona_id, card_id, string_agg(node, ',' ORDER BY pos) AS nodes FROM ledger WHERE seq % 5 = 0 GROUP BY ALL", GRAPH)
+@query("nodes_for_cards", "SELECT persona_id, card_id, string_agg(node, ',' ORDER BY pos) AS nodes FROM ledger GROUP BY ALL", GRAPH)
 def nodes_for_cards(spark, d):
     g = _Graph(spark, d)
-    wanted = g.cards.filter("seq % 5 = 0").select("persona_id", F.col("id").alias("card_id"))
-    return graph.nodes_for_cards(g.ledger, wanted).withColumn("nodes", F.array_join("nodes", ","))
+    return graph.nodes_for_cards(g.ledger, g.cards.select("persona_id", F.col("id").alias("card_id"))).withColumn("nodes", F.array_join("nodes", ","))
 
 
 @query("latest_cards_for_node", "SELECT persona_id, node, card_id, rank FROM (SELECT l.persona_id, node, card_id, row_number() OVER (PARTITION BY l.persona_id, node ORDER BY seq DESC, card_id) AS rank FROM ledger l JOIN src s ON s.persona_id = l.persona_id AND s.src = l.node) WHERE rank <= 5", GRAPH)
@@ -268,6 +280,34 @@ def summary_candidates(spark, d):
     return graph.summary_candidates(g.nodes, g.summaries, g.freq)
 
 
+@query("summary_news", "SELECT g.persona_id, g.name, g.df, s.new_since_write + coalesce(k.news, 0) AS new, CASE WHEN passes THEN 'write' WHEN content <> '' THEN 'reset' ELSE 'shell' END AS action FROM gated g JOIN summaries s ON s.persona_id = g.persona_id AND s.node_name = g.name LEFT JOIN (SELECT persona_id, node, count(DISTINCT card_id) AS news FROM ledger WHERE seq % 4 = 0 GROUP BY ALL) k ON k.persona_id = g.persona_id AND k.node = g.name WHERE g.df >= 5 AND s.new_since_write + coalesce(k.news, 0) >= 3", GRAPH)
+def summary_news(spark, d):
+    """Every fourth card counts as new: it raises the counters of its nodes' summaries, some of which are due again."""
+    g = _Graph(spark, d)
+    return graph.summary_candidates(g.nodes, graph.add_news(g.summaries, g.ledger.filter("seq % 4 = 0")), g.freq)
+
+
+@query("summary_contents", "SELECT persona_id, node_name, content FROM summaries WHERE content <> ''", GRAPH)
+def summary_contents(spark, d):
+    return graph.summary_contents(_Graph(spark, d).summaries)
+
+
+@query("cards_by_level", "SELECT persona_id, id, CAST(seq % 4 AS INT) AS level FROM cards WHERE NOT legacy AND seq % 4 >= 2", CARDS)
+def cards_by_level(spark, d):
+    cards = _cards(spark, d).withColumn("level", (F.col("seq") % 4).cast("int"))
+    return store.by_level(cards, 2).unionByName(store.by_level(cards, 3)).select("persona_id", "id", "level")
+
+
+@query("entity_vocabulary", "SELECT DISTINCT persona_id, 'about ' || topic AS name FROM cards WHERE topic IS NOT NULL", CARDS)
+def entity_vocabulary(spark, d):
+    return activation.entity_names(_cards(spark, d).withColumn("subject", F.concat(F.lit("about "), "topic")))
+
+
+@query("time_period", "SELECT id, CASE WHEN hour(created_at) < 6 THEN '凌晨' WHEN hour(created_at) < 12 THEN '上午' WHEN hour(created_at) < 18 THEN '下午' ELSE '晚上' END AS period FROM cards", CARDS)
+def time_period(spark, d):
+    return _cards(spark, d).select("id", text.time_period(F.col("created_at")).alias("period"))
+
+
 @query("summary_orphans", "SELECT persona_id, node_name FROM summaries s WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.persona_id = s.persona_id AND n.name = s.node_name AND n.df >= 4) OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.persona_id = s.persona_id AND n.df >= 4)", GRAPH)
 def summary_orphans(spark, d):
     g = _Graph(spark, d)
@@ -290,10 +330,10 @@ def _vectors(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.lit("p").alias("persona_id"), F.col("vec_id").alias("seq"), F.col("vec_id").cast("string").alias("card_id"), "embedding", "label")
 
 
-@query("vector_topk", "SELECT query_id, card_id, sim, rank FROM (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS card_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, CAST(v.vec_id AS VARCHAR)) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 5) WHERE rank <= 10")
+@query("vector_topk", "SELECT query_id, card_id, sim, rank FROM (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS card_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, CAST(v.vec_id AS VARCHAR)) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE rank <= 10")
 def vector_topk(spark, d):
     v = _vectors(spark, d)
-    q = v.filter("seq < 5").select(F.col("seq").alias("query_id"), "persona_id", "embedding")
+    q = v.filter("seq % 50 = 0").select(F.col("seq").alias("query_id"), "persona_id", "embedding")
     return vector.top_k(v.repartition(8), q, 10).select("query_id", "card_id", r6("sim").alias("sim"), "rank")
 
 
@@ -336,11 +376,12 @@ def spread_activation(spark, d):
     return activation.spread(pool, spark.createDataFrame(_ENTITIES, "persona_id string, name string")).select("query_id", "card_id", r6("energy").alias("energy"), "rank")
 
 
-@query("hybrid_gate", "SELECT query_id, card_id, round(max(score), 6) AS score FROM (SELECT query_id, persona_id, card_id, score FROM over WHERE rank <= 15 UNION ALL SELECT query_id, bm.persona_id, card_id, 0.6 FROM bm JOIN wanted USING (query_id) WHERE have = wanted) h JOIN cards c ON c.id = h.card_id GROUP BY query_id, card_id HAVING max(score) >= CASE WHEN bool_or(legacy) THEN 0.55 ELSE 0.35 END", INDEX + ",\n" + OVERLAP[len(CARDS) + 2 :])
+@query("hybrid_gate", "SELECT query_id, card_id, round(max(score), 6) AS score FROM (SELECT query_id, persona_id, card_id, score FROM over WHERE rank <= 15 UNION ALL SELECT query_id, bm.persona_id, card_id, 0.6 FROM bm JOIN wanted USING (query_id) JOIN cards live ON live.id = bm.card_id AND NOT live.legacy WHERE have = wanted) h JOIN cards c ON c.id = h.card_id GROUP BY query_id, card_id HAVING max(score) >= CASE WHEN bool_or(legacy) THEN 0.55 ELSE 0.35 END", INDEX + ",\n" + OVERLAP[len(CARDS) + 2 :])
 def hybrid_gate(spark, d):
     cards = _cards(spark, d)
     asked = _questions(spark).select("query_id", "persona_id", text.words(F.col("text")).alias("terms"))
-    literal = fts.bm25(fts.postings(cards), fts.sizes(cards), asked).withColumn("score", F.lit(0.6))
+    x = _index(spark, d)
+    literal = activation.live_hits(fts.bm25(x.postings, x.sizes, asked).withColumn("score", F.lit(0.6)), cards)
     hits = activation.merge_channels(activation.keyword_fallback(cards, _questions(spark), 15), literal)
     return activation.gate(hits, cards).select("query_id", "card_id", r6("score").alias("score"))
 
@@ -389,13 +430,13 @@ def region_assoc(spark, d):
 @query("region_cards")
 def region_cards(spark, d):
     g = _Graph(spark, d)
-    return region.region(g.probes, g.cards, g.summaries, g.adj, g.nodes, g.size, g.freq).select("query_id", "persona_id", "rank", "card_id", "source")
+    return region.region(g.probes, g.cards, g.summaries, g.adj, g.nodes, g.size, g.freq, index=g.index).select("query_id", "persona_id", "rank", "card_id", "source")
 
 
 @query("region_prompt")
 def region_prompt(spark, d):
     g = _Graph(spark, d)
-    chosen = region.region(g.probes, g.cards, g.summaries, g.adj, g.nodes, g.size, g.freq)
+    chosen = region.region(g.probes, g.cards, g.summaries, g.adj, g.nodes, g.size, g.freq, index=g.index)
     return region.prompt(chosen, g.cards, F.lit(NOW).cast("timestamp")).select("query_id", F.length("prompt_text").alias("chars"), F.array_join("card_ids", ",").alias("card_ids"))
 
 
@@ -502,11 +543,12 @@ def session_prompt_text(spark, d):
     return maintain.session_prompt(_messages(spark, d).filter("content IS NOT NULL"))
 
 
-@query("session_summary", """, e AS (SELECT session_id, seq AS pos, '[' || topic || '] ' || trim(substr(content, 1, 700)) AS item FROM cards WHERE regexp_full_match(substr(content, 1, 700), '(?s)[^=]*') AND trim(substr(content, 1, 700), ' ' || chr(10)) <> ''),
+@query("session_summary", """, r AS (SELECT *, regexp_replace(regexp_replace(content, '(?s)===.*', ''), '^\\s+|\\s+$', '', 'g') AS record FROM cards),
+e AS (SELECT session_id, seq AS pos, CASE WHEN coalesce(topic, '') <> '' THEN '[' || topic || '] ' ELSE '' END || record AS item FROM r WHERE record <> ''),
 k AS (SELECT *, sum(length(item) + 5) OVER (PARTITION BY session_id ORDER BY pos DESC) - 5 AS upto FROM e)
 SELECT session_id, count(*) AS kept FROM k WHERE upto <= 2000 GROUP BY ALL""", CARDS)
 def session_summary(spark, d):
-    e = _cards(spark, d).select("session_id", F.col("seq").alias("pos"), "topic", F.trim(F.substring("content", 1, 700)).alias("record")).filter("NOT contains(record, '=')")
+    e = _cards(spark, d).select("session_id", F.col("seq").alias("pos"), "topic", F.col("content").alias("record"))
     return maintain.session_summary(e).filter("summary <> ''").select("session_id", F.size(F.split("summary", "\n---\n")).cast("long").alias("kept"))
 
 
@@ -540,10 +582,10 @@ nexts AS (SELECT persona_id, id, seq, legacy, lead(id, 1) OVER w AS n1, lead(id,
 links AS (SELECT persona_id, id AS from_id, n1 AS target_id, 0.5 AS weight, seq, legacy FROM nexts WHERE n1 IS NOT NULL UNION ALL SELECT persona_id, id, n2, 1.0 / 3, seq, legacy FROM nexts WHERE n2 IS NOT NULL)"""
 
 
-@query("links_traverse", "SELECT 'out' AS way, from_id, target_id FROM links JOIN cards c ON c.id = target_id WHERE weight >= 0.4 AND links.seq % 7 = 0 AND NOT c.legacy UNION ALL SELECT 'in', from_id, target_id FROM links JOIN cards c ON c.id = target_id WHERE c.seq % 7 = 0 AND NOT links.legacy", LINKS)
+@query("links_traverse", "SELECT 'out' AS way, from_id, target_id FROM links JOIN cards c ON c.id = target_id WHERE weight >= 0.4 AND NOT c.legacy UNION ALL SELECT 'in', from_id, target_id FROM links JOIN cards c ON c.id = target_id WHERE NOT links.legacy", LINKS)
 def links_traverse(spark, d):
     cards = _linked(_cards(spark, d))
-    ids = cards.filter("seq % 7 = 0").select("persona_id", "id")
+    ids = cards.select("persona_id", "id")
     out = store.linked(cards, ids, 0.4).select(F.lit("out").alias("way"), "from_id", "target_id")
     return out.unionByName(store.linked_from(cards, ids).select(F.lit("in").alias("way"), "from_id", "target_id"))
 

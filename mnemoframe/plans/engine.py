@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemoframe.functions import parsing
-from mnemoframe.functions.text import card_text, time_period
-from mnemoframe.operators import activation, expand, graph, maintain, region, store, vector
+from mnemoframe.functions.text import time_period, words
+from mnemoframe.operators import activation, expand, fts, graph, maintain, region, store, vector
+from mnemoframe.operators.index import Index
 from mnemoframe.sources.cards import CARD, conform
 from mnemoframe.sources.config import Settings
 
@@ -32,13 +34,13 @@ class MemoryEngine:
         self.cards, self.summaries, self.personas = (store.Table(spark, f"{base_dir.rstrip('/')}/{n}", s) for n, s in (("cards", CARD), ("summaries", SUMMARY), ("personas", PERSONA)))
         self._frequency = frequency
 
-    def frequency(self, cards: DataFrame) -> DataFrame:
-        """(word, gf): the given general frequencies, or the counts of all cards' words."""
-        if self._frequency is not None:
-            return self._frequency
-        from mnemoframe.functions.text import words
+    def index(self) -> Index:
+        """Stored postings, graph and vectors of the present version of the cards."""
+        return Index(self.spark, f"{self.cards.path}/index/g{self.cards.generation}", self.cards.load, self.seams.encode)
 
-        return cards.select(F.explode(words(F.col("content"))).alias("word")).groupBy("word").agg(F.count("*").alias("gf"))
+    def frequency(self, index: Index) -> DataFrame:
+        """(word, gf): the given general frequencies, or the counts of all cards' words."""
+        return index.frequency if self._frequency is None else self._frequency
 
     def register_persona(self, persona_id: str, display_name: str = "", user_display_name: str = "", system_prompt: str = "") -> DataFrame:
         """Upsert; empty values leave what is there."""
@@ -56,15 +58,16 @@ class MemoryEngine:
         cards = self.cards.load()
         return cards if persona_id is None else cards.filter(F.col("persona_id") == persona_id)
 
-    def graph(self, cards: DataFrame) -> dict[str, DataFrame]:
-        led = graph.ledger(cards.filter("NOT coalesce(is_portrait, false)"))
-        return {"ledger": led, "nodes": graph.nodes(led), "adjacency": graph.adjacency(graph.edges(led)), "size": graph.corpus_size(led)}
+    def get(self, persona_id: str, card_id: str) -> dict | None:
+        """One card, or None."""
+        row = self.store(persona_id).filter(F.col("id") == card_id).first()
+        return row.asDict(recursive=True) if row else None
 
     def retrieve_many(self, queries: DataFrame, now: str, excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(chosen rows, prompts) for queries (query_id, persona_id, text)."""
-        cards = self.cards.load()
-        g = self.graph(cards)
-        chosen = region.region(queries, cards, self.summaries.load(), g["adjacency"], g["nodes"], g["size"], self.frequency(cards), self.settings.get("retrieve.region_count") or 5, excluded)
+        cards, x = self.cards.load(), self.index()
+        budget = self.settings.get("retrieve.region_count") or 5
+        chosen = region.region(queries, cards, self.summaries.load(), x.adjacency, x.nodes, x.size, self.frequency(x), budget, excluded, index=(x.postings, x.sizes))
         return chosen, region.prompt(chosen, cards, F.lit(now).cast("timestamp"))
 
     def retrieve(self, persona_id: str, query: str, now: str, session_id: str = "") -> dict:
@@ -75,23 +78,48 @@ class MemoryEngine:
         rows, text = chosen.orderBy("rank").collect(), prompts.first()
         return {"cards": [r.asDict() for r in rows], "card_ids": [r["card_id"] for r in rows], "prompt_text": text["prompt_text"] if text else "", "search_mode": "region", "total_raw": len(rows)}
 
+    def _channels(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """Hits (query_id, persona_id, card_id, score) by vectors, and by full text without legacy cards."""
+        x = self.index()
+        each = queries.withColumn("part", F.row_number().over(Window.partitionBy("query_id").orderBy("text"))).select(F.struct("query_id", "part").alias("query_id"), "persona_id", "text")
+        near = vector.top_k(x.vectors, vector.embed(each, self.seams.encode), 3 * k).select("query_id.query_id", "persona_id", "card_id", F.col("sim").alias("score"))
+        asked = each.select("query_id", "persona_id", words(F.col("text")).alias("terms"))
+        literal = fts.bm25(x.postings, x.sizes, asked).select("query_id.query_id", "persona_id", "card_id", F.lit(self.settings.get("retrieve.fts_score")).alias("score"))
+        return near, activation.live_hits(literal, self.cards.load())
+
+    def _activated(self, near: DataFrame, literal: DataFrame, now: str, excluded: DataFrame | None) -> DataFrame:
+        cards = self.cards.load()
+        hits = activation.gate(activation.merge_channels(near, literal), cards, excluded, self.settings.get("retrieve.threshold"), self.settings.get("retrieve.legacy_threshold"))
+        pool = activation.energies(hits.select("query_id", "persona_id", "card_id", F.col("score").alias("sim")), cards, F.lit(now).cast("timestamp"))
+        return activation.spread(pool, activation.entity_names(cards))
+
+    def search(self, persona_id: str, texts: list[str], now: str, k: int | None = None, excluded: set[str] | None = None) -> dict:
+        """Hybrid retrieval of one host call: ``cards`` (the best k), ``activated`` (up to 2 k), ``search_mode`` and ``total_raw``, the hits before the thresholds."""
+        k = self.settings.get("retrieve.memory_count", persona_id) if k is None else k
+        mode = "disabled" if k <= 0 else "no_query" if not texts else ""
+        if mode:
+            return {"cards": [], "activated": [], "search_mode": mode, "total_raw": 0}
+        q = self.spark.createDataFrame([(0, persona_id, t) for t in texts], "query_id long, persona_id string, text string")
+        out = self.spark.createDataFrame([(0, c) for c in excluded], "query_id long, card_id string") if excluded else None
+        near, literal = self._channels(q, k)
+        mode = ("multi_" if len(texts) > 1 else "") + ("vector" if literal.isEmpty() else "hybrid")
+        found = self._activated(near, literal, now, out).filter(F.col("rank") <= 2 * k)
+        cards = self.store(persona_id).select("persona_id", F.col("id").alias("card_id"), "level", "content")
+        rows = [r.asDict() for r in found.join(cards, ["persona_id", "card_id"]).orderBy("rank").collect()]  # 2 k rows
+        best = rows[:k]
+        if self.seams.rerank is not None and rows:
+            full = self.spark.createDataFrame([(0, persona_id, r["card_id"], r["content"], r["energy"], "\n".join(texts)) for r in rows], "query_id long, persona_id string, card_id string, content string, energy double, text string")
+            order = {r["card_id"]: r["rank"] for r in rerank(full, self.seams.rerank, k).collect()}
+            best = sorted((r for r in rows if r["card_id"] in order), key=lambda r: order[r["card_id"]])
+        return {"cards": best, "activated": rows, "search_mode": mode, "total_raw": activation.merge_channels(near, literal).count()}
+
     def hybrid_many(self, queries: DataFrame, now: str, k: int = 3, excluded: DataFrame | None = None) -> DataFrame:
         """(query_id, persona_id, card_id, energy, rank): vectors and full text merged, gated and spread; reranked if a reranker is there.
 
         queries: (query_id, persona_id, text); several rows may share a query_id.
         """
-        from mnemoframe.functions.text import words
-        from mnemoframe.operators import fts
-
         cards = self.cards.load()
-        corpus = vector.embed(cards.filter("NOT coalesce(is_portrait, false) AND (NOT coalesce(legacy, false) OR length(content) > 50)").select("persona_id", F.col("id").alias("card_id"), card_text(F.coalesce("content", F.lit("")), F.col("keywords"), F.col("tags")).alias("text")), self.seams.encode)
-        each = queries.withColumn("part", F.row_number().over(Window.partitionBy("query_id").orderBy("text"))).select(F.struct("query_id", "part").alias("query_id"), "persona_id", "text")
-        near = vector.top_k(corpus, vector.embed(each, self.seams.encode), 3 * k).select("query_id.query_id", "persona_id", "card_id", F.col("sim").alias("score"))
-        asked = each.select("query_id", "persona_id", words(F.col("text")).alias("terms"))
-        literal = fts.bm25(fts.postings(cards), fts.sizes(cards), asked).select("query_id.query_id", "persona_id", "card_id", F.lit(self.settings.get("retrieve.fts_score")).alias("score"))
-        hits = activation.gate(activation.merge_channels(near, literal), cards, excluded, self.settings.get("retrieve.threshold"), self.settings.get("retrieve.legacy_threshold"))
-        pool = activation.energies(hits.select("query_id", "persona_id", "card_id", F.col("score").alias("sim")), cards, F.lit(now).cast("timestamp"))
-        out = activation.spread(pool, activation.entity_names(cards))
+        out = self._activated(*self._channels(queries, k), now, excluded)
         if self.seams.rerank is None:
             return out.filter(F.col("rank") <= k)
         texts = queries.groupBy("query_id").agg(F.min("text").alias("text"))
@@ -99,19 +127,34 @@ class MemoryEngine:
         return rerank(full, self.seams.rerank, k).select("query_id", "persona_id", "card_id", "energy", "rank")
 
     def review_and_filter(self, persona_id: str, query: str, now: str, k: int = 15, rounds: int = 3) -> list[str]:
-        """Ids that the sub-brain keeps of the candidates for a query; it may search on, up to ``rounds`` replies; else the best k stay."""
-        ask_for = lambda text: self.hybrid_many(self.spark.createDataFrame([(0, persona_id, text)], "query_id long, persona_id string, text string"), now, 10)
+        """Ids that the sub-brain keeps of the candidates for a query.
+
+        It may search on, up to ``rounds`` replies, for cards that aren't candidates yet; else the best k stay. Where it breaks off, the
+        candidates with enough energy stay.
+        """
+
+        def ask_for(text: str) -> DataFrame:
+            known = self.spark.createDataFrame([(0, c) for c in pool], "query_id long, card_id string") if pool else None
+            return self.hybrid_many(self.spark.createDataFrame([(0, persona_id, text)], "query_id long, persona_id string, text string"), now, 10, known)
+
         info = self.store(persona_id).select("persona_id", F.col("id").alias("card_id"), "level", "subject", "topic", "content")
         pool: dict[str, str] = {}
+        energy: dict[str, float] = {}
 
         def add(hits: DataFrame) -> None:
             for r in hits.join(info, ["persona_id", "card_id"]).orderBy("rank").collect():
+                energy.setdefault(r["card_id"], r["energy"])
                 pool.setdefault(r["card_id"], f"  id={r['card_id']} (L{r['level']}) [{r['subject']}/{r['topic']}] {r['content']}")
 
         add(ask_for(query))
         kept = None
         for _ in range(rounds):
-            said = self.seams.subbrain([query + "\n" + "\n".join(pool.values())], [persona_id])[0]
+            try:
+                said = self.seams.subbrain([query + "\n" + "\n".join(pool.values())], [persona_id])[0]
+            except Exception:  # noqa: BLE001  a host's model; the fallback is what the caller gets
+                least = self.settings.get("retrieve.fallback_threshold", persona_id)
+                kept = [c for c in pool if energy[c] >= least]
+                break
             if said is None:
                 break
             row = self.spark.createDataFrame([(said, list(pool))], "raw string, ids array<string>").select(parsing.filter_reply(F.col("raw"), F.col("ids")).alias("a")).first()["a"]
@@ -127,11 +170,9 @@ class MemoryEngine:
         return kept
 
     def hub_many(self, queries: DataFrame, k: int = 3) -> DataFrame:
-        cards = self.cards.load()
-        g = self.graph(cards)
-        corpus = vector.embed(cards.filter("NOT coalesce(is_portrait, false)").select("persona_id", F.col("id").alias("card_id"), F.col("content").alias("text")), self.seams.encode)
-        sims = vector.top_k(corpus, vector.embed(queries.select("query_id", "persona_id", "text"), self.seams.encode), 3 * k)
-        return expand.hub_retrieve(queries, sims, g["ledger"], g["adjacency"], g["nodes"], g["size"], k)
+        x = self.index()
+        sims = vector.top_k(x.vectors, vector.embed(queries.select("query_id", "persona_id", "text"), self.seams.encode), 3 * k)
+        return expand.hub_retrieve(queries, sims, x.ledger, x.adjacency, x.nodes, x.size, k)
 
     def portrait(self, persona_id: str) -> dict:
         rows = region.portraits(self.store(persona_id)).orderBy("at").collect()
@@ -148,8 +189,9 @@ class MemoryEngine:
         who = messages.groupBy("session_id").agg(F.min("persona_id").alias("persona_id"))
         prompts = text.join(who, "session_id").select("session_id", "persona_id", F.concat(F.lit("Messages:\n"), "text").alias("prompt"))
         replies = ask(prompts, self.seams.main_brain).filter("raw IS NOT NULL").select("session_id", "persona_id", "raw")
-        replies.write.mode("overwrite").parquet(f"{self.cards.path}/harvest")  # a model isn't asked twice
-        replies = self.spark.read.parquet(f"{self.cards.path}/harvest")
+        path = f"{self.cards.path}/harvest/{uuid.uuid4().hex}"
+        replies.write.parquet(path)  # a model isn't asked twice
+        replies = self.spark.read.parquet(path)
         events = parsing.memories(replies)
         fixes = parsing.corrections(replies).join(events.select("session_id").distinct(), "session_id", "left_semi")
         last = cards.groupBy("persona_id").agg(F.max("seq").alias("last"))
@@ -160,8 +202,15 @@ class MemoryEngine:
         made = [r["id"] for r in new.select("id").collect()]
         if made:
             self.cards.save(after)
+            self._news(self.spark.createDataFrame([(c,) for c in made], "card_id string"))
         return {"card_ids": made, "corrections": fixes.count() if made else 0, "events": [r.asDict() for r in events.collect()]}
 
+    def _news(self, new: DataFrame) -> None:
+        """Raises the counters of the summaries of new cards' (card_id) nodes."""
+        summaries = self.summaries.load()
+        if not summaries.isEmpty():
+            self.summaries.save(graph.add_news(summaries, self.index().ledger.join(new, "card_id", "left_semi")))
+
     def review(self, now: str, today: DataFrame | None = None, vectors: DataFrame | None = None) -> dict:
         """The nightly steps for all personas; a step that fails is reported and the next goes on (but for the daily summary).
 
@@ -174,7 +223,7 @@ class MemoryEngine:
         def dedup() -> None:
             cards = self.cards.load()
             live = cards.filter("NOT coalesce(legacy, false) AND NOT coalesce(is_portrait, false)")
-            v = vectors if vectors is not None else vector.embed(live.select("persona_id", "seq", F.col("content").alias("text")), self.seams.encode).select("persona_id", "seq", "embedding")
+            v = vectors if vectors is not None else self.index().vectors.filter("NOT legacy").select("persona_id", "seq", "embedding")
             gone = vector.superseded(live, vector.pairs_over(v.join(live.select("persona_id", "seq"), ["persona_id", "seq"], "left_semi"), self.settings.get("review.dedup_threshold")))
             ids = live.join(gone, ["persona_id", "seq"], "left_semi").select("persona_id", "id")
             report["dedup"] = ids.count()
@@ -203,17 +252,21 @@ class MemoryEngine:
 
         def summaries() -> None:
             cards = self.cards.load()
-            g = self.graph(cards)
-            old = graph.prune_summaries(self.summaries.load(), g["nodes"])
-            todo = graph.summary_candidates(g["nodes"], old, self.frequency(cards), self.settings.get("summary.min_df"), self.settings.get("summary.min_new")).filter("action = 'write'")
-            inputs = graph.summary_inputs(g["ledger"], cards, todo.select("persona_id", F.col("name").alias("node")), self.settings.get("summary.cards"))
-            prompts = inputs.withColumn("prompt", F.concat(F.lit("Summarise "), "node", F.lit(":\n"), "cards_text"))
+            x = self.index()
+            old = graph.prune_summaries(self.summaries.load(), x.nodes)
+            due = graph.summary_candidates(x.nodes, old, self.frequency(x), self.settings.get("summary.min_df"), self.settings.get("summary.min_new"))
+            todo = due.filter("action = 'write'")
+            inputs = graph.summary_inputs(x.ledger, cards, todo.select("persona_id", F.col("name").alias("node")), self.settings.get("summary.cards"))
+            inputs = inputs.join(old.select("persona_id", F.col("node_name").alias("node"), F.col("content").alias("was")), ["persona_id", "node"], "left")
+            first, again = F.concat(F.lit("Summarise "), "node", F.lit(":\n"), "cards_text"), F.concat(F.lit("Rewrite the summary of "), "node", F.lit(":\n"), "was", F.lit("\nfrom these cards:\n"), "cards_text")
+            prompts = inputs.withColumn("prompt", F.when(F.coalesce("was", F.lit("")) == "", first).otherwise(again))
             said = ask(prompts.select("persona_id", "node", "n_cards", "prompt"), self.seams.subbrain).filter("trim(coalesce(raw, '')) <> ''")
             new = said.select("persona_id", F.col("node").alias("node_name"), F.when(F.trim("raw").startswith("跳过"), "").otherwise(F.trim("raw")).alias("content"), F.col("n_cards").alias("card_count"))
-            new.write.mode("overwrite").parquet(f"{self.summaries.path}/written")
-            new = self.spark.read.parquet(f"{self.summaries.path}/written")
+            path = f"{self.summaries.path}/written/{uuid.uuid4().hex}"
+            new.write.parquet(path)
+            new = self.spark.read.parquet(path)
             report["summaries_written"] = new.filter("content <> ''").count()
-            self.summaries.save(graph.save_summaries(old, new, now))
+            self.summaries.save(graph.save_summaries(graph.settle(old, due), new, now))
 
         for step in (dedup, decay, portraits, summaries):
             try:
@@ -226,7 +279,7 @@ class MemoryEngine:
     def migrate(self) -> dict:
         """Deletes the summaries with text that today's gate rejects."""
         old = self.summaries.load()
-        judged = graph.migrate_summaries(old, self.frequency(self.cards.load()))
+        judged = graph.migrate_summaries(old, self.frequency(self.index()))
         bad = judged.filter("NOT passes")
         row = judged.agg(F.sum((~F.col("passes")).cast("long")), F.sum(F.col("passes").cast("long"))).first()
         if row[0]:
@@ -235,6 +288,10 @@ class MemoryEngine:
 
     def put(self, cards: DataFrame) -> int:
         """Append cards; returns the new generation."""
-        return self.cards.save(store.append(self.cards.load(), conform(cards)))
+        before = self.cards.generation
+        out = self.cards.save(store.append(self.cards.load(), conform(cards)))
+        had = self.spark.read.schema(CARD).parquet(f"{self.cards.path}/v{before}") if before else self.spark.createDataFrame([], CARD)
+        self._news(self.cards.load().join(had.select("persona_id", "id"), ["persona_id", "id"], "left_anti").select(F.col("id").alias("card_id")))
+        return out
 
 

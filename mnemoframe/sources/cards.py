@@ -35,6 +35,8 @@ CARD = T.StructType([
 GONE_STATES = ("deleted", "superseded", "merged")
 LEGACY_STATES = ("legacy", "archived")
 DEAD_FIELDS = ("clarity", "significance", "status", "draft_id", "fatigue", "_wake_signal", "_collision_report", "confidence", "context", "continues_from", "source_seq")
+#: Folders beside the personas' own.
+RESERVED = ("exports", "summaries", "mem0", "episodic")
 DEAD_RELATIONS = ("related", "extends", "extended_by", "contradicts")
 
 
@@ -93,11 +95,11 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def read_personas(spark: SparkSession, base_dir: str) -> DataFrame:
-    """One row per persona folder with a persona_meta.json; folders whose name begins with an underscore are skipped."""
+    """One row per persona folder with a persona_meta.json; folders whose name begins with an underscore and reserved ones are skipped."""
     schema = "persona_id string, display_name string, user_display_name string, system_prompt_template string"
     df = spark.read.schema(schema).option("multiLine", True).json(f"{base_dir}/*/persona_meta.json").withColumn("path", F.col("_metadata.file_path"))
     folder = F.element_at(F.split("path", "/"), -2)
-    return df.withColumn("persona_id", F.coalesce("persona_id", folder)).filter(~folder.startswith("_")).drop("path")
+    return df.withColumn("persona_id", F.coalesce("persona_id", folder)).filter(~folder.startswith("_") & ~folder.isin(*RESERVED)).drop("path")
 
 
 def active(cards: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import graph, store
+from mnemoframe.operators import graph
 
 
 def node_counts(led: DataFrame) -> DataFrame:
@@ -13,12 +13,20 @@ def node_counts(led: DataFrame) -> DataFrame:
     return led.groupBy("persona_id", "node").agg(F.count("*").alias("cards"))
 
 
-def merge_graph(batch: DataFrame, nodes: store.Table, edges: store.Table) -> None:
-    """foreachBatch step: node and edge counts of a batch of new cards' ledger rows added to the stored tables."""
-    n = graph.nodes(batch).unionByName(nodes.load()).groupBy("persona_id", "name").agg(F.sum("df").alias("df"))
-    e = graph.edges(batch).unionByName(edges.load()).groupBy("persona_id", "a", "b").agg(F.sum("weight").alias("weight"))
-    nodes.save(n)
-    edges.save(e)
+def merge_graph(batch: DataFrame, batch_id: int, path: str) -> None:
+    """foreachBatch step: a batch's node and edge counts are written under its number, so a batch that is retried counts once."""
+    graph.nodes(batch).write.mode("overwrite").parquet(f"{path}/nodes/batch={batch_id}")
+    graph.edges(batch).write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
+
+
+def merged_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(persona_id, name, df) of all batches."""
+    return spark.read.parquet(f"{path}/nodes").groupBy("persona_id", "name").agg(F.sum("df").alias("df"))
+
+
+def merged_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(persona_id, a, b, weight) of all batches."""
+    return spark.read.parquet(f"{path}/edges").groupBy("persona_id", "a", "b").agg(F.sum("weight").alias("weight"))
 
 
 def first_shown(shown: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:

@@ -31,6 +31,11 @@ def test_engine_end_to_end(spark, tmp_path):
     q = spark.createDataFrame([(1, "p", "grey cat Miso")], "query_id long, persona_id string, text string")
     assert e.hybrid_many(q, NOW).first()["card_id"] == got["card_ids"][0]
     assert e.hub_many(q).count() >= 1
+    found = e.search("p", ["grey cat Miso"], NOW)
+    assert found["search_mode"] == "hybrid" and found["cards"][0]["card_id"] == got["card_ids"][0] and found["total_raw"] >= len(found["activated"]) >= 1
+    assert e.search("p", ["grey cat", "x"], NOW)["search_mode"].startswith("multi_") and e.search("p", [], NOW)["search_mode"] == "no_query"
+    assert e.search("p", ["x"], NOW, 0)["search_mode"] == "disabled" and e.search("p", ["grey cat Miso"], NOW, excluded={got["card_ids"][0]})["cards"] != found["cards"]
+    assert e.get("p", got["card_ids"][0])["content"] == "Miso is a grey cat" and e.get("p", "none") is None
     e.seams.rerank = lambda queries, texts: [float("Lyon" in t) for t in texts]
     assert e.hybrid_many(q, NOW, 1).count() == 1
     e.seams.rerank = None
@@ -45,6 +50,30 @@ def test_engine_end_to_end(spark, tmp_path):
     assert not said
 
 
+def test_summaries_are_due_again_and_legacy_cards_stay_out(spark, tmp_path):
+    prompts = []
+    ask_log = str(tmp_path / "asked")
+
+    def sub(p, _):
+        with open(ask_log, "a") as f:
+            f.write("\\x00".join(p))
+        return ["about tea"] * len(p)
+
+    e = MemoryEngine(spark, str(tmp_path / "m"), Seams(subbrain=sub), frequency=spark.createDataFrame([("zzz", 1)], "word string, gf long"))
+    cards = lambda a, b, **more: spark.createDataFrame([("p", f"k{i}", i, f"we had teapot number {i}", "teapot", more.get("legacy", False)) for i in range(a, b)], "persona_id string, id string, seq long, content string, subject string, legacy boolean").withColumn("created_at", F.timestamp_seconds(F.col("seq") * 86400))
+    e.settings.general["review.dedup_threshold"] = 2.0
+    e.put(cards(0, 6))
+    assert e.review("2024-07-01T10:00:00")["summaries_written"] >= 1 and not prompts
+    count = lambda: e.summaries.load().filter("node_name = 'teapot'").first()["new_since_write"]
+    assert count() == 0 and e.review("2024-07-02T10:00:00")["summaries_written"] == 0
+    e.put(cards(6, 10))
+    assert count() == 4 and e.review("2024-07-03T10:00:00")["summaries_written"] >= 1 and count() == 0
+    assert "Rewrite the summary of teapot:\nabout tea" in open(ask_log).read()
+    e.put(cards(20, 21, legacy=True))
+    q = spark.createDataFrame([(1, "p", "teapot number 20")], "query_id long, persona_id string, text string")
+    assert e._channels(q, 3)[1].isEmpty()  # the only card with all words is legacy
+
+
 def test_seams(spark):
     df = spark.createDataFrame([("p", "x")], "persona_id string, prompt string")
     assert ask(df, lambda p, w: [f"{a}/{b}" for a, b in zip(p, w)]).first()["raw"] == "x/p"
@@ -57,11 +86,10 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("p", f"c{i}", i, 1, n) for i in range(4) for n in ("tea", "cat")[: i + 1]], "persona_id string, card_id string, seq long, pos int, node string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    nodes = store.Table(spark, str(tmp_path / "nodes"), graph.nodes(rows).schema)
-    edges = store.Table(spark, str(tmp_path / "edges"), graph.edges(rows).schema)
-    q = stream.writeStream.foreachBatch(lambda b, _: incremental.merge_graph(b, nodes, edges)).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    path = str(tmp_path / "graph")
+    q = stream.writeStream.foreachBatch(lambda b, i: [incremental.merge_graph(b, i, path) for _ in range(2)]).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()  # each batch twice
     q.awaitTermination()
-    assert {r["name"]: r["df"] for r in nodes.load().collect()} == {"tea": 4, "cat": 3} and edges.load().first()["weight"] == 3
+    assert {r["name"]: r["df"] for r in incremental.merged_nodes(spark, path).collect()} == {"tea": 4, "cat": 3} and incremental.merged_edges(spark, path).first()["weight"] == 3
     q = incremental.node_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["node"]: r["cards"] for r in spark.table("counts").collect()} == {"tea": 4, "cat": 3}
