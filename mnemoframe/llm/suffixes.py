@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import look_up, stored
+from ._common import bound_batches, look_up, stored, unstore
 
 LENGTH, GRAM = 400, 100
 #: Bytes of text that are hashed at once. Depth at which blind tries take over. Rows of one k-gram compared in one task; larger groups are compared by their windows' hashes.
 STRETCH, SHALLOW, GROUP = 1 << 20, 16, 2000
+#: Bytes that stand for a word where passages are counted in words, and words of a k-gram then.
+CODE, WORD_GRAM = 4, 12
 BASE = 0x9E3779B97F4A7C15
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -243,7 +245,7 @@ def _with_text(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(doc_id, key, start, end): byte ranges whose union are all bytes in windows that start anywhere else too. key: a hash of the text."""
+    """Stored (doc_id, key, start, end): byte ranges whose union are all bytes in windows that start anywhere else too. key: a hash of the text."""
     every = anchors(docs, length, gram)
     total = every.count()
     kinds = stored(every.groupBy("h", "g").agg(F.count("*").alias("n")), "surroundings")
@@ -251,6 +253,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
     grams = stored(grams, "grams")
     twice = stored(look_up(every, grams, ["h"], "nh", total).filter("nh IS NOT NULL"), "twice")
     seen = stored(look_up(twice, kinds.filter("n > 1"), ["h", "g"], "n", total), "seen")
+    for t in (every, kinds, twice):
+        unstore(t)
     settled = seen.filter("n IS NOT NULL").select("doc_id", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     # what is left: anchors with surroundings of their own, and one anchor of each of the settled surroundings of their k-gram
     fields = ["doc_id", "key", "p", "lo", "hi", "kinds"]
@@ -321,37 +325,85 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
     few = context.filter(F.col("kinds") <= group).repartition("h").sortWithinPartitions("h").mapInArrow(compare, found)
     spans = settled.unionByName(few)
     hot = grams.filter((F.col("kinds") > group) & (F.col("single") > 0))
+    used = [grams, seen, context]
     if not hot.isEmpty():
         # k-grams with too many different surroundings for one task: their windows are counted by digest, in all tasks
         each = stored(context.filter(F.col("kinds") > group).mapInArrow(windows, f"w binary, open boolean, doc_id {kind}, key long, p long, s long"), "windows")
         counts = stored(each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "window-counts")
         again = look_up(each, counts, ["w"], "n", each.count()).filter("n IS NOT NULL AND open")
         spans = spans.unionByName(again.groupBy("doc_id", "key", "p").agg(F.min("s").alias("start"), (F.max("s") + length).alias("end")).drop("p"))
+        used += [each, counts]
+    spans = stored(spans, "spans")
+    for t in used:
+        unstore(t)
     return spans
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay, in order).
+def _per_doc(spans: DataFrame, name: str) -> DataFrame:
+    return spans.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("start", "end")).alias(name))
+
+
+def passages(docs: DataFrame, words: int) -> DataFrame:
+    """(d, k, passages): per document and hash of its text, ranges of word codes in runs of ``words`` words that start anywhere else too.
+
+    The same search over texts whose words (between ASCII white space) are hashed to CODE bytes each.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            codes = [b"".join(map(xxhash.xxh32_digest, (t.as_py() or b"").split())) for t in b["text"]]
+            yield pa.record_batch([b["doc_id"], b["own"], pa.array(codes, pa.binary())], names=["doc_id", "own", "text"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("own"), F.col("text").cast("binary").alias("text"))
+    coded = stored(rows.mapInArrow(run, f"doc_id {kind}, own long, text binary").filter(F.octet_length("text") >= CODE * words), "codes")
+    found = _per_doc(repeats(coded, CODE * words, CODE * WORD_GRAM), "passages")
+    texts = coded.select("doc_id", "own", F.xxhash64("text").alias("key")).distinct()
+    out = texts.join(found, texts["doc_id"].eqNullSafe(found["d"]) & (texts["key"] == found["k"])).groupBy(F.col("doc_id").alias("d"), F.col("own").alias("k")).agg(F.first("passages").alias("passages"))
+    out = stored(out, "passages")
+    unstore(coded)
+    return out
+
+
+def _merged(spans: list[dict] | None) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for x in sorted((x["start"], x["end"]) for x in spans or ()):
+        if merged and x[0] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], x[1])
+        else:
+            merged.append(list(x))
+    return merged
+
+
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay, in order) and n_passage_words.
+
+    With ``words``, n_passage_words counts the document's words in runs of so many words that start anywhere else too; such a passage
+    may be shorter than ``length`` bytes, and it is only counted. Without, it is null.
 
     Texts are UTF-8 bytes; null counts as empty. Each byte covered by a ``length``-byte string that also starts anywhere
     else goes, same document and overlaps included; matches never cross documents. Repeated rows are each other's repeats. An empty table
     gives an empty result; other columns are ignored.
     """
-    spans = repeats(docs, length, gram, group)
-    per_doc = spans.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    bound_batches(docs.sparkSession)
+    counted = passages(docs, words) if words else None
+    per_doc = _per_doc(repeats(docs, length, gram, group), "spans")
+    if words:
+        same = per_doc["d"].eqNullSafe(counted["d"]) & (per_doc["k"] == counted["k"])
+        per_doc = per_doc.join(counted, same, "full").select(F.coalesce(per_doc["d"], counted["d"]).alias("d"), F.coalesce(per_doc["k"], counted["k"]).alias("k"), "spans", "passages")
+    else:
+        per_doc = per_doc.withColumn("passages", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, gone, runs, kept = [], [], [], []
-            for t, s in zip(b["text"], b["spans"].to_pylist()):
+            sizes, gone, runs, kept, counts = [], [], [], [], []
+            for t, s, p in zip(b["text"], b["spans"].to_pylist(), b["passages"].to_pylist()):
                 t = t.as_py() or b""
-                merged: list[list[int]] = []
-                for x in sorted((x["start"], x["end"]) for x in s or ()):
-                    if merged and x[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x[1])
-                    else:
-                        merged.append(list(x))
+                merged = _merged(s)
+                counts.append(sum(z // CODE - -(-a // CODE) for a, z in _merged(p)) if words else None)
                 at, parts = 0, []
                 for a, z in merged:
                     parts.append(t[at:a])
@@ -361,6 +413,6 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
                 gone.append(sum(z - a for a, z in merged))
                 runs.append(len(merged))
                 kept.append(b"".join(parts))
-            yield pa.record_batch([b["doc_id"], *[pa.array(x, pa.int64()) for x in (sizes, gone, runs)], pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.record_batch([b["doc_id"], *[pa.array(x, pa.int64()) for x in (sizes, gone, runs)], pa.array(kept, pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
 
-    return _with_text(docs, per_doc, "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _with_text(docs, per_doc, "left").select("doc_id", "text", "spans", "passages").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")

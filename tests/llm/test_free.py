@@ -366,6 +366,29 @@ def test_suffix_dedup(spark, nothing, group):
     assert suffixes.remove(nothing).count() == 0
 
 
+def in_passages(texts, n):
+    count = Counter(tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1))
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - n + 1):
+            if count[tuple(t[i : i + n])] > 1:
+                gone[i : i + n] = b"\1" * n
+        yield sum(gone)
+
+
+def test_passages_are_counted_in_words(spark, nothing):
+    rng = random.Random(8)
+    text = lambda n: [rng.choice("abcdefgh") + rng.choice("iou") for _ in range(n)]
+    shared = [text(60), text(51), text(50), text(140)]
+    texts = [text(rng.randint(0, 60)) + rng.choice(shared) + text(rng.randint(0, 200)) for _ in range(30)] + [text(300) for _ in range(10)] + [["x"] * 80, [], ["y"] * 51]
+    rows = [(i, "\n ".join(t)) for i, t in enumerate(texts)] + [(3, "\n ".join(texts[3])), (None, " ".join(texts[4])), (99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.lit("x")).repartition(3)
+    got = suffixes.remove(df, words=51).select("doc_id", "n_passage_words").collect()
+    want = [(d, n) for (d, _), n in zip(rows, in_passages([(t or "").split() for _, t in rows], 51))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert suffixes.remove(nothing, words=51).count() == 0
+
+
 def test_long_texts_are_cut_into_stretches(monkeypatch):
     rng = random.Random(8)
     text = "".join(rng.choice("abc") for _ in range(5000)).encode()
