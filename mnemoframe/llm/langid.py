@@ -35,7 +35,7 @@ FAIL = 1 << 30
 
 
 class Automaton:
-    """Suffix automaton over symbols, as a dense transition table (-1: none)."""
+    """Suffix automaton over symbols: its arcs (state * width + symbol, next state)."""
 
     def __init__(self, symbols: np.ndarray, width: int):
         nxt, link, length = [{}], [-1], [0]
@@ -63,21 +63,21 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = copy
             last = cur
-        self.table = np.full((len(nxt), width), -1, np.int32)
-        for s, row in enumerate(nxt):
-            for c, t in row.items():
-                self.table[s, c] = t
+        self.states, self.width = len(nxt), width
+        self.arcs = np.array([(s * width + c, t) for s, row in enumerate(nxt) for c, t in row.items()], np.int32).reshape(-1, 2)
 
     def steps(self) -> np.ndarray:
         """Flat table for parsing: the next state times width, plus FAIL where a phrase starts: at the root, and where none goes on.
 
         A symbol that the text lacks is a phrase of its own and leads back to the root.
         """
-        width = self.table.shape[1]
-        anew = np.where(self.table[0] < 0, 0, self.table[0]) * width + FAIL
-        out = np.where(self.table < 0, anew[None, :], self.table * width)
-        out[0] = anew
-        return out.astype(np.int32).ravel()
+        first = self.arcs[self.arcs[:, 0] < self.width]
+        anew = np.full(self.width, FAIL, np.int32)
+        anew[first[:, 0]] += first[:, 1] * self.width
+        out = np.tile(anew, self.states)
+        later = self.arcs[self.arcs[:, 0] >= self.width]
+        out[later[:, 0]] = later[:, 1] * self.width
+        return out
 
 
 def letters() -> np.ndarray:
@@ -116,7 +116,7 @@ def divided(texts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]
 
 
 class Model:
-    """Per language: steps of its automaton and the phrases a symbol that its own held-back text needs."""
+    """Per language: its automaton and the phrases a symbol that its own held-back text needs."""
 
     def __init__(self, samples: dict[str, list[str]]):
         texts = {k: distinct([plain(t) for t in v]) for k, v in samples.items()}
@@ -127,12 +127,12 @@ class Model:
         self.symbols = {c: i + 33 for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 33])}
         most = min(LANGUAGE_CHARS, ALL_CHARS // max(1, len(texts)))
         self.languages = sorted(texts)
-        self.steps, self.own = [], []
+        self.automata, self.own = [], []
         for k in self.languages:
             learn, held = ([self.encode(t) for t in part] for part in divided(texts[k]))
-            self.steps.append(Automaton(np.concatenate([np.append(t, 0) for t in learn] or [np.zeros(0, np.uint8)])[:most], SYMBOLS).steps())
+            self.automata.append(Automaton(np.concatenate([np.append(t, 0) for t in learn] or [np.zeros(0, np.uint8)])[:most], SYMBOLS))
             n = sum(len(t) for t in held)
-            self.own.append(max(parse(self.steps[-1], held).sum() / n, 1e-3) if n >= HELD_SYMBOLS else None)
+            self.own.append(max(parse(self.automata[-1].steps(), held).sum() / n, 1e-3) if n >= HELD_SYMBOLS else None)
         # too little text to tell: as dear as the dearest of the others
         dearest = max((x for x in self.own if x is not None), default=1.0)
         self.own = [dearest if x is None else x for x in self.own]
@@ -157,13 +157,19 @@ class Model:
         return long
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_table", "_steps")}
+
+    def steps(self) -> list[np.ndarray]:
+        """Dense tables, made where they are used; only the arcs travel."""
+        if not hasattr(self, "_steps"):
+            self._steps = [a.steps() for a in self.automata]
+        return self._steps
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [plain(t or "") for t in texts]
         known = np.array([bool((c > 0).any()) for c in codes], bool)
         coded = [self.encode(c) for c in codes]
-        need = np.array([parse(s, coded) / own for s, own in zip(self.steps, self.own)]) if self.languages else np.zeros((0, len(texts)))
+        need = np.array([parse(s, coded) / own for s, own in zip(self.steps(), self.own)]) if self.languages else np.zeros((0, len(texts)))
         names, scores = [], []
         for i in range(len(texts)):
             if not known[i] or not self.languages:
@@ -191,37 +197,42 @@ def parse(steps: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     begins = np.cumsum(lengths) - lengths
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     start = begins[owner] + nth * STRETCH
-    stop = start + np.minimum(lengths[owner] - nth * STRETCH, STRETCH)
-    after, begun = np.empty(len(flat), np.int32), np.empty(len(flat), np.uint8)  # state after each symbol; whether a phrase starts with it
-    order = np.argsort(start - stop, kind="stable")
-    at, left = start[order], (stop - start)[order]
-    state = np.zeros(len(order), np.int32)
+    size = np.minimum(lengths[owner] - nth * STRETCH, STRETCH)
+    order = np.argsort(-size, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at, left = start[order], size[order]
     live = len(order) - np.searchsorted(left[::-1], np.arange(1, left[0] + 1))
+    base = np.concatenate(([0], np.cumsum(live)))  # the steps of all stretches, step by step
+    taken = np.empty(len(flat), np.int32)
+    state, phrases = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
     for t in range(int(left[0])):
         n = live[t]
-        v = steps[state[:n] + flat[at[:n] + t]]
-        begun[at[:n] + t] = v >> 30
-        after[at[:n] + t] = state[:n] = v & (FAIL - 1)
+        v = steps[state[:n] + flat[at[:n]]]
+        taken[base[t] : base[t] + n] = v
+        phrases[:n] += v >> 30
+        state = v & (FAIL - 1)
+        at = at[:n] + 1
     todo = np.flatnonzero(nth > 0)
-    todo = todo[after[start[todo] - 1] != 0]
     while len(todo):
-        which, at, state = todo, start[todo], after[start[todo] - 1]
-        changed = []
+        state = taken[base[size[todo - 1] - 1] + rank[todo - 1]] & (FAIL - 1)
+        which, t, changed = todo, 0, []
         while len(which):
-            v = steps[state + flat[at]]
+            v = steps[state + flat[start[which] + t]]
+            place = base[t] + rank[which]
+            old = taken[place]
+            taken[place] = v
+            phrases[rank[which]] += (v >> 30) - (old >> 30)
             state = v & (FAIL - 1)
-            begun[at] = v >> 30
-            go = state != after[at]
-            after[at] = state
-            which, at, state = which[go], at[go] + 1, state[go]
-            done = at == stop[which]
+            go = state != old & (FAIL - 1)
+            which, state, t = which[go], state[go], t + 1
+            done = size[which] == t
             changed.append(which[done] + 1)
-            which, at, state = which[~done], at[~done], state[~done]
+            which, state = which[~done], state[~done]
         todo = np.concatenate(changed)
         todo = todo[todo < len(nth)]
         todo = todo[nth[todo] > 0]
-    ends = np.concatenate(([0], np.cumsum(begun, dtype=np.int64)))
-    return (ends[begins + lengths] - ends[begins]).astype(float)
+    return np.bincount(owner[order], weights=phrases, minlength=len(texts))
 
 
 def fit(rows: DataFrame) -> Model:
