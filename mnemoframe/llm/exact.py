@@ -13,11 +13,15 @@ from ._common import look_up, stored
 
 #: A chunk ends after a sentence end that follows one of these letters, not before ``least`` and not after ``most`` characters.
 TRIGGER = r"(?<=[adehilnorstuy][.!?,;:] )"
+#: Where there is no such place, which is so in many scripts and in code, it ends after two characters that repeat the two before
+#: them (with one between them or none), else after a character that is also the last but one.
+ECHOES = (r"(..).?\1", r"(.).\2")
 
 
 def chunks(text, least: int = 512, most: int = 4096):
     """Column of the content-defined chunks of a text; joined they are the text again."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{{least},{most - 1}}}?{TRIGGER}|.{{1,{most}}}"), F.lit(0))
+    echoes = "".join(f"|.{{{least},{most - 5}}}?{e}" for e in ECHOES)
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{{least},{most - 1}}}?{TRIGGER}{echoes}|.{{1,{most}}}"), F.lit(0))
 
 
 def recipes(docs: DataFrame, least: int = 512, most: int = 4096) -> DataFrame:
