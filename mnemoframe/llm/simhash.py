@@ -1,7 +1,8 @@
 """SimHash near-dedup with pivot distance tables.
 
-Fingerprints are made where the texts lie. Two fingerprints within ``most`` bits agree on at least BLOCKS - most of
-BLOCKS bit blocks, so each is dealt to one bucket for each choice of that many blocks (exact: no link is lost). In a bucket,
+Fingerprints are made where the texts lie. Two fingerprints within ``most`` bits agree on all but ``most`` of the blocks of
+bits, so each is dealt to one bucket for each choice of that many blocks (exact: no link is lost); the number of blocks
+follows the number of fingerprints, so that buckets stay small. In a bucket,
 a table of Hamming distances to reference fingerprints (pivots) discards pairs: by the triangle inequality a pair within
 ``most`` bits differs by at most ``most`` in every coordinate. Survivors are verified by their bits.
 """
@@ -9,7 +10,7 @@ a table of Hamming distances to reference fingerprints (pivots) discards pairs:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from ._common import bound_batches, look_up, stored, without
 from .components import connected
 
 SEED = 42
-#: Bits of the blocks that 64-bit fingerprints are cut into.
-BLOCKS = (13, 13, 13, 13, 12)
 PIVOTS = 24
+#: Fingerprints that a bucket holds on average, at most; more of them are cut into more blocks.
+BUCKET = 64
 #: A bucket with more distinct fingerprints is compared in tiles of two parts of this size.
 PART = 2000
 #: Words hashed at once.
@@ -103,11 +104,19 @@ def links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, most: int) -> li
     return out
 
 
-def block_masks(most: int) -> list[int]:
+def block_widths(n: int, most: int) -> list[int]:
+    """Bits of the blocks that ``n`` 64-bit fingerprints are cut into: the fewest blocks, most + 2 at least, with which buckets are small."""
+    blocks = most + 2
+    while blocks < 64 and n >> (64 * (blocks - most) // blocks) > BUCKET:
+        blocks += 1
+    return [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
+
+
+def block_masks(most: int, n: int = 0) -> list[int]:
     """Masks of all choices of the blocks of which one choice agrees if at most ``most`` bits differ."""
-    ends = np.cumsum((0, *BLOCKS))
-    masks = [((1 << int(w)) - 1) << int(a) for a, w in zip(ends, BLOCKS)]
-    return [sum(masks[i] for i in blocks) for blocks in combinations(range(len(BLOCKS)), len(BLOCKS) - most)]
+    widths = block_widths(n, most)
+    masks = [((1 << w) - 1) << a for a, w in zip(accumulate(widths, initial=0), widths)]
+    return [sum(masks[i] for i in blocks) for blocks in combinations(range(len(widths)), len(widths) - most)]
 
 
 def neighbours(nodes: DataFrame, most: int = 3, part: int = PART) -> DataFrame:
@@ -118,7 +127,7 @@ def neighbours(nodes: DataFrame, most: int = 3, part: int = PART) -> DataFrame:
     many tasks and no task holds more than two parts of a bucket.
     """
     keys = []
-    for k, mask in enumerate(block_masks(most)):
+    for k, mask in enumerate(block_masks(most, nodes.count())):
         keys.append(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(int(np.uint64(mask).view(np.int64)))).alias("bits")))
     dealt = nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.choice", "k.bits")
     sizes = dealt.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1")

@@ -53,6 +53,17 @@ def test_fingerprint_by_its_definition():
     assert simhash.fingerprint(None) == simhash.fingerprint(b" \n") == 0
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    rng = random.Random(4)
+    assert len(simhash.block_masks(3)) == 10 and [len(simhash.block_widths(n, 3)) for n in (0, 10**9, 10**10, 10**12)] == [5, 5, 6, 7]
+    for n in (0, 10**10, 10**12, 10**15):
+        masks = simhash.block_masks(3, n)
+        assert sum(simhash.block_widths(n, 3)) == 64
+        for _ in range(300):
+            far = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(not far & m for m in masks)
+
+
 def test_neighbours_lose_no_link(spark):
     rng = random.Random(3)
     centres = [rng.getrandbits(64) for _ in range(4)]
