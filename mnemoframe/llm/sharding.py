@@ -16,6 +16,8 @@ from ._common import stored
 
 #: Index entries held at once.
 ENTRIES = 60_000
+#: Rows that one task numbers.
+PART = 200_000
 
 
 def greedy(ends: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -121,20 +123,22 @@ def assign(docs: DataFrame, shards: int = 16, entries: int = ENTRIES) -> DataFra
     return docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "shard": _number(cuts, F.sha2(text, 256))})
 
 
-def shard(docs: DataFrame, shards: int = 16, salts: int = 256, entries: int = ENTRIES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, part: int = PART, entries: int = ENTRIES) -> DataFrame:
     """Per row of docs: doc_id, size (UTF-8 bytes of text + 1), text_crc32, digest, shard, slot.
 
     Equal texts are one group and share a shard (null counts as the empty text). Slots run from 0 without gaps in each
-    shard. They are dealt in ``salts`` parts of each shard (by a hash of the row), so a hot group of copies is numbered
-    by many tasks; the parts' counts, at most shards * salts, give the offsets. Repeated rows get slots of their own.
+    shard. They are dealt in parts of each shard (by a hash of the row), as many as keep ``part`` rows in a part even if one
+    shard had all rows, so a hot group of copies is numbered by many tasks; the parts' counts give the offsets. Repeated rows
+    get slots of their own.
     Other columns are ignored; an empty table gives an empty result.
     """
     rows = measured(docs)
     cuts, _ = find_cuts(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), shards, entries)
+    salts = max(16, -(-rows.count() // part))
     rows = rows.withColumn("shard", _number(cuts, F.col("digest"))).withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(salts)).cast("int"))
     counts = rows.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     offsets = counts.select("shard", "salt", (F.sum("n").over(Window.partitionBy("shard").orderBy("salt")) - F.col("n")).alias("offset"))
     nth = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "digest")) - 1
     numbered = rows.withColumn("nth", nth)
-    # shards * salts rows at most
-    return numbered.join(F.broadcast(offsets), ["shard", "salt"]).withColumn("slot", (F.col("offset") + F.col("nth")).cast("long")).drop("salt", "nth", "offset")
+    # offsets grow with the rows (one for ``part`` of them): no hint, the numbered rows lie by shard and salt already
+    return numbered.join(offsets, ["shard", "salt"]).withColumn("slot", (F.col("offset") + F.col("nth")).cast("long")).drop("salt", "nth", "offset")
