@@ -65,16 +65,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as its plan says: same columns, copies as repeated rows.
 
-    The text isn't shuffled: sizes and rates come first, then every row is repeated where it is read.
+    The text isn't shuffled: sizes and rates come first, then every row is repeated where it is read. Columns of any name
+    pass unchanged.
     """
     sized = docs.select("source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     weights, most, seed = options.get("weights", (1, 2, 3)), options.get("most", 3.0), options.get("seed", 17)
     rates = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-rates")
     keyed = rates.select(F.col("source").alias("_src"), F.col("rate").alias("_rate"))
-    joined = docs.join(keyed, F.col("source").eqNullSafe(F.col("_src")))
+    joined = docs.select(F.struct("*").alias("row")).join(keyed, F.col("row.source").eqNullSafe(F.col("_src")))
     whole = F.floor("_rate")
-    n = (whole + F.when(draw(F.col("doc_id"), seed) < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
-    return joined.withColumn("_n", n).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    n = (whole + F.when(draw(F.col("row.doc_id"), seed) < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
+    return joined.withColumn("_n", n).filter("_n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
 
 
 SQL_PLAN = """

@@ -42,6 +42,9 @@ def test_mix_plan_and_copies_agree(docs, nothing):
         want[r["doc_id"]] += r["copies"]
     got = Counter(r["doc_id"] for r in mixing.mix(docs.withColumn("rate", F.lit(1)).withColumn("size", F.lit("x"))).collect())
     assert got == +want
+    taken = mixing.mix(docs.withColumns({c: F.lit(c) for c in ("_src", "_rate", "_n", "_copy", "row", "col")}))
+    assert taken.columns == [*docs.columns, "_src", "_rate", "_n", "_copy", "row", "col"] and taken.filter("_src <> '_src' OR _rate <> '_rate' OR _n <> '_n' OR _copy <> '_copy' OR row <> 'row' OR col <> 'col'").count() == 0
+    assert Counter(r["doc_id"] for r in taken.collect()) == +want
     assert sorted(map(tuple, mixing.plan(docs).collect()), key=str) == sorted(map(tuple, plan), key=str)
     assert mixing.plan(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
@@ -67,6 +70,11 @@ def test_chunks_join_to_the_text_and_resynchronise(spark):
     a, b = spark.createDataFrame([(text,), ("new start " + text,)], "t string").select(exact.chunks(F.col("t")).alias("c")).collect()
     assert "".join(a["c"]) == text and len(a["c"]) > 5 and max(map(len, a["c"])) <= 4096
     assert len(set(a["c"]) & set(b["c"])) >= len(a["c"]) - 3
+    for letters in (range(0x4E00, 0x4E00 + 600), range(0x430, 0x450), range(0x61, 0x7B), range(0x30, 0x3A)):  # no sentence ends
+        text = "".join(chr(rng.choice(letters)) for _ in range(60_000))
+        a, b = spark.createDataFrame([(text,), ("new " + text,)], "t string").select(exact.chunks(F.col("t")).alias("c")).collect()
+        assert "".join(a["c"]) == text and "".join(b["c"]) == "new " + text and max(map(len, a["c"])) <= 4096
+        assert len(set(a["c"]) & set(b["c"])) >= len(a["c"]) // 2
 
 
 def test_clashing_chunk_ids_are_told_apart(spark):
@@ -97,7 +105,7 @@ def test_greedy_and_least_capacity():
 
 def test_shards_are_minimax(docs, nothing):
     for entries in (60_000, 64):  # the second refines its index again and again
-        rows = sharding.shard(docs.withColumn("size", F.lit("x")), 4, salts=3, entries=entries).collect()
+        rows = sharding.shard(docs.withColumn("size", F.lit("x")), 4, part=7, entries=entries).collect()
         groups = defaultdict(int)
         for r in rows:
             groups[r["digest"]] += r["size"]
