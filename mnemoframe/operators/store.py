@@ -1,13 +1,18 @@
 """Card store: an append-only change log of card versions, and what is done to the current view of it.
 
-Every operator is a function from DataFrames to DataFrames. Versions of a table are Parquet folders named by generation;
-a pointer file is written last, so readers see a whole version or the one before it.
+Every operator is a function from DataFrames to DataFrames. A table's versions and patches are Parquet folders; a pointer
+file is written last, so readers see a whole generation or the one before it.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemoframe.functions.text import clamp, estimate_tokens
 from mnemoframe.sources.cards import CARD, EDIT, LINK, conform
@@ -148,37 +153,122 @@ def new_cards(events: DataFrame, now: Column, source: str = "harvest") -> DataFr
 
 
 class Table:
-    """Versions of one table under a folder: load() reads the current one, save() writes the next and then moves the pointer."""
+    """Change log of one table under a folder: whole versions and, after them, the rows that changed since.
+
+    save() writes a whole version, patch() only changed rows; load() folds the patches into the last whole version. Folders
+    have names of their own, and a generation's pointer, written last, names its folder; making it fails if the generation is
+    there already, so of two writers one is told to try again and nothing is overwritten. ``texts`` is the generation that
+    last changed what indexes are made of.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema=CARD):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    #: Patches after which the next one writes a whole version.
+    COMPACT = 16
+
+    def __init__(self, spark: SparkSession, path: str, schema=CARD, keys: tuple[str, ...] = ("persona_id", "id")):
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
 
     def _fs(self):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
-    @property
-    def generation(self) -> int:
+    def _generations(self) -> list[int]:
         fs, path = self._fs()
         if not fs.exists(path(f"{self.path}/current")):
-            return 0
-        return max((int(s.getPath().getName()) for s in fs.listStatus(path(f"{self.path}/current"))), default=0)
+            return []
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path(f"{self.path}/current")) if s.getPath().getName().isdigit())
+
+    def _pointer(self, g: int) -> tuple[str, int]:
+        """(folder, generation of the texts) of a generation."""
+        fs, path = self._fs()
+        with_name = fs.open(path(f"{self.path}/current/{g}"))
+        try:
+            folder, texts = with_name.readUTF().split()
+        finally:
+            with_name.close()
+        return folder, int(texts)
+
+    @property
+    def generation(self) -> int:
+        return max(self._generations(), default=0)
 
-    def load(self) -> DataFrame:
+    @property
+    def texts(self) -> int:
         g = self.generation
-        if not g:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{g}")
+        return self._pointer(g)[1] if g else 0
+
+    def _parts(self, g: int) -> tuple[str | None, list[str]]:
+        """Folder of the last whole version up to generation g and those of the patches since, oldest first."""
+        patches: list[str] = []
+        for k in range(g, 0, -1):
+            folder = self._pointer(k)[0]
+            if folder.startswith("v"):
+                return folder, patches[::-1]
+            patches.append(folder)
+        return None, patches[::-1]
+
+    def load(self, generation: int | None = None) -> DataFrame:
+        whole, patches = self._parts(self.generation if generation is None else generation)
+        base = self.spark.createDataFrame([], self.schema) if whole is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{whole}")
+        if not patches:
+            return base
+        logged = T.StructType([*self.schema.fields, T.StructField("gone", T.BooleanType())])
+        log = None
+        for n, folder in enumerate(patches):
+            part = self.spark.read.schema(logged).parquet(f"{self.path}/{folder}").withColumn("_version", F.lit(n))
+            log = part if log is None else log.unionByName(part)
+        of_key = Window.partitionBy(*self.keys)
+        log = log.withColumn("_n", F.row_number().over(of_key.orderBy(F.desc("_version"))))
+        if "seq" in self.schema.names:
+            log = log.withColumn("seq", F.min("seq").over(of_key))
+        log = log.filter("_n = 1").drop("_n", "_version")
+        # the base's rows stay where they are: the patches are the small side of both joins
+        touched = log.select(*[F.col(k).alias(f"_{k}") for k in self.keys])
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys])
+        if "seq" in self.schema.names:
+            first = base.join(touched, same, "left_semi").groupBy(*[F.col(k).alias(f"_{k}") for k in self.keys]).agg(F.min("seq").alias("_seq"))
+            log = log.join(first, same, "left").withColumn("seq", F.least("seq", "_seq"))
+        rows = log.filter("NOT coalesce(gone, false)").select(*self.schema.names)
+        return base.join(touched, same, "left_anti").unionByName(rows)
+
+    def _point(self, g: int, folder: str, texts: int) -> int:
+        fs, path = self._fs()
+        out = fs.create(path(f"{self.path}/current/{g}"), False)  # an error if another writer made this generation
+        out.writeUTF(f"{folder} {texts}")
+        out.close()
+        return g
 
     def save(self, df: DataFrame) -> int:
+        """A whole version; returns its generation."""
         g = self.generation + 1
-        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v{g}")
-        fs, path = self._fs()
-        fs.mkdirs(path(f"{self.path}/current"))
-        fs.create(path(f"{self.path}/current/{g}")).close()
-        return g
+        folder = f"v{g}-{uuid.uuid4().hex}"
+        df.select(*self.schema.names).write.parquet(f"{self.path}/{folder}")
+        return self._point(g, folder, g)
+
+    def patch(self, changed: DataFrame | None = None, gone: DataFrame | None = None, texts: bool = True) -> int:
+        """Rows that are new or changed, whole, and the keys of those that are gone; texts: whether what is indexed may have changed."""
+        g, had = self.generation + 1, self.texts
+        folder = f"p{g}-{uuid.uuid4().hex}"
+        log = self.spark.createDataFrame([], self.schema) if changed is None else changed.select(*self.schema.names)
+        log = log.withColumn("gone", F.lit(False))
+        if gone is not None:
+            log = log.unionByName(gone.select(*self.keys).withColumn("gone", F.lit(True)), allowMissingColumns=True)
+        log.write.parquet(f"{self.path}/{folder}")
+        self._point(g, folder, g if texts else had)
+        if len(self._parts(g)[1]) < self.COMPACT:
+            return g
+        whole = f"v{g + 1}-{uuid.uuid4().hex}"
+        self.load(g).write.parquet(f"{self.path}/{whole}")
+        return self._point(g + 1, whole, g if texts else had)
 
     def vacuum(self, keep: int = 2) -> None:
+        """Delete the folders that the last ``keep`` generations don't need."""
         fs, path = self._fs()
-        for g in range(1, self.generation - keep + 1):
-            fs.delete(path(f"{self.path}/v{g}"), True)
+        g = self.generation
+        needed = set()
+        for k in range(max(1, g - keep + 1), g + 1):
+            whole, patches = self._parts(k)
+            needed |= {whole, *patches}
+        for s in fs.listStatus(path(self.path)) if g else []:
+            name = s.getPath().getName()
+            if name[0] in "vp" and name.split("-")[0][1:].isdigit() and int(name.split("-")[0][1:]) <= g and name not in needed:
+                fs.delete(s.getPath(), True)

@@ -31,12 +31,13 @@ class MemoryEngine:
 
     def __init__(self, spark: SparkSession, base_dir: str, seams: Seams | None = None, settings: Settings | None = None, frequency: DataFrame | None = None):
         self.spark, self.seams, self.settings = spark, seams or Seams(), settings or Settings()
-        self.cards, self.summaries, self.personas = (store.Table(spark, f"{base_dir.rstrip('/')}/{n}", s) for n, s in (("cards", CARD), ("summaries", SUMMARY), ("personas", PERSONA)))
+        tables = (("cards", CARD, ("persona_id", "id")), ("summaries", SUMMARY, ("persona_id", "node_name")), ("personas", PERSONA, ("persona_id",)))
+        self.cards, self.summaries, self.personas = (store.Table(spark, f"{base_dir.rstrip('/')}/{n}", s, k) for n, s, k in tables)
         self._frequency = frequency
 
     def index(self) -> Index:
-        """Stored postings, graph and vectors of the present version of the cards."""
-        return Index(self.spark, f"{self.cards.path}/index/g{self.cards.generation}", self.cards.load, self.seams.encode)
+        """Stored postings, graph and vectors of the present texts of the cards."""
+        return Index(self.spark, f"{self.cards.path}/index/g{self.cards.texts}", self.cards.load, self.seams.encode)
 
     def frequency(self, index: Index) -> DataFrame:
         """(word, gf): the given general frequencies, or the counts of all cards' words."""
@@ -166,7 +167,8 @@ class MemoryEngine:
         kept = list(pool)[:k] if kept is None else kept
         if kept:
             ids = self.spark.createDataFrame([(persona_id, c) for c in kept], "persona_id string, id string")
-            self.cards.save(store.reference(self.cards.load(), ids, F.lit(now).cast("timestamp")))
+            shown = self.cards.load().join(ids, ["persona_id", "id"], "left_semi")
+            self.cards.patch(store.reference(shown, ids, F.lit(now).cast("timestamp")), texts=False)
         return kept
 
     def hub_many(self, queries: DataFrame, k: int = 3) -> DataFrame:
@@ -201,7 +203,7 @@ class MemoryEngine:
         after = maintain.apply_corrections(store.append(cards, new), fixes.withColumn("pos", F.col("pos").cast("int")), now)
         made = [r["id"] for r in new.select("id").collect()]
         if made:
-            self.cards.save(after)
+            self.cards.patch(after.filter(F.col("last_updated") == stamp))  # the new and the corrected ones
             self._news(self.spark.createDataFrame([(c,) for c in made], "card_id string"))
         return {"card_ids": made, "corrections": fixes.count() if made else 0, "events": [r.asDict() for r in events.collect()]}
 
@@ -228,14 +230,16 @@ class MemoryEngine:
             ids = live.join(gone, ["persona_id", "seq"], "left_semi").select("persona_id", "id")
             report["dedup"] = ids.count()
             if report["dedup"]:
-                self.cards.save(store.supersede(cards, ids)[0])
+                ids.write.parquet(path := f"{self.cards.path}/superseded/{uuid.uuid4().hex}")
+                ids = self.spark.read.parquet(path)
+                self.cards.patch(store.remove(store.remove_links(cards, ids).filter("links_removed > 0"), ids), ids)
 
         def decay() -> None:
             out = maintain.decay(self.cards.load(), stamp)
             row = out.agg(F.sum(F.col("decayed").cast("long")), F.sum(F.col("zeroed").cast("long"))).first()
             report["retention_decayed"], report["retention_zeroed"] = row[0] or 0, row[1] or 0
             if row[0]:
-                self.cards.save(out)
+                self.cards.patch(out.filter("decayed"), texts=False)
 
         def portraits() -> None:
             if daily is None or daily.isEmpty():
@@ -248,7 +252,7 @@ class MemoryEngine:
             due = rolled.filter("due").select("persona_id", "portrait_type", F.concat_ws("\n", F.col("mid_term"), F.array_join(F.transform("staging_pool", lambda e: e["summary"]), "\n")).alias("prompt"))
             texts = ask(due, self.seams.subbrain, reply="new_mid").withColumn("prompt", F.concat_ws("\n", "new_mid"))
             texts = ask(texts, self.seams.subbrain).withColumn("r", parsing.stable_review(F.col("raw"))).select("persona_id", "portrait_type", "new_mid", F.when(F.col("r.should_update"), F.col("r.new_stable")).alias("new_stable"), F.col("r.reasoning").alias("reasoning"))
-            self.cards.save(store.append(cards, maintain.rewrite_portraits(rolled.drop("due"), texts, now)))
+            self.cards.patch(store.check_size(conform(maintain.rewrite_portraits(rolled.drop("due"), texts, now)))[0])
 
         def summaries() -> None:
             cards = self.cards.load()
@@ -289,8 +293,8 @@ class MemoryEngine:
     def put(self, cards: DataFrame) -> int:
         """Append cards; returns the new generation."""
         before = self.cards.generation
-        out = self.cards.save(store.append(self.cards.load(), conform(cards)))
-        had = self.spark.read.schema(CARD).parquet(f"{self.cards.path}/v{before}") if before else self.spark.createDataFrame([], CARD)
+        out = self.cards.patch(store.check_size(conform(cards))[0])
+        had = self.cards.load(before)
         self._news(self.cards.load().join(had.select("persona_id", "id"), ["persona_id", "id"], "left_anti").select(F.col("id").alias("card_id")))
         return out
 

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mnemoframe.operators import activation, fts, graph, maintain, region, store, vector
@@ -160,6 +161,16 @@ def test_store(spark, tmp_path):
     assert t.save(df) == 1 and t.save(store.remove(t.load(), one("c0"))) == 2
     t.vacuum(1)
     assert t.generation == 2 and ids(t.load()) == ["c1", "c2", "c3"]
+    assert t.patch(t.load().filter("id = 'c1'").withColumns({"content": F.lit("new"), "seq": F.lit(99).cast("long")}), one("c2"), texts=False) == 3 and t.texts == 2
+    seq = {r["id"]: r["seq"] for r in t.load(2).collect()}
+    assert {r["id"]: (r["content"] == "new", r["seq"]) for r in t.load().collect()} == {"c1": (True, seq["c1"]), "c3": (False, seq["c3"])}
+    assert t.patch(t.load(2).filter("id = 'c2'")) == 4 and ids(t.load()) == ["c1", "c2", "c3"] and ids(t.load(3)) == ["c1", "c3"] and t.texts == 4
+    with pytest.raises(Exception, match="(?i)exist"):  # another writer was first
+        t._point(4, "v4-other", 4)
+    t.COMPACT = 3
+    assert t.patch(gone=one("c3"), texts=False) == 6 and t.texts == 4 and t._parts(6)[1] == [] and ids(t.load()) == ["c1", "c2"]
+    t.vacuum(1)
+    assert ids(t.load()) == ["c1", "c2"]
 
 
 def test_decay(spark):
