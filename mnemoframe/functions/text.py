@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +31,10 @@ def estimate_tokens(c: Column) -> Column:
     return F.when(F.coalesce(F.octet_length(c), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.octet_length(c) / 3))).cast("long")
 
 
-def clamp(c: Column, cap: int) -> Column:
+def clamp(c: Column, cap: int | Column) -> Column:
     """Texts of more than ``cap`` estimated tokens are cut, never inside a character, and marked; the mark counts."""
     keep = 3 * cap - len(CUT_MARK.encode())
-    head = F.call_function("make_valid_utf8", F.substring(F.encode(c, "UTF-8"), 1, keep).cast("string"))
+    head = F.call_function("make_valid_utf8", F.substring(F.encode(c, "UTF-8"), F.lit(1), keep if isinstance(keep, Column) else F.lit(keep)).cast("string"))
     head = F.regexp_replace(F.regexp_replace(head, "�+$", ""), r"(?U)\s+$", "")
     return F.when(estimate_tokens(c) > cap, F.concat(head, F.lit(CUT_MARK))).otherwise(c)
 
@@ -45,15 +48,24 @@ def split_terms(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)[、，,；;/／|｜&＆+＋\s]+"), lambda s: s != "")
 
 
-def words(c: Column) -> Column:
-    """Default tokenizer: lower-case runs of letters and digits in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+def words(c: Column, names: Iterable[str] = ()) -> Column:
+    """Default tokenizer: lower-case runs of letters and digits in order.
+
+    Known names stay whole, also inside a run of a script without spaces; a name that begins or ends with an ASCII letter or
+    digit isn't looked for inside a longer word of them.
+    """
+    run = r"[\p{L}\p{N}]"
+    ends = ("(?<![a-z0-9])", "(?![a-z0-9])")
+    lowered = sorted({n.strip().lower() for n in names} - {""}, key=lambda n: (-len(n), n))
+    known = "|".join((ends[0] if n[0].isascii() and n[0].isalnum() else "") + re.escape(n) + (ends[1] if n[-1].isascii() and n[-1].isalnum() else "") for n in lowered)
+    pattern = f"(?:{known})|(?:(?!{known}){run})+" if known else f"{run}+"
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
-def topic_words(c: Column, stop: list[str] | None = None) -> Column:
+def topic_words(c: Column, stop: list[str] | None = None, names: Iterable[str] = ()) -> Column:
     """words() of two characters and more, without stop words and numbers."""
     stop = ENGLISH_STOP_WORDS if stop is None else stop
-    return F.filter(words(c), lambda w: (F.length(w) >= 2) & ~w.isin(*stop) & ~w.rlike(r"^[0-9]+$"))
+    return F.filter(words(c, names), lambda w: (F.length(w) >= 2) & ~w.isin(*stop) & ~w.rlike(r"^[0-9]+$"))
 
 
 def keyword_tokens(c: Column) -> Column:

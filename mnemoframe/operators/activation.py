@@ -24,7 +24,7 @@ def live_hits(hits: DataFrame, cards: DataFrame) -> DataFrame:
     return hits.join(cards.filter("NOT coalesce(legacy, false)").select("persona_id", F.col("id").alias("card_id")), ["persona_id", "card_id"], "left_semi")
 
 
-def gate(hits: DataFrame, cards: DataFrame, excluded: DataFrame | None = None, least: float = 0.35, legacy_least: float = 0.55) -> DataFrame:
+def gate(hits: DataFrame, cards: DataFrame, excluded: DataFrame | None = None, least: float | Column = 0.35, legacy_least: float | Column = 0.55) -> DataFrame:
     """hits whose card is there and whose score passes its threshold, without (query_id, card_id) excluded."""
     info = cards.select("persona_id", F.col("id").alias("card_id"), F.coalesce("legacy", F.lit(False)).alias("legacy"))
     out = hits.join(info, ["persona_id", "card_id"]).filter(F.col("score") >= F.when(F.col("legacy"), legacy_least).otherwise(least))

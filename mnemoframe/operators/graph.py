@@ -127,7 +127,7 @@ def summary_gate(names: DataFrame, frequency: DataFrame, name: str = "name", mos
     return out.withColumn("passes", ~bad & (F.col("gf") < most))
 
 
-def summary_candidates(n: DataFrame, summaries: DataFrame, frequency: DataFrame, min_df: int = 5, min_new: int = 3) -> DataFrame:
+def summary_candidates(n: DataFrame, summaries: DataFrame, frequency: DataFrame, min_df: int | Column = 5, min_new: int | Column = 3) -> DataFrame:
     """(persona_id, name, df, new, action) of nodes with enough cards and news.
 
     write: the gate lets it pass. Others aren't asked for again: reset (a summary is there, its counter restarts) or shell (an

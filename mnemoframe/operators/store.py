@@ -29,13 +29,13 @@ def _link_array(c: str = "links") -> Column:
     return F.coalesce(F.col(c), F.array().cast(f"array<{LINK}>"))
 
 
-def check_size(cards: DataFrame, cap: int = 500, portrait_cap: int = 5000) -> tuple[DataFrame, DataFrame]:
+def check_size(cards: DataFrame, cap: int | Column = 500, portrait_cap: int | Column = 5000) -> tuple[DataFrame, DataFrame]:
     """(cards within the token cap of their kind, those over it)."""
     fits = estimate_tokens(F.col("content")) <= F.when(F.coalesce("is_portrait", F.lit(False)), portrait_cap).otherwise(cap)
     return cards.filter(fits), cards.filter(~fits)
 
 
-def fit(cards: DataFrame, cap: int = 500, condensed: DataFrame | None = None) -> DataFrame:
+def fit(cards: DataFrame, cap: int | Column = 500, condensed: DataFrame | None = None) -> DataFrame:
     """Cards whose content is over the cap get a condensed text that fits, (persona_id, id, text), or are cut and marked for review."""
     if condensed is not None:
         cards = cards.join(condensed.select("persona_id", "id", F.col("text").alias("_text")), ["persona_id", "id"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemoframe.functions import parsing
-from mnemoframe.functions.text import time_period, words
+from mnemoframe.functions.text import estimate_tokens, time_period, words
 from mnemoframe.operators import activation, expand, fts, graph, maintain, region, store, vector
 from mnemoframe.operators.index import Index
 from mnemoframe.sources.cards import CARD, conform
@@ -85,12 +85,12 @@ class MemoryEngine:
         each = queries.withColumn("part", F.row_number().over(Window.partitionBy("query_id").orderBy("text"))).select(F.struct("query_id", "part").alias("query_id"), "persona_id", "text")
         near = vector.top_k(x.vectors, vector.embed(each, self.seams.encode), 3 * k).select("query_id.query_id", "persona_id", "card_id", F.col("sim").alias("score"))
         asked = each.select("query_id", "persona_id", words(F.col("text")).alias("terms"))
-        literal = fts.bm25(x.postings, x.sizes, asked).select("query_id.query_id", "persona_id", "card_id", F.lit(self.settings.get("retrieve.fts_score")).alias("score"))
+        literal = fts.bm25(x.postings, x.sizes, asked).select("query_id.query_id", "persona_id", "card_id", self.settings.column("retrieve.fts_score").alias("score"))
         return near, activation.live_hits(literal, self.cards.load())
 
     def _activated(self, near: DataFrame, literal: DataFrame, now: str, excluded: DataFrame | None) -> DataFrame:
         cards = self.cards.load()
-        hits = activation.gate(activation.merge_channels(near, literal), cards, excluded, self.settings.get("retrieve.threshold"), self.settings.get("retrieve.legacy_threshold"))
+        hits = activation.gate(activation.merge_channels(near, literal), cards, excluded, self.settings.column("retrieve.threshold"), self.settings.column("retrieve.legacy_threshold"))
         pool = activation.energies(hits.select("query_id", "persona_id", "card_id", F.col("score").alias("sim")), cards, F.lit(now).cast("timestamp"))
         return activation.spread(pool, activation.entity_names(cards))
 
@@ -199,7 +199,11 @@ class MemoryEngine:
         last = cards.groupBy("persona_id").agg(F.max("seq").alias("last"))
         numbered = events.join(last, "persona_id", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("persona_id").orderBy("session_id", "pos")))
         said = F.concat(F.date_format(stamp, "yyyy-MM-dd"), F.lit(" "), time_period(stamp))
-        new = store.fit(store.new_cards(numbered.withColumn("source_time", said), stamp), self.settings.get("card.max_tokens"))
+        drafts, cap = store.new_cards(numbered.withColumn("source_time", said), stamp), self.settings.column("card.max_tokens")
+        long = drafts.filter(estimate_tokens(F.col("content")) > cap).select("persona_id", "id", F.concat(F.lit("Shorten this, keeping what matters:\n\n"), "content").alias("prompt"))
+        short = ask(long, self.seams.subbrain).select("persona_id", "id", F.trim("raw").alias("text"))
+        short.write.parquet(path := f"{self.cards.path}/harvest/{uuid.uuid4().hex}")
+        new = store.fit(drafts, cap, self.spark.read.parquet(path))
         after = maintain.apply_corrections(store.append(cards, new), fixes.withColumn("pos", F.col("pos").cast("int")), now)
         made = [r["id"] for r in new.select("id").collect()]
         if made:
@@ -249,16 +253,22 @@ class MemoryEngine:
             parts = daily.select("persona_id", parsing.portrait_split(F.col("raw")).alias("s"))
             day = parts.select("persona_id", F.explode(F.map_from_arrays(F.array(*[F.lit(p) for p in parsing.PORTRAITS]), F.array(*[F.col(f"s.{p}") for p in parsing.PORTRAITS]))).alias("portrait_type", "summary")).filter("summary IS NOT NULL").withColumn("date", F.lit(now[:10]))
             rolled = maintain.roll_buffers(have, day)
-            due = rolled.filter("due").select("persona_id", "portrait_type", F.concat_ws("\n", F.col("mid_term"), F.array_join(F.transform("staging_pool", lambda e: e["summary"]), "\n")).alias("prompt"))
+            which = ["persona_id", "portrait_type"]
+            notes = F.concat_ws("\n", F.col("mid_term"), F.array_join(F.transform("staging_pool", lambda e: F.concat(F.lit("- ["), F.coalesce(e["date"], F.lit("?")), F.lit("] "), F.coalesce(e["summary"], F.lit("")))), "\n"))
+            # a pool that isn't full yet is rewritten if the sub-brain finds that it matters
+            unsure = rolled.filter("NOT due AND size(staging_pool) > 0").join(day.select(which), which, "left_semi")
+            judged = ask(unsure.select(*which, F.concat(F.lit("Do these notes change the portrait?\n"), notes).alias("prompt")), self.seams.subbrain)
+            judged = judged.filter(parsing.staging_judge(F.col("raw"))["should_rewrite"]).select(which)
+            due = rolled.filter("due").unionByName(rolled.join(judged, which, "left_semi")).select(*which, notes.alias("prompt"))
             texts = ask(due, self.seams.subbrain, reply="new_mid").withColumn("prompt", F.concat_ws("\n", "new_mid"))
             texts = ask(texts, self.seams.subbrain).withColumn("r", parsing.stable_review(F.col("raw"))).select("persona_id", "portrait_type", "new_mid", F.when(F.col("r.should_update"), F.col("r.new_stable")).alias("new_stable"), F.col("r.reasoning").alias("reasoning"))
-            self.cards.patch(store.check_size(conform(maintain.rewrite_portraits(rolled.drop("due"), texts, now)))[0])
+            self.cards.patch(self._fitting(conform(maintain.rewrite_portraits(rolled.drop("due"), texts, now))))
 
         def summaries() -> None:
             cards = self.cards.load()
             x = self.index()
             old = graph.prune_summaries(self.summaries.load(), x.nodes)
-            due = graph.summary_candidates(x.nodes, old, self.frequency(x), self.settings.get("summary.min_df"), self.settings.get("summary.min_new"))
+            due = graph.summary_candidates(x.nodes, old, self.frequency(x), self.settings.column("summary.min_df"), self.settings.column("summary.min_new"))
             todo = due.filter("action = 'write'")
             inputs = graph.summary_inputs(x.ledger, cards, todo.select("persona_id", F.col("name").alias("node")), self.settings.get("summary.cards"))
             inputs = inputs.join(old.select("persona_id", F.col("node_name").alias("node"), F.col("content").alias("was")), ["persona_id", "node"], "left")
@@ -290,10 +300,14 @@ class MemoryEngine:
             self.summaries.save(old.join(bad.select("persona_id", "node_name"), ["persona_id", "node_name"], "left_anti").select(*SUMMARY.names))
         return {"pruned": row[0] or 0, "kept": row[1] or 0}
 
+    def _fitting(self, cards: DataFrame) -> DataFrame:
+        """Cards within their persona's token caps."""
+        return store.check_size(cards, self.settings.column("card.max_tokens"), self.settings.column("card.max_portrait_tokens"))[0]
+
     def put(self, cards: DataFrame) -> int:
         """Append cards; returns the new generation."""
         before = self.cards.generation
-        out = self.cards.patch(store.check_size(conform(cards))[0])
+        out = self.cards.patch(self._fitting(conform(cards)))
         had = self.cards.load(before)
         self._news(self.cards.load().join(had.select("persona_id", "id"), ["persona_id", "id"], "left_anti").select(F.col("id").alias("card_id")))
         return out

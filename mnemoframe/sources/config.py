@@ -5,6 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The defaults that decide results.
 DEFAULTS: dict[str, Any] = {
     "card.max_tokens": 500, "card.max_portrait_tokens": 5000,
@@ -57,5 +60,11 @@ class Settings:
             raise KeyError(key)
         return self.general[key]
 
+    def column(self, key: str, persona: str = "persona_id") -> Column:
+        """The value that holds for the persona of each row."""
+        general = F.lit(self.get(key))
+        own = [F.lit(x) for p in self.personas if (v := self.get(key, p)) != self.get(key) for x in (p, v)]
+        return F.coalesce(F.try_element_at(F.create_map(*own), F.col(persona)), general) if own else general
+
     def missing(self) -> list[str]:
         return sorted(k for k, v in self.general.items() if v is None)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from mnemoframe.operators import graph, store
 from mnemoframe.plans.engine import MemoryEngine
 from mnemoframe.plans.seams import Seams, ask, hashed_encoder, rerank
+from mnemoframe.sources.config import Settings
 from mnemoframe.streaming import incremental
 
 NOW = "2024-06-01T10:00:00"
@@ -74,6 +75,33 @@ def test_summaries_are_due_again_and_legacy_cards_stay_out(spark, tmp_path):
     assert e._channels(q, 3)[1].isEmpty()  # the only card with all words is legacy
 
 
+def test_judged_pools_are_rewritten_and_personas_have_caps(spark, tmp_path):
+    e = MemoryEngine(spark, str(tmp_path), settings=Settings(personas={"tight": {"card.max_tokens": 20}}))
+
+    def sub(prompts, personas):
+        def reply(p):
+            if p.startswith("Do these notes"):
+                return "===暂存池判断===\n需要吸收: " + ("是" if "matters" in p else "否")
+            if p.startswith("Shorten"):
+                return "short text"
+            return "===user===\ntoday" if p.startswith("- [") or p.startswith("said") else "rewritten"
+
+        return [reply(p) for p in prompts]
+
+    e.seams.subbrain = sub
+    e.seams.main_brain = lambda prompts, _: ["===回忆 1===\n内容: " + "long words " * 12] * len(prompts)
+    said = "persona_id string, session_id string, turn long, role string, content string"
+    e.ingest(spark.createDataFrame([("tight", "a", 0, "user", "hi"), ("wide", "b", 0, "user", "hi")], said), NOW)
+    assert {r["persona_id"]: r["content"] for r in e.store().collect()} == {"tight": "short text", "wide": ("long words " * 12).strip()}
+    for p in ("tight", "wide"):
+        e.register_persona(p)
+    pool = lambda text: [("2024-06-01", text)]
+    kept = spark.createDataFrame([(p, f"p_{p}", 0, 2, "x", True, "user", "old", "mid", [(f"2024-06-0{i}", "s") for i in range(2, 7)], pool(t)) for p, t in (("tight", "it matters"), ("wide", "trifle"))], "persona_id string, id string, seq long, level int, content string, is_portrait boolean, portrait_type string, stable string, mid_term string, recent_buffer array<struct<date:string,summary:string>>, staging_pool array<struct<date:string,summary:string>>")
+    e.put(kept)
+    assert e.review("2024-07-01T10:00:00", today=e.store().filter("NOT coalesce(is_portrait, false)"))["errors"] == []
+    assert {r["persona_id"]: (r["mid_term"] == "mid", len(r["staging_pool"])) for r in e.store().filter("portrait_type = 'user'").collect()} == {"tight": (False, 0), "wide": (True, 2)}
+
+
 def test_seams(spark):
     df = spark.createDataFrame([("p", "x")], "persona_id string, prompt string")
     assert ask(df, lambda p, w: [f"{a}/{b}" for a, b in zip(p, w)]).first()["raw"] == "x/p"

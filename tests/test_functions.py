@@ -71,3 +71,9 @@ def test_settings():
         pass
     else:
         raise AssertionError
+
+
+def test_known_names_stay_whole(spark):
+    df = spark.createDataFrame([("我和小明去New York, in (a) inn; new yorker C++",)], "t string")
+    assert df.select(text.words(F.col("t"), ["小明", "New York", "in", "C++", " "]).alias("w")).first()["w"] == ["我和", "小明", "去", "new york", "in", "a", "inn", "new", "yorker", "c++"]
+    assert df.select(text.topic_words(F.col("t"), names=["小明"]).alias("w")).first()["w"] == ["我和", "小明", "去new", "york", "inn", "new", "yorker"]
