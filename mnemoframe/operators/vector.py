@@ -36,9 +36,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, least: float | None =
     Queries are few and travel to the vectors.
     """
     q = queries.select("query_id", "persona_id", F.col("embedding").alias("_q"))
-    found = vectors.join(q, "persona_id").withColumn("sim", dot(F.col("embedding"), F.col("_q")))
+    found = vectors.join(q, "persona_id")
     if only is not None:
         found = found.join(only.select("query_id", "card_id"), ["query_id", "card_id"], "left_semi")
+    found = found.withColumn("sim", dot(F.col("embedding"), F.col("_q")))
     if least is not None:
         found = found.filter(F.col("sim") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "card_id")
