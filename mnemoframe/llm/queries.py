@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, hostpaths, langid, lattice, mixing, sharding, simhash, suffixes, tokenids
+from . import decontaminate, exact, hostpaths, langid, lattice, mixing, normsearch, pivots, recompression, sharding, simhash, suffixes, tokenids
 from ._common import table
 
 
@@ -68,6 +68,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return normsearch.hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,10 +99,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_codes": op8_token_codes,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 SQL: dict[str, str] = {
     "op2_mix_sources": mixing.SQL_PLAN.format(docs="documents") + "SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken FROM mixed",
     "op5_exact_dedup": exact.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_hard_negatives": normsearch.SQL,
+    "op12_collocations": pivots.SQL,
+    "op13_substring_dedup": recompression.SQL,
 }
