@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark setting: shuffle files of a query are deleted at its end, not when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,10 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written as a Parquet table in the shared folder and reread: cuts the lineage and survives lost executors."""
+    """df written as a Parquet table in the shared folder and reread: cuts the lineage and survives lost executors.
+
+    The write's shuffle files go when it is done, as nothing reads them any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnemoframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches
+from ._common import bound_batches, stored
 
 LENGTH, ROUNDS = 13, 2
 #: Bytes of text that are named at once, and words that are parsed at once.
@@ -326,7 +326,7 @@ def remove(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE, share: i
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = repeats(docs, length, sample, share)
+    found = stored(repeats(docs, length, sample, share), "spans")
     per_doc = found.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
     both = rows.join(per_doc, (rows["doc_id"] == per_doc["d"]) & (rows["key"] == per_doc["k"]), "left").select("doc_id", "text", "spans")
