@@ -84,13 +84,17 @@ def overlap_score(query_tokens: Column, card_tokens: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    low = F.lower(c)
-    return F.array_distinct(F.when(F.length(low) < 2, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2)))))
+    """Set of the pairs of neighbouring characters, lower-cased; a shorter text is its own only pair."""
+    chars = F.regexp_extract_all(F.lower(c), F.lit("(?s)."), F.lit(0))
+    pairs = F.filter(F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars), F.lit(1))), lambda x, y: F.concat(x, y)), lambda p: p.isNotNull())
+    return F.when(F.length(c) < 2, F.array(F.lower(c))).otherwise(F.array_distinct(pairs))
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the character pairs of two texts."""
-    return F.size(F.array_intersect(bigrams(a), bigrams(b))) / F.size(F.array_union(bigrams(a), bigrams(b)))
+    """Jaccard similarity of the character pairs of two texts, in time linear in their lengths."""
+    sides = F.array(F.struct(bigrams(a).alias("a"), bigrams(b).alias("b")))
+    sizes = F.transform(sides, lambda s: F.struct((F.size(s["a"]) + F.size(s["b"])).alias("all"), F.size(F.array_intersect(s["a"], s["b"])).alias("both")))
+    return F.element_at(F.transform(sizes, lambda s: s["both"] / (s["all"] - s["both"])), 1)
 
 
 def strip_think(c: Column) -> Column:
