@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import retention_months, strip, strip_think
+from .text import DEFAULT_MONTHS, RETENTION_MONTHS, retention_months, strip, strip_think
 
 # Markers and field names of the reply formats.
 MEMORY_MARK = r"===\s*回忆\s*[0-9]+\s*==="
@@ -139,3 +142,65 @@ def filter_reply(raw: Column, candidates: Column) -> Column:
         .when(words != "", out("search", none, words)).when(F.size(named(text)) > 0, out("keep", named(text)))
         .when(text.isin(*REPLY_NOTHING), out("keep", none)).otherwise(out("unknown", none))
     )
+
+
+def read_fields(block: str, names: tuple[tuple[str, str], ...]) -> dict[str, str]:
+    """fields() of one block, for table functions."""
+    out: dict[str, str] = {}
+    key = None
+    for line in map(str.strip, block.split("\n")):
+        hit = next(((shown, name) for shown, name in names if line[len(shown) : len(shown) + 1] in (":", "：") and line.startswith(shown)), None)
+        if hit:
+            key = hit[1]
+            out[key] = line[len(hit[0]) + 1 :].strip()
+        elif key and line:
+            out[key] += "\n" + line
+    return {k: v.strip() for k, v in out.items()}
+
+
+def _reply_blocks(raw: str | None, keep: str, drop: tuple[str, ...], none: tuple[str, ...]) -> list[str]:
+    reply = re.sub(r"(?s)<think>.*?</think>", "", raw or "").strip()
+    if "===" not in reply and any(n in reply for n in none):
+        return []
+    for mark in drop:
+        reply = re.split(mark, reply)[0]
+    return [b for b in map(str.strip, re.split(keep, reply)) if b]
+
+
+class Harvest:
+    """Table function: the memories of a reply; the same rows as memories()."""
+
+    def eval(self, raw: str) -> Iterator[tuple]:
+        for pos, block in enumerate(_reply_blocks(raw, MEMORY_MARK, (CORRECTION_MARK, FACT_MARK), ("无回忆", "无事件"))):
+            f = read_fields(block, MEMORY_FIELDS)
+            if f.get("record"):
+                yield pos, f["record"], f.get("subject"), f.get("topic"), self.months(f)
+
+    @staticmethod
+    def months(f: dict[str, str]) -> float:
+        def number(text: str, other: float) -> float:
+            try:
+                return float(text)
+            except ValueError:
+                return other
+
+        if "retention_raw" in f:
+            return next((m for label, m in RETENTION_MONTHS if label in f["retention_raw"].lower()), number(f["retention_raw"], DEFAULT_MONTHS))
+        weight = number(f.get("importance", "0.5"), 0.5)
+        return DEFAULT_MONTHS if "importance" not in f or 0.4 <= weight < 0.8 else 60.0 if weight >= 0.8 else 1.0
+
+
+class HarvestCorrections:
+    """Table function: the corrections of a reply; the same rows as corrections()."""
+
+    def eval(self, raw: str) -> Iterator[tuple]:
+        for pos, block in enumerate(_reply_blocks(raw, CORRECTION_MARK, (FACT_MARK,), ("无回忆", "无事件", "无纠正"))):
+            f = read_fields(block, CORRECTION_FIELDS)
+            if f.get("original") or f.get("user_said"):
+                yield pos, *(f.get(k) for k in ("original", "user_said", "nature", "seq_ref"))
+
+
+def register(spark: SparkSession) -> None:
+    """SQL table functions of one reply: harvest(raw) and harvest_corrections(raw)."""
+    spark.udtf.register("harvest", F.udtf(Harvest, returnType="pos int, record string, subject string, topic string, retention double"))
+    spark.udtf.register("harvest_corrections", F.udtf(HarvestCorrections, returnType="pos int, original string, user_said string, nature string, seq_ref string"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +23,15 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 def match_names(queries: DataFrame, names: DataFrame, frequency: DataFrame) -> DataFrame:
     """(query_id, persona_id, name, phase, at, pos): names of summaries that a question touches, distinct and in order.
 
-    (a) a token is the name; (b) a rare name occurs in the text, an ASCII one as a whole word; (c) a token is the end of a
-    longer name. Suffixes of names are spread out, so (c) is an equi-join.
+    (a) a token is the name; (b) a rare name that isn't all ASCII occurs in the text, however that is cut into words (an ASCII one must
+    be a token, so it's among (a)); (c) a token is the end of a longer name. Suffixes of names are spread out, so (c) is an equi-join.
     """
     tokens = query_tokens(queries)
     names = names.select("persona_id", "name").distinct()
     a = tokens.join(names, (tokens["persona_id"] == names["persona_id"]) & (tokens["token"] == names["name"])).select("query_id", tokens["persona_id"], "name", F.lit(0).alias("phase"), F.col("at").cast("long").alias("at"))
-    rare = graph.summary_gate(names, frequency).filter((F.col("gf") < graph.NAME_FREQUENCY) & (F.length("name") >= 2)).select("persona_id", "name")
+    rare = graph.summary_gate(names.filter(~F.col("name").rlike(r"^[\x00-\x7F]+$")), frequency).filter((F.col("gf") < graph.NAME_FREQUENCY) & (F.length("name") >= 2)).select("persona_id", "name")
     low = queries.select("query_id", "persona_id", F.lower("text").alias("text")).join(rare, "persona_id")
-    whole = F.rlike("text", F.concat(F.lit("(?<![a-z0-9])\\Q"), "name", F.lit("\\E(?![a-z0-9])")))
-    b = low.filter(F.when(F.col("name").rlike("^[\\x00-\\x7F]+$"), whole).otherwise(F.contains("text", F.col("name")))).select("query_id", "persona_id", "name", F.lit(1).alias("phase"), F.lit(0).cast("long").alias("at"))
+    b = low.filter(F.contains("text", F.col("name"))).select("query_id", "persona_id", "name", F.lit(1).alias("phase"), F.lit(0).cast("long").alias("at"))
     ends = names.select("persona_id", "name", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("name"), F.lit(2))), lambda i: F.substr("name", i))).alias("token")).filter("token <> '' AND token <> name")
     c = tokens.join(ends, ["persona_id", "token"]).select("query_id", "persona_id", "name", F.lit(2).alias("phase"), F.col("at").cast("long").alias("at"))
     first = a.unionByName(b).unionByName(c).groupBy("query_id", "persona_id", "name").agg(F.min(F.struct("phase", "at")).alias("f"))
@@ -82,20 +80,21 @@ def region(
     rows = pages.select("query_id", "persona_id", "card_id", "content", F.lit(0).alias("t"), (F.col("g") * 1000 + F.col("pos")).cast("int").alias("rank"))
     rows = rows.unionByName(hits.select("query_id", "persona_id", "card_id", "content", "t", F.col("rank").cast("int")))
 
-    def choose(t: pa.Table) -> pa.Table:
-        out, seen, per = [], set(), {}
-        for row in sorted(t.to_pylist(), key=lambda r: (r["t"], r["rank"], r["card_id"])):
-            k = row["t"]
-            if len(out) < budget and row["card_id"] not in seen and (k == 0 or per.get(k, 0) < PER_TERM):
-                seen.add(row["card_id"])
-                per[k] = per.get(k, 0) + 1
-                out.append({"query_id": row["query_id"], "persona_id": row["persona_id"], "rank": len(out) + 1, "card_id": row["card_id"], "source": "fts" if k else "summary", "content": row["content"]})
-        kinds = pa.schema([t.schema.field("query_id"), ("persona_id", pa.string()), ("rank", pa.int32()), ("card_id", pa.string()), ("source", pa.string()), ("content", pa.string())])
-        return pa.Table.from_pylist(out, kinds)
-
-    # a question has some tens of rows at most: SCAN per term
-    kind = queries.schema["query_id"].dataType.simpleString()
-    return rows.groupBy("query_id").applyInArrow(choose, f"query_id {kind}, persona_id string, rank int, card_id string, source string, content string")
+    # a question has some tens of rows at most, SCAN per term: one fold over them in order
+    each = F.struct("t", "rank", "card_id", "content")
+    state = "struct<seen:array<string>,t:int,taken:int,out:array<struct<card_id:string,source:string,content:string>>>"
+
+    def choose(s: Column, row: Column) -> Column:
+        taken = F.when(s["t"] == row["t"], s["taken"]).otherwise(0)
+        fits = (F.size(s["out"]) < budget) & ~F.array_contains(s["seen"], row["card_id"]) & ((row["t"] == 0) | (taken < PER_TERM))
+        more = F.array(F.struct(row["card_id"].alias("card_id"), F.when(row["t"] == 0, "summary").otherwise("fts").alias("source"), row["content"].alias("content")))
+        with_it = F.struct(F.concat(s["seen"], F.array(row["card_id"])).alias("seen"), row["t"].alias("t"), (taken + 1).alias("taken"), F.concat(s["out"], more).alias("out"))
+        without = F.struct(s["seen"].alias("seen"), row["t"].alias("t"), taken.alias("taken"), s["out"].alias("out"))
+        return F.when(fits, with_it.cast(state)).otherwise(without.cast(state))
+
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(-1).alias("t"), F.lit(0).alias("taken"), F.array().cast("array<struct<card_id:string,source:string,content:string>>").alias("out")).cast(state)
+    chosen = rows.groupBy("query_id", "persona_id").agg(F.sort_array(F.collect_list(each)).alias("r")).select("query_id", "persona_id", F.posexplode(F.aggregate("r", start, choose, lambda s: s["out"])).alias("at", "c"))
+    return chosen.select("query_id", "persona_id", (F.col("at") + 1).alias("rank"), "c.card_id", "c.source", "c.content")
 
 
 def prompt(chosen: DataFrame, cards: DataFrame, now: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.functions import parsing, text
+from mnemoframe.functions import text
 from mnemoframe.operators import activation, expand, fts, graph, maintain, region, store, vector
 from mnemoframe.operators.index import Index, shared_dir
 from mnemoframe.sources import cards as C
@@ -418,7 +418,7 @@ MATCH = PARTNERS + f""",
 written AS (SELECT persona_id, node_name AS name, content AS text FROM summaries WHERE content <> ''),
 m0 AS (SELECT q.query_id, q.persona_id, name, 0 AS phase, nth FROM qtok q JOIN written s ON s.persona_id = q.persona_id AND s.name = q.token
   UNION ALL SELECT p.query_id, p.persona_id, s.name, 1, 0 FROM probes p JOIN written s USING (persona_id) JOIN gated g ON g.persona_id = s.persona_id AND g.name = s.name WHERE g.gf < 100 AND length(s.name) >= 2
-    AND CASE WHEN regexp_full_match(s.name, '[\\x00-\\x7F]+') THEN regexp_matches(lower(p.text), '(^|[^a-z0-9])' || s.name || '($|[^a-z0-9])') ELSE contains(lower(p.text), s.name) END
+    AND NOT regexp_full_match(s.name, '[\\x00-\\x7F]+') AND contains(lower(p.text), s.name)
   UNION ALL SELECT q.query_id, q.persona_id, name, 2, nth FROM qtok q JOIN written s ON s.persona_id = q.persona_id AND ends_with(s.name, q.token) AND s.name <> q.token),
 matched AS (SELECT query_id, persona_id, name, f.phase AS phase, row_number() OVER (PARTITION BY query_id ORDER BY f.phase, f.nth, name) AS pos FROM (SELECT query_id, persona_id, name, min({{'phase': phase, 'nth': nth}}) AS f FROM m0 GROUP BY ALL))"""
 
@@ -439,78 +439,42 @@ def region_assoc(spark, d):
     return region.associate(g.probes, region.match_names(g.probes, names, g.freq), names, g.adj, g.nodes, g.size).withColumn("pmi", r6("pmi"))
 
 
-@query("region_cards")
+REGION = MATCH + ",\n" + INDEX[len(CARDS) + 2 :].split("qterms AS")[0] + """assoc AS (SELECT query_id, persona_id, name, row_number() OVER (PARTITION BY query_id ORDER BY round(pmi, 9) DESC, f, name) AS pos FROM (
+  SELECT q.query_id, q.persona_id, dst AS name, max(pmi) AS pmi, min({'nth': nth, 'rank': rank}) AS f FROM qtok q JOIN (SELECT *, row_number() OVER (PARTITION BY persona_id, src ORDER BY round(pmi, 9) DESC, w DESC, dst) AS rank FROM partner WHERE pmi >= 1) p ON p.persona_id = q.persona_id AND p.src = q.token
+  WHERE rank <= 5 AND EXISTS (SELECT 1 FROM written s WHERE s.persona_id = q.persona_id AND s.name = dst) AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.query_id = q.query_id AND m.name = dst) GROUP BY ALL)),
+named AS (SELECT query_id, persona_id, name, 0 AS g, pos FROM matched UNION ALL SELECT query_id, persona_id, name, 1, pos FROM assoc WHERE pos <= 2),
+pages AS (SELECT query_id, n.persona_id, 'summary_' || n.name AS card_id, '[' || n.name || '] ' || text AS content, 0 AS t, g * 1000 + pos AS rank FROM named n JOIN written w ON w.persona_id = n.persona_id AND w.name = n.name),
+asked AS (SELECT query_id, persona_id, term, row_number() OVER (PARTITION BY query_id ORDER BY g, x, term) AS t FROM (SELECT query_id, persona_id, name AS term, 0 AS g, pos AS x FROM matched
+  UNION ALL SELECT query_id, persona_id, token, 1, nth FROM qtok q WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.query_id = q.query_id AND n.name = q.token))),
+dfs AS (SELECT persona_id, term, count(*) AS df FROM postings GROUP BY ALL),
+hits AS (SELECT query_id, a.persona_id, p.card_id, t, row_number() OVER (PARTITION BY query_id, t ORDER BY round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9) DESC, p.card_id) AS rank
+  FROM asked a JOIN postings p ON p.persona_id = a.persona_id AND p.term = a.term JOIN dfs d ON d.persona_id = a.persona_id AND d.term = a.term JOIN corpus c ON c.persona_id = a.persona_id),
+offered AS (SELECT query_id, persona_id, card_id, content, t, rank FROM pages UNION ALL SELECT query_id, h.persona_id, card_id, content, t, rank FROM hits h JOIN cards c ON c.persona_id = h.persona_id AND c.id = h.card_id WHERE rank <= 20 AND NOT legacy AND trim(content) <> ''),
+lined AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY t, rank, card_id) AS i FROM offered),
+chosen AS (SELECT query_id, 0 AS i, [] :: VARCHAR[] AS seen, -1 AS t, 0 AS taken, NULL :: VARCHAR AS got FROM (SELECT DISTINCT query_id FROM lined)
+  UNION ALL SELECT query_id, l.i, CASE WHEN fits THEN list_append(seen, card_id) ELSE seen END, l.t, CASE WHEN fits THEN l.before + 1 ELSE l.before END, CASE WHEN fits THEN card_id END
+  FROM (SELECT c.query_id, l.i, l.t, card_id, seen, CASE WHEN c.t = l.t THEN taken ELSE 0 END AS before, len(seen) < 5 AND NOT list_contains(seen, card_id) AND (l.t = 0 OR CASE WHEN c.t = l.t THEN taken ELSE 0 END < 3) AS fits FROM chosen c JOIN lined l ON l.query_id = c.query_id AND l.i = c.i + 1) l),
+picked AS (SELECT l.query_id, l.persona_id, row_number() OVER (PARTITION BY l.query_id ORDER BY l.i) AS rank, l.card_id, CASE WHEN l.t = 0 THEN 'summary' ELSE 'fts' END AS source, l.content FROM chosen c JOIN lined l ON l.query_id = c.query_id AND l.i = c.i WHERE got IS NOT NULL)"""
+_RECURSIVE = lambda sql: f"WITH RECURSIVE {REGION}\n{sql}"
+
+
+@query("region_cards", _RECURSIVE("SELECT query_id, persona_id, CAST(rank AS INTEGER) AS rank, card_id, source FROM picked"))
 def region_cards(spark, d):
     g = _Graph(spark, d)
     return region.region(g.probes, g.cards, g.summaries, g.adj, g.nodes, g.size, g.freq, index=g.index).select("query_id", "persona_id", "rank", "card_id", "source")
 
 
-@query("region_prompt")
+_AGO = """CASE WHEN days = 0 THEN CASE WHEN hours < 2 THEN ['刚才，', '刚刚，'][CAST(s % 2 + 1 AS INT)] ELSE '今天，' END WHEN days = 1 THEN '昨天，' WHEN days = 2 THEN ['前天，', '前两天，'][CAST(s % 2 + 1 AS INT)] WHEN days <= 4 THEN ['前几天，', '好几天前，'][CAST(s % 2 + 1 AS INT)]
+ WHEN days <= 7 THEN ['上' || ['周一', '周二', '周三', '周四', '周五', '周六', '周日'][CAST(isodow(created_at) AS INT)] || '，', '好几天前，', '前几天，'][CAST(s % 3 + 1 AS INT)] WHEN days <= 14 THEN ['上周，', '一两周前，'][CAST(s % 2 + 1 AS INT)] WHEN days <= 30 THEN ['几周前，', '大半个月前，', '半个多月前，'][CAST(s % 3 + 1 AS INT)]
+ WHEN days <= 60 THEN ['上个月，', '一个多月前，'][CAST(s % 2 + 1 AS INT)] WHEN days <= 120 THEN ['几个月前，', '两三个月前，'][CAST(s % 2 + 1 AS INT)] ELSE ['好几个月前，', '很久以前，', '很早之前，'][CAST(s % 3 + 1 AS INT)] END"""
+_TIMES = "SELECT id, created_at, floor((epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(created_at)) / 86400) AS days, (epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(created_at)) / 3600 AS hours, list_sum(list_transform(string_split(id, ''), lambda c: ascii(c))) AS s FROM cards"
+
+
+@query("region_prompt", _RECURSIVE(f"SELECT query_id, CAST(length(string_agg(CASE WHEN source = 'summary' THEN content ELSE '- ' || {_AGO} || content END, chr(10) ORDER BY rank)) AS INTEGER) AS chars, md5(string_agg(CASE WHEN source = 'summary' THEN content ELSE '- ' || {_AGO} || content END, chr(10) ORDER BY rank)) AS text_md5, string_agg(card_id, ',' ORDER BY rank) AS card_ids FROM picked LEFT JOIN ({_TIMES}) x ON x.id = card_id GROUP BY query_id"))
 def region_prompt(spark, d):
     g = _Graph(spark, d)
     chosen = region.region(g.probes, g.cards, g.summaries, g.adj, g.nodes, g.size, g.freq, index=g.index)
-    return region.prompt(chosen, g.cards, F.lit(NOW).cast("timestamp")).select("query_id", F.length("prompt_text").alias("chars"), F.array_join("card_ids", ",").alias("card_ids"))
-
-
-REPLIES = [
-    (1, "<think>hm</think>\n===回忆 1===\n话题: tea\n留存度: lasting\n内容: She likes green tea\nand oolong\n===回忆 2===\n内容：Moved to Lyon\n===纠正 1===\n原信息: lives in Paris\n她的说法: lives in Lyon\n性质: update"),
-    (2, "无回忆"),
-    (3, "===回忆 1===\n话题: work\n留存度: core\n===回忆 2===\n主体: Ann\n留存度: 12.5\n内容: Ann got a job\n===事实 1===\n内容: stray"),
-    (4, "===回忆 1===\n重要性: 0.9\n内容: old style\n===回忆 2===\n重要性: 0.1\n内容: small thing\n===纠正 1===\nU 的说法: it was May\n===纠正 2===\n性质: nothing"),
-]
-_VALUES = "replies AS (SELECT id, trim(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), chr(10) || ' ') AS raw FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in REPLIES) + ") r(id, raw))"
-_FIELD = "nullif(trim(regexp_extract(chr(10) || b, '(?s)\\n(?:{names})[:：](.*?)(?:\\n(?:内容|主体|话题|留存度|情绪强度|重要性|原信息|U 的说法|U的说法|她的说法|性质|涉及楼层)[:：]|$)', 1), chr(10) || ' '), '')"
-
-
-def _f(*names: str) -> str:
-    return _FIELD.replace("{names}", "|".join(names))
-
-
-@query("harvest_parse", f"""{_VALUES}, blocks AS (SELECT id, unnest(list_filter(list_transform(string_split_regex(string_split_regex(string_split_regex(raw, '===\\s*纠正\\s*[0-9]+\\s*===')[1], '===\\s*事实\\s*[0-9]+\\s*===')[1], '===\\s*回忆\\s*[0-9]+\\s*==='), lambda x: trim(x, chr(10) || ' ')), lambda x: x <> '')) AS b FROM replies WHERE NOT (contains(raw, '无回忆') AND NOT contains(raw, '===')))
-SELECT id, {_f('内容')} AS record, {_f('主体')} AS subject, {_f('话题')} AS topic, CAST(CASE WHEN {_f('留存度', '情绪强度')} IS NOT NULL THEN CASE WHEN contains({_f('留存度', '情绪强度')}, 'core') THEN -1 WHEN contains({_f('留存度', '情绪强度')}, 'lasting') THEN 60 ELSE coalesce(TRY_CAST({_f('留存度', '情绪强度')} AS DOUBLE), 8) END
-  WHEN {_f('重要性')} IS NULL THEN 8 WHEN CAST({_f('重要性')} AS DOUBLE) >= 0.8 THEN 60 WHEN CAST({_f('重要性')} AS DOUBLE) >= 0.4 THEN 8 ELSE 1 END AS DOUBLE) AS retention FROM blocks WHERE {_f('内容')} IS NOT NULL""".replace("replies AS", "WITH replies AS", 1))
-def harvest_parse(spark, d):
-    return parsing.memories(spark.createDataFrame(REPLIES, "id int, raw string")).drop("pos")
-
-
-@query("corrections_parse", f"""{_VALUES}, blocks AS (SELECT id, unnest(list_filter(list_transform(string_split_regex(string_split_regex(raw, '===\\s*事实\\s*[0-9]+\\s*===')[1], '===\\s*纠正\\s*[0-9]+\\s*==='), lambda x: trim(x, chr(10) || ' ')), lambda x: x <> '')) AS b FROM replies WHERE NOT (contains(raw, '无回忆') AND NOT contains(raw, '===')))
-SELECT id, {_f('原信息')} AS original, {_f('U 的说法', 'U的说法', '她的说法')} AS user_said, {_f('性质')} AS nature FROM blocks WHERE {_f('原信息')} IS NOT NULL OR {_f('U 的说法', 'U的说法', '她的说法')} IS NOT NULL""".replace("replies AS", "WITH replies AS", 1))
-def corrections_parse(spark, d):
-    return parsing.corrections(spark.createDataFrame(REPLIES, "id int, raw string")).drop("pos", "seq_ref")
-
-
-LABELS = [(1, "core"), (2, " Lasting memory"), (3, "passing"), (4, "fleeting"), (5, "12.5"), (6, "whatever"), (7, "")]
-
-
-@query("retention_parse", "SELECT id, CAST(CASE WHEN contains(v, 'core') THEN -1 WHEN contains(v, 'lasting') THEN 60 WHEN contains(v, 'passing') THEN 8 WHEN contains(v, 'fleeting') THEN 1 ELSE coalesce(TRY_CAST(v AS DOUBLE), 8) END AS DOUBLE) AS months FROM (SELECT id, lower(trim(v)) AS v FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in LABELS) + ") t(id, v))")
-def retention_parse(spark, d):
-    return spark.createDataFrame(LABELS, "id int, v string").select("id", text.retention_months(F.col("v")).alias("months"))
-
-
-SPLITS = [(1, "===persona===\nkind\n===user===\n无\n===relationship===\nclose friends"), (2, "===user===\nlikes tea\nand dogs"), (3, "nothing")]
-
-
-@query("portrait_split_parse", "SELECT id, " + ", ".join(f"nullif(nullif(trim(regexp_extract(raw, '(?s)==={p}===\\s*\\n(.*?)(?:\\n===|$)', 1), chr(10) || ' '), ''), '无') AS {p}" for p in ("persona", "user", "relationship")) + " FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in SPLITS) + ") t(id, raw)")
-def portrait_split_parse(spark, d):
-    return spark.createDataFrame(SPLITS, "id int, raw string").select("id", parsing.portrait_split(F.col("raw")).alias("s")).select("id", "s.*")
-
-
-JUDGED = [(1, "===暂存池判断===\n需要吸收: 是\n理由: much new"), (2, "需要吸收: 否"), (3, "===长期画像审查===\n需要更新: yes\n新画像: a calm person\n理由: steady"), (4, "===长期画像审查===\n需要更新: yes\n新画像: 无")]
-
-
-@query("review_parse", "SELECT * FROM (VALUES (1, true, 'much new', false, ''), (2, false, '', false, ''), (3, false, 'steady', true, 'a calm person'), (4, false, '', true, '')) t(id, absorb, reasoning, should_update, new_stable)")
-def review_parse(spark, d):
-    df = spark.createDataFrame(JUDGED, "id int, raw string")
-    return df.select("id", parsing.staging_judge(F.col("raw")).alias("a"), parsing.stable_review(F.col("raw")).alias("b")).select("id", F.col("a.should_rewrite").alias("absorb"), "a.reasoning", "b.should_update", "b.new_stable")
-
-
-KEEPS = [(1, "[保留] c_1, c_3"), (2, "[保留] 无"), (3, "[搜索] tea places\nmore"), (4, "c_2 fits, xc_1 not"), (5, "没有"), (6, "who knows")]
-
-
-@query("filter_reply_parse", "SELECT * FROM (VALUES (1, 'keep', 'c_1,c_3', NULL), (2, 'keep', '', NULL), (3, 'search', '', 'tea places'), (4, 'keep', 'c_2', NULL), (5, 'keep', '', NULL), (6, 'unknown', '', NULL)) t(id, type, ids, keywords)")
-def filter_reply_parse(spark, d):
-    df = spark.createDataFrame(KEEPS, "id int, raw string").withColumn("c", F.array(*[F.lit(f"c_{i}") for i in (1, 2, 3)]))
-    return df.select("id", parsing.filter_reply(F.col("raw"), F.col("c")).alias("a")).select("id", "a.type", F.array_join("a.ids", ",").alias("ids"), "a.keywords")
+    return region.prompt(chosen, g.cards, F.lit(NOW).cast("timestamp")).select("query_id", F.length("prompt_text").alias("chars"), F.md5("prompt_text").alias("text_md5"), F.array_join("card_ids", ",").alias("card_ids"))
 
 
 FIXES = "fixes AS (SELECT persona_id, min(seq) AS first, substr(arg_min(content, seq), 1, 12) AS original FROM cards WHERE NOT legacy AND length(content) >= 12 AND NOT contains(substr(content, 1, 12), chr(10)) GROUP BY ALL)"
@@ -658,13 +622,10 @@ def eval_metrics(spark, d):
     return m.select("queries", *[r6(c).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr")])
 
 
-@query("level_normalize", "SELECT * FROM (VALUES ('3', 3), ('m2', 2), ('1.7', 1), ('-4', 0), ('x', 0)) t(raw, level)")
-def level_normalize(spark, d):
-    df = spark.createDataFrame([("3",), ("m2",), ("1.7",), ("-4",), ("x",)], "raw string")
-    return df.select("raw", text.normalize_level(F.col("raw")).alias("level"))
-
-
 @query("error_windows", "SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS window_start, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL")
 def error_windows(spark, d):
     errors = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'")
     return error_rate(errors).select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "errors")
+
+
+from . import catalog_replies  # noqa: E402,F401  it registers its queries
