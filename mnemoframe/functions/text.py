@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words that carry no topic in English.
@@ -68,6 +68,11 @@ def topic_words(c: Column, stop: list[str] | None = None, names: Iterable[str] =
     return F.filter(words(c, names), lambda w: (F.length(w) >= 2) & ~w.isin(*stop) & ~w.rlike(r"^[0-9]+$"))
 
 
+def without_stop_words(rows: DataFrame, stop: DataFrame, word: str = "word") -> DataFrame:
+    """rows whose word isn't in the table ``stop`` (word), which may be of any size."""
+    return rows.join(stop.select(F.col("word").alias(word)).distinct(), word, "left_anti")
+
+
 def keyword_tokens(c: Column) -> Column:
     """Set of tokens for overlap: ASCII words of two characters and more, Han characters, and pairs of neighbouring Han characters."""
     text = F.coalesce(c, F.lit(""))

@@ -86,3 +86,9 @@ def entity_names(cards: DataFrame) -> DataFrame:
 def above(hits: DataFrame, least: float = 0.5) -> DataFrame:
     """Fallback of a candidate filter that failed: hits with enough energy."""
     return hits.filter(F.col("energy") >= least)
+
+
+def candidate_line() -> Column:
+    """How a candidate card is shown to the model that chooses."""
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.concat(F.lit("  id="), "id", F.lit(" (L"), F.coalesce("level", F.lit(0)), F.lit(") ["), some("subject"), F.lit("/"), some("topic"), F.lit("] "), some("content"))

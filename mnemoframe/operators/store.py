@@ -119,6 +119,11 @@ def reference(cards: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return out.withColumns({"last_referenced": F.when(hit, now).otherwise(F.col("last_referenced")), "reference_count": F.coalesce("reference_count", F.lit(0)) + hit.cast("long")}).select(*CARD.names)
 
 
+def by_id(cards: DataFrame, ids: DataFrame) -> DataFrame:
+    """The cards of (persona_id, id)."""
+    return cards.join(ids.select("persona_id", "id").distinct(), ["persona_id", "id"], "left_semi")
+
+
 def by_level(cards: DataFrame, level: int | None = None, least: int | None = None) -> DataFrame:
     cards = cards.filter("NOT coalesce(legacy, false)")
     cards = cards if level is None else cards.filter(F.col("level") == level)

@@ -599,11 +599,6 @@ def batch_update(spark, d):
     return store.update(cards, patch, F.lit(NOW).cast("timestamp")).select("id", "topic", F.col("last_updated").isNotNull().alias("touched"))
 
 
-@query("store_stats", "SELECT persona_id, count(*) AS total, CAST(sum(CASE WHEN legacy THEN 0 ELSE 1 END) AS BIGINT) AS active, CAST(0 AS BIGINT) AS total_links, false AS has_portrait FROM cards GROUP BY ALL", CARDS)
-def store_stats(spark, d):
-    return store.stats(_cards(spark, d))
-
-
 @query("level_counts", "SELECT persona_id, CAST(seq % 3 AS INT) AS level, count(*) AS n FROM cards WHERE NOT legacy GROUP BY ALL", CARDS)
 def level_counts(spark, d):
     return store.level_counts(_cards(spark, d).withColumn("level", (F.col("seq") % 3).cast("int")))
@@ -616,16 +611,10 @@ def portrait_tokens(spark, d):
     return region.portraits(cards).select("persona_id", "portrait_type", "card_id", "tokens")
 
 
-@query("eval_metrics", "SELECT count(*) AS queries, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN rank BETWEEN 1 AND 3 THEN 1.0 ELSE 0 END), 6) AS hit_3, round(avg(CASE WHEN rank BETWEEN 1 AND 5 THEN 1.0 ELSE 0 END), 6) AS hit_5, round(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END), 6) AS mrr FROM (SELECT doc_id % 8 AS rank FROM documents)")
-def eval_metrics(spark, d):
-    m = maintain.retrieval_metrics(spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 8).alias("rank")))
-    return m.select("queries", *[r6(c).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr")])
-
-
 @query("error_windows", "SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS window_start, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL")
 def error_windows(spark, d):
     errors = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'")
     return error_rate(errors).select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "errors")
 
 
-from . import catalog_replies  # noqa: E402,F401  it registers its queries
+from . import catalog_replies, catalog_store  # noqa: E402,F401  it registers its queries

@@ -13,7 +13,7 @@ from mnemoframe.functions import parsing
 from mnemoframe.functions.text import estimate_tokens, time_period, words
 from mnemoframe.operators import activation, expand, fts, graph, maintain, region, store, vector
 from mnemoframe.operators.index import Index
-from mnemoframe.sources.cards import CARD, conform
+from mnemoframe.sources.cards import CARD, conform, upsert_personas
 from mnemoframe.sources.config import Settings
 
 from .seams import Seams, ask, rerank
@@ -46,9 +46,7 @@ class MemoryEngine:
     def register_persona(self, persona_id: str, display_name: str = "", user_display_name: str = "", system_prompt: str = "") -> DataFrame:
         """Upsert; empty values leave what is there."""
         new = self.spark.createDataFrame([(persona_id, display_name or None, user_display_name or None, system_prompt or None)], PERSONA)
-        old = self.personas.load()
-        both = old.alias("o").join(new.alias("n"), "persona_id", "full")
-        self.personas.save(both.select("persona_id", *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in PERSONA.names[1:]]))
+        self.personas.save(upsert_personas(self.personas.load(), new))
         return self.personas.load()
 
     def names(self) -> DataFrame:
@@ -138,14 +136,14 @@ class MemoryEngine:
             known = self.spark.createDataFrame([(0, c) for c in pool], "query_id long, card_id string") if pool else None
             return self.hybrid_many(self.spark.createDataFrame([(0, persona_id, text)], "query_id long, persona_id string, text string"), now, 10, known)
 
-        info = self.store(persona_id).select("persona_id", F.col("id").alias("card_id"), "level", "subject", "topic", "content")
+        info = self.store(persona_id).select("persona_id", F.col("id").alias("card_id"), activation.candidate_line().alias("line"))
         pool: dict[str, str] = {}
         energy: dict[str, float] = {}
 
         def add(hits: DataFrame) -> None:
             for r in hits.join(info, ["persona_id", "card_id"]).orderBy("rank").collect():
                 energy.setdefault(r["card_id"], r["energy"])
-                pool.setdefault(r["card_id"], f"  id={r['card_id']} (L{r['level']}) [{r['subject']}/{r['topic']}] {r['content']}")
+                pool.setdefault(r["card_id"], r["line"])
 
         add(ask_for(query))
         kept = None

@@ -129,3 +129,7 @@ def of_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return conform(rows.withColumn("retention", retention).withColumn("legacy", F.coalesce(F.col("toxic"), F.lit(0)) == 1))
 
 
+def upsert_personas(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old personas with new ones put in; empty and null values leave what is there."""
+    both = old.alias("o").join(new.alias("n"), "persona_id", "full")
+    return both.select("persona_id", *[F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit("")), F.col(f"o.{c}")).alias(c) for c in old.columns if c != "persona_id"])

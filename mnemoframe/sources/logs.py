@@ -9,9 +9,11 @@ from collections import deque
 from contextvars import ContextVar
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Events kept in memory, bytes of a file and files kept, seconds in which errors count as recent.
+RECENT, MOST, KEEP, SECONDS = 200, 5_000_000, 3, 300
 SCHEMA = "ts double, module string, event string, trace_id string, data string"
 _TRACE: ContextVar[str] = ContextVar("trace", default="")
 
@@ -24,7 +26,7 @@ def new_trace_id() -> str:
 class FeatureLog:
     """The last ``size`` events in memory, and all in files of at most ``most`` bytes, ``keep`` of them."""
 
-    def __init__(self, path: str | None = None, size: int = 200, most: int = 5_000_000, keep: int = 3):
+    def __init__(self, path: str | None = None, size: int = RECENT, most: int = MOST, keep: int = KEEP):
         self.recent, self.path, self.most, self.keep = deque(maxlen=size), Path(path) if path else None, most, keep
 
     def add(self, module: str, event: str, **data) -> None:
@@ -50,6 +52,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
-def error_rate(events: DataFrame, ts: str = "ts", seconds: int = 300) -> DataFrame:
+def error_rate(events: DataFrame, ts: str = "ts", seconds: int = SECONDS) -> DataFrame:
     """Errors per window of ``seconds``; for batches and streams."""
     return events.groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("errors")).select(F.col("w.start").alias("window_start"), "errors")
+
+
+def recent_errors(errors: DataFrame, ts: str = "ts", seconds: int = SECONDS) -> DataFrame:
+    """errors plus ``recent``: how many of them, itself included, came in the ``seconds`` up to it.
+
+    Each error is put into the bucket of its time and, as context, into the next one, so buckets are counted side by side.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    bucket = F.floor(at / (seconds * 1_000_000))
+    rows = errors.withColumn("_at", at).withColumn("_own", bucket).withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
+    window = Window.partitionBy("_bucket").orderBy("_at").rangeBetween(1 - seconds * 1_000_000, 0)
+    return rows.withColumn("recent", F.count("*").over(window)).filter("_own = _bucket").drop("_at", "_own", "_bucket")
