@@ -24,6 +24,8 @@ SEED = 42
 BITS = 8
 #: Counters of shingles, by the top bits of their hashes, in chunks. They only set the order, so shared ones cost time, not pairs.
 COUNTERS, CHUNK = 1 << 22, 1 << 16
+#: Tasks that share the adding up of a chunk.
+SHARES = 64
 #: Neighbours in a bucket (by size) that are tried first; in larger buckets the rest is tried across what these connect.
 LAGS = 8
 #: A bucket of more sets is compared in tiles of two parts of this size.
@@ -97,16 +99,26 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
 def ranks(held: DataFrame) -> np.ndarray:
     """For each counter, a byte that grows with the logarithm of its count."""
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        for x in t["counts"]:
-            total += np.frombuffer(x.as_py(), np.uint8)
-        rank = np.minimum(255, 10 * np.log2(1 + total)).astype(np.uint8)
-        return pa.table({"chunk": t["chunk"][:1], "rank": pa.array([rank.tobytes()], pa.binary())})
+    def add(kind: type, out):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for b in batches:
+                for c, x in zip(b["chunk"].to_pylist(), b["counts"]):
+                    total[c] = total.get(c, 0) + np.frombuffer(x.as_py(), kind).astype(np.int64)
+            if total:
+                yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([out(x).tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
+        return run
+
+    def rank(x: np.ndarray) -> np.ndarray:
+        return np.minimum(255, 10 * np.log2(1 + x)).astype(np.uint8)
+
+    # added up in a tree: tasks stream over their share of a chunk's counts, then over the sums of the shares
+    counts = held.filter("chunk IS NOT NULL").select("chunk", "counts").repartition(F.col("chunk"), F.pmod(F.xxhash64("counts"), F.lit(SHARES)))
+    sums = counts.mapInArrow(add(np.uint8, lambda x: x), "chunk int, counts binary").repartition("chunk").mapInArrow(add(np.int64, rank), "chunk int, counts binary")
     out = np.zeros(COUNTERS, np.uint8)
-    for r in held.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, rank binary").collect():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["rank"], np.uint8)
+    for r in sums.collect():  # COUNTERS / CHUNK rows
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from mnemoframe.llm import mixing, sharding
 
 import corpus_pipeline
@@ -35,3 +37,14 @@ def test_pipeline_keeps_what_the_stages_keep(spark, docs, tmp_path):
     assert set(load) <= set(range(16)) and got.columns == [*docs.columns, "size", "shard"]
     assert len({(r["text"], r["shard"]) for r in got.collect()}) == len({r["text"] for r in got.collect()})
     assert sharding.assign(got.limit(0)).count() == 0
+
+
+def test_documents_without_any_language_and_empty_tables(spark, docs, nothing, tmp_path):
+    plain = docs.withColumn("lang", F.lit(None).cast("string")).withColumn("shard", F.lit("mine"))
+    kept = corpus_pipeline.language_id(spark, plain, str(tmp_path))
+    want = [r for r in plain.collect() if r["text"] is not None and any(c.isalpha() for c in r["text"])]
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in want) and kept.columns == plain.columns
+    for _, stage in corpus_pipeline.STAGES:
+        if stage is not corpus_pipeline.decontamination:
+            assert stage(spark, nothing, str(tmp_path)).count() == 0
+    assert corpus_pipeline.shards(spark, plain.filter("doc_id < 5"), str(tmp_path)).schema["shard"].dataType.simpleString() == "int"
