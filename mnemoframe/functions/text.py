@@ -68,6 +68,19 @@ def topic_words(c: Column, stop: list[str] | None = None, names: Iterable[str] =
     return F.filter(words(c, names), lambda w: (F.length(w) >= 2) & ~w.isin(*stop) & ~w.rlike(r"^[0-9]+$"))
 
 
+def term_counts(rows: DataFrame, tokens: Column) -> DataFrame:
+    """rows, once for each distinct one of their tokens, plus term, tf (how often it occurs in the row) and dl (all tokens).
+
+    The tokens are sorted inside the row and counted where their runs begin and end, so nothing is shuffled.
+    """
+    kept = rows.columns
+    out = rows.withColumn("_s", F.sort_array(tokens)).withColumn("dl", F.size("_s"))
+    begin = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (x != F.get("_s", i - 1)), i)), lambda i: i.isNotNull())
+    out = out.withColumn("_b", begin).withColumn("_e", F.slice(F.concat("_b", F.array("dl")), F.lit(2), F.size("_b")))
+    runs = F.zip_with("_b", "_e", lambda b, e: F.struct(F.get("_s", b).alias("term"), (e - b).cast("long").alias("tf")))
+    return out.select(*kept, "dl", F.explode(runs).alias("_r")).select(*kept, "_r.term", "_r.tf", "dl")
+
+
 def without_stop_words(rows: DataFrame, stop: DataFrame, word: str = "word") -> DataFrame:
     """rows whose word isn't in the table ``stop`` (word), which may be of any size."""
     return rows.join(stop.select(F.col("word").alias(word)).distinct(), word, "left_anti")

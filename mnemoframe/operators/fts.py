@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.functions.text import card_text, words
+from mnemoframe.functions.text import card_text, term_counts, words
 
 # BM25's parameters, and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -14,14 +14,14 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 def postings(cards: DataFrame, tokens: Column | None = None) -> DataFrame:
     """(persona_id, card_id, seq, term, tf, dl): the inverted index over content, keywords and tags."""
     tokens = words(card_text(F.coalesce("content", F.lit("")), F.col("keywords"), F.col("tags"))) if tokens is None else tokens
-    each = cards.select("persona_id", F.col("id").alias("card_id"), "seq", tokens.alias("t")).select("*", F.size("t").alias("dl"))
-    return each.select("persona_id", "card_id", "seq", "dl", F.explode("t").alias("term")).groupBy("persona_id", "card_id", "seq", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return term_counts(cards.select("persona_id", F.col("id").alias("card_id"), "seq", tokens.alias("t")), F.col("t")).select("persona_id", "card_id", "seq", "term", "tf", "dl")
 
 
-def sizes(cards: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """(persona_id, n, avgdl): cards and mean length per persona."""
-    tokens = words(card_text(F.coalesce("content", F.lit("")), F.col("keywords"), F.col("tags"))) if tokens is None else tokens
-    return cards.select("persona_id", F.size(tokens).alias("dl")).groupBy("persona_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def sizes(cards: DataFrame, tokens: Column | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(persona_id, n, avgdl): cards and mean length per persona; the lengths are taken from the cards' postings where there are some."""
+    counts = cards.groupBy("persona_id").agg(F.count("*").alias("n"))
+    found = (postings(cards, tokens) if index is None else index).groupBy("persona_id").agg(F.sum("tf").alias("_all"))
+    return counts.join(found, "persona_id", "left").select("persona_id", "n", (F.coalesce("_all", F.lit(0)) / F.col("n")).alias("avgdl"))
 
 
 def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, every: bool = True) -> DataFrame:

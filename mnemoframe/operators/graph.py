@@ -5,26 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.functions.text import ENGLISH_STOP_WORDS, norm_term, split_terms, topic_words
+from mnemoframe.functions.text import ENGLISH_STOP_WORDS, norm_term, split_terms, term_counts, topic_words
 
 # Terms taken from a card's content, nodes a card has at most, bounds of summaries and generic words.
 CONTENT_TERMS, CARD_NODES, NAME_FREQUENCY, SUMMARY_FREQUENCY = 12, 16, 100, 500
 
 
-def content_terms(cards: DataFrame, k: int = CONTENT_TERMS, tokens: Column | None = None) -> DataFrame:
-    """(persona_id, card_id, seq, term, rank): each card's k terms of highest tf * idf within its persona; ties by term."""
+def idf_table(cards: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """(term, idf): ln((n + 1) / (df + 1)) over all cards of all personas; the row with a null term is for terms that aren't there."""
     tokens = topic_words(F.col("content")) if tokens is None else tokens
-    tf = cards.select("persona_id", F.col("id").alias("card_id"), "seq", F.explode(tokens).alias("term")).groupBy("persona_id", "card_id", "seq", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("persona_id", "term").agg(F.count("*").alias("df"))
-    n = cards.groupBy("persona_id").agg(F.count("*").alias("n"))
-    weight = F.round(F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1)), 6)
+    n = cards.agg(F.count("*").alias("n"))
+    df = cards.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = df.unionByName(cards.sparkSession.createDataFrame([(None, 0)], "term string, df long"))
+    return df.join(F.broadcast(n)).select("term", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)), 9).alias("idf"))
+
+
+def content_terms(cards: DataFrame, k: int = CONTENT_TERMS, tokens: Column | None = None, idf: DataFrame | None = None) -> DataFrame:
+    """(persona_id, card_id, seq, term, rank): each card's k terms of highest tf * idf; ties by term.
+
+    idf: (term, idf) with a row of a null term for all others. A card's terms then depend on nothing but itself and the table.
+    Without one, a term's weight is its rarity within its persona's cards.
+    """
+    tokens = topic_words(F.col("content")) if tokens is None else tokens
+    tf = term_counts(cards.select("persona_id", F.col("id").alias("card_id"), "seq", tokens.alias("_t")), F.col("_t")).drop("_t", "dl")
+    if idf is None:
+        df = tf.groupBy("persona_id", "term").agg(F.count("*").alias("df"))
+        n = cards.groupBy("persona_id").agg(F.count("*").alias("n"))
+        weight = F.round(F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1)), 6)
+        scored = tf.join(df, ["persona_id", "term"]).join(n, "persona_id").withColumn("weight", weight)
+    else:
+        other = idf.filter("term IS NULL").agg(F.max("idf").alias("_other"))
+        scored = tf.join(idf.filter("term IS NOT NULL"), "term", "left").join(F.broadcast(other)).withColumn("weight", F.round(F.col("tf") * F.coalesce("idf", "_other", F.lit(0.0)), 6))
     order = Window.partitionBy("persona_id", "card_id").orderBy(F.desc("weight"), "term")
-    scored = tf.join(df, ["persona_id", "term"]).join(n, "persona_id").withColumn("weight", weight)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("persona_id", "card_id", "seq", "term", "rank")
 
 
 def ledger(cards: DataFrame, terms: DataFrame | None = None, stop: list[str] | None = None, most: int = CARD_NODES) -> DataFrame:
-    """(persona_id, card_id, seq, pos, node): distinct nodes of each card in order; first its subject's parts, then keywords, then content terms."""
+    """(persona_id, card_id, seq, pos, node, when): distinct nodes of each card in order; first its subject's parts, then keywords, then content terms. when: the card's time."""
     stop = ENGLISH_STOP_WORDS if stop is None else stop
     terms = content_terms(cards) if terms is None else terms
     named = F.concat(split_terms(F.col("subject")), F.flatten(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), split_terms)))
@@ -33,19 +50,25 @@ def ledger(cards: DataFrame, terms: DataFrame | None = None, stop: list[str] | N
     each = given.unionByName(found).withColumn("node", norm_term(F.col("raw"))).filter((F.length("node") >= 2) & ~F.col("node").isin(*stop))
     first = each.groupBy("persona_id", "card_id", "seq", "node").agg(F.min(F.struct("phase", "at")).alias("first"))
     order = Window.partitionBy("persona_id", "card_id").orderBy("first", "node")
-    return first.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("persona_id", "card_id", "seq", "pos", "node")
+    rows = first.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most)
+    times = cards.select("persona_id", F.col("id").alias("card_id"), F.col("created_at").alias("when"))
+    return rows.join(times, ["persona_id", "card_id"]).select("persona_id", "card_id", "seq", "pos", "node", "when")
+
+
+def _seen(led: DataFrame) -> Column:
+    return F.max("when" if "when" in led.columns else F.lit(None).cast("timestamp")).alias("last_seen")
 
 
 def nodes(led: DataFrame) -> DataFrame:
-    """(persona_id, name, df)."""
-    return led.groupBy("persona_id", F.col("node").alias("name")).agg(F.count_distinct("card_id").alias("df"))
+    """(persona_id, name, df, last_seen)."""
+    return led.groupBy("persona_id", F.col("node").alias("name")).agg(F.count_distinct("card_id").alias("df"), _seen(led))
 
 
 def edges(led: DataFrame) -> DataFrame:
-    """(persona_id, a, b, weight), a < b: cards that hold both. A card's few nodes are paired in place, without a join."""
-    per_card = led.groupBy("persona_id", "card_id").agg(F.array_sort(F.collect_set("node")).alias("ns"))
+    """(persona_id, a, b, weight, last_seen), a < b: cards that hold both. A card's few nodes are paired in place, without a join."""
+    per_card = led.groupBy("persona_id", "card_id").agg(F.array_sort(F.collect_set("node")).alias("ns"), _seen(led))
     pairs = F.flatten(F.transform("ns", lambda a, i: F.transform(F.slice("ns", i + 2, F.size("ns")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return per_card.select("persona_id", F.explode(pairs).alias("e")).groupBy("persona_id", F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.count("*").alias("weight"))
+    return per_card.select("persona_id", "last_seen", F.explode(pairs).alias("e")).groupBy("persona_id", F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.count("*").alias("weight"), F.max("last_seen").alias("last_seen"))
 
 
 def adjacency(e: DataFrame) -> DataFrame:
@@ -140,10 +163,10 @@ def summary_candidates(n: DataFrame, summaries: DataFrame, frequency: DataFrame,
     return gated.select("persona_id", "name", "df", "new", action.alias("action"))
 
 
-def add_news(summaries: DataFrame, led: DataFrame) -> DataFrame:
-    """summaries whose counters are raised by the cards of new cards' ledger rows; nodes without a summary are counted by their df."""
+def add_news(summaries: DataFrame, led: DataFrame, touched: bool = False) -> DataFrame:
+    """summaries whose counters are raised by the cards of new cards' ledger rows; nodes without a summary are counted by their df. touched: only those that are raised."""
     news = led.groupBy("persona_id", F.col("node").alias("node_name")).agg(F.count_distinct("card_id").alias("_news"))
-    out = summaries.join(news, ["persona_id", "node_name"], "left")
+    out = summaries.join(news, ["persona_id", "node_name"], "inner" if touched else "left")
     return out.withColumn("new_since_write", (F.coalesce("new_since_write", F.lit(0)) + F.coalesce("_news", F.lit(0))).cast("long")).select(*summaries.columns)
 
 

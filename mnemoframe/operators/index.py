@@ -49,12 +49,12 @@ class Index:
 
     @property
     def postings(self) -> DataFrame:
-        """All cards' postings, sorted by persona and term, so that a question reads few row groups."""
-        return self._table("postings", lambda: fts.postings(self.cards()).repartitionByRange("persona_id", "term").sortWithinPartitions("persona_id", "term"))
+        """All cards' postings, sorted by persona and term within files, so that a question reads few row groups."""
+        return self._table("postings", lambda: fts.postings(self.cards()).repartition("persona_id", "term").sortWithinPartitions("persona_id", "term"))
 
     @property
     def sizes(self) -> DataFrame:
-        return self._table("sizes", lambda: fts.sizes(self.cards()))
+        return self._table("sizes", lambda: fts.sizes(self.cards(), index=self.postings))
 
     @property
     def ledger(self) -> DataFrame:

@@ -201,6 +201,17 @@ class Table:
         g = self.generation
         return self._pointer(g)[1] if g else 0
 
+    def change(self, g: int) -> tuple[bool, DataFrame | None, DataFrame | None]:
+        """(whether it is a whole version, its rows, the keys that are gone) of what generation g changed in the texts; None for no such change."""
+        folder, texts = self._pointer(g)
+        whole = folder.startswith("v")
+        if texts != g:
+            return whole, None, None
+        if whole:
+            return True, self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}"), None
+        log = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("gone", T.BooleanType())])).parquet(f"{self.path}/{folder}")
+        return False, log.filter("NOT gone").drop("gone"), log.filter("gone").select(*self.keys)
+
     def _parts(self, g: int) -> tuple[str | None, list[str]]:
         """Folder of the last whole version up to generation g and those of the patches since, oldest first."""
         patches: list[str] = []

@@ -43,8 +43,8 @@ tdf AS (SELECT persona_id, term, count(*) AS df FROM tf GROUP BY ALL),
 cn AS (SELECT persona_id, count(*) AS n FROM cards GROUP BY ALL),
 terms AS (SELECT persona_id, card_id, seq, term, row_number() OVER (PARTITION BY persona_id, card_id ORDER BY round(tf * ln((n + 1) / (df + 1)), 6) DESC, term) AS pos FROM tf JOIN tdf USING (persona_id, term) JOIN cn USING (persona_id)),
 ledger AS (SELECT persona_id, card_id, seq, pos, term AS node FROM terms WHERE pos <= 12),
-nodes AS (SELECT persona_id, node AS name, count(DISTINCT card_id) AS df FROM ledger GROUP BY ALL),
-edges AS (SELECT a.persona_id, a.node AS a, b.node AS b, count(*) AS weight FROM ledger a JOIN ledger b ON a.persona_id = b.persona_id AND a.card_id = b.card_id AND a.node < b.node GROUP BY ALL),
+nodes AS (SELECT persona_id, node AS name, count(DISTINCT card_id) AS df, 1704067200 + 3600 * max(seq) AS last_seen FROM ledger GROUP BY ALL),
+edges AS (SELECT a.persona_id, a.node AS a, b.node AS b, count(*) AS weight, 1704067200 + 3600 * max(a.seq) AS last_seen FROM ledger a JOIN ledger b ON a.persona_id = b.persona_id AND a.card_id = b.card_id AND a.node < b.node GROUP BY ALL),
 adj AS (SELECT persona_id, a AS src, b AS dst, weight AS w FROM edges UNION ALL SELECT persona_id, b, a, weight FROM edges),
 size AS (SELECT persona_id, count(DISTINCT card_id) AS n FROM ledger GROUP BY ALL),
 freq AS (SELECT term AS word, count(*) AS gf FROM tokens GROUP BY ALL),
@@ -176,22 +176,22 @@ def text_fuzzy_ratio(spark, d):
 
 @query("graph_nodes", "SELECT * FROM nodes", GRAPH)
 def graph_nodes(spark, d):
-    return _Graph(spark, d).nodes
+    return _Graph(spark, d).nodes.withColumn("last_seen", F.unix_seconds("last_seen"))
 
 
 @query("graph_edges", "SELECT * FROM edges", GRAPH)
 def graph_edges(spark, d):
-    return _Graph(spark, d).edges
+    return _Graph(spark, d).edges.withColumn("last_seen", F.unix_seconds("last_seen"))
 
 
 @query("graph_top_nodes", "SELECT * FROM top WHERE rank <= 5", GRAPH)
 def graph_top_nodes(spark, d):
-    return graph.top_nodes(_Graph(spark, d).nodes, 5)
+    return graph.top_nodes(_Graph(spark, d).nodes, 5).drop("last_seen")
 
 
 @query("graph_top_edges", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY weight DESC, a, b) AS rank FROM edges) WHERE rank <= 5", GRAPH)
 def graph_top_edges(spark, d):
-    return graph.top_edges(_Graph(spark, d).edges, 5)
+    return graph.top_edges(_Graph(spark, d).edges, 5).withColumn("last_seen", F.unix_seconds("last_seen"))
 
 
 @query("graph_neighbors", "SELECT * FROM near WHERE rank <= 10", GRAPH)
@@ -203,7 +203,7 @@ def graph_neighbors(spark, d):
 @query("graph_node_dfs", "SELECT persona_id, name, df FROM nodes JOIN (SELECT persona_id, src AS name FROM src) USING (persona_id, name)", GRAPH)
 def graph_node_dfs(spark, d):
     g = _Graph(spark, d)
-    return graph.node_dfs(g.nodes, g.src.withColumnRenamed("src", "name"))
+    return graph.node_dfs(g.nodes, g.src.withColumnRenamed("src", "name")).drop("last_seen")
 
 
 @query("graph_stats", "SELECT persona_id, n AS nodes, e AS edges, p AS postings, c AS cards FROM (SELECT persona_id, count(*) AS n FROM nodes GROUP BY ALL) JOIN (SELECT persona_id, count(*) AS e FROM edges GROUP BY ALL) USING (persona_id) JOIN (SELECT persona_id, count(*) AS p, count(DISTINCT card_id) AS c FROM ledger GROUP BY ALL) USING (persona_id)", GRAPH)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from mnemoframe.functions import parsing
 from mnemoframe.functions.text import estimate_tokens, time_period, words
 from mnemoframe.operators import activation, expand, fts, graph, maintain, region, store, vector
-from mnemoframe.operators.index import Index
+from mnemoframe.operators.segments import Segments
 from mnemoframe.sources.cards import CARD, conform, upsert_personas
 from mnemoframe.sources.config import Settings
 
@@ -29,17 +29,17 @@ SUMMARY = T.StructType([
 class MemoryEngine:
     """Facade. ``now`` is a parameter of everything that depends on time, as a timestamp string."""
 
-    def __init__(self, spark: SparkSession, base_dir: str, seams: Seams | None = None, settings: Settings | None = None, frequency: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, base_dir: str, seams: Seams | None = None, settings: Settings | None = None, frequency: DataFrame | None = None, idf: DataFrame | None = None):
         self.spark, self.seams, self.settings = spark, seams or Seams(), settings or Settings()
         tables = (("cards", CARD, ("persona_id", "id")), ("summaries", SUMMARY, ("persona_id", "node_name")), ("personas", PERSONA, ("persona_id",)))
         self.cards, self.summaries, self.personas = (store.Table(spark, f"{base_dir.rstrip('/')}/{n}", s, k) for n, s, k in tables)
-        self._frequency = frequency
+        self._frequency, self._idf = frequency, idf
 
-    def index(self) -> Index:
-        """Stored postings, graph and vectors of the present texts of the cards."""
-        return Index(self.spark, f"{self.cards.path}/index/g{self.cards.texts}", self.cards.load, self.seams.encode)
+    def index(self) -> Segments:
+        """Stored postings, graph and vectors of the present texts of the cards; what changed since it was last asked for is added first."""
+        return Segments(self.spark, self.cards, self.seams.encode, self._idf).refresh()
 
-    def frequency(self, index: Index) -> DataFrame:
+    def frequency(self, index: Segments) -> DataFrame:
         """(word, gf): the given general frequencies, or the counts of all cards' words."""
         return index.frequency if self._frequency is None else self._frequency
 
@@ -206,14 +206,14 @@ class MemoryEngine:
         made = [r["id"] for r in new.select("id").collect()]
         if made:
             self.cards.patch(after.filter(F.col("last_updated") == stamp))  # the new and the corrected ones
-            self._news(self.spark.createDataFrame([(c,) for c in made], "card_id string"))
+            self._news(new.select("persona_id", F.col("id").alias("card_id")))
         return {"card_ids": made, "corrections": fixes.count() if made else 0, "events": [r.asDict() for r in events.collect()]}
 
     def _news(self, new: DataFrame) -> None:
-        """Raises the counters of the summaries of new cards' (card_id) nodes."""
+        """Raises the counters of the summaries of new cards' (persona_id, card_id) nodes; the index reads the new cards only."""
         summaries = self.summaries.load()
         if not summaries.isEmpty():
-            self.summaries.save(graph.add_news(summaries, self.index().ledger.join(new, "card_id", "left_semi")))
+            self.summaries.patch(graph.add_news(summaries, self.index().recorded(new), touched=True))
 
     def review(self, now: str, today: DataFrame | None = None, vectors: DataFrame | None = None) -> dict:
         """The nightly steps for all personas; a step that fails is reported and the next goes on (but for the daily summary).
@@ -307,7 +307,7 @@ class MemoryEngine:
         before = self.cards.generation
         out = self.cards.patch(self._fitting(conform(cards)))
         had = self.cards.load(before)
-        self._news(self.cards.load().join(had.select("persona_id", "id"), ["persona_id", "id"], "left_anti").select(F.col("id").alias("card_id")))
+        self._news(self.cards.load().join(had.select("persona_id", "id"), ["persona_id", "id"], "left_anti").select("persona_id", F.col("id").alias("card_id")))
         return out
 
 

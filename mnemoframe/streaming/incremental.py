@@ -20,13 +20,13 @@ def merge_graph(batch: DataFrame, batch_id: int, path: str) -> None:
 
 
 def merged_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """(persona_id, name, df) of all batches."""
-    return spark.read.parquet(f"{path}/nodes").groupBy("persona_id", "name").agg(F.sum("df").alias("df"))
+    """(persona_id, name, df, last_seen) of all batches."""
+    return spark.read.parquet(f"{path}/nodes").groupBy("persona_id", "name").agg(F.sum("df").alias("df"), F.max("last_seen").alias("last_seen"))
 
 
 def merged_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(persona_id, a, b, weight) of all batches."""
-    return spark.read.parquet(f"{path}/edges").groupBy("persona_id", "a", "b").agg(F.sum("weight").alias("weight"))
+    """(persona_id, a, b, weight, last_seen) of all batches."""
+    return spark.read.parquet(f"{path}/edges").groupBy("persona_id", "a", "b").agg(F.sum("weight").alias("weight"), F.max("last_seen").alias("last_seen"))
 
 
 def first_shown(shown: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
