@@ -110,7 +110,7 @@ def cards_for_nodes(led: DataFrame, lit: DataFrame, by: tuple[str, ...] = ("quer
     return led.join(lit, ["persona_id", "node"]).groupBy(*by, "card_id").agg(F.sum("weight").alias("score"))
 
 
-def cards_for_node(led: DataFrame, names: DataFrame, k: int) -> DataFrame:
+def cards_for_node(led: DataFrame, names: DataFrame, k: int | Column) -> DataFrame:
     """The newest k cards of each wanted (persona_id, node)."""
     found = led.join(names.select("persona_id", "node").distinct(), ["persona_id", "node"], "left_semi")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("persona_id", "node").orderBy(F.desc("seq"), "card_id"))).filter(F.col("rank") <= k)
@@ -211,7 +211,7 @@ def migrate_summaries(summaries: DataFrame, frequency: DataFrame) -> DataFrame:
     return summary_gate(some, frequency, "node_name").select("persona_id", "node_name", "content", "passes")
 
 
-def summary_inputs(led: DataFrame, cards: DataFrame, names: DataFrame, last: int = 50) -> DataFrame:
+def summary_inputs(led: DataFrame, cards: DataFrame, names: DataFrame, last: int | Column = 50) -> DataFrame:
     """(persona_id, node, n_cards, cards_text): the newest cards of each node, active ones only, as one text for a writer."""
     recent = cards_for_node(led, names, last)
     live = cards.filter("NOT coalesce(legacy, false)").select("persona_id", F.col("id").alias("card_id"), "content", "source_time")

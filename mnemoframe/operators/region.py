@@ -50,12 +50,12 @@ def associate(queries: DataFrame, matched: DataFrame, names: DataFrame, adj: Dat
 
 
 def region(
-    queries: DataFrame, cards: DataFrame, summaries: DataFrame, adj: DataFrame, n: DataFrame, size: DataFrame, frequency: DataFrame, budget: int = 5, excluded: DataFrame | None = None, portraits: bool = False,
+    queries: DataFrame, cards: DataFrame, summaries: DataFrame, adj: DataFrame, n: DataFrame, size: DataFrame, frequency: DataFrame, budget: int | Column = 5, excluded: DataFrame | None = None, portraits: bool = False,
     index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, persona_id, rank, card_id, source, content): node summaries first, then cards term by term, within the budget.
 
-    A term gives up to three live cards that no earlier term gave, of its 20 best by BM25. excluded: (query_id, card_id) not to show again,
+    budget: a number, or a Column of persona_id. A term gives up to three live cards that no earlier term gave, of its 20 best by BM25. excluded: (query_id, card_id) not to show again,
     "summary_<name>" for summaries. Portraits take part only if asked for. index: stored postings and sizes of the cards.
     """
     some = summaries.filter("coalesce(content, '') <> ''").select("persona_id", F.col("node_name").alias("name"), F.col("content").alias("text"))
@@ -86,14 +86,15 @@ def region(
 
     def choose(s: Column, row: Column) -> Column:
         taken = F.when(s["t"] == row["t"], s["taken"]).otherwise(0)
-        fits = (F.size(s["out"]) < budget) & ~F.array_contains(s["seen"], row["card_id"]) & ((row["t"] == 0) | (taken < PER_TERM))
+        fits = (F.size(s["out"]) < F.col("_budget")) & ~F.array_contains(s["seen"], row["card_id"]) & ((row["t"] == 0) | (taken < PER_TERM))
         more = F.array(F.struct(row["card_id"].alias("card_id"), F.when(row["t"] == 0, "summary").otherwise("fts").alias("source"), row["content"].alias("content")))
         with_it = F.struct(F.concat(s["seen"], F.array(row["card_id"])).alias("seen"), row["t"].alias("t"), (taken + 1).alias("taken"), F.concat(s["out"], more).alias("out"))
         without = F.struct(s["seen"].alias("seen"), row["t"].alias("t"), taken.alias("taken"), s["out"].alias("out"))
         return F.when(fits, with_it.cast(state)).otherwise(without.cast(state))
 
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(-1).alias("t"), F.lit(0).alias("taken"), F.array().cast("array<struct<card_id:string,source:string,content:string>>").alias("out")).cast(state)
-    chosen = rows.groupBy("query_id", "persona_id").agg(F.sort_array(F.collect_list(each)).alias("r")).select("query_id", "persona_id", F.posexplode(F.aggregate("r", start, choose, lambda s: s["out"])).alias("at", "c"))
+    offered = rows.groupBy("query_id", "persona_id").agg(F.sort_array(F.collect_list(each)).alias("r")).withColumn("_budget", F.lit(budget) if isinstance(budget, int) else budget)
+    chosen = offered.select("query_id", "persona_id", F.posexplode(F.aggregate("r", start, choose, lambda s: s["out"])).alias("at", "c"))
     return chosen.select("query_id", "persona_id", (F.col("at") + 1).alias("rank"), "c.card_id", "c.source", "c.content")
 
 

@@ -126,9 +126,10 @@ class Segments:
         plain = changed.filter("NOT coalesce(is_portrait, false)")
         self._write(folder, "ledger", graph.ledger(plain, graph.content_terms(plain, tokens=self.terms, idf=self.idf)).sortWithinPartitions("persona_id", "node"))
         new = {n: self.spark.read.parquet(f"{self.path}/{folder}/{n}") for n in ROWS}
-        old = {n: self._of(n, before, touched) for n in ROWS} if before else None
-        # cards that were there: their keys are in earlier segments and no later one has taken them out
-        had = self._of("keys", before, touched) if before else None
+        few = touched.limit(FEW + 1).collect() if before else []
+        # the rows of these cards that are valid so far, and the keys of those that were there
+        old = {n: self._of(n, before, touched, few) for n in ROWS} if before else None
+        had = self._of("keys", before, touched, few) if before else None
         for table, counts in self._deltas(keys, had, new, old).items():
             self._write(folder, table, counts)
         return folder
@@ -173,9 +174,8 @@ class Segments:
         rows = self.spark.read.parquet(f"{self.path}/{folder}/{name}")
         return rows.withColumnRenamed("id", "card_id") if name == "cards" else rows
 
-    def _of(self, name: str, folders: list[str], keys: DataFrame) -> DataFrame:
-        """The valid rows of some cards. A few are looked for by value, so that files and row groups without them aren't read."""
-        few = keys.limit(FEW + 1).collect()
+    def _of(self, name: str, folders: list[str], keys: DataFrame, few: list) -> DataFrame:
+        """The valid rows of some cards. Up to FEW are looked for by value, so that files and row groups without them aren't read."""
         rows = self._valid(name, folders)
         if len(few) <= FEW:
             rows = rows.filter(F.col("card_id").isin([r["card_id"] for r in few]))
@@ -262,7 +262,8 @@ class Segments:
     def recorded(self, cards: DataFrame) -> DataFrame:
         """Ledger rows of (persona_id, card_id)."""
         self._table("ledger")
-        return self._of("ledger", self.state()[2], cards.select(*KEYS).distinct())
+        keys = cards.select(*KEYS).distinct()
+        return self._of("ledger", self.state()[2], keys, keys.limit(FEW + 1).collect())
 
     def vacuum(self) -> None:
         """Delete the folders and pointers that the present state doesn't need."""

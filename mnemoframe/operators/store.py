@@ -157,6 +157,14 @@ def new_cards(events: DataFrame, now: Column, source: str = "harvest") -> DataFr
     )
 
 
+def as_portraits(cards: DataFrame, portraits: DataFrame) -> DataFrame:
+    """portraits (persona_id, portrait_type, content, ...) as cards: with id and seq of the active portrait of their persona and type, or p_<type> and 0."""
+    have = cards.filter("is_portrait AND NOT coalesce(legacy, false)").groupBy("persona_id", "portrait_type").agg(F.min(F.struct("seq", "id")).alias("_had"))
+    rows = portraits.drop("id", "seq").join(have, ["persona_id", "portrait_type"], "left")
+    named = {"id": F.coalesce("_had.id", F.concat(F.lit("p_"), "portrait_type")), "seq": F.coalesce("_had.seq", F.lit(0).cast("long")), "is_portrait": F.lit(True), "legacy": F.lit(False), "level": F.lit(2)}
+    return rows.withColumns(named).drop("_had")
+
+
 class Table:
     """Change log of one table under a folder: whole versions and, after them, the rows that changed since.
 

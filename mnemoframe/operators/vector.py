@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of one part when all pairs of a persona are compared.
 PART = 2000
+#: Queries of a block and vectors of a span, about, that a task compares.
+BLOCK, SPAN = 256, 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,33 +31,68 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.when(na == 0, 1.0).otherwise(na) * F.when(nb == 0, 1.0).otherwise(nb))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, only: DataFrame | None = None) -> DataFrame:
+def _array(t: pa.Table, column: str) -> pa.Array:
+    c = t[column].combine_chunks()
+    return c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c
+
+
+def _matrix(t: pa.Table, column: str) -> np.ndarray:
+    return _array(t, column).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(float)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, only: DataFrame | None = None, block: int = BLOCK, span: int = SPAN) -> DataFrame:
     """(query_id, persona_id, card_id, sim, rank): nearest unit vectors of the query's persona.
 
-    only: (query_id, card_id) to which a query is limited; the limit comes before the top k, so k are found if there are k.
-    Queries are few and travel to the vectors.
+    Blocks of queries meet spans of vectors, which are multiplied as matrices; a task keeps the first k of each query.
+    only: (query_id, card_id) to which a query is limited; the limit comes before the top k, so k are found if there are k, and
+    only these pairs are compared.
     """
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "card_id")
     q = queries.select("query_id", "persona_id", F.col("embedding").alias("_q"))
-    found = vectors.join(q, "persona_id")
     if only is not None:
-        found = found.join(only.select("query_id", "card_id"), ["query_id", "card_id"], "left_semi")
-    found = found.withColumn("sim", dot(F.col("embedding"), F.col("_q")))
+        found = only.select("query_id", "card_id").distinct().join(q, "query_id").join(vectors.select("persona_id", "card_id", "embedding"), ["persona_id", "card_id"])
+        found = found.withColumn("sim", dot(F.col("embedding"), F.col("_q"))).select("query_id", "persona_id", "card_id", "sim")
+    else:
+        parts = lambda df, size, name: df.groupBy("persona_id").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+        counts = parts(vectors, span, "spans").join(parts(q, block, "blocks"), "persona_id")
+        number = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        on = ["persona_id", "block", "span"]
+        left = q.join(counts, "persona_id").withColumn("block", number("query_id", "blocks")).withColumn("span", every("spans")).select(*on, "query_id", "_q")
+        right = vectors.join(counts, "persona_id").withColumn("span", number("card_id", "spans")).withColumn("block", every("blocks")).select(*[F.col(c).alias(f"_{c}") for c in on], "card_id", "embedding")
+
+        def compare(a: pa.Table, v: pa.Table) -> pa.Table:
+            which, cards, sims = [], [], []
+            if a.num_rows and v.num_rows:
+                ids = np.argsort(np.array(v["card_id"].to_pylist(), object), kind="stable")
+                sim = (_matrix(a, "_q") @ _matrix(v, "embedding").T)[:, ids]
+                shown = np.round(sim, 9)
+                for i in range(a.num_rows):
+                    first = np.argsort(-shown[i], kind="stable")[:k]
+                    which += [i] * len(first)
+                    cards += ids[first].tolist()
+                    sims += sim[i, first].tolist()
+            take = lambda t, c, at: _array(t, c).take(pa.array(at, pa.int64())) if t.num_rows else pa.nulls(0, t.schema.field(c).type)
+            return pa.table({"query_id": take(a, "query_id", which), "persona_id": take(a, "persona_id", which), "card_id": take(v, "card_id", cards), "sim": pa.array(sims, pa.float64())})
+
+        kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, persona_id string, card_id string, sim double"
+        found = left.groupBy(*on).cogroup(right.groupBy(*[f"_{c}" for c in on])).applyInArrow(compare, kinds)
     if least is not None:
         found = found.filter(F.col("sim") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "card_id")
-    return found.select("query_id", "persona_id", "card_id", "sim").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def pairs_over(vectors: DataFrame, least: float, part: int = PART) -> DataFrame:
-    """(persona_id, seq_a, seq_b, sim), seq_a < seq_b: pairs of unit vectors of a persona with sim >= least.
+def pairs_over(vectors: DataFrame, least: float | Column, part: int = PART) -> DataFrame:
+    """(persona_id, seq_a, seq_b, sim), seq_a < seq_b: pairs of unit vectors of a persona with sim >= least, a number or a Column of persona_id.
 
     A persona's vectors are dealt to parts by hash, and every two parts meet in a tile of their own, multiplied as matrices;
     only pairs over the threshold leave a tile.
     """
-    n = vectors.groupBy("persona_id").agg(F.count("*").alias("n"))
+    own = F.lit(float(least)) if isinstance(least, (int, float)) else least.cast("double")
+    n = vectors.groupBy("persona_id").agg(F.count("*").alias("n")).withColumn("_least", own)
     rows = vectors.select("persona_id", "seq", "embedding").join(n, "persona_id").withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = rows.select("persona_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "seq", F.col("embedding").cast("array<double>").alias("v"))
+    tiles = rows.select("persona_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_least", "seq", F.col("embedding").cast("array<double>").alias("v"))
 
     def compare(t: pa.Table) -> pa.Table:
         v = t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
@@ -64,9 +101,10 @@ def pairs_over(vectors: DataFrame, least: float, part: int = PART) -> DataFrame:
         left = np.flatnonzero(own == t["i"][0].as_py()) if cross else np.arange(t.num_rows)
         right = np.flatnonzero(own == t["j"][0].as_py()) if cross else left
         a, b, s = [], [], []
+        floor = t["_least"][0].as_py()
         for k in range(0, len(left), 500):
             sim = v[left[k : k + 500]] @ v[right].T
-            x, y = np.nonzero(sim >= least - 1e-9)
+            x, y = np.nonzero(sim >= floor - 1e-9)
             p, q = seq[left[k + x]], seq[right[y]]
             keep = p != q if cross else p < q
             a.append(np.minimum(p, q)[keep])
@@ -76,7 +114,7 @@ def pairs_over(vectors: DataFrame, least: float, part: int = PART) -> DataFrame:
         a, b, s = cat(a, np.int64), cat(b, np.int64), cat(s, float)
         return pa.table({"persona_id": pa.array([t["persona_id"][0].as_py()] * len(a), pa.string()), "seq_a": a, "seq_b": b, "sim": s})
 
-    return tiles.groupBy("persona_id", "i", "j").applyInArrow(compare, "persona_id string, seq_a long, seq_b long, sim double").filter(F.round("sim", 9) >= least)
+    return tiles.groupBy("persona_id", "i", "j").applyInArrow(compare, "persona_id string, seq_a long, seq_b long, sim double").filter(F.round("sim", 9) >= own)
 
 
 def superseded(cards: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -334,7 +334,7 @@ def _vectors(spark, d):
 def vector_topk(spark, d):
     v = _vectors(spark, d)
     q = v.filter("seq % 50 = 0").select(F.col("seq").alias("query_id"), "persona_id", "embedding")
-    return vector.top_k(v.repartition(8), q, 10).select("query_id", "card_id", r6("sim").alias("sim"), "rank")
+    return vector.top_k(v, q, 10).select("query_id", "card_id", r6("sim").alias("sim"), "rank")
 
 
 @query("vector_topk_filtered", """WITH s AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS card_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS sim
@@ -346,7 +346,7 @@ def vector_topk_filtered(spark, d):
     v = _vectors(spark, d)
     q = v.filter("seq % 50 = 0").select(F.col("seq").alias("query_id"), "persona_id", "embedding", "label")
     only = q.select("query_id", "label").join(v.select("card_id", "seq", "label"), "label").filter("query_id <> seq")
-    return vector.top_k(v.repartition(8), q, 10, only=only).select("query_id", "card_id", r6("sim").alias("sim"), "rank")
+    return vector.top_k(v, q, 10, only=only).select("query_id", "card_id", r6("sim").alias("sim"), "rank")
 
 
 _PAIRS = "pairs AS (SELECT a.vec_id AS seq_a, b.vec_id AS seq_b, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mnemoframe.functions import text
 from mnemoframe.operators import activation, fts, graph, maintain, store
 from mnemoframe.operators.index import shared_dir
+from mnemoframe.operators.segments import Segments
 from mnemoframe.sources import cards as C
 from mnemoframe.sources import logs
 
@@ -200,3 +201,47 @@ def portraits_rewritten(spark, d):
     texts = kinds.filter("k % 3 < 2").select("persona_id", "portrait_type", F.lit("mid").alias("new_mid"), F.when(F.col("k") % 3 == 1, F.concat(F.lit("new "), F.col("k").cast("string"))).alias("new_stable"), F.lit("because").alias("reasoning"))
     out = maintain.rewrite_portraits(have, texts, NOW)
     return out.select("persona_id", "portrait_type", "content", F.size("edit_history").alias("edits"), F.size("staging_pool").alias("pool"))
+
+
+GROWN = CARDS + f""",
+versions AS (SELECT 0 AS v, persona_id, id, seq, content, seq % 10 <> 1 AND seq % 5 <> 0 AS live FROM cards WHERE seq % 5 <> 4
+  UNION ALL SELECT 1, persona_id, id, seq, content || ' zebra zebra', true FROM cards WHERE seq % 5 = 0),
+vt AS (SELECT v, persona_id, id, seq, live, unnest(list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND NOT list_contains([{", ".join(f"'{w}'" for w in text.ENGLISH_STOP_WORDS)}], x) AND NOT regexp_full_match(x, '[0-9]+'))) AS term FROM versions),
+first_ AS (SELECT count(*) AS n FROM cards WHERE seq % 5 < 3),
+idf AS (SELECT term, count(DISTINCT id) AS df FROM vt WHERE v = 0 AND seq % 5 < 3 GROUP BY term),
+weighed AS (SELECT v, persona_id, id, seq, live, vt.term, round(count(*) * round(ln((n + 1) / (coalesce(any_value(df), 0) + 1)), 9), 6) AS weight FROM vt CROSS JOIN first_ LEFT JOIN idf ON idf.term = vt.term GROUP BY v, persona_id, id, seq, live, vt.term, n),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v, id ORDER BY weight DESC, term) AS pos FROM weighed) WHERE pos <= 12)"""
+
+
+_GROWN: dict[tuple[str, str], Segments] = {}
+
+
+def _grown(spark, d: str) -> Segments:
+    """An index that grew: three fifths of the cards first, then another fifth; then some are changed and some removed. Made once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _GROWN:
+        return _GROWN[key]
+    cards = _cards(spark, d)
+    table = store.Table(spark, f"{shared_dir(spark)}/mnemoframe-grown/{uuid.uuid4().hex}")
+    table.save(cards.filter("seq % 5 < 3"))
+    index = Segments(spark, table).refresh()
+    table.patch(cards.filter("seq % 5 = 3"))
+    table.patch(cards.filter("seq % 5 = 0").withColumn("content", F.concat("content", F.lit(" zebra zebra"))), cards.filter("seq % 10 = 1").select("persona_id", "id"))
+    _GROWN[key] = index.refresh()
+    return _GROWN[key]
+
+
+@query("segment_nodes", "SELECT persona_id, term AS name, count(*) FILTER (live) AS df, 1704067200 + 3600 * max(seq) AS last_seen FROM kept GROUP BY ALL HAVING count(*) FILTER (live) > 0", GROWN)
+def segment_nodes(spark, d):
+    return _grown(spark, d).nodes.withColumn("last_seen", F.unix_seconds("last_seen"))
+
+
+@query("segment_edges", "SELECT a.persona_id, a.term AS a, b.term AS b, count(*) FILTER (a.live) AS weight, 1704067200 + 3600 * max(a.seq) AS last_seen FROM kept a JOIN kept b ON a.v = b.v AND a.id = b.id AND a.term < b.term GROUP BY ALL HAVING count(*) FILTER (a.live) > 0", GROWN)
+def segment_edges(spark, d):
+    return _grown(spark, d).edges.withColumn("last_seen", F.unix_seconds("last_seen"))
+
+
+@query("segment_postings", """, every AS (SELECT persona_id, id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM versions WHERE live)
+SELECT persona_id, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT id) AS cards FROM (SELECT persona_id, id, term, count(*) AS tf FROM every GROUP BY ALL) GROUP BY ALL""", GROWN)
+def segment_postings(spark, d):
+    return _grown(spark, d).postings.groupBy("persona_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("card_id").alias("cards"))

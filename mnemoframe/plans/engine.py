@@ -65,7 +65,7 @@ class MemoryEngine:
     def retrieve_many(self, queries: DataFrame, now: str, excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(chosen rows, prompts) for queries (query_id, persona_id, text)."""
         cards, x = self.cards.load(), self.index()
-        budget = self.settings.get("retrieve.region_count") or 5
+        budget = F.coalesce(self.settings.column("retrieve.region_count").cast("int"), F.lit(5))
         chosen = region.region(queries, cards, self.summaries.load(), x.adjacency, x.nodes, x.size, self.frequency(x), budget, excluded, index=(x.postings, x.sizes))
         return chosen, region.prompt(chosen, cards, F.lit(now).cast("timestamp"))
 
@@ -77,14 +77,30 @@ class MemoryEngine:
         rows, text = chosen.orderBy("rank").collect(), prompts.first()
         return {"cards": [r.asDict() for r in rows], "card_ids": [r["card_id"] for r in rows], "prompt_text": text["prompt_text"] if text else "", "search_mode": "region", "total_raw": len(rows)}
 
-    def _channels(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-        """Hits (query_id, persona_id, card_id, score) by vectors, and by full text without legacy cards."""
-        x = self.index()
+    def _encodes(self) -> bool:
+        """Whether the encoder answers; where it doesn't, words are compared instead of vectors."""
+        if self.seams.encode is None:
+            return False
+        try:
+            self.seams.encode(["?"])
+        except Exception:  # noqa: BLE001  a host's model; the fallback is what the caller gets
+            return False
+        return True
+
+    def _channels(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, str]:
+        """Hits (query_id, persona_id, card_id, score) by vectors, or by shared words if there is no encoder, and by full text without legacy cards; the first one's kind."""
+        x, cards = self.index(), self.cards.load()
         each = queries.withColumn("part", F.row_number().over(Window.partitionBy("query_id").orderBy("text"))).select(F.struct("query_id", "part").alias("query_id"), "persona_id", "text")
-        near = vector.top_k(x.vectors, vector.embed(each, self.seams.encode), 3 * k).select("query_id.query_id", "persona_id", "card_id", F.col("sim").alias("score"))
+        if self._encodes():
+            near, kind = vector.top_k(x.vectors, vector.embed(each, self.seams.encode), 3 * k).withColumnRenamed("sim", "score"), "vector"
+        else:
+            near, kind = activation.keyword_fallback(cards, each, 3 * k), "keyword"
+        near = near.select("query_id.query_id", "persona_id", "card_id", "score")
+        if not self.settings.enabled("keyword_match"):
+            return near, near.limit(0), kind
         asked = each.select("query_id", "persona_id", words(F.col("text")).alias("terms"))
         literal = fts.bm25(x.postings, x.sizes, asked).select("query_id.query_id", "persona_id", "card_id", self.settings.column("retrieve.fts_score").alias("score"))
-        return near, activation.live_hits(literal, self.cards.load())
+        return near, activation.live_hits(literal, cards), kind
 
     def _activated(self, near: DataFrame, literal: DataFrame, now: str, excluded: DataFrame | None) -> DataFrame:
         cards = self.cards.load()
@@ -93,15 +109,18 @@ class MemoryEngine:
         return activation.spread(pool, activation.entity_names(cards))
 
     def search(self, persona_id: str, texts: list[str], now: str, k: int | None = None, excluded: set[str] | None = None) -> dict:
-        """Hybrid retrieval of one host call: ``cards`` (the best k), ``activated`` (up to 2 k), ``search_mode`` and ``total_raw``, the hits before the thresholds."""
+        """Hybrid retrieval of one host call: ``cards`` (the best k), ``activated`` (up to 2 k), ``search_mode`` and ``total_raw``, the hits before the thresholds.
+
+        search_mode: vector, hybrid (full text has found something too) or keyword (there is no encoder), multi_ before it for several texts.
+        """
         k = self.settings.get("retrieve.memory_count", persona_id) if k is None else k
         mode = "disabled" if k <= 0 else "no_query" if not texts else ""
         if mode:
             return {"cards": [], "activated": [], "search_mode": mode, "total_raw": 0}
         q = self.spark.createDataFrame([(0, persona_id, t) for t in texts], "query_id long, persona_id string, text string")
         out = self.spark.createDataFrame([(0, c) for c in excluded], "query_id long, card_id string") if excluded else None
-        near, literal = self._channels(q, k)
-        mode = ("multi_" if len(texts) > 1 else "") + ("vector" if literal.isEmpty() else "hybrid")
+        near, literal, mode = self._channels(q, k)
+        mode = ("multi_" if len(texts) > 1 else "") + ("hybrid" if mode == "vector" and not literal.isEmpty() else mode)
         found = self._activated(near, literal, now, out).filter(F.col("rank") <= 2 * k)
         cards = self.store(persona_id).select("persona_id", F.col("id").alias("card_id"), "level", "content")
         rows = [r.asDict() for r in found.join(cards, ["persona_id", "card_id"]).orderBy("rank").collect()]  # 2 k rows
@@ -118,13 +137,20 @@ class MemoryEngine:
         queries: (query_id, persona_id, text); several rows may share a query_id.
         """
         cards = self.cards.load()
-        out = self._activated(*self._channels(queries, k), now, excluded)
+        out = self._activated(*self._channels(queries, k)[:2], now, excluded)
         if self.seams.rerank is None:
             return out.filter(F.col("rank") <= k)
         texts = queries.groupBy("query_id").agg(F.min("text").alias("text"))
         full = out.drop("rank").join(texts, "query_id").join(cards.select("persona_id", F.col("id").alias("card_id"), "content"), ["persona_id", "card_id"])
         return rerank(full, self.seams.rerank, k).select("query_id", "persona_id", "card_id", "energy", "rank")
 
+    def widened(self, queries: DataFrame) -> DataFrame:
+        """(query_id, persona_id, text): the queries, and for each a further one of its words and those the graph adds to them."""
+        x = self.index()
+        words_ = expand.build_queries(queries, x.adjacency, x.nodes, x.size)
+        more = words_.groupBy("query_id", "persona_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ").alias("text"))
+        return queries.select("query_id", "persona_id", "text").unionByName(more)
+
     def review_and_filter(self, persona_id: str, query: str, now: str, k: int = 15, rounds: int = 3) -> list[str]:
         """Ids that the sub-brain keeps of the candidates for a query.
 
@@ -181,7 +207,8 @@ class MemoryEngine:
     def ingest(self, messages: DataFrame, now: str) -> dict:
         """Cards from evicted messages (persona_id, session_id, turn, role, content): prompts per session, replies, events, corrections.
 
-        A reply without events changes nothing. Corrections are made after the new cards are there.
+        A reply without events changes nothing. Corrections are made after the new cards are there; ``matched`` says to which event of its
+        session each one belongs.
         """
         stamp = F.lit(now).cast("timestamp")
         cards = self.cards.load()
@@ -194,6 +221,7 @@ class MemoryEngine:
         replies = self.spark.read.parquet(path)
         events = parsing.memories(replies)
         fixes = parsing.corrections(replies).join(events.select("session_id").distinct(), "session_id", "left_semi")
+        matched = maintain.match_corrections(events.withColumnRenamed("session_id", "batch"), fixes.withColumnRenamed("session_id", "batch"))
         last = cards.groupBy("persona_id").agg(F.max("seq").alias("last"))
         numbered = events.join(last, "persona_id", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("persona_id").orderBy("session_id", "pos")))
         said = F.concat(F.date_format(stamp, "yyyy-MM-dd"), F.lit(" "), time_period(stamp))
@@ -207,7 +235,7 @@ class MemoryEngine:
         if made:
             self.cards.patch(after.filter(F.col("last_updated") == stamp))  # the new and the corrected ones
             self._news(new.select("persona_id", F.col("id").alias("card_id")))
-        return {"card_ids": made, "corrections": fixes.count() if made else 0, "events": [r.asDict() for r in events.collect()]}
+        return {"card_ids": made, "corrections": fixes.count() if made else 0, "events": [r.asDict() for r in events.collect()], "matched": sorted(tuple(r) for r in matched.collect())}
 
     def _news(self, new: DataFrame) -> None:
         """Raises the counters of the summaries of new cards' (persona_id, card_id) nodes; the index reads the new cards only."""
@@ -228,7 +256,7 @@ class MemoryEngine:
             cards = self.cards.load()
             live = cards.filter("NOT coalesce(legacy, false) AND NOT coalesce(is_portrait, false)")
             v = vectors if vectors is not None else self.index().vectors.filter("NOT legacy").select("persona_id", "seq", "embedding")
-            gone = vector.superseded(live, vector.pairs_over(v.join(live.select("persona_id", "seq"), ["persona_id", "seq"], "left_semi"), self.settings.get("review.dedup_threshold")))
+            gone = vector.superseded(live, vector.pairs_over(v.join(live.select("persona_id", "seq"), ["persona_id", "seq"], "left_semi"), self.settings.column("review.dedup_threshold")))
             ids = live.join(gone, ["persona_id", "seq"], "left_semi").select("persona_id", "id")
             report["dedup"] = ids.count()
             if report["dedup"]:
@@ -268,7 +296,7 @@ class MemoryEngine:
             old = graph.prune_summaries(self.summaries.load(), x.nodes)
             due = graph.summary_candidates(x.nodes, old, self.frequency(x), self.settings.column("summary.min_df"), self.settings.column("summary.min_new"))
             todo = due.filter("action = 'write'")
-            inputs = graph.summary_inputs(x.ledger, cards, todo.select("persona_id", F.col("name").alias("node")), self.settings.get("summary.cards"))
+            inputs = graph.summary_inputs(x.ledger, cards, todo.select("persona_id", F.col("name").alias("node")), self.settings.column("summary.cards"))
             inputs = inputs.join(old.select("persona_id", F.col("node_name").alias("node"), F.col("content").alias("was")), ["persona_id", "node"], "left")
             first, again = F.concat(F.lit("Summarise "), "node", F.lit(":\n"), "cards_text"), F.concat(F.lit("Rewrite the summary of "), "node", F.lit(":\n"), "was", F.lit("\nfrom these cards:\n"), "cards_text")
             prompts = inputs.withColumn("prompt", F.when(F.coalesce("was", F.lit("")) == "", first).otherwise(again))
@@ -302,6 +330,11 @@ class MemoryEngine:
         """Cards within their persona's token caps."""
         return store.check_size(cards, self.settings.column("card.max_tokens"), self.settings.column("card.max_portrait_tokens"))[0]
 
+    def save_portrait(self, portraits: DataFrame) -> int:
+        """Portrait cards put in the place of those of the same persona and type, whose ids and numbers they take."""
+        out = self._fitting(conform(store.as_portraits(self.cards.load(), portraits)))
+        return self.cards.patch(out)
+
     def put(self, cards: DataFrame) -> int:
         """Append cards; returns the new generation."""
         before = self.cards.generation

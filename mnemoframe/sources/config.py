@@ -66,5 +66,10 @@ class Settings:
         own = [F.lit(x) for p in self.personas if (v := self.get(key, p)) != self.get(key) for x in (p, v)]
         return F.coalesce(F.try_element_at(F.create_map(*own), F.col(persona)), general) if own else general
 
+    def enabled(self, feature: str) -> bool:
+        """Whether features.<feature> is on; what isn't set is on."""
+        value = self.general.get(f"features.{feature}", True)
+        return value if isinstance(value, bool) else str(value).strip().lower() not in ("0", "false")
+
     def missing(self) -> list[str]:
         return sorted(k for k, v in self.general.items() if v is None)

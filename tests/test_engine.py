@@ -129,3 +129,22 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
     assert spark.table("once").count() == 2 and [r["errors"] for r in spark.table("errs").collect()] == [2]
+
+
+def test_without_an_encoder_words_are_compared(spark, tmp_path):
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    e = MemoryEngine(spark, str(tmp_path), Seams(encode=broken), settings=Settings(general={"features": {"keyword_match": True}}, personas={"p": {"retrieve.region_count": 1}}))
+    e.put(spark.createDataFrame([("p", f"k{i}", i, t) for i, t in enumerate(["green tea in lyon", "a grey cat", "tea again"])], "persona_id string, id string, seq long, content string"))
+    found = e.search("p", ["green tea"], NOW)
+    assert found["search_mode"] == "keyword" and found["cards"][0]["card_id"] == "k0"
+    assert e.search("p", ["green tea", "cat"], NOW)["search_mode"] == "multi_keyword"
+    assert len(e.retrieve("p", "tea and a cat", NOW)["card_ids"]) == 1  # the persona's own budget
+    q = spark.createDataFrame([(1, "p", "tea cat")], "query_id long, persona_id string, text string")
+    assert sorted(r["text"] for r in e.widened(q).collect()) == ["cat tea", "tea cat"] or e.widened(q).count() == 2
+    e.save_portrait(spark.createDataFrame([("p", "user", "likes tea")], "persona_id string, portrait_type string, content string"))
+    e.save_portrait(spark.createDataFrame([("p", "user", "likes coffee")], "persona_id string, portrait_type string, content string"))
+    assert [(c["card_id"], c["content"]) for c in e.portrait("p")["cards"]] == [("p_user", "likes coffee")]
+    e.settings.general["features.keyword_match"] = "0"
+    assert not e.settings.enabled("keyword_match") and e.settings.enabled("anything else")
