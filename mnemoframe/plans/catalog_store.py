@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.functions import text
+from mnemoframe.functions import segment, text
 from mnemoframe.operators import activation, fts, graph, maintain, store
 from mnemoframe.operators.index import shared_dir
 from mnemoframe.operators.segments import Segments
@@ -245,3 +245,32 @@ def segment_edges(spark, d):
 SELECT persona_id, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT id) AS cards FROM (SELECT persona_id, id, term, count(*) AS tf FROM every GROUP BY ALL) GROUP BY ALL""", GROWN)
 def segment_postings(spark, d):
     return _grown(spark, d).postings.groupBy("persona_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("card_id").alias("cards"))
+
+
+_HAN = "".join(chr(0x4E00 + 7 * i) for i in range(26))
+HAN = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), 1) - 1 AS i FROM documents),
+d AS (SELECT word, count(*) AS freq FROM w WHERE length(word) <= 5 GROUP BY word HAVING count(*) >= 3),
+t AS (SELECT CAST(sum(freq) AS BIGINT) AS total FROM d),
+dw AS (SELECT word, CAST(round(ln(freq / total) * 1000000) AS BIGINT) AS w FROM d, t),
+runs AS (SELECT doc_id, i // 2 AS run, string_agg(word, '' ORDER BY i) AS piece FROM w GROUP BY doc_id, i // 2),
+pieces AS (SELECT piece, count(*) AS uses FROM runs GROUP BY piece),
+subs AS (SELECT piece, k, n, substr(piece, CAST(length(piece) - k + 1 AS BIGINT), n) AS word FROM (SELECT piece, unnest(range(1, length(piece) + 1)) AS k FROM pieces), range(1, 6) x(n) WHERE n <= k),
+cands AS (SELECT piece, k, list({{'w': CAST(coalesce(dw.w, round(ln(1 / total) * 1000000)) AS BIGINT), 'n': n}}) AS c FROM subs CROSS JOIN t LEFT JOIN dw ON dw.word = subs.word WHERE n = 1 OR dw.word IS NOT NULL GROUP BY piece, k),
+walk AS (SELECT piece, CAST(0 AS BIGINT) AS k, [CAST(0 AS BIGINT)] AS score, [CAST(0 AS BIGINT)] AS words FROM pieces
+  UNION ALL SELECT piece, k, list_append(score, b.s), list_append(words, 1 + words[k - b.n + 1]) FROM (SELECT walk.piece, c.k, score, words, list_max(list_transform(c.c, lambda x: {{'s': x.w + score[c.k - x.n + 1], 'n': x.n}})) AS b FROM walk JOIN cands c ON c.piece = walk.piece AND c.k = walk.k + 1)),
+best AS (SELECT piece, score[-1] AS score, words[-1] AS words FROM walk WHERE k = length(piece))"""
+
+
+@query("segment_words", f"WITH RECURSIVE {HAN}\nSELECT doc_id AS id, count(*) AS runs, CAST(sum(words) AS BIGINT) AS words, CAST(sum(score) AS BIGINT) AS weight FROM runs JOIN best USING (piece) GROUP BY doc_id")
+def segment_words(spark, d):
+    """Each two words of a document are written in Han characters, without a space, and cut again with a dictionary of the corpus's short words."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    latin = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    docs = docs.select(F.col("doc_id").alias("id"), latin.alias("l")).repartition("id")
+    han = lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", _HAN)
+    each = docs.select(F.explode("l").alias("word"))
+    known = each.filter(F.length("word") <= 5).groupBy("word").agg(F.count("*").alias("freq")).filter("freq >= 3").select(han(F.col("word")).alias("word"), "freq", F.lit("n").alias("flag"))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("l") - 1, F.lit(0)), F.lit(2)), lambda i: F.concat(F.get("l", i), F.coalesce(F.get("l", i + 1), F.lit(""))))
+    runs = docs.filter(F.size("l") > 0).select("id", F.array_join(pairs, " ").alias("text"))
+    cut = segment.segment(runs.withColumn("text", han(F.col("text"))), known, unknown=False)
+    return cut.groupBy("id").agg(F.count("*").alias("runs"), F.sum(F.size("words")).alias("words"), F.sum("weight").alias("weight"))
