@@ -59,9 +59,8 @@ def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_passage_words: words in passages of over 50 words that occur elsewhere too, which may be shorter than 400 bytes."""
-    out = suffixes.remove(table(spark, sf_dir, "documents"), words=51)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
+    out = suffixes.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
