@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions.text import card_text, keyword_tokens, overlap_score, recency
 
+from . import names
+
 # Fixed values of spreading activation: weights of shared sessions and entities, decay, least energy, steepest drop.
 SESSION, ENTITY, DECAY, LEAST, DROP, DORMANT = 0.3, 0.5, 0.5, 0.05, 0.3, 0.6
 
@@ -60,8 +62,8 @@ def spread(pool: DataFrame, entities: DataFrame | None = None, rounds: int = 2,
     awake = pool.filter(~F.col("dormant"))
     key = awake.select(*on, "card_id", F.col("moment").alias("k")).filter("k IS NOT NULL").withColumn("w", F.lit(SESSION))
     if entities is not None:
-        names = entities.filter(F.length("name") >= 2).select("persona_id", "name")
-        key = key.unionByName(awake.join(names, "persona_id").filter(F.contains("content", F.col("name"))).select(*on, "card_id", F.concat(F.lit("e:"), "name").alias("k"), F.lit(ENTITY).alias("w")))
+        held = names.occurrences(awake, entities, ["query_id", "card_id"], "content")
+        key = key.unionByName(held.select(*on, "card_id", F.concat(F.lit("e:"), "name").alias("k"), F.lit(ENTITY).alias("w")))
     other = key.select(*on, "k", F.col("card_id").alias("to"))
     links = key.join(other, [*on, "k"]).filter("card_id <> to").groupBy(*on, "card_id", "to").agg(F.max("w").alias("w"))
     links = links.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy(*on, "card_id")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions.text import time_prefix, topic_words
 
-from . import fts, graph
+from . import fts, graph, names as known
 
 # Cards per term, rows looked at per term, associated names, partners scanned for them and their least PMI.
 PER_TERM, SCAN, ASSOCIATED, PARTNERS, LEAST_PMI = 3, 20, 2, 5, 1.0
@@ -30,8 +30,8 @@ def match_names(queries: DataFrame, names: DataFrame, frequency: DataFrame) -> D
     names = names.select("persona_id", "name").distinct()
     a = tokens.join(names, (tokens["persona_id"] == names["persona_id"]) & (tokens["token"] == names["name"])).select("query_id", tokens["persona_id"], "name", F.lit(0).alias("phase"), F.col("at").cast("long").alias("at"))
     rare = graph.summary_gate(names.filter(~F.col("name").rlike(r"^[\x00-\x7F]+$")), frequency).filter((F.col("gf") < graph.NAME_FREQUENCY) & (F.length("name") >= 2)).select("persona_id", "name")
-    low = queries.select("query_id", "persona_id", F.lower("text").alias("text")).join(rare, "persona_id")
-    b = low.filter(F.contains("text", F.col("name"))).select("query_id", "persona_id", "name", F.lit(1).alias("phase"), F.lit(0).cast("long").alias("at"))
+    low = queries.select("query_id", "persona_id", F.lower("text").alias("text"))
+    b = known.occurrences(low, rare, ["query_id"]).select("query_id", "persona_id", "name", F.lit(1).alias("phase"), F.lit(0).cast("long").alias("at"))
     ends = names.select("persona_id", "name", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("name"), F.lit(2))), lambda i: F.substr("name", i))).alias("token")).filter("token <> '' AND token <> name")
     c = tokens.join(ends, ["persona_id", "token"]).select("query_id", "persona_id", "name", F.lit(2).alias("phase"), F.col("at").cast("long").alias("at"))
     first = a.unionByName(b).unionByName(c).groupBy("query_id", "persona_id", "name").agg(F.min(F.struct("phase", "at")).alias("f"))
