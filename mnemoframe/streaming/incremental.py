@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemoframe.operators import graph
 
@@ -34,5 +38,24 @@ def first_shown(shown: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataF
     return shown.withWatermark(ts, late).dropDuplicatesWithinWatermark(["session_id", "card_id"])
 
 
-def errors_per_window(events: DataFrame, ts: str = "ts", seconds: int = 300, late: str = "10 minutes") -> DataFrame:
-    return events.filter("event_type = 'error'").withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("errors")).select(F.col("w.start").alias("window_start"), "errors")
+def errors_per_window(events: DataFrame, ts: str = "ts", seconds: int = 300, late: str = "10 minutes", slide: int | None = None) -> DataFrame:
+    """(window_start, errors) by event time; with ``slide`` a window begins every so many seconds, so each error counts in several."""
+    window = F.window(ts, f"{seconds} seconds", f"{slide or seconds} seconds")
+    return events.filter("event_type = 'error'").withWatermark(ts, late).groupBy(window.alias("w")).agg(F.count("*").alias("errors")).select(F.col("w.start").alias("window_start"), "errors")
+
+
+def summaries_due(led: DataFrame, min_new: int = 3) -> DataFrame:
+    """(persona_id, node, times, left) of a ledger stream: how often a node has got ``min_new`` new cards, and how many are left over.
+
+    The counter of each node is kept state. times adds up to the node's cards over min_new, rounded down, in whatever order and batches
+    they come, also across restarts from a checkpoint.
+    """
+
+    def count(key: tuple[str, str], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = (state.get[0] if state.exists else 0) + sum(len(r) for r in rows)
+        state.update((n % min_new,))
+        if n >= min_new:
+            yield pd.DataFrame({"persona_id": [key[0]], "node": [key[1]], "times": [n // min_new], "left": [n % min_new]})
+
+    kinds = "persona_id string, node string, times long, left long"
+    return led.select("persona_id", "node", "card_id").groupBy("persona_id", "node").applyInPandasWithState(count, kinds, "new long", "append", GroupStateTimeout.NoTimeout)
