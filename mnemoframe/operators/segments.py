@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,6 +114,11 @@ class Segments:
     def _write(self, folder: str, name: str, rows: DataFrame) -> None:
         rows.write.option("parquet.bloom.filter.enabled#card_id", "true").parquet(f"{self.path}/{folder}/{name}")
 
+    def _write_all(self, folder: str, tables: dict[str, DataFrame]) -> None:
+        """Side by side, as the jobs of a small change are short."""
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(lambda t: self._write(folder, *t), tables.items()))
+
     def _segment(self, name: str, changed: DataFrame, gone: DataFrame | None, before: list[str]) -> str:
         folder = f"{name}-{uuid.uuid4().hex}"
         texts = card_text(F.coalesce("content", F.lit("")), F.col("keywords"), F.col("tags")) if self.tokens is None else None
@@ -122,16 +128,15 @@ class Segments:
         self._write(folder, "touched", keys if gone is None else keys.unionByName(gone.select("persona_id", F.col("id").alias("card_id"))).distinct())
         touched = self.spark.read.parquet(f"{self.path}/{folder}/touched")
         postings = fts.postings(changed, self.tokens) if texts is None else fts.postings(changed)
-        self._write(folder, "postings", postings.sortWithinPartitions("persona_id", "term"))
         plain = changed.filter("NOT coalesce(is_portrait, false)")
-        self._write(folder, "ledger", graph.ledger(plain, graph.content_terms(plain, tokens=self.terms, idf=self.idf)).sortWithinPartitions("persona_id", "node"))
+        led = graph.ledger(plain, graph.content_terms(plain, tokens=self.terms, idf=self.idf))
+        self._write_all(folder, {"postings": postings.sortWithinPartitions("persona_id", "term"), "ledger": led.sortWithinPartitions("persona_id", "node")})
         new = {n: self.spark.read.parquet(f"{self.path}/{folder}/{n}") for n in ROWS}
         few = touched.limit(FEW + 1).collect() if before else []
         # the rows of these cards that are valid so far, and the keys of those that were there
         old = {n: self._of(n, before, touched, few) for n in ROWS} if before else None
         had = self._of("keys", before, touched, few) if before else None
-        for table, counts in self._deltas(keys, had, new, old).items():
-            self._write(folder, table, counts)
+        self._write_all(folder, self._deltas(keys, had, new, old))
         return folder
 
     def _deltas(self, keys: DataFrame, had: DataFrame | None, new: dict[str, DataFrame], old: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
