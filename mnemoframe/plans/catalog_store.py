@@ -12,7 +12,7 @@ from mnemoframe.operators import activation, fts, graph, maintain, store
 from mnemoframe.operators.index import shared_dir
 from mnemoframe.operators.segments import Segments
 from mnemoframe.sources import cards as C
-from mnemoframe.sources import logs
+from mnemoframe.sources import logs, stores
 
 from .catalog import CARDS, GRAPH, INDEX, LINKS, NOW, OVERLAP, SPREAD, _ENTITIES, _cards, _Graph, _index, _linked, _questions, query, r6
 
@@ -34,6 +34,50 @@ def card_json_scan(spark, d):
     return got.select("persona_id", "id", F.md5("content").alias("content_md5"), "topic", "level", "legacy", "card_type", "retention", F.unix_seconds("last_updated").alias("updated"))
 
 
+@query("card_stores_scan", """, r AS (SELECT *, CASE WHEN seq % 3 = 0 THEN CAST(seq % 4 AS INTEGER) ELSE 0 END AS level, seq % 7 AS state FROM cards WHERE seq % 11 <> 0 AND persona_id IS NOT NULL)
+SELECT persona_id, id, md5(content) AS content_md5, topic, level, state IN (4, 5) AS legacy, CASE WHEN level = 0 THEN CAST(8 AS DOUBLE) END AS retention, CAST(epoch(created_at) AS BIGINT) AS updated FROM r WHERE state NOT IN (1, 2, 3)""", CARDS)
+def card_stores_scan(spark, d):
+    """Cards out to each persona's database files and in again, as today's cards."""
+    base = f"{shared_dir(spark)}/mnemoframe-files/{uuid.uuid4().hex}"
+    stores.register(spark)
+    cards = _cards(spark, d).filter("persona_id IS NOT NULL")
+    rows = _as_json(cards).withColumn("id", F.concat(F.lit("c_"), F.lpad(F.col("seq").cast("string"), 8, "0")))
+    rows.select("persona_id", "id", "data").write.format(stores.FORMAT).mode("append").save(base)
+    return stores.read_cards(spark, base).select("persona_id", "id", F.md5("content").alias("content_md5"), "topic", "level", "legacy", "retention", F.unix_seconds("last_updated").alias("updated"))
+
+
+@query("card_stores_lookup", """SELECT id, CAST(strlen(content) AS BIGINT) AS n_bytes FROM cards c WHERE persona_id IN (SELECT min(persona_id) FROM cards UNION SELECT max(persona_id) FROM cards)""", CARDS)
+def card_stores_lookup(spark, d):
+    """The cards of the first and the last persona; the other personas' files aren't opened."""
+    base = f"{shared_dir(spark)}/mnemoframe-files/{uuid.uuid4().hex}"
+    stores.register(spark)
+    cards = _cards(spark, d).filter("persona_id IS NOT NULL")
+    cards.select("persona_id", "id", F.col("content").alias("data")).write.format(stores.FORMAT).mode("append").save(base)
+    ends = cards.agg(F.min("persona_id").alias("a"), F.max("persona_id").alias("b")).first()
+    read = spark.read.format(stores.FORMAT).schema("persona_id string, id string, data string").load(base)
+    return read.filter(F.col("persona_id").isin(ends["a"], ends["b"])).select("id", F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+@query("persona_files", """, p AS (SELECT persona_id, count(*) AS n FROM cards WHERE persona_id IS NOT NULL GROUP BY ALL),
+profiles AS (SELECT 'm' || n AS profile, 'served' AS provider, 'model-' || n AS model FROM (SELECT DISTINCT n % 3 AS n FROM p WHERE n % 3 > 0))
+SELECT persona_id, coalesce('The ' || CASE WHEN n % 2 = 0 THEN persona_id END, persona_id) AS display_name, CASE WHEN n % 5 = 0 THEN '' ELSE 'u' || n END AS user_display_name, CASE WHEN n % 5 <> 0 THEN 'default' END AS user_id,
+  CASE WHEN n % 4 = 0 THEN 'own' ELSE coalesce(f.provider, 'local') END AS provider, CASE WHEN n % 4 = 0 THEN '' ELSE coalesce(f.model, '') END AS model, n % 2 = 1 AS inner_active, CASE WHEN n % 2 = 1 THEN 'hidden' ELSE 'visible' END AS visibility_default
+FROM p LEFT JOIN profiles f ON f.profile = 'm' || n % 3""", CARDS)
+def persona_files(spark, d):
+    """Personas out to their folders' files and in again, with what is missing taken from profiles and defaults."""
+    base = f"{shared_dir(spark)}/mnemoframe-files/{uuid.uuid4().hex}"
+    n = F.col("n")
+    own = _cards(spark, d).filter("persona_id IS NOT NULL").groupBy("persona_id").agg(F.count("*").alias("n"))
+    rows = own.select(
+        "persona_id", F.when(n % 2 == 0, F.concat(F.lit("The "), "persona_id")).alias("display_name"), F.when(n % 5 != 0, F.concat(F.lit("u"), n.cast("string"))).alias("user_display_name"),
+        F.concat(F.lit("m"), (n % 3).cast("string")).alias("profile"), F.when(n % 4 == 0, "own").alias("provider"), F.when(n % 2 == 1, F.lit(True)).alias("inner_active"), F.when(n % 2 == 1, "hidden").alias("visibility_default"),
+    )
+    stores.write_personas(rows, base)
+    k = (n % 3).cast("string")
+    profiles = own.filter(n % 3 > 0).select(F.concat(F.lit("m"), k).alias("profile"), F.lit("served").alias("provider"), F.concat(F.lit("model-"), k).alias("model")).distinct()
+    return stores.read_personas(spark, base, profiles).select("persona_id", "display_name", "user_display_name", "user_id", "provider", "model", "inner_active", "visibility_default")
+
+
 @query("cards_jsonl", "SELECT persona_id, id, seq, md5(content) AS content_md5, topic, CAST(epoch(created_at) AS BIGINT) AS created, legacy FROM cards", CARDS)
 def cards_jsonl(spark, d):
     """Out to JSON lines and in again; one file in each part holds a broken line, which is skipped."""

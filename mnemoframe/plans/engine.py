@@ -15,6 +15,7 @@ from mnemoframe.operators import activation, expand, fts, graph, maintain, regio
 from mnemoframe.operators.segments import Segments
 from mnemoframe.sources.cards import CARD, conform, upsert_personas
 from mnemoframe.sources.config import Settings
+from mnemoframe.sources.stores import read_cards, read_personas
 
 from .seams import Seams, ask, rerank
 
@@ -49,6 +50,13 @@ class MemoryEngine:
         self.personas.save(upsert_personas(self.personas.load(), new))
         return self.personas.load()
 
+    def adopt(self, base: str, profiles: DataFrame | None = None) -> DataFrame:
+        """Take in the personas and cards of a folder of card stores; cards that are there under the same ids are replaced. Returns the personas found."""
+        found = read_personas(self.spark, base, profiles)
+        self.personas.save(upsert_personas(self.personas.load(), found.select(*PERSONA.names)))
+        self.cards.patch(read_cards(self.spark, base))
+        return found
+
     def names(self) -> DataFrame:
         """(persona_id, persona_name, user_name) with fallbacks."""
         return self.personas.load().select("persona_id", F.coalesce("display_name", "persona_id").alias("persona_name"), F.coalesce("user_display_name", F.lit("用户")).alias("user_name"))

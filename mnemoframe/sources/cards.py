@@ -94,14 +94,6 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def read_personas(spark: SparkSession, base_dir: str) -> DataFrame:
-    """One row per persona folder with a persona_meta.json; folders whose name begins with an underscore and reserved ones are skipped."""
-    schema = "persona_id string, display_name string, user_display_name string, system_prompt_template string"
-    df = spark.read.schema(schema).option("multiLine", True).json(f"{base_dir}/*/persona_meta.json").withColumn("path", F.col("_metadata.file_path"))
-    folder = F.element_at(F.split("path", "/"), -2)
-    return df.withColumn("persona_id", F.coalesce("persona_id", folder)).filter(~folder.startswith("_") & ~folder.isin(*RESERVED)).drop("path")
-
-
 def active(cards: DataFrame) -> DataFrame:
     return cards.filter(~F.coalesce("legacy", F.lit(False)))
 

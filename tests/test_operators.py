@@ -41,10 +41,6 @@ def test_json_rows_and_files(spark, tmp_path):
     C.write_jsonl(spark.createDataFrame([(2, "y")], "a int, b string"), str(tmp_path / "f"), append=True)
     (tmp_path / "f" / "bad.json").write_text("{oops\n")
     assert ids(C.read_jsonl(spark, str(tmp_path / "f"), "a int, b string"), "a") == [1, 2]
-    for name in ("ann", "_skip"):
-        (tmp_path / "base" / name).mkdir(parents=True)
-        (tmp_path / "base" / name / "persona_meta.json").write_text('{"display_name": "A"}')
-    assert [tuple(r)[:2] for r in C.read_personas(spark, str(tmp_path / "base")).collect()] == [("ann", "A")]
 
 
 def test_bm25_follows_the_formula(spark):
