@@ -17,6 +17,8 @@ from ._common import LOWER, UPPER, stored, without
 OUTSIDE = "".join(chr(i) for i in range(1, 128) if not chr(i).isalnum())
 #: A broadcast table has at most so many rows of a few hundred bytes.
 SMALL_ROWS = 100_000
+#: Terms with over 1/HOT of all tokens (of which there are at most HOT) don't go through a shuffle by term.
+HOT = 2000
 
 
 def words(text: Column) -> Column:
@@ -32,15 +34,16 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("terms")).distinct()
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most ``rows`` rows; left to a shuffle join otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def few(df: DataFrame) -> bool:
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): training tokens of each wanted term; terms without any are absent."""
+    """(term, n): training tokens of each wanted term; terms without any are absent. Where the terms are too many to broadcast, of all terms."""
     tokens = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return tokens.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    if few(terms):
+        tokens = tokens.join(F.broadcast(terms), "term", "left_semi")
+    return tokens.groupBy("term").agg(F.count("*").alias("n"))
 
 
 def leads(wins: DataFrame, freq: DataFrame) -> DataFrame:
@@ -50,32 +53,53 @@ def leads(wins: DataFrame, freq: DataFrame) -> DataFrame:
     return wins.join(best.filter("m is not null"), "wid").filter(F.col("have") == F.size("terms")).select("wid", "terms", F.col("m.term").alias("term"), F.col("m.offset").alias("offset"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame, reach: int, freq: DataFrame) -> DataFrame:
     """The index: (term, doc_id, key, pos, near, at) for each token that is a wanted term.
 
     near: the words from ``reach`` before it to ``reach`` after it; at: the token's place in near. key tells apart rows
-    that share a doc_id.
+    that share a doc_id. Terms too many to broadcast are met by shuffle: a token then carries its neighbourhood, never
+    its text, and hot terms are kept or dropped where they lie.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
     each = rows.select("doc_id", "key", "w", F.posexplode("w").alias("pos", "term"))
     start = F.greatest(F.col("pos") - reach, F.lit(0))
-    return each.join(small(terms), "term", "left_semi").select(
-        "term", "doc_id", "key", "pos", F.slice("w", start + 1, F.col("pos") - start + reach + 1).alias("near"), (F.col("pos") - start).alias("at")
-    )
+    near = ["term", "doc_id", "key", "pos", F.slice("w", start + 1, F.col("pos") - start + reach + 1).alias("near"), (F.col("pos") - start).alias("at")]
+    if few(terms):
+        return each.join(F.broadcast(terms), "term", "left_semi").select(*near)
+    hot = _hot(freq).join(terms.withColumn("wanted", F.lit(True)), "term", "left").select("term", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    each = each.select(*near).join(F.broadcast(hot), "term", "left")
+    return each.filter("wanted").drop("wanted").unionByName(each.filter("wanted IS NULL").drop("wanted").join(terms, "term", "left_semi"))
+
+
+def _hot(freq: DataFrame) -> DataFrame:
+    """(term, parts): the terms with over 1/HOT of all counted tokens, and by how much; at most HOT rows."""
+    total = freq.agg(F.sum("n")).first()[0] or 0
+    return freq.filter(F.col("n") * HOT > total).select("term", F.ceil(F.col("n") * HOT / total).cast("int").alias("parts"))
+
+
+def meet(index: DataFrame, lead: DataFrame, freq: DataFrame) -> DataFrame:
+    """Postings beside each window that their term leads. Windows too many to broadcast are met by shuffle, hot terms in parts."""
+    if few(lead):
+        return index.join(F.broadcast(lead), "term")
+    hot = F.broadcast(_hot(freq.join(lead.select("term").distinct(), "term", "left_semi")))
+    parts = F.coalesce("parts", F.lit(1))
+    left = index.join(hot, "term", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "pos"), parts).cast("int")).drop("parts")
+    right = lead.join(hot, "term", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["term", "part"]).drop("part")
 
 
-def phrases(index: DataFrame, lead: DataFrame) -> DataFrame:
+def phrases(index: DataFrame, lead: DataFrame, freq: DataFrame) -> DataFrame:
     """Exact phrase matches: doc_id, key, wid, start, length."""
     first = F.col("at") - F.col("offset")
     found = (first >= 0) & (F.slice("near", F.greatest(first, F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
-    return index.join(small(lead), "term").filter(found).select("doc_id", "key", "wid", (F.col("pos") - F.col("offset")).alias("start"), F.size("terms").alias("length"))
+    return meet(index, lead, freq).filter(found).select("doc_id", "key", "wid", (F.col("pos") - F.col("offset")).alias("start"), F.size("terms").alias("length"))
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, size: int = 10, reach: int = 20) -> DataFrame:
     """Looser matches: doc_id, item_id (as text), pos where all terms of a window lie within ``reach`` words of its rarest term."""
-    wins, lead, _ = _plan(docs, benchmark, size)
-    index = postings(docs, lead.select("term").distinct(), reach)
-    hit = index.join(small(lead), "term").filter(F.size(F.array_except("terms", "near")) == 0)
+    wins, lead, freq = _plan(docs, benchmark, size)
+    index = postings(docs, lead.select("term").distinct(), reach, freq)
+    hit = meet(index, lead, freq).filter(F.size(F.array_except("terms", "near")) == 0)
     return hit.join(wins.select("wid", F.explode("items").alias("item_id")), "wid").select("doc_id", "item_id", "pos").distinct()
 
 
@@ -95,9 +119,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     benchmark hits nothing; an empty docs table gives an empty result. Rows that share doc_id and text agree; benchmark rows
     that share an item_id count as one item. Other columns are ignored.
     """
-    wins, lead, _ = _plan(docs, benchmark, size)
-    index = postings(docs, lead.select("term").distinct(), size - 1)
-    found = stored(phrases(index, lead).distinct(), "phrases")
+    wins, lead, freq = _plan(docs, benchmark, size)
+    index = postings(docs, lead.select("term").distinct(), size - 1, freq)
+    found = stored(phrases(index, lead, freq).distinct(), "phrases")
     # n_hit: the union of the intervals of a document, in order of their starts
     order = Window.partitionBy("doc_id", "key").orderBy("start", "end")
     spans = found.select("doc_id", "key", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
@@ -122,9 +146,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs without those that hold a window of the benchmark; same columns."""
-    _, lead, _ = _plan(docs, benchmark, size)
-    index = postings(docs, lead.select("term").distinct(), size - 1)
-    return without(docs, stored(phrases(index, lead).select("doc_id", "key").distinct(), "contaminated"))
+    _, lead, freq = _plan(docs, benchmark, size)
+    index = postings(docs, lead.select("term").distinct(), size - 1, freq)
+    return without(docs, stored(phrases(index, lead, freq).select("doc_id", "key").distinct(), "contaminated"))
 
 
 SQL = """

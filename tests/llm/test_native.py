@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import decontaminate, exact, mixing, sharding
@@ -131,7 +132,11 @@ def test_shards_are_minimax(docs, nothing):
     assert one == len({(r["doc_id"], r["shard"]) for r in rows})
 
 
-def test_decontamination(spark, docs, nothing):
+@pytest.mark.parametrize(("small", "hot"), [(100_000, 2000), (1, 40), (1, 1)])
+def test_decontamination(spark, docs, nothing, monkeypatch, small, hot):
+    """Terms broadcast; met by shuffle with some hot terms; met by shuffle without any."""
+    monkeypatch.setattr(decontaminate, "SMALL_ROWS", small)
+    monkeypatch.setattr(decontaminate, "HOT", hot)
     long = docs.filter("doc_id = 135").first()["text"]
     words = long.split()
     items = [(1, " ".join(words[10:40])), (2, " ".join(words[5:9]).upper()), (3, None), (4, "..."), (5, " ".join(words[100:110])), (5, " ".join(words[100:110])), (6, "not there at all"), (None, " ".join(words[7:8]))]
