@@ -50,11 +50,14 @@ class MemoryEngine:
         self.personas.save(upsert_personas(self.personas.load(), new))
         return self.personas.load()
 
-    def adopt(self, base: str, profiles: DataFrame | None = None) -> DataFrame:
-        """Take in the personas and cards of a folder of card stores; cards that are there under the same ids are replaced. Returns the personas found."""
+    def adopt(self, base: str, profiles: DataFrame | None = None, since: str | None = None) -> DataFrame:
+        """Take in the personas and cards of a folder of card stores; cards that are there under the same ids are replaced. Returns the personas found.
+
+        since: only personas with a store written at that time (ISO) or later are read. Cards that a store no longer has stay.
+        """
         found = read_personas(self.spark, base, profiles)
         self.personas.save(upsert_personas(self.personas.load(), found.select(*PERSONA.names)))
-        self.cards.patch(read_cards(self.spark, base))
+        self.cards.patch(read_cards(self.spark, base, since))
         return found
 
     def names(self) -> DataFrame:

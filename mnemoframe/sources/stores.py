@@ -12,6 +12,7 @@ import sqlite3
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -60,7 +61,8 @@ class CardStores(DataSource):
 
     Each folder of base is a persona but those whose name begins with an underscore or is reserved; its stores are the files
     cards*.db in it. A schema of some of the columns reads only these. Equalities on persona_id skip the other folders
-    unopened, those on id are looked up by the stores' keys. Small files share a task, large ones are read in ranges. A
+    unopened, those on id are looked up by the stores' keys. The option ``modifiedSince`` (ISO time, UTC if it names no zone)
+    leaves out the personas none of whose stores was written at that time or later; of others all stores are read, as cards link to each other. Small files share a task, large ones are read in ranges. A
     base without stores gives no rows, and a file that isn't a store fails the read. Bytes that aren't UTF-8 are replaced.
 
     Written cards (persona_id, id, data) go to one new file for each task and persona, so no persona has to fit into a task.
@@ -92,10 +94,25 @@ def _open(file: str) -> sqlite3.Connection:
     return con
 
 
+def modified(time: str) -> float:
+    t = datetime.fromisoformat(time)
+    return (t if t.tzinfo else t.replace(tzinfo=UTC)).timestamp()
+
+
+def last_write(file: Path) -> float:
+    """When a store or the log beside it was written."""
+    try:
+        log = os.stat(f"{file}-wal").st_mtime
+    except FileNotFoundError:
+        log = 0.0
+    return max(file.stat().st_mtime, log)
+
+
 class StoreReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.base = str(local(options["path"]))
         self.size = int(options.get("splitBytes", SPLIT_BYTES))
+        self.since = modified(options["modifiedsince"]) if "modifiedsince" in options else None
         self.columns = schema.fieldNames()
         if unknown := set(self.columns) - set(COLUMNS):
             raise ValueError(f"a card store has no columns {sorted(unknown)}")
@@ -116,7 +133,10 @@ class StoreReader(DataSourceReader):
         with os.scandir(self.base) as entries:
             names = sorted(e.name for e in entries if is_persona(e.name) and (wanted is None or e.name in wanted) and e.is_dir())
         for name in names:
-            for file in sorted(Path(self.base, name).glob("cards*.db")):
+            files = sorted(Path(self.base, name).glob("cards*.db"))
+            if self.since is not None and all(last_write(f) < self.since for f in files):
+                continue
+            for file in files:
                 size = file.stat().st_size
                 n = 1 if "id" in self.only else -(-size // self.size) or 1
                 if n > 1:
@@ -214,10 +234,14 @@ class StoreWriter(DataSourceWriter):
         shutil.rmtree(self.drafts, ignore_errors=True)
 
 
-def read_cards(spark: SparkSession, base: str) -> DataFrame:
-    """Cards of all stores under base in today's schema (from_json_rows); what can't be read as JSON or has no id is skipped."""
+def read_cards(spark: SparkSession, base: str, since: str | None = None) -> DataFrame:
+    """Cards of all stores under base in today's schema (from_json_rows); what can't be read as JSON or has no id is skipped.
+
+    With ``since``, of the personas with a store that was written at that time or later.
+    """
     register(spark)
-    return from_json_rows(spark.read.format(FORMAT).load(base))
+    reader = spark.read.format(FORMAT)
+    return from_json_rows((reader if since is None else reader.option("modifiedSince", since)).load(base))
 
 
 def _files(spark: SparkSession, base: str, names: str) -> DataFrame:

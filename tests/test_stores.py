@@ -1,6 +1,7 @@
 """Folders of card stores: cards and persona files out and in."""
 
 import json
+import os
 import sqlite3
 from pathlib import Path
 
@@ -82,6 +83,22 @@ def test_a_store_that_is_being_written(spark, base):
     con.close()
 
 
+def test_only_stores_written_since(spark, base):
+    os.utime(f"{base}/ann/cards.db", (1_700_000_000, 1_700_000_000))
+    os.utime(f"{base}/Zoë b/cards.db", (1_800_000_000, 1_800_000_000))
+    found = lambda t: {r["persona_id"] for r in read(spark, base, modifiedSince=t).collect()}
+    assert found("2023-11-14T22:13:20") == {"ann", "Zoë b"} and found("2023-11-14T22:13:21+00:00") == {"Zoë b"} and found("2030-01-01") == set()
+    assert {r["persona_id"] for r in stores.read_cards(spark, base, "2024-01-01").collect()} == {"Zoë b"}
+    old = Path(base, "Zoë b", "cards-1.db")  # a persona's other store is read along, since links may lead there
+    con = sqlite3.connect(old)
+    con.execute("CREATE TABLE cards (id TEXT PRIMARY KEY, data TEXT NOT NULL)")
+    con.execute("INSERT INTO cards VALUES ('other', '{}')")
+    con.commit()
+    con.close()
+    os.utime(old, (1_700_000_000, 1_700_000_000))
+    assert "other" in {r["id"] for r in read(spark, base, modifiedSince="2024-01-01").collect()}
+
+
 def test_write_and_read_again(spark, tmp_path):
     base = str(tmp_path / "out")
     stores.register(spark)
