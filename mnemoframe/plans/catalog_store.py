@@ -40,7 +40,7 @@ def card_stores_scan(spark, d):
     """Cards out to each persona's database files and in again, as today's cards."""
     base = f"{shared_dir(spark)}/mnemoframe-files/{uuid.uuid4().hex}"
     stores.register(spark)
-    cards = _cards(spark, d).filter("persona_id IS NOT NULL")
+    cards = C.of_documents(spark.read.parquet(f"{d}/documents.parquet")).filter("persona_id IS NOT NULL")
     rows = _as_json(cards).withColumn("id", F.concat(F.lit("c_"), F.lpad(F.col("seq").cast("string"), 8, "0")))
     rows.select("persona_id", "id", "data").write.format(stores.FORMAT).mode("append").save(base)
     return stores.read_cards(spark, base).select("persona_id", "id", F.md5("content").alias("content_md5"), "topic", "level", "legacy", "retention", F.unix_seconds("last_updated").alias("updated"))
@@ -51,7 +51,7 @@ def card_stores_lookup(spark, d):
     """The cards of the first and the last persona; the other personas' files aren't opened."""
     base = f"{shared_dir(spark)}/mnemoframe-files/{uuid.uuid4().hex}"
     stores.register(spark)
-    cards = _cards(spark, d).filter("persona_id IS NOT NULL")
+    cards = C.of_documents(spark.read.parquet(f"{d}/documents.parquet")).filter("persona_id IS NOT NULL")
     cards.select("persona_id", "id", F.col("content").alias("data")).write.format(stores.FORMAT).mode("append").save(base)
     ends = cards.agg(F.min("persona_id").alias("a"), F.max("persona_id").alias("b")).first()
     read = spark.read.format(stores.FORMAT).schema("persona_id string, id string, data string").load(base)
@@ -67,7 +67,7 @@ def persona_files(spark, d):
     """Personas out to their folders' files and in again, with what is missing taken from profiles and defaults."""
     base = f"{shared_dir(spark)}/mnemoframe-files/{uuid.uuid4().hex}"
     n = F.col("n")
-    own = _cards(spark, d).filter("persona_id IS NOT NULL").groupBy("persona_id").agg(F.count("*").alias("n"))
+    own = C.of_documents(spark.read.parquet(f"{d}/documents.parquet")).filter("persona_id IS NOT NULL").groupBy("persona_id").agg(F.count("*").alias("n"))
     rows = own.select(
         "persona_id", F.when(n % 2 == 0, F.concat(F.lit("The "), "persona_id")).alias("display_name"), F.when(n % 5 != 0, F.concat(F.lit("u"), n.cast("string"))).alias("user_display_name"),
         F.concat(F.lit("m"), (n % 3).cast("string")).alias("profile"), F.when(n % 4 == 0, "own").alias("provider"), F.when(n % 2 == 1, F.lit(True)).alias("inner_active"), F.when(n % 2 == 1, "hidden").alias("visibility_default"),
