@@ -310,9 +310,10 @@ def segment_words(spark, d):
     """Each two words of a document are written in Han characters, without a space, and cut again with a dictionary of the corpus's short words."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     latin = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    docs = docs.select(F.col("doc_id").alias("id"), latin.alias("l")).repartition(spark.sparkContext.defaultParallelism, "id")
+    docs = docs.select(F.col("doc_id").alias("id"), latin.alias("l"))
     han = lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", _HAN)
     each = docs.select(F.explode("l").alias("word"))
+    docs = docs.repartition(spark.sparkContext.defaultParallelism, "id")
     known = each.filter(F.length("word") <= 5).groupBy("word").agg(F.count("*").alias("freq")).filter("freq >= 3").select(han(F.col("word")).alias("word"), "freq", F.lit("n").alias("flag")).persist()  # read several times
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("l") - 1, F.lit(0)), F.lit(2)), lambda i: F.concat(F.get("l", i), F.coalesce(F.get("l", i + 1), F.lit(""))))
     runs = docs.filter(F.size("l") > 0).select("id", F.array_join(pairs, " ").alias("text"))

@@ -39,6 +39,19 @@ def test_best_path_equals_all_segmentations(spark):
             assert all(w["flag"] == flags.get(w["word"], "x") for w in r["words"])
 
 
+def test_small_dictionaries_travel_and_large_ones_are_joined(spark, capsys):
+    rng = random.Random(5)
+    words = spark.createDataFrame([("".join(w), 1 + i % 7, "nva"[i % 3]) for i, w in enumerate({tuple(rng.choices("天气很好北", k=rng.randint(1, 4))) for _ in range(60)})], "word string, freq long, flag string")
+    texts = ["".join(rng.choices("天气很好北京 x7", k=rng.randint(0, 30))) for _ in range(80)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    for unknown in (False, True):
+        here, met = segment.segment(rows, words, unknown=unknown), segment.segment(rows, words, unknown=unknown, most=0)
+        assert sorted(map(str, here.collect())) == sorted(map(str, met.collect()))
+        here.explain()
+        plan = capsys.readouterr().out
+        assert "Join" not in plan and "Exchange" not in plan  # no substring is moved
+
+
 def test_unknown_runs_and_topical_words(spark):
     words = spark.createDataFrame([("老师", 50, "n"), ("学生", 40, "n"), ("老", 3, "a"), ("生活", 20, "vn"), ("的", 90, "uj"), ("师傅", 9, "n"), ("学校", 30, "n"), ("了", 70, "ul")], "word string, freq long, flag string")
     rows = spark.createDataFrame([(1, "老师的Tea 2024 学生"), (2, None), (3, ""), (4, "莉娜"), (5, "的")], "id long, text string")
