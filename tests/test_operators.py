@@ -254,3 +254,15 @@ def test_feature_log(spark, tmp_path):
         log.add("m" if i % 2 else "n", "e", i=i)
     assert len(log.recent) == 2 and [r["module"] for r in log.tail(module="m")] == ["m"]
     assert len(list(tmp_path.glob("log*.jsonl"))) <= 3 and read_log(spark, str(tmp_path / "log.jsonl")).count() >= 1
+
+
+def test_many_questions_meet_only_the_postings_of_their_rarest_term(spark, tmp_path):
+    rng = random.Random(4)
+    cards = C.conform(spark.createDataFrame([(f"p{i % 2}", f"c{i}", i, " ".join(["all", *rng.choices("abcdefgh", k=rng.randint(1, 6))])) for i in range(60)], "persona_id string, id string, seq long, content string"))
+    fts.postings(cards).write.parquet(str(tmp_path / "postings"))
+    index, corpus = spark.read.parquet(str(tmp_path / "postings")), fts.sizes(cards)
+    wants = [(p, sorted(t)) for p in ("p0", "p1") for t in (["all", "a"], ["a", "b"], ["all"], ["c", "d", "all"], ["all", "nowhere"])]
+    asked = spark.createDataFrame(wants, "persona_id string, terms array<string>")
+    got = {(r["persona_id"], tuple(r["terms"]), r["card_id"]): round(r["score"], 9) for r in fts.bm25_of_many(index, corpus, asked).collect()}
+    plain = fts.bm25(index, corpus, spark.createDataFrame([(i, *w) for i, w in enumerate(wants)], "query_id int, persona_id string, terms array<string>"))
+    assert got == {(r["persona_id"], tuple(wants[r["query_id"]][1]), r["card_id"]): round(r["score"], 9) for r in plain.collect()} and got
