@@ -9,7 +9,7 @@ at most as many bits as the sets differ in elements. Survivors are verified by t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,17 +65,18 @@ def counter(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
 
 
-def sets(docs: DataFrame, words: int) -> DataFrame:
-    """Stored (doc_id, key, fp, bits, chunk, counts): a row per row of docs, whose fp names its shingle set; rows with a chunk hold counts of shingles."""
+def sets(docs: DataFrame, words: int, mark: Callable[[bytes | None], int]) -> DataFrame:
+    """Stored (doc_id, key, fp, bits, sim, chunk, counts): a row per row of docs, whose fp names its shingle set, sim being its mark; rows with a chunk hold counts of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         total = np.zeros(COUNTERS, np.uint8)
         ids = None
         for b in batches:
-            fps, bits = [], []
+            fps, bits, sims = [], [], []
             for t in b["text"]:
                 h = shingle_set(t.as_py(), words)
+                sims.append(mark(t.as_py()))
                 fps.append(name(h))
                 bits.append(parity(h).tobytes())
                 if fps[-1] not in seen:
@@ -84,16 +85,16 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
                     total[at] = np.minimum(255, total[at] + n.astype(np.int64))
             ids, n = b["doc_id"].type, b.num_rows
             fp = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.record_batch([b["doc_id"], b["key"], fp, pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.record_batch([b["doc_id"], b["key"], fp, pa.array(bits, pa.binary()), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if seen:
             at = [i for i in range(COUNTERS // CHUNK) if total[i * CHUNK : (i + 1) * CHUNK].any()]
             n, zero = len(at), pa.array([0] * len(at), pa.int64())
             counts = pa.array([total[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in at], pa.binary())
-            yield pa.record_batch([pa.nulls(n, ids), zero, zero, pa.nulls(n, pa.binary()), pa.array(at, pa.int32()), counts], names=names)
+            yield pa.record_batch([pa.nulls(n, ids), zero, zero, pa.nulls(n, pa.binary()), zero, pa.array(at, pa.int32()), counts], names=names)
 
-    names = ["doc_id", "key", "fp", "bits", "chunk", "counts"]
+    names = ["doc_id", "key", "fp", "bits", "sim", "chunk", "counts"]
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
-    return stored(rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, fp long, bits binary, chunk int, counts binary"), "sets")
+    return stored(rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, fp long, bits binary, sim long, chunk int, counts binary"), "sets")
 
 
 def ranks(held: DataFrame) -> np.ndarray:
@@ -259,19 +260,22 @@ def verified(docs: DataFrame, nodes: DataFrame, edges: DataFrame, least: float,
     return out
 
 
-def alike(docs: DataFrame, held: DataFrame, nodes: DataFrame, least: float, words: int) -> DataFrame:
-    """Stored (v, root) of the components that links of at least ``least`` make of nodes (fp, first, n, bits); see sets() for held."""
+def alike(docs: DataFrame, held: DataFrame, nodes: DataFrame, least: float, words: int, found: DataFrame) -> DataFrame:
+    """Stored (v, root) of the components that links of at least ``least`` make of nodes (fp, first, n, bits); see sets() for held.
+
+    found: verified links (u, v) that are known; only pairs that these leave apart are looked for.
+    """
     met = shared(docs, held, least, words)
     met = met.join(nodes.select("fp", "bits"), "fp")
-    near = stored(pairs(met.withColumn("root", F.col("fp")), least, LAGS), "pairs")
-    links = verified(docs, nodes, near, least, words)
+    named = lambda rows, roots: rows.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    near = stored(pairs(named(met, connected(found)), least, LAGS), "pairs")
+    links = found.unionByName(verified(docs, nodes, near, least, words))
     unstore(near)
     roots = connected(links)
     rest = met.filter(F.col("n") > LAGS + 1)
     if rest.isEmpty():
         return roots
-    rest = rest.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    near = stored(pairs(rest, least), "pairs")
+    near = stored(pairs(named(rest, roots), least), "pairs")
     if near.isEmpty():
         return roots
     more = verified(docs, nodes, near, least, words)

@@ -27,6 +27,8 @@ PIVOTS = 24
 BUCKET = 64
 #: A bucket with more distinct fingerprints is compared in tiles of two parts of this size.
 PART = 2000
+#: Parts of the texts of one fingerprint; each text is proposed with its part's first, and the parts' firsts with that of all.
+SALT = 1024
 #: Words hashed at once.
 STRETCH = 1 << 16
 
@@ -171,23 +173,41 @@ def neighbours(nodes: DataFrame, most: int = 3, part: int = PART) -> DataFrame:
     return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
 
 
+def proposed(nodes: DataFrame, most: int = 3) -> DataFrame:
+    """(fp, sim) of different texts, sim being their fingerprints -> edges (u, v) between texts whose fingerprints are equal or linked.
+
+    About as many as texts: they connect what fingerprints connect, and each is to be verified by itself.
+    """
+    rows = nodes.select("fp", "sim", F.pmod(F.xxhash64("fp"), F.lit(SALT)).alias("part"))
+    parts = stored(rows.groupBy("sim", "part").agg(F.min("fp").alias("first_of_part")), "parts")
+    heads = stored(parts.groupBy("sim").agg(F.min("first_of_part").alias("head")), "heads")
+    near = neighbours(heads.select(F.col("sim").alias("fp")), most)
+    end = lambda c, name: heads.select(F.col("sim").alias(c), F.col("head").alias(name))
+    edges = rows.join(parts, ["sim", "part"]).select(F.col("fp").alias("u"), F.col("first_of_part").alias("v"))
+    edges = edges.unionByName(parts.join(heads, "sim").select(F.col("first_of_part").alias("u"), F.col("head").alias("v")))
+    edges = edges.unionByName(near.join(end("u", "a"), "u").join(end("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def components(docs: DataFrame, size: int = 3, most: int = 3, similarity: float | None = None, words: int = 5) -> DataFrame:
     """Per row of docs: doc_id, key, fp and best, the (none, doc_id, key) of the first row of its component; null ids come last.
 
-    With ``similarity``, fp stands for the set of the text's ``words``-word shingles and links are what jaccard.alike() finds,
-    all of them; ``size`` and ``most`` have no say then.
+    With ``similarity``, fp stands for the set of the text's ``words``-word shingles, and links are those of texts that share so much of
+    them. Texts whose fingerprints are linked are verified first; what fingerprints miss, jaccard.alike() finds, so no link is lost.
     """
     bound_batches(docs.sparkSession)
-    rows = fingerprints(docs, size) if similarity is None else jaccard.sets(docs, words)
+    rows = fingerprints(docs, size) if similarity is None else jaccard.sets(docs, words, lambda t: fingerprint(t, size))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     if similarity is None:
         nodes = stored(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), "nodes")
         roots = connected(neighbours(nodes.select("fp"), most))
     else:
         held, rows = rows, rows.filter("chunk IS NULL")
-        nodes = stored(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n"), F.first("bits").alias("bits")), "nodes")
-        roots, rows = jaccard.alike(docs, held, nodes, similarity, words), rows.select("doc_id", "key", "fp")
-        nodes = nodes.drop("bits")
+        nodes = stored(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n"), F.first("bits").alias("bits"), F.min("sim").alias("sim")), "nodes")
+        told = stored(proposed(nodes, most), "proposed")
+        found = jaccard.verified(docs, nodes, told, similarity, words)
+        roots, rows = jaccard.alike(docs, held, nodes, similarity, words, found), rows.select("doc_id", "key", "fp")
+        nodes = nodes.drop("bits", "sim")
     roots = roots.withColumnRenamed("v", "fp")
     named = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     firsts = stored(named.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("parts")), "firsts")

@@ -2,7 +2,7 @@
 
 import random
 
-from mnemoframe.llm import simhash
+from mnemoframe.llm import jaccard, simhash
 
 
 def survivors(spark, texts):
@@ -50,3 +50,11 @@ def test_texts_of_one_fingerprint_are_told_apart(spark):
     texts += [texts[5] + " more", texts[5].upper()]
     assert len({simhash.fingerprint(t.encode()) for t in texts}) == 1
     assert survivors(spark, texts) == brute(texts) == set(range(8))
+
+
+def test_links_of_fingerprints_come_first_and_the_rest_is_found_all_the_same(spark, monkeypatch):
+    rng, seen, real = random.Random(8), [], jaccard.alike
+    monkeypatch.setattr(jaccard, "alike", lambda *a: seen.append(a[-1].count()) or real(*a))
+    texts = family(rng, 30, 400, (0, 2)) + family(rng, 20, 30, (0, 1)) + ["", " ", "!!", "one two", "One  two"]
+    assert survivors(spark, texts) == brute(texts)
+    assert seen[0] >= 15  # most of the long family, without any shared shingle looked for
