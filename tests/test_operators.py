@@ -114,6 +114,23 @@ def test_vectors(spark):
     assert abs(rows.filter("card_id = 'b'").select(vector.cosine(F.col("embedding"), F.array(F.lit(2.0), F.lit(0.0)))).first()[0] - 0.6) < 1e-12
 
 
+def test_search_within_a_shared_column_is_cut_into_tiles(spark):
+    v = np.random.default_rng(3).normal(size=(40, 3))
+    rows = spark.createDataFrame([("p", f"{i:02}", i % 3 if i % 7 else None, [float(x) for x in v[i]]) for i in range(40)], "persona_id string, card_id string, label int, embedding array<double>")
+    q = rows.select(F.col("card_id").alias("query_id"), "persona_id", "label", "embedding")
+    got = {}
+    for r in vector.top_k(rows, q, 4, block=3, span=5, same="label").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["card_id"])
+    for i in range(40):
+        near = [j for j in range(40) if i % 7 and j % 7 and j % 3 == i % 3]
+        assert got.get(f"{i:02}", []) == [f"{j:02}" for j in sorted(near, key=lambda j: -round(float(v[i] @ v[j]), 9))[:4]]
+
+
+def test_a_vector_goes_to_few_tiles(spark):
+    n = spark.createDataFrame([(5,), (5000,), (100_000,), (600_000,)], "n long")
+    assert [r[0] for r in n.select(vector.part_count(F.col("n"))).collect()] == [1, 3, 8, 37]
+
+
 def test_spreading(spark):
     df = cards(spark, {"session_id": "s", "content": "tea", "created_at": None}, {"session_id": "s", "content": "x"}, {"source_time": "2024-01-01 上午", "content": "tea"}, {"retention": 0.0, "content": "y"})
     seeds = spark.createDataFrame([(1, "p", "c0", 1.0), (1, "p", "c1", 0.5), (1, "p", "c2", 0.4), (1, "p", "c3", 0.5), (2, "p", "c1", 0.01)], "query_id int, persona_id string, card_id string, sim double")
