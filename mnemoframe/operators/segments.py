@@ -23,8 +23,9 @@ from . import fts, graph, vector
 from .store import Table
 
 KEYS = ["persona_id", "card_id"]
-#: Segments after which they are folded; the share of the first one that the others may reach before all become one; keys that are looked for one by one.
-FOLD, SHARE, FEW = 8, 0.25, 500
+#: Segments after which they are folded; the share of the first one that the others may reach before all become one; keys that are looked for one by one; keys that
+#: are broadcast (some 250 MB), so that postings needn't be shuffled to find those of changed cards.
+FOLD, SHARE, FEW, MANY = 8, 0.25, 500, 2_000_000
 COUNTS = {"nodes": (["persona_id", "name"], ["df"]), "edges": (["persona_id", "a", "b"], ["weight"]), "words": (["word"], ["gf"]), "sizes": (["persona_id"], ["n", "tokens", "graphed"])}
 ROWS = ("postings", "ledger")
 
@@ -39,6 +40,7 @@ class Segments:
     def __init__(self, spark: SparkSession, cards: Table, encode: Callable | None = None, idf: DataFrame | None = None, tokens: Column | None = None, terms: Column | None = None):
         self.spark, self.cards, self.encode, self.path = spark, cards, encode, f"{cards.path}/index"
         self._idf, self.tokens, self.terms = idf, tokens, terms
+        self._touched: dict[str, int] = {}
 
     # -- files: a pointer is made last and never overwritten, so readers see whole segments only
 
@@ -134,8 +136,9 @@ class Segments:
         new = {n: self.spark.read.parquet(f"{self.path}/{folder}/{n}") for n in ROWS}
         few = touched.limit(FEW + 1).collect() if before else []
         # the rows of these cards that are valid so far, and the keys of those that were there
-        old = {n: self._of(n, before, touched, few) for n in ROWS} if before else None
-        had = self._of("keys", before, touched, few) if before else None
+        many = bool(before) and self._count([folder]) > MANY
+        old = {n: self._of(n, before, touched, few, many) for n in ROWS} if before else None
+        had = self._of("keys", before, touched, few, many) if before else None
         self._write_all(folder, self._deltas(keys, had, new, old))
         return folder
 
@@ -179,21 +182,31 @@ class Segments:
         rows = self.spark.read.parquet(f"{self.path}/{folder}/{name}")
         return rows.withColumnRenamed("id", "card_id") if name == "cards" else rows
 
-    def _of(self, name: str, folders: list[str], keys: DataFrame, few: list) -> DataFrame:
-        """The valid rows of some cards. Up to FEW are looked for by value, so that files and row groups without them aren't read."""
+    def _count(self, folders: list[str]) -> int:
+        """Keys that segments touch; their tables don't change."""
+        for f in folders:
+            if f not in self._touched:
+                self._touched[f] = self._read(f, "touched").count()
+        return sum(self._touched[f] for f in folders)
+
+    def _of(self, name: str, folders: list[str], keys: DataFrame, few: list, many: bool = True) -> DataFrame:
+        """The valid rows of some cards. Up to FEW are looked for by value, so that files and row groups without them aren't read. many: too many keys to broadcast."""
         rows = self._valid(name, folders)
         if len(few) <= FEW:
             rows = rows.filter(F.col("card_id").isin([r["card_id"] for r in few]))
-        return rows.join(keys.hint("broadcast") if len(few) <= FEW else keys, KEYS, "left_semi")
+        return rows.join(keys.hint("broadcast") if len(few) <= FEW or not many else keys, KEYS, "left_semi")
+
+    def _left(self, rows: DataFrame, folders: list[str]) -> DataFrame:
+        """rows with the number of their segment (_s), without those of cards that a later one replaces or removes."""
+        if len(folders) > 1:
+            late = reduce(DataFrame.unionByName, [self._read(f, "touched").withColumn("_t", F.lit(i)) for i, f in enumerate(folders) if i]).groupBy(*KEYS).agg(F.max("_t").alias("_t"))
+            rows = rows.join(late.hint("broadcast") if self._count(folders[1:]) <= MANY else late, KEYS, "left").filter("_t IS NULL OR _t <= _s").drop("_t")
+        return rows.drop("_s")
 
     def _valid(self, name: str, folders: list[str]) -> DataFrame:
         """Rows of all segments but those of cards that a later one replaces or removes."""
         each = [self._read(f, name).withColumn("_s", F.lit(i)) for i, f in enumerate(folders)]
-        rows = reduce(DataFrame.unionByName, each)
-        if len(folders) > 1:
-            late = reduce(DataFrame.unionByName, [self._read(f, "touched").withColumn("_t", F.lit(i)) for i, f in enumerate(folders) if i])
-            rows = rows.join(late.groupBy(*KEYS).agg(F.max("_t").alias("_t")), KEYS, "left").filter("_t IS NULL OR _t <= _s").drop("_t")
-        rows = rows.drop("_s")
+        rows = self._left(reduce(DataFrame.unionByName, each), folders)
         return rows.withColumnRenamed("card_id", "id") if name == "cards" else rows
 
     def _summed(self, name: str, folders: list[str]) -> DataFrame:
@@ -258,11 +271,7 @@ class Segments:
         self._table("postings")
         folders = self.state()[2]
         each = [encoded(f).withColumn("_s", F.lit(i)) for i, f in enumerate(folders)]
-        rows = reduce(DataFrame.unionByName, each)
-        if len(folders) > 1:
-            late = reduce(DataFrame.unionByName, [self._read(f, "touched").withColumn("_t", F.lit(i)) for i, f in enumerate(folders) if i])
-            rows = rows.join(late.groupBy(*KEYS).agg(F.max("_t").alias("_t")), KEYS, "left").filter("_t IS NULL OR _t <= _s").drop("_t")
-        return rows.drop("_s")
+        return self._left(reduce(DataFrame.unionByName, each), folders)
 
     def recorded(self, cards: DataFrame) -> DataFrame:
         """Ledger rows of (persona_id, card_id)."""

@@ -47,3 +47,16 @@ def test_a_graph_query_makes_only_its_tables(spark, tmp_path, monkeypatch):
     assert catalog.QUERIES["graph_top_nodes"](spark, d).count()
     assert sorted(f.name for f in tmp_path.iterdir()) == ["ledger", "nodes"]
 
+
+
+def test_keys_of_changed_cards_are_broadcast_whatever_spark_expects(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "cards"))
+    table.save(made(spark))
+    index = Segments(spark, table).refresh()
+    table.patch(made(spark).filter("seq % 5 = 0"))
+    index.refresh()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(index.postings)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
