@@ -77,3 +77,12 @@ def test_known_names_stay_whole(spark):
     df = spark.createDataFrame([("我和小明去New York, in (a) inn; new yorker C++",)], "t string")
     assert df.select(text.words(F.col("t"), ["小明", "New York", "in", "C++", " "]).alias("w")).first()["w"] == ["我和", "小明", "去", "new york", "in", "a", "inn", "new", "yorker", "c++"]
     assert df.select(text.topic_words(F.col("t"), names=["小明"]).alias("w")).first()["w"] == ["我和", "小明", "去new", "york", "inn", "new", "yorker"]
+
+
+def test_character_pairs_come_from_one_pass(spark):
+    texts = ["", "a", "ab", "aab", "A b\n\nC", "\U0001f600x\U0001f600x", "日本語日本", "aaaa"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.bigrams(F.col("t")).alias("b"))
+    for r in df.collect():
+        low = r["t"].lower()
+        assert sorted(r["b"]) == sorted({low[i : i + 2] for i in range(len(low) - 1)} or {low})
+    assert "zip_with" not in df._jdf.queryExecution().optimizedPlan().toString()
