@@ -36,7 +36,8 @@ def gate(hits: DataFrame, cards: DataFrame, excluded: DataFrame | None = None, l
 def keyword_fallback(cards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, persona_id, card_id, score, rank): active cards by shared tokens."""
     q = queries.select("query_id", "persona_id", keyword_tokens(F.col("text")).alias("_q"))
-    rows = cards.filter("NOT coalesce(legacy, false)").select("persona_id", F.col("id").alias("card_id"), "seq", keyword_tokens(card_text(F.coalesce("content", F.lit("")), F.col("keywords"), F.col("tags"))).alias("_t"))
+    asked = cards.filter("NOT coalesce(legacy, false)").join(q.select("persona_id"), "persona_id", "left_semi")  # other personas' texts aren't cut into tokens
+    rows = asked.select("persona_id", F.col("id").alias("card_id"), "seq", keyword_tokens(card_text(F.coalesce("content", F.lit("")), F.col("keywords"), F.col("tags"))).alias("_t"))
     hits = rows.join(q, "persona_id").withColumn("score", overlap_score(F.col("_q"), F.col("_t"))).filter("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "seq")
     return hits.select("query_id", "persona_id", "card_id", "seq", "score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("seq")

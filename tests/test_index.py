@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text
-from mnemoframe.operators import graph
+from mnemoframe.operators import activation, graph
 from mnemoframe.operators.index import Index
 from mnemoframe.operators.segments import Segments
 from mnemoframe.operators.store import Table
@@ -60,3 +60,10 @@ def test_keys_of_changed_cards_are_broadcast_whatever_spark_expects(spark, tmp_p
         assert "BroadcastHashJoin" in plan(index.postings)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_the_texts_of_asked_personas_are_cut_into_tokens(spark):
+    q = spark.createDataFrame([(1, "p", "tea cat"), (2, "p", "work")], "query_id int, persona_id string, text string")
+    hits = activation.keyword_fallback(made(spark), q, 3)
+    assert "LeftSemi" in plan(hits)
+    assert {r["persona_id"] for r in hits.collect()} == {"p"}
