@@ -28,6 +28,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS, ALL_CHARS = 400, 2_000, 60_000, 1_000
 SYMBOLS, DIGITS = 80, 4
 #: Stretches of text parsed side by side.
 STRETCH = 1024
+#: Bytes of an Arrow batch, about: its texts are held as characters, symbols and steps too.
+BATCH_BYTES = 4 << 20
 #: A language with less held-back text than this has no rate of its own.
 HELD_SYMBOLS = 100
 UNDETERMINED = "und"
@@ -66,15 +68,16 @@ class Automaton:
         self.states, self.width = len(nxt), width
         self.arcs = np.array([(s * width + c, t) for s, row in enumerate(nxt) for c, t in row.items()], np.int32).reshape(-1, 2)
 
-    def steps(self) -> np.ndarray:
+    def steps(self, room: np.ndarray | None = None) -> np.ndarray:
         """Flat table for parsing: the next state times width, plus FAIL where a phrase starts: at the root, and where none goes on.
 
-        A symbol that the text lacks is a phrase of its own and leads back to the root.
+        A symbol that the text lacks is a phrase of its own and leads back to the root. The table lies in ``room`` if that is given.
         """
         first = self.arcs[self.arcs[:, 0] < self.width]
         anew = np.full(self.width, FAIL, np.int32)
         anew[first[:, 0]] += first[:, 1] * self.width
-        out = np.tile(anew, self.states)
+        out = np.empty(self.states * self.width, np.int32) if room is None else room[: self.states * self.width]
+        out.reshape(-1, self.width)[:] = anew
         later = self.arcs[self.arcs[:, 0] >= self.width]
         out[later[:, 0]] = later[:, 1] * self.width
         return out
@@ -157,13 +160,13 @@ class Model:
         return long
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_table", "_steps")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_table", "_room")}
 
-    def steps(self) -> list[np.ndarray]:
-        """Dense tables, made where they are used; only the arcs travel."""
-        if not hasattr(self, "_steps"):
-            self._steps = [a.steps() for a in self.automata]
-        return self._steps
+    def steps(self) -> Iterator[np.ndarray]:
+        """Each language's dense table, made where it is used, in the room of the one before; only the arcs travel."""
+        if not hasattr(self, "_room"):
+            self._room = np.empty(max((a.states * a.width for a in self.automata), default=0), np.int32)
+        return (a.steps(self._room) for a in self.automata)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [plain(t or "") for t in texts]
@@ -277,6 +280,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 names, scores = shared.value.predict(part["row"].field("text").to_pylist())
                 yield pa.record_batch([part["row"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, size=BATCH_BYTES)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -195,7 +195,8 @@ def components(docs: DataFrame, size: int = 3, most: int = 3, similarity: float
     With ``similarity``, fp stands for the set of the text's ``words``-word shingles, and links are those of texts that share so much of
     them. Texts whose fingerprints are linked are verified first; what fingerprints miss, jaccard.alike() finds, so no link is lost.
     """
-    bound_batches(docs.sparkSession)
+    # sets of shingles are wider than texts, two of them go with a pair
+    bound_batches(docs.sparkSession, size=(16 if similarity is None else 4) << 20)
     rows = fingerprints(docs, size) if similarity is None else jaccard.sets(docs, words, lambda t: fingerprint(t, size))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     if similarity is None:

@@ -141,6 +141,18 @@ def test_phrases_of_long_texts_go_on_across_stretches(monkeypatch, stretch):
     assert langid.parse(steps, [np.tile(learn, 250)]).sum() > 200  # a megabyte
 
 
+def test_one_table_of_steps_is_held_whatever_the_number_of_languages():
+    rng = random.Random(5)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    model = langid.Model({k: [text(v, 30) for _ in range(9)] for k, v in (("x", "abcd"), ("y", "cdef"), ("z", "efgh"))})
+    one, two, three = model.steps()
+    assert np.shares_memory(one, two) and np.shares_memory(two, three)
+    asked = [text(v, n) for n in (3, 40) for v in ("abcd", "cdef", "efgh")]
+    coded = [model.encode(langid.plain(t)) for t in asked]
+    need = [langid.parse(a.steps(), coded) / own for a, own in zip(model.automata, model.own)]
+    assert model.predict(asked)[0] == ["xyz"[i] for i in np.argmin(need, axis=0)] == list("xyzxyz")
+
+
 def test_letters_of_all_scripts_are_told_apart():
     rng = random.Random(9)
     letters = {"han-a": range(0x4E00, 0x5200), "han-b": range(0x5200, 0x5600), "kana": range(0x3041, 0x3096), "arabic": range(0x620, 0x64B), "hangul": range(0xAC00, 0xAE00), "gothic": range(0x10330, 0x1034A)}
