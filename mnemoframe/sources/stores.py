@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .cards import RESERVED, from_json_rows
@@ -29,11 +29,15 @@ FORMAT = "cardstores"
 COLUMNS = {"persona_id": pa.string(), "seq": pa.int64(), "id": pa.string(), "data": pa.string()}
 #: Bytes of stores that one task reads, about; rows of a batch; values of a filter that a store looks up; stores a task holds open.
 SPLIT_BYTES, BATCH, LOOKED_UP, OPEN = 32 << 20, 500, 1000, 64
+#: Bytes of a batch that a task writes, about; KB of pages that a store being written holds before they go to its file.
+BATCH_BYTES, PAGES_KB = 4 << 20, 512
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session, with filters pushed into it."""
+    """Make the format known to the session, with filters pushed into it and cards coming to its writers in small batches."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(key, str(most))
     spark.dataSource.register(CardStores)
 
 
@@ -82,7 +86,7 @@ class CardStores(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return StoreReader(self.options, schema)
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return StoreWriter(self.options, schema, overwrite)
 
 
@@ -179,14 +183,14 @@ class Drafts(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class StoreWriter(DataSourceWriter):
+class StoreWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.base, self.overwrite = str(local(options["path"])), overwrite
         if missing := {"persona_id", "id", "data"} - set(schema.fieldNames()):
             raise ValueError(f"cards to store lack the columns {sorted(missing)}")
         self.drafts = f"{self.base}/_drafts-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator[Row]) -> Drafts:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Drafts:
         task = uuid.uuid4().hex
         folder = Path(self.drafts, task)
         folder.mkdir(parents=True)
@@ -200,6 +204,7 @@ class StoreWriter(DataSourceWriter):
                 file = files.setdefault(persona, str(folder / f"{len(files)}.db"))
                 con = sqlite3.connect(file)
                 con.execute("PRAGMA journal_mode=MEMORY")
+                con.execute(f"PRAGMA cache_size=-{PAGES_KB}")
                 con.execute("CREATE TABLE IF NOT EXISTS cards (id TEXT PRIMARY KEY, data TEXT NOT NULL)")
                 held[persona] = con
             return held[persona]
@@ -210,10 +215,13 @@ class StoreWriter(DataSourceWriter):
             con.close()
 
         try:
-            for r in rows:
-                if r["persona_id"] is None or not is_persona(r["persona_id"]) or r["id"] is None:
-                    raise ValueError(f"card {r['id']!r} of persona {r['persona_id']!r} can't be stored")
-                store(r["persona_id"]).execute("INSERT OR REPLACE INTO cards VALUES (?, ?)", (r["id"], r["data"] or ""))
+            for b in batches:
+                for at in range(0, b.num_rows, BATCH):  # a batch may be larger than asked for
+                    part = b.slice(at, BATCH)
+                    for persona, card, data in zip(*(part[c].to_pylist() for c in ("persona_id", "id", "data"))):
+                        if persona is None or not is_persona(persona) or card is None:
+                            raise ValueError(f"card {card!r} of persona {persona!r} can't be stored")
+                        store(persona).execute("INSERT OR REPLACE INTO cards VALUES (?, ?)", (card, data or ""))
             for persona in list(held):
                 close(persona)
         except BaseException:

@@ -3,8 +3,10 @@
 import json
 import os
 import sqlite3
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,21 @@ def test_the_engine_adopts_stores(spark, base, tmp_path):
     e.adopt(base)
     assert e.get("ann", "ann3")["legacy"] and e.get("ann", "ann2") is None and e.get("Zoë b", "Zoë b1")["content"] == "text 1 😀"
     assert {r["persona_name"] for r in e.names().collect()} == {"ann", "Zoë b", "empty"}
+
+
+def test_a_writer_holds_few_rows_of_a_large_batch(spark, tmp_path):
+    n, base = 6000, str(tmp_path / "large")
+    cards = {"persona_id": [f"p{i % 3}" for i in range(n)], "id": [f"c{i}" for i in range(n)], "data": [f"{i:5000}" for i in range(n)]}
+    batch = pa.record_batch(cards)
+    del cards
+    writer = stores.StoreWriter({"path": base}, spark.createDataFrame([], "persona_id string, id string, data string").schema, False)
+    tracemalloc.start()
+    try:
+        drafts = writer.write(iter([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 10_000_000  # of 30 MB
+    finally:
+        tracemalloc.stop()
+    writer.commit([drafts])
+    got = read(spark, base)
+    assert got.count() == n == got.selectExpr("int(trim(data)) AS i").distinct().count()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= stores.BATCH
