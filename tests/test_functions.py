@@ -86,3 +86,12 @@ def test_character_pairs_come_from_one_pass(spark):
         low = r["t"].lower()
         assert sorted(r["b"]) == sorted({low[i : i + 2] for i in range(len(low) - 1)} or {low})
     assert "zip_with" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_safe_names_are_written_once_and_take_any_default(spark):
+    c = F.col("t")
+    df = spark.createDataFrame([("a b..c ",), ("",), (None,), ("._ ",), ("é\n",)], "t string").select(text.safe_session_id(c).alias("a"), text.safe_filename(c).alias("b"), text.safe_filename(c, "a\\b$1").alias("d"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-zA-Z0-9_.-]+") == 1 and plan.count("^[_. ]+|[_. ]+$") == 2
+    assert [tuple(r)[:2] for r in df.collect()] == [("a_b..c", "a_b_c"), ("default", "default"), ("default", "default"), ("._", "default"), ("_", "é")]
+    assert [r[2] for r in df.collect()] == ["a_b_c", "a_b_1", "a_b_1", "a\\b$1", "é"]
