@@ -3,7 +3,8 @@
 A segment holds the postings and ledger rows of its cards, the keys of the cards it replaces or removes, and what that changes in the
 counts: of nodes, edges, words and sizes. Readers add the counts up and leave out rows that a later segment replaces. When there are many
 segments, the late ones are folded into one, and all of them where the late ones have grown large. A term's weight comes from a fixed IDF
-table, so cards that are in the index don't change when others come.
+table, so cards that are in the index don't change when others come. A small change's tables are written with it, those of a large one
+when they are first asked for, so that a question makes only the tables that it reads.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from mnemoframe.functions.text import card_text
 from mnemoframe.sources.cards import searchable
 
 from . import fts, graph, vector
+from .index import cleaned
 from .store import Table
 
 KEYS = ["persona_id", "card_id"]
@@ -41,6 +44,7 @@ class Segments:
         self.spark, self.cards, self.encode, self.path = spark, cards, encode, f"{cards.path}/index"
         self._idf, self.tokens, self.terms = idf, tokens, terms
         self._touched: dict[str, int] = {}
+        self._lock = Lock()
 
     # -- files: a pointer is made last and never overwritten, so readers see whole segments only
 
@@ -71,12 +75,23 @@ class Segments:
         finally:
             f.close()
 
+    def _kept(self, folder: str, name: str) -> DataFrame:
+        """A table of a segment, which the first who asks for it makes."""
+        path, fs = self._path(f"{folder}/{name}"), self._fs()
+        if not fs.exists(path):
+            draft = f"_{name}-{uuid.uuid4().hex}"
+            self._write(folder, draft, self._made(folder, name))
+            fs.rename(self._path(f"{folder}/{draft}"), path)  # if another writer was first, its table is as good
+        return self.spark.read.parquet(f"{self.path}/{folder}/{name}")
+
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that the first who asks for it makes."""
         folder = self._pointed(name)
         if folder is None:
             draft = f"{name}-{uuid.uuid4().hex}"
-            make().write.parquet(f"{self.path}/{draft}")
+            rows = make()
+            with cleaned(self.spark):
+                rows.write.parquet(f"{self.path}/{draft}")
             folder = draft if self._point(name, draft) else self._pointed(name)
         return self.spark.read.parquet(f"{self.path}/{folder}")
 
@@ -93,9 +108,11 @@ class Segments:
 
     @property
     def idf(self) -> DataFrame:
-        if self._idf is None:
-            self._idf = self._once("idf", lambda: graph.idf_table(self.cards.load(), self.terms))
-        return self._idf
+        with self._lock:
+            if self._idf is None:
+                first = self._pointed("first")  # the segments that were there when the index began
+                self._idf = self._once("idf", lambda: graph.idf_table(self.cards.load() if first is None else self._valid("cards", first.split()), self.terms))
+            return self._idf
 
     def refresh(self) -> Segments:
         """Brings the index to the present generation; reads the cards that changed since, no others."""
@@ -111,60 +128,74 @@ class Segments:
                 folders = [self._segment(f"s{g}", changed, None, [])] if whole else [*folders, self._segment(f"s{g}", changed, gone, folders)]
                 if len(folders) > FOLD:
                     folders = self._folded(folders)
+            if not number and self._idf is None:
+                self._point("first", " ".join(folders))
             self._point(f"current/{number + 1}", " ".join([str(now), *folders]))  # if another was first, its segments are as good
 
     def _write(self, folder: str, name: str, rows: DataFrame) -> None:
-        rows.write.option("parquet.bloom.filter.enabled#card_id", "true").parquet(f"{self.path}/{folder}/{name}")
+        with cleaned(self.spark):
+            rows.write.option("parquet.bloom.filter.enabled#card_id", "true").parquet(f"{self.path}/{folder}/{name}")
 
-    def _write_all(self, folder: str, tables: dict[str, DataFrame]) -> None:
+    def _make_all(self, folders: list[str], names: tuple[str, ...]) -> None:
         """Side by side, as the jobs of a small change are short."""
-        with ThreadPoolExecutor(len(tables)) as pool:
-            list(pool.map(lambda t: self._write(folder, *t), tables.items()))
+        if "ledger" in names:
+            self.idf
+        with ThreadPoolExecutor(max(1, len(folders) * len(names))) as pool:
+            list(pool.map(lambda t: self._kept(*t), [(f, n) for f in folders for n in names]))
 
     def _segment(self, name: str, changed: DataFrame, gone: DataFrame | None, before: list[str]) -> str:
         folder = f"{name}-{uuid.uuid4().hex}"
-        texts = card_text(F.coalesce("content", F.lit("")), F.col("keywords"), F.col("tags")) if self.tokens is None else None
         self._write(folder, "cards", changed)
-        changed = self.spark.read.parquet(f"{self.path}/{folder}/cards")
-        keys = changed.select("persona_id", F.col("id").alias("card_id"))
+        keys = self._read(folder, "keys")
         self._write(folder, "touched", keys if gone is None else keys.unionByName(gone.select("persona_id", F.col("id").alias("card_id"))).distinct())
-        touched = self.spark.read.parquet(f"{self.path}/{folder}/touched")
-        postings = fts.postings(changed, self.tokens) if texts is None else fts.postings(changed)
-        plain = changed.filter("NOT coalesce(is_portrait, false)")
-        led = graph.ledger(plain, graph.content_terms(plain, tokens=self.terms, idf=self.idf))
-        self._write_all(folder, {"postings": postings.sortWithinPartitions("persona_id", "term"), "ledger": led.sortWithinPartitions("persona_id", "node")})
-        new = {n: self.spark.read.parquet(f"{self.path}/{folder}/{n}") for n in ROWS}
-        few = touched.limit(FEW + 1).collect() if before else []
-        # the rows of these cards that are valid so far, and the keys of those that were there
-        many = bool(before) and self._count([folder]) > MANY
-        old = {n: self._of(n, before, touched, few, many) for n in ROWS} if before else None
-        had = self._of("keys", before, touched, few, many) if before else None
-        self._write_all(folder, self._deltas(keys, had, new, old))
+        self._point(f"{folder}/before", " ".join(before))
+        if self._count([folder]) <= FEW:
+            self._make_all([folder], ROWS)
+            self._make_all([folder], tuple(COUNTS))
         return folder
 
-    def _deltas(self, keys: DataFrame, had: DataFrame | None, new: dict[str, DataFrame], old: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
+    def _made(self, folder: str, name: str) -> DataFrame:
+        """A segment's table, from its cards and the segments before it."""
+        before = (self._pointed(f"{folder}/before") or "").split()
+        if name in ROWS:
+            cards = self.spark.read.parquet(f"{self.path}/{folder}/cards")
+            if name == "postings":
+                return (fts.postings(cards) if self.tokens is None else fts.postings(cards, self.tokens)).sortWithinPartitions("persona_id", "term")
+            plain = cards.filter("NOT coalesce(is_portrait, false)")
+            return graph.ledger(plain, graph.content_terms(plain, tokens=self.terms, idf=self.idf)).sortWithinPartitions("persona_id", "node")
+        new = lambda n: self._read(folder, n)
+        if not before:
+            return self._counted(name, new)
+        # the rows of these cards that were valid so far, and the keys of those that were there
+        touched, many = new("touched"), self._count([folder]) > MANY
+        few = touched.limit(FEW + 1).collect()
+        return self._delta(name, new, lambda n: self._of(n, before, touched, few, many))
+
+    def _counted(self, name: str, of: Callable[[str], DataFrame]) -> DataFrame:
+        """What the rows ``of`` gives add to the counts."""
+        if name == "nodes":
+            return graph.nodes(of("ledger"))
+        if name == "edges":
+            return graph.edges(of("ledger"))
+        if name == "words":
+            return of("postings").groupBy(F.col("term").alias("word")).agg(F.sum("tf").alias("gf"))
+        n = of("keys").groupBy("persona_id").agg(F.count("*").alias("n"))
+        tokens = of("postings").groupBy("persona_id").agg(F.sum("tf").alias("tokens"))
+        graphed = of("ledger").groupBy("persona_id").agg(F.count_distinct("card_id").alias("graphed"))
+        return n.join(tokens, "persona_id", "left").join(graphed, "persona_id", "left").na.fill(0)
+
+    def _delta(self, name: str, new: Callable[[str], DataFrame], old: Callable[[str], DataFrame]) -> DataFrame:
         """What the new rows add to the counts and the old ones take from them. last_seen only ever goes up."""
-
-        def both(of: Callable[[DataFrame, dict[str, DataFrame]], DataFrame], by: list[str], sums: list[str]) -> DataFrame:
-            plus = of(keys, new)
-            if old is None:
-                return plus
-            minus = of(had, old).select(*[(-F.col(c)).alias(c) if c in sums else F.lit(None).cast("timestamp").alias(c) if c == "last_seen" else c for c in plus.columns])
-            seen = [F.max("last_seen").alias("last_seen")] if "last_seen" in plus.columns else []
-            return plus.unionByName(minus).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], *seen)
-
-        def sizes(k: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-            n = k.groupBy("persona_id").agg(F.count("*").alias("n"))
-            tokens = t["postings"].groupBy("persona_id").agg(F.sum("tf").alias("tokens"))
-            graphed = t["ledger"].groupBy("persona_id").agg(F.count_distinct("card_id").alias("graphed"))
-            return n.join(tokens, "persona_id", "left").join(graphed, "persona_id", "left").na.fill(0)
-
-        makers = {"nodes": lambda k, t: graph.nodes(t["ledger"]), "edges": lambda k, t: graph.edges(t["ledger"]), "words": lambda k, t: t["postings"].groupBy(F.col("term").alias("word")).agg(F.sum("tf").alias("gf")), "sizes": sizes}
-        return {name: both(makers[name], by, sums) for name, (by, sums) in COUNTS.items()}
+        (by, sums), plus = COUNTS[name], self._counted(name, new)
+        minus = self._counted(name, old).select(*[(-F.col(c)).alias(c) if c in sums else F.lit(None).cast("timestamp").alias(c) if c == "last_seen" else c for c in plus.columns])
+        seen = [F.max("last_seen").alias("last_seen")] if "last_seen" in plus.columns else []
+        return plus.unionByName(minus).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], *seen)
 
     def _folded(self, folders: list[str]) -> list[str]:
         """The late segments as one; all as one where the late ones have more than a share of the first one's postings."""
-        count = lambda fs: sum(self.spark.read.parquet(f"{self.path}/{f}/postings").count() for f in fs)
+        count = lambda fs: sum(self._kept(f, "postings").count() for f in fs)
+        for names in (ROWS, tuple(COUNTS)):  # what is folded may be needed to make them
+            self._make_all(folders, names)
         first = 0 if count(folders[1:]) > SHARE * count(folders[:1]) else 1
         some, folder = folders[first:], f"f-{uuid.uuid4().hex}"
         for name in ("cards", *ROWS):
@@ -179,7 +210,7 @@ class Segments:
     def _read(self, folder: str, name: str) -> DataFrame:
         if name == "keys":
             return self.spark.read.parquet(f"{self.path}/{folder}/cards").select("persona_id", F.col("id").alias("card_id"))
-        rows = self.spark.read.parquet(f"{self.path}/{folder}/{name}")
+        rows = self._kept(folder, name)
         return rows.withColumnRenamed("id", "card_id") if name == "cards" else rows
 
     def _count(self, folders: list[str]) -> int:
@@ -215,13 +246,20 @@ class Segments:
         seen = [F.max("last_seen").alias("last_seen")] if "last_seen" in rows.columns else []
         return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], *seen) if len(folders) > 1 else rows
 
-    def _table(self, name: str) -> DataFrame:
+    def _folders(self) -> list[str]:
+        """The segments of the present generation."""
         folders = self.refresh().state()[2]
         if not folders:  # nothing was ever put in
             self.cards.save(self.cards.load())
             folders = self.refresh().state()[2]
+        return folders
+
+    def _table(self, name: str) -> DataFrame:
+        folders = self._folders()
+        self._make_all(folders, ROWS if name == "sizes" else ("postings",) if name in ("postings", "words") else ("ledger",))
         if name in ROWS:
             return self._valid(name, folders)
+        self._make_all(folders, (name,))
         return self._summed(name, folders).filter(" OR ".join(f"{c} <> 0" for c in COUNTS[name][1]))
 
     @property
@@ -268,21 +306,23 @@ class Segments:
             rows = searchable(self.spark.read.parquet(f"{self.path}/{folder}/cards")).select("persona_id", F.col("id").alias("card_id"), "seq", F.coalesce("legacy", F.lit(False)).alias("legacy"), text.alias("text"))
             return self._once(f"{folder}/vectors", lambda: vector.embed(rows, self.encode).select("persona_id", "card_id", "seq", "legacy", "embedding"))
 
-        self._table("postings")
-        folders = self.state()[2]
+        folders = self._folders()
         each = [encoded(f).withColumn("_s", F.lit(i)) for i, f in enumerate(folders)]
         return self._left(reduce(DataFrame.unionByName, each), folders)
 
     def recorded(self, cards: DataFrame) -> DataFrame:
         """Ledger rows of (persona_id, card_id)."""
-        self._table("ledger")
+        folders = self._folders()
+        self._make_all(folders, ("ledger",))
         keys = cards.select(*KEYS).distinct()
-        return self._of("ledger", self.state()[2], keys, keys.limit(FEW + 1).collect())
+        return self._of("ledger", folders, keys, keys.limit(FEW + 1).collect())
 
     def vacuum(self) -> None:
         """Delete the folders and pointers that the present state doesn't need."""
         number, _, folders = self.state()
         fs = self._fs()
+        if number:
+            self.idf  # may yet have to be made of folders that go
         for s in fs.listStatus(self._path("")) if number else []:
             name = s.getPath().getName()
             if name[0] in "sf" and "-" in name and name not in folders:
