@@ -54,3 +54,33 @@ def test_folding_makes_what_wasnt_asked_for(spark, tmp_path, monkeypatch):
     index.refresh().vacuum()
     led = graph.ledger(table.load(), graph.content_terms(table.load(), idf=index.idf))
     assert rows(index.edges, "persona_id", "a", "b", "weight") == rows(graph.edges(led), "persona_id", "a", "b", "weight")
+
+
+@pytest.mark.parametrize("known", [0, 5, 1000])
+def test_terms_left_out_early_are_none_of_the_heaviest(spark, monkeypatch, known):
+    cards = made(spark, 120, cut=120).localCheckpoint()
+    idf = graph.idf_table(cards.filter("seq < 60")).localCheckpoint()
+    plain = {}
+    for n in (100, known):  # all terms are known to the tasks, or some, or none
+        monkeypatch.setattr(graph, "KNOWN", max(n, 1))
+        plain[n] = rows(graph.content_terms(cards, idf=idf), "card_id", "term", "rank")
+    everything = graph.topic_counts(cards).join(idf, "term", "left").withColumn("_o", F.lit(idf.filter("term IS NULL").first()["idf"]))
+    every = {(r["card_id"], r["term"]): round(r["tf"] * (r["_o"] if r["idf"] is None else r["idf"]), 6) for r in everything.collect()}
+    best = {}
+    for (card, term), weight in every.items():
+        best.setdefault(card, []).append((-weight, term))
+    assert plain[100] == plain[known] == sorted(((c, t, i + 1) for c, x in best.items() for i, (_, t) in enumerate(sorted(x)[:12])), key=repr)
+    dfs = graph.term_cards(cards).localCheckpoint()
+    assert rows(graph.content_terms(cards, dfs=dfs), "persona_id", "card_id", "term", "rank") == rows(graph.content_terms(cards), "persona_id", "card_id", "term", "rank")
+
+
+def test_light_terms_arent_shuffled(spark, monkeypatch):
+    seen = []
+    plain = graph.term_counts
+    monkeypatch.setattr(graph, "term_counts", lambda *a: seen.append((plain(*a[:3]), plain(*a))) or seen[-1][1])
+    cards = made(spark, 60, cut=200)
+    dfs = graph.term_cards(cards).localCheckpoint()
+    seen.clear()
+    graph.content_terms(cards, dfs=dfs)
+    every, some = seen[-1]
+    assert some.count() < 0.6 * every.count()
