@@ -221,8 +221,7 @@ def eval_metrics(spark, d):
     """Each card is asked for by its two heaviest terms; its place among the first five full-text hits is what counts. Cards with equal terms ask once."""
     x = _index(spark, d)
     asked = x.ledger.filter("pos <= 2").groupBy("card_id", "persona_id").agg(F.sort_array(F.collect_set("node")).alias("terms"))
-    hits = fts.bm25_of_many(x.postings, x.sizes, asked.select("persona_id", "terms").distinct())
-    own = fts.ranked(hits, 5, by=("persona_id", "terms")).select("persona_id", "terms", "card_id", "rank")
+    own = fts.best_of_many(x.postings, x.sizes, asked.select("persona_id", "terms").distinct(), 5).select("persona_id", "terms", "card_id", "rank")
     m = maintain.retrieval_metrics(asked.join(own, ["persona_id", "terms", "card_id"], "left").select(F.coalesce("rank", F.lit(0)).alias("rank")))
     return m.select("queries", *[r6(c).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr")])
 

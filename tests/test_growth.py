@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import fts, graph, segments
+from mnemoframe.operators import asked, fts, graph, segments
 from mnemoframe.operators.index import CLEAN_UP, Index
 from mnemoframe.operators.segments import Segments
 from mnemoframe.operators.store import Table
@@ -84,3 +84,34 @@ def test_light_terms_arent_shuffled(spark, monkeypatch):
     graph.content_terms(cards, dfs=dfs)
     every, some = seen[-1]
     assert some.count() < 0.6 * every.count()
+
+
+def test_an_index_leaves_no_shuffle_files(spark, tmp_path):
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(",").count("shuffle_")
+    index = Index(spark, str(tmp_path / "x"), lambda: made(spark, 60))
+    before, was = blocks(), spark.conf.get(CLEAN_UP, "false")
+    assert index.edges.count() and index.postings.count()
+    index._table("again", lambda: index.edges.repartition(3, "a"))
+    assert spark.conf.get(CLEAN_UP, "false") == was
+    shuffled = blocks() - before
+    fresh = Index(spark, str(tmp_path / "y"), lambda: made(spark, 60))
+    count = blocks()
+    fresh.postings  # written where it is made
+    fresh._table("dealt", lambda: fresh.postings.repartition(3, "term"))
+    assert blocks() == count, shuffled
+
+
+def test_best_of_many_equals_all_hits_ranked(spark, monkeypatch):
+    monkeypatch.setattr(fts, "PART", 7)
+    monkeypatch.setattr(fts, "BLOCK", 5)
+    cards = made(spark, 90).localCheckpoint()
+    index, corpus = fts.postings(cards).localCheckpoint(), fts.sizes(cards).localCheckpoint()
+    rng = random.Random(3)
+    wants = {(p, tuple(rng.sample([f"w{i}" for i in range(40)] + ["none"], rng.randint(1, 3)))) for p in "pqrs" for _ in range(25)}
+    questions = spark.createDataFrame([(p, list(t)) for p, t in wants], "persona_id string, terms array<string>")
+    hits = fts.ranked(fts.bm25_of_many(index, corpus, questions), 4, by=("persona_id", "terms"))
+    want = {(r["persona_id"], tuple(r["terms"]), r["rank"]): (r["card_id"], round(r["score"], 9)) for r in hits.collect()}
+    for buckets in (1, 1 << 21):
+        monkeypatch.setattr(asked, "BUCKETS", buckets)
+        got = {(r["persona_id"], tuple(r["terms"]), r["rank"]): (r["card_id"], round(r["score"], 9)) for r in fts.best_of_many(index, corpus, questions, 4).collect()}
+        assert got == want and got
