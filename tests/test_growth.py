@@ -115,3 +115,14 @@ def test_best_of_many_equals_all_hits_ranked(spark, monkeypatch):
         monkeypatch.setattr(asked, "BUCKETS", buckets)
         got = {(r["persona_id"], tuple(r["terms"]), r["rank"]): (r["card_id"], round(r["score"], 9)) for r in fts.best_of_many(index, corpus, questions, 4).collect()}
         assert got == want and got
+
+
+def test_a_question_shuffles_only_postings_that_may_hit(spark, tmp_path):
+    fts.postings(made(spark, 90)).write.parquet(str(tmp_path / "p"))
+    index = spark.read.parquet(str(tmp_path / "p"))
+    terms = spark.createDataFrame([("p", "w1"), ("q", "w2")], "persona_id string, term string")
+    some, exact = asked.asked_for(index, terms, ["persona_id", "term"]), index.join(terms, ["persona_id", "term"])
+    assert exact.count() <= some.count() < 0.5 * index.count() and some.columns == index.columns
+    assert rows(some.join(terms, ["persona_id", "term"]), "card_id", "term") == rows(exact, "card_id", "term")
+    query = terms.select(F.col("term").alias("query_id"), "persona_id", F.array("term").alias("terms"))
+    assert "_asked" in fts.bm25(index, fts.sizes(made(spark, 90)), query)._jdf.queryExecution().optimizedPlan().toString()
