@@ -14,7 +14,7 @@ from mnemoframe.operators.segments import Segments
 from mnemoframe.sources import cards as C
 from mnemoframe.sources import logs, stores
 
-from .catalog import CARDS, GRAPH, INDEX, LINKS, NOW, OVERLAP, SPREAD, _ENTITIES, _cards, _Graph, _index, _linked, _questions, query, r6
+from .catalog import CARDS, GRAPH, INDEX, LINKS, NOW, OVERLAP, SPREAD, _ENTITIES, _cards, _index_cards, _Graph, _index, _linked, _questions, query, r6
 
 TIME = f"TIMESTAMP '{NOW}'"
 
@@ -264,7 +264,7 @@ def _grown(spark, d: str) -> Segments:
     key = (spark.sparkContext.applicationId, d)
     if key in _GROWN:
         return _GROWN[key]
-    cards = _cards(spark, d)
+    cards = _index_cards(spark, d)
     table = store.Table(spark, f"{shared_dir(spark)}/mnemoframe-grown/{uuid.uuid4().hex}")
     table.save(cards.filter("seq % 5 < 3"))
     index = Segments(spark, table).refresh()

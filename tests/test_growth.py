@@ -10,6 +10,7 @@ from mnemoframe.operators import asked, fts, graph, segments
 from mnemoframe.operators.index import CLEAN_UP, Index
 from mnemoframe.operators.segments import Segments
 from mnemoframe.operators.store import Table
+from mnemoframe.plans import catalog
 from mnemoframe.sources.cards import conform
 
 
@@ -126,3 +127,12 @@ def test_a_question_shuffles_only_postings_that_may_hit(spark, tmp_path):
     assert rows(some.join(terms, ["persona_id", "term"]), "card_id", "term") == rows(exact, "card_id", "term")
     query = terms.select(F.col("term").alias("query_id"), "persona_id", F.array("term").alias("terms"))
     assert "_asked" in fts.bm25(index, fts.sizes(made(spark, 90)), query)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_index_cards_are_the_cards_without_their_labels(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i}", "en", "s0", 2) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    cards = catalog._index_cards(spark, str(tmp_path))
+    assert rows(cards, "id", "persona_id", "content", "created_at") == rows(catalog._cards(spark, str(tmp_path)), "id", "persona_id", "content", "created_at")
+    assert "BroadcastHashJoin" in cards._jdf.queryExecution().executedPlan().toString()
