@@ -99,7 +99,7 @@ def test_an_index_leaves_no_shuffle_files(spark, tmp_path):
     count = blocks()
     fresh.postings  # written where it is made
     fresh._table("dealt", lambda: fresh.postings.repartition(3, "term"))
-    assert blocks() == count, shuffled
+    assert blocks() <= count, shuffled  # others may go meanwhile
 
 
 def test_best_of_many_equals_all_hits_ranked(spark, monkeypatch):
